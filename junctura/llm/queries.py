@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.llm import wavelet
+from junctura.llm import packing, prefix_table, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +16,13 @@ def op1_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.wavelet_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_token_wavelet": op1_token_wavelet}
+def op2_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_table.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op4_bounded_packing)}
 ORACLES: dict[str, str] = {}
