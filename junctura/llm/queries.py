@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.llm import packing, prefix_table, wavelet
+from junctura.llm import iso_media, line_dedup, packing, pii, prefix_table, quality, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,5 +24,21 @@ def op4_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op4_bounded_packing)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iso_media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op4_bounded_packing, op6_quality_rules, op7_iso_media, op8_pii_spans, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
