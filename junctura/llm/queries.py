@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.llm import iso_media, line_dedup, packing, pii, prefix_table, quality, wavelet
+from junctura.llm import iso_media, line_dedup, ngram_join, packing, pii, prefix_table, quality, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,13 @@ def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op4_bounded_packing, op6_quality_rules, op7_iso_media, op8_pii_spans, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op4_bounded_packing, op6_quality_rules, op7_iso_media, op8_pii_spans, op9_ngram_join, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
