@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.llm import iso_media, line_dedup, ngram_join, packing, pii, prefix_table, quality, wavelet
+from junctura.llm import html_wrapper, iso_media, licenses, line_dedup, ngram_join, packing, pii, prefix_table, quality, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +21,18 @@ def op2_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_table.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -44,5 +53,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op4_bounded_packing, op6_quality_rules, op7_iso_media, op8_pii_spans, op9_ngram_join, op10_line_dedup)}
-ORACLES: dict[str, str] = {}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op3_html_wrapper, op4_bounded_packing, op5_license_scan, op6_quality_rules, op7_iso_media, op8_pii_spans, op9_ngram_join, op10_line_dedup, pipeline)}
+
+# Where the rows of a query follow from SQL alone.
+ORACLES: dict[str, str] = {
+    "op10_line_dedup": r"""
+WITH line AS (
+  SELECT doc_id, i, x AS line,
+         translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+hot AS (
+  SELECT k, max(doc_id) AS last_doc FROM line WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT doc_id, i, line, hot.k IS NOT NULL AND doc_id <> last_doc AS dropped FROM line LEFT JOIN hot USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
