@@ -2,5 +2,478 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from junctura.functions import multiple_testing, sequence
+from junctura.operators import events, graph, intervals, quant
+from junctura.plans.projection import EDGE, EXON, PAIR, VERTEX, exons
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def longs(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f.name).cast("long").alias(f.name) if f.dataType.simpleString() == "int" else F.col(f.name) for f in df.schema])
+
+
+def rounded(c: str | Column, n: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+WITH = f"WITH {EXON}, {PAIR}, {EDGE}, {VERTEX}"
+
+
+@query(f"WITH {EXON} SELECT * FROM exon")
+def exon_rows(spark, sf_dir):
+    return exons(spark, sf_dir)
+
+
+@query(f"{WITH} SELECT * FROM vertex")
+def vertices(spark, sf_dir):
+    return graph.vertices(exons(spark, sf_dir))
+
+
+@query(f"{WITH} SELECT * FROM edge")
+def edges(spark, sf_dir):
+    return graph.edges(exons(spark, sf_dir))
+
+
+@query(f"{WITH} SELECT DISTINCT gene_id, ue AS i_start, vs AS i_end FROM edge")
+def annotated_introns(spark, sf_dir):
+    return graph.introns(exons(spark, sf_dir))
+
+
+@query(f"""{WITH} SELECT gene_id, v_start, v_end,
+  NOT EXISTS (SELECT 1 FROM edge e WHERE e.gene_id = v.gene_id AND e.vs = v_start AND e.ve = v_end) AS is_start,
+  NOT EXISTS (SELECT 1 FROM edge e WHERE e.gene_id = v.gene_id AND e.us = v_start AND e.ue = v_end) AS is_end
+FROM vertex v""")
+def terminals(spark, sf_dir):
+    e = exons(spark, sf_dir)
+    return graph.terminals(graph.vertices(e), graph.edges(e))
+
+
+SKIP = """skip AS (
+SELECT a.gene_id, a.us e1s, a.ue e1e, a.vs e2s, a.ve e2e, b.vs e3s, b.ve e3e
+FROM edge a JOIN edge b ON a.gene_id = b.gene_id AND a.vs = b.us AND a.ve = b.ue
+JOIN edge c ON c.gene_id = a.gene_id AND c.us = a.us AND c.ue = a.ue AND c.vs = b.vs AND c.ve = b.ve)"""
+
+
+@query(f"{WITH}, {SKIP} SELECT * FROM skip")
+def exon_skip(spark, sf_dir):
+    return events.exon_skip(graph.edges(exons(spark, sf_dir)))
+
+
+@query(f"""{WITH}, path AS (SELECT a.gene_id, a.us "as", a.ue ae, a.vs bs, a.ve be, b.vs ds, b.ve de
+  FROM edge a JOIN edge b ON a.gene_id = b.gene_id AND a.vs = b.us AND a.ve = b.ue)
+SELECT p.gene_id, p."as" e1s, p.ae e1e, p.bs e2s, p.be e2e, q.bs e3s, q.be e3e, p.ds e4s, p.de e4e
+FROM path p JOIN path q ON p.gene_id = q.gene_id AND p."as" = q."as" AND p.ae = q.ae AND p.ds = q.ds AND p.de = q.de AND q.bs >= p.be
+WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.gene_id = p.gene_id AND e.us = p.bs AND e.ue = p.be AND e.vs = q.bs AND e.ve = q.be)""")
+def mutex_exons(spark, sf_dir):
+    return events.mutex_exons(graph.edges(exons(spark, sf_dir)))
+
+
+@query(f"""{WITH}, held AS (SELECT * FROM edge e WHERE EXISTS (
+    SELECT 1 FROM vertex v WHERE v.gene_id = e.gene_id AND v.v_start < e.ue AND v.v_end > e.vs))
+SELECT gene_id, us e1s, ue e1e, vs e2s, ve e2e FROM (
+  SELECT *, row_number() OVER (PARTITION BY gene_id, ue, vs ORDER BY us, ve) rn FROM held) t WHERE rn = 1""")
+def intron_retention(spark, sf_dir):
+    e = exons(spark, sf_dir)
+    return events.intron_retention(graph.edges(e), graph.vertices(e))
+
+
+@query(f"""{WITH} SELECT x.gene_id, x.us e1s, x.ue e1e, x.vs e2s, x.ve e2e, y.vs e3s, y.ve e3e
+FROM edge x JOIN edge y ON x.gene_id = y.gene_id AND x.us = y.us AND x.ue = y.ue
+WHERE x.vs < y.vs AND least(x.ve, y.ve) - greatest(x.vs, y.vs) >= 11""")
+def alt_right(spark, sf_dir):
+    return events.alt_right(graph.edges(exons(spark, sf_dir)))
+
+
+LEFT = """alt AS (SELECT x.gene_id, x.us e1s, x.ue e1e, y.us e2s, y.ue e2e, x.vs e3s, x.ve e3e
+FROM edge x JOIN edge y ON x.gene_id = y.gene_id AND x.vs = y.vs AND x.ve = y.ve
+WHERE x.ue < y.ue AND least(x.ue, y.ue) - greatest(x.us, y.us) >= 11)"""
+
+
+@query(f"{WITH}, {LEFT} SELECT * FROM alt")
+def alt_left(spark, sf_dir):
+    return events.alt_left(graph.edges(exons(spark, sf_dir)))
+
+
+@query()
+def mult_exon_skip(spark, sf_dir):
+    out = events.mult_exon_skip(graph.edges(exons(spark, sf_dir)))
+    return out.select("gene_id", "us", "ue", "vs", "ve", F.size("inner").cast("long").alias("n_inner"), F.array_join(F.transform("inner", lambda x: F.concat_ws("-", x["start"], x["stop"])), ":").alias("inner_exons"))
+
+
+DEDUP = f"""{WITH}, {SKIP}, one AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY gene_id, e1e, e2s, e2e, e3s ORDER BY e3e - e1s, e1s DESC, e3e DESC) rn FROM skip) t WHERE rn = 1)"""
+
+
+def _skip_events(spark, sf_dir):
+    found = events.exon_skip(graph.edges(exons(spark, sf_dir)))
+    return events.deduplicated(found, ["gene_id"], ["e1e", "e2s", "e2e", "e3s"], ("e1s", "e3e"), ["e1s", "e3e"])
+
+
+@query(f"{DEDUP} SELECT gene_id, e1s, e1e, e2s, e2e, e3s, e3e FROM one")
+def exon_skip_dedup(spark, sf_dir):
+    return _skip_events(spark, sf_dir)
+
+
+@query(f"{DEDUP} SELECT gene_id, e1s, e1e, e2s, e2e, e3s, e3e, row_number() OVER (ORDER BY gene_id, e1e, e2s, e2e, e3s) AS event_id FROM one")
+def event_ids(spark, sf_dir):
+    return events.numbered(_skip_events(spark, sf_dir), ["gene_id", "e1e", "e2s", "e2e", "e3s"])
+
+
+@query(f"""{DEDUP}, known AS (SELECT DISTINCT gene_id, ue AS s, vs AS e FROM pair WHERE transcript_id % 2 = 1)
+SELECT o.gene_id, e1s, e1e, e2s, e2e, e3s, e3e,
+  3 - CASE WHEN NOT EXISTS (SELECT 1 FROM known k WHERE k.gene_id = o.gene_id AND k.s = e1e AND k.e = e3s) THEN 1 ELSE 0 END
+    - CASE WHEN NOT EXISTS (SELECT 1 FROM known k WHERE k.gene_id = o.gene_id AND k.s = e1e AND k.e = e2s)
+             OR NOT EXISTS (SELECT 1 FROM known k WHERE k.gene_id = o.gene_id AND k.s = e2e AND k.e = e3s) THEN 2 ELSE 0 END AS annotated
+FROM one o""")
+def annotated_flag(spark, sf_dir):
+    e = exons(spark, sf_dir)
+    return longs(events.annotated(_skip_events(spark, sf_dir), graph.introns(e.where("transcript_id % 2 = 1")), [("e1e", "e3s")], [("e1e", "e2s"), ("e2e", "e3s")]))
+
+
+@query(f"""{WITH}, alt AS (SELECT x.gene_id, x.us e1s, x.ue e1e, x.vs e2s, x.ve e2e, y.vs e3s, y.ve e3e
+  FROM edge x JOIN edge y ON x.gene_id = y.gene_id AND x.us = y.us AND x.ue = y.ue
+  WHERE x.vs < y.vs AND least(x.ve, y.ve) - greatest(x.vs, y.vs) >= 11)
+SELECT gene_id, e1s, e1e, e2s, least(e2e, e3e) e2e, e3s, least(e2e, e3e) e3e FROM alt
+WHERE e2s > e1e AND e3s > e1e AND least(e2e, e3e) > e2s AND least(e2e, e3e) > e3s""")
+def curated_alt_right(spark, sf_dir):
+    return events.curate_alt(events.alt_right(graph.edges(exons(spark, sf_dir))))
+
+
+RUNS = """step AS (SELECT gene_id, sample_id, pos, sum(d) AS d FROM (
+    SELECT gene_id, sample_id, ex_start AS pos, 1 AS d FROM exon UNION ALL SELECT gene_id, sample_id, ex_end, -1 FROM exon) t GROUP BY ALL),
+runs AS (SELECT * FROM (
+  SELECT gene_id, sample_id, pos AS run_start, lead(pos) OVER w AS run_end, CAST(sum(d) OVER w AS BIGINT) AS depth
+  FROM step WINDOW w AS (PARTITION BY gene_id, sample_id ORDER BY pos)) t WHERE depth > 0 AND run_end IS NOT NULL)"""
+SEGS = """point AS (SELECT DISTINCT gene_id, v_start AS pos FROM vertex UNION SELECT DISTINCT gene_id, v_end FROM vertex),
+seg AS (SELECT * FROM (SELECT gene_id, pos AS seg_start, lead(pos) OVER (PARTITION BY gene_id ORDER BY pos) AS seg_end FROM point) p
+  WHERE seg_end IS NOT NULL AND EXISTS (SELECT 1 FROM vertex v WHERE v.gene_id = p.gene_id AND v.v_start <= seg_start AND v.v_end >= seg_end))"""
+COV = """cov AS (SELECT s.gene_id, sample_id, seg_start, seg_end,
+    sum((least(seg_end, run_end) - greatest(seg_start, run_start)) * depth) / (seg_end - seg_start) AS mean_cov,
+    CAST(sum(least(seg_end, run_end) - greatest(seg_start, run_start)) AS BIGINT) AS covered
+  FROM seg s JOIN runs r ON s.gene_id = r.gene_id AND seg_start < run_end AND run_start < seg_end GROUP BY s.gene_id, sample_id, seg_start, seg_end)"""
+
+
+def _cov(spark, sf_dir) -> DataFrame:
+    e = exons(spark, sf_dir)
+    runs = intervals.coverage_runs(e, ["gene_id", "sample_id"], "ex_start", "ex_end")
+    return intervals.segment_coverage(graph.segments(graph.vertices(e)), runs, ["gene_id"], ["sample_id"])
+
+
+@query(f"WITH {EXON}, {RUNS} SELECT * FROM runs")
+def coverage_runs(spark, sf_dir):
+    return intervals.coverage_runs(exons(spark, sf_dir), ["gene_id", "sample_id"], "ex_start", "ex_end")
+
+
+@query(f"{WITH}, {SEGS} SELECT * FROM seg")
+def segments(spark, sf_dir):
+    return graph.segments(graph.vertices(exons(spark, sf_dir)))
+
+
+@query(f"{WITH}, {SEGS} SELECT v.gene_id, v_start, v_end, seg_start, seg_end FROM vertex v JOIN seg s ON v.gene_id = s.gene_id AND v_start <= seg_start AND seg_end <= v_end")
+def vertex_segment(spark, sf_dir):
+    v = graph.vertices(exons(spark, sf_dir))
+    return graph.vertex_segments(v, graph.segments(v))
+
+
+SEG_EDGE = """seg_edge AS (SELECT DISTINCT e.gene_id, d.seg_start AS d_start, e.ue AS d_end, e.vs AS a_start, a.seg_end AS a_end
+  FROM edge e JOIN seg d ON d.gene_id = e.gene_id AND d.seg_end = e.ue JOIN seg a ON a.gene_id = e.gene_id AND a.seg_start = e.vs)"""
+
+
+@query(f"{WITH}, {SEGS}, {SEG_EDGE} SELECT * FROM seg_edge")
+def segment_edges(spark, sf_dir):
+    e = exons(spark, sf_dir)
+    return graph.segment_edges(graph.edges(e), graph.segments(graph.vertices(e)))
+
+
+@query(f"{WITH}, {RUNS}, {SEGS}, {COV} SELECT gene_id, sample_id, seg_start, seg_end, round(mean_cov, 6) AS mean_cov, covered FROM cov")
+def segment_coverage(spark, sf_dir):
+    return _cov(spark, sf_dir).withColumn("mean_cov", rounded("mean_cov"))
+
+
+JUNCTION = "junction AS (SELECT sample_id, gene_id, ue AS i_start, vs AS i_end, count(*) AS n FROM pair GROUP BY ALL)"
+
+
+@query(f"{WITH}, {JUNCTION} SELECT * FROM junction")
+def junction_counts(spark, sf_dir):
+    return quant.junction_counts(exons(spark, sf_dir))
+
+
+SUPPORT = "support AS (SELECT gene_id, us, ue, vs, ve, count(DISTINCT sample_id) AS n_samples FROM pair GROUP BY ALL)"
+
+
+@query(f"{WITH}, {SUPPORT} SELECT * FROM support")
+def edge_support(spark, sf_dir):
+    return graph.edge_support(exons(spark, sf_dir))
+
+
+@query(f"{WITH}, {SUPPORT} SELECT * FROM support WHERE n_samples >= 2")
+def validated_edges(spark, sf_dir):
+    return graph.validated(graph.edge_support(exons(spark, sf_dir)), 2)
+
+
+@query(f"""{WITH}, {SUPPORT}, kept AS (SELECT * FROM support WHERE n_samples >= 2)
+SELECT gene_id, v_start, v_end FROM vertex v WHERE EXISTS (SELECT 1 FROM kept e WHERE e.gene_id = v.gene_id AND ((e.us = v_start AND e.ue = v_end) OR (e.vs = v_start AND e.ve = v_end)))
+  OR NOT EXISTS (SELECT 1 FROM support e WHERE e.gene_id = v.gene_id AND ((e.us = v_start AND e.ue = v_end) OR (e.vs = v_start AND e.ve = v_end)))""")
+def validated_vertices(spark, sf_dir):
+    e = exons(spark, sf_dir)
+    support = graph.edge_support(e)
+    return graph.validated_vertices(graph.vertices(e), support, graph.validated(support, 2))
+
+
+# genes on contigs: a gene's span lies at an offset of its own; contig = gene_id % 4
+PLACED = """gene AS (SELECT gene_id % 4 AS contig, gene_id, min(ex_start) + (gene_id // 4) * 900 AS g_start, max(ex_end) + (gene_id // 4) * 900 AS g_end FROM exon GROUP BY gene_id),
+intron AS (SELECT DISTINCT gene_id % 4 AS contig, ue + (gene_id // 4) * 900 AS i_start, vs + (gene_id // 4) * 900 AS i_end FROM pair)"""
+
+
+def _placed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = exons(spark, sf_dir)
+    at = F.floor(F.col("gene_id") / 4) * 900
+    genes = e.groupBy("gene_id").agg(F.min("ex_start").alias("s"), F.max("ex_end").alias("e")).select((F.col("gene_id") % 4).alias("contig"), "gene_id", (F.col("s") + at).alias("g_start"), (F.col("e") + at).alias("g_end"))
+    introns = graph.introns(e).select((F.col("gene_id") % 4).alias("contig"), (F.col("i_start") + at).alias("i_start"), (F.col("i_end") + at).alias("i_end")).distinct()
+    return genes, introns
+
+
+@query(f"""{WITH}, {PLACED} SELECT i.contig, i_start, i_end FROM intron i JOIN gene g ON g.contig = i.contig AND i_start - 200 < g_end AND g_start < i_end + 200
+GROUP BY ALL HAVING count(*) = 1""")
+def ambiguity_filter(spark, sf_dir):
+    genes, introns = _placed(spark, sf_dir)
+    return graph.unambiguous(introns, genes, 200, 4096)
+
+
+@query(f"""{WITH}, {PLACED} SELECT a.contig, a.gene_id, count(*) AS n_overlaps FROM gene a JOIN gene b ON a.contig = b.contig AND a.gene_id <> b.gene_id AND a.g_start < b.g_end AND b.g_start < a.g_end GROUP BY ALL""")
+def overlapping_genes(spark, sf_dir):
+    genes, _ = _placed(spark, sf_dir)
+    other = genes.select("contig", F.col("gene_id").alias("other"), F.col("g_start").alias("o_start"), F.col("g_end").alias("o_end"))
+    pairs = intervals.interval_join(genes, other, ["contig"], ("g_start", "g_end"), ("o_start", "o_end"), 4096)
+    return pairs.where("gene_id <> other").groupBy("contig", "gene_id").agg(F.count("*").alias("n_overlaps"))
+
+
+@query(f"""{WITH}, {PLACED} SELECT j.gene_id, count(*) AS n_introns, min(i_start) AS first_intron FROM gene j JOIN intron i ON j.contig = i.contig AND i_start > g_start - 5000 AND i_end < g_end + 5000 GROUP BY ALL""")
+def window_introns(spark, sf_dir):
+    genes, introns = _placed(spark, sf_dir)
+    wide = genes.withColumn("w_start", F.col("g_start") - 5000).withColumn("w_end", F.col("g_end") + 5000)
+    pairs = intervals.interval_join(wide, introns, ["contig"], ("w_start", "w_end"), ("i_start", "i_end"), 16384)
+    return pairs.where("i_start > w_start AND i_end < w_end").groupBy("gene_id").agg(F.count("*").alias("n_introns"), F.min("i_start").alias("first_intron"))
+
+
+@query(f"""{WITH}, span AS (SELECT gene_id, v_start AS s, v_end AS e FROM vertex UNION ALL SELECT DISTINCT gene_id, ue, vs FROM edge),
+step AS (SELECT gene_id, pos, sum(d) AS d FROM (SELECT gene_id, s AS pos, 1 AS d FROM span UNION ALL SELECT gene_id, e, -1 FROM span) t GROUP BY ALL),
+depth AS (SELECT gene_id, sum(d) OVER (PARTITION BY gene_id ORDER BY pos) AS n FROM step)
+SELECT gene_id, CAST(max(n) AS BIGINT) AS max_depth, max(n) > 1 AS is_alt FROM depth GROUP BY gene_id""")
+def label_alt(spark, sf_dir):
+    e = exons(spark, sf_dir)
+    return graph.label_alt(graph.vertices(e), graph.edges(e))
+
+
+EXPR = "expr AS (SELECT gene_id, sample_id, sum(mean_cov * (seg_end - seg_start)) / 50 AS raw_count FROM cov GROUP BY ALL)"
+FULL = """grid AS (SELECT g.gene_id, s.sample_id, coalesce(raw_count, 0.0) AS x FROM (SELECT DISTINCT gene_id FROM expr) g CROSS JOIN (SELECT DISTINCT sample_id FROM expr) s
+  LEFT JOIN expr e ON e.gene_id = g.gene_id AND e.sample_id = s.sample_id)"""
+GEO = """geo AS (SELECT gene_id, exp(avg(ln(x + 1))) AS g FROM grid GROUP BY gene_id),
+sf AS (SELECT sample_id, quantile_cont(x / g, 0.5) AS sf FROM grid JOIN geo USING (gene_id) WHERE x > 0 GROUP BY sample_id)"""
+QUANT = f"{WITH}, {RUNS}, {SEGS}, {COV}, {EXPR}"
+
+
+@query(f"{QUANT} SELECT gene_id, sample_id, round(raw_count, 6) AS raw_count FROM expr")
+def gene_expression(spark, sf_dir):
+    return quant.gene_expression(_cov(spark, sf_dir)).withColumn("raw_count", rounded("raw_count"))
+
+
+@query(f"""{QUANT}, {SEG_EDGE} SELECT gene_id, sample_id, round(sum(mean_cov * (seg_end - seg_start)) / 50, 6) AS raw_count FROM cov c
+WHERE NOT EXISTS (SELECT 1 FROM seg_edge e WHERE e.gene_id = c.gene_id AND seg_start >= e.d_end AND seg_start <= e.a_start) GROUP BY gene_id, sample_id""")
+def non_alt_expression(spark, sf_dir):
+    e = exons(spark, sf_dir)
+    segs = graph.segments(graph.vertices(e))
+    alone = graph.single_cover(segs, graph.segment_edges(graph.edges(e), segs))
+    cov = _cov(spark, sf_dir).join(alone, ["gene_id", "seg_start", "seg_end"], "left_semi")
+    return quant.gene_expression(cov).withColumn("raw_count", rounded("raw_count"))
+
+
+@query(f"{QUANT}, {FULL}, {GEO} SELECT sample_id, round(sf, 6) AS sf FROM sf")
+def size_factors_geomean(spark, sf_dir):
+    return quant.size_factors(quant.gene_expression(_cov(spark, sf_dir))).withColumn("sf", rounded("sf"))
+
+
+@query(f"{QUANT} SELECT sample_id, round(sum(raw_count) / 1e8, 9) AS sf FROM expr GROUP BY sample_id")
+def size_factors_tc(spark, sf_dir):
+    return quant.total_count_factors(quant.gene_expression(_cov(spark, sf_dir))).withColumn("sf", rounded("sf", 9))
+
+
+@query(f"{QUANT}, {FULL} SELECT sample_id, round(quantile_cont(x, 0.75) + 1, 6) AS sf FROM grid GROUP BY sample_id")
+def size_factors_uq(spark, sf_dir):
+    return quant.upper_quartile_factors(quant.gene_expression(_cov(spark, sf_dir))).withColumn("sf", rounded("sf"))
+
+
+def _count(name: str, s: str, e: str) -> str:
+    return f"coalesce((SELECT max(j.n) FROM junction j WHERE j.gene_id = o.gene_id AND j.sample_id = o.sample_id AND j.i_start = {s} AND j.i_end = {e}), 0) AS {name}"
+
+
+FEATURES = f"""{DEDUP}, {JUNCTION}, feat AS (SELECT o.*, {_count('e1e2', 'e1e', 'e2s')}, {_count('e2e3', 'e2e', 'e3s')}, {_count('e1e3', 'e1e', 'e3s')}
+  FROM (SELECT one.*, s.sample_id FROM one JOIN (SELECT DISTINCT gene_id, sample_id FROM junction) s USING (gene_id)) o)"""
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    counts = quant.junction_counts(exons(spark, sf_dir))
+    return quant.with_junctions(_skip_events(spark, sf_dir), counts, {"e1e2": ("e1e", "e2s"), "e2e3": ("e2e", "e3s"), "e1e3": ("e1e", "e3s")})
+
+
+@query(f"""{FEATURES} SELECT gene_id, sample_id, e1s, e1e, e2s, e2e, e3s, e3e, e1e2, e2e3, e1e3,
+  CASE WHEN least(e1e2, e2e3) + e1e3 >= 2 THEN round(CAST(least(e1e2, e2e3) AS DOUBLE) / (least(e1e2, e2e3) + e1e3), 6) END AS psi FROM feat""")
+def psi_exon_skip(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return f.withColumn("psi", rounded(quant.psi(*quant.psi_terms("exon_skip"), 2)))
+
+
+@query(f"""{FEATURES} SELECT gene_id, e1s, e1e, e2s, e2e, e3s, e3e, count(*) FILTER (e1e2 >= 1) AS n_v1, count(*) FILTER (e2e3 >= 1) AS n_v2, count(*) FILTER (e1e3 >= 1) AS n_v3,
+  least(count(*) FILTER (e1e2 >= 1), count(*) FILTER (e2e3 >= 1), count(*) FILTER (e1e3 >= 1)) AS confirmed FROM feat GROUP BY ALL""")
+def confirmed_events(spark, sf_dir):
+    f = _features(spark, sf_dir).withColumns({"v1": F.col("e1e2") >= 1, "v2": F.col("e2e3") >= 1, "v3": F.col("e1e3") >= 1})
+    return quant.confirmed(f, events.TRIPLE, ["v1", "v2", "v3"])
+
+
+@query(f"""{FEATURES} SELECT gene_id, e1s, e1e, e2s, e2e, e3s, e3e, round(coalesce(avg(psi) FILTER (sample_id < 6) - avg(psi) FILTER (sample_id >= 6), 0), 6) AS dpsi
+FROM (SELECT *, CASE WHEN least(e1e2, e2e3) + e1e3 >= 1 THEN CAST(least(e1e2, e2e3) AS DOUBLE) / (least(e1e2, e2e3) + e1e3) END AS psi FROM feat) t GROUP BY ALL""")
+def delta_psi(spark, sf_dir):
+    f = _features(spark, sf_dir).withColumn("psi", quant.psi(*quant.psi_terms("exon_skip"), 1))
+    a, b = F.avg(F.when(F.col("sample_id") < 6, F.col("psi"))), F.avg(F.when(F.col("sample_id") >= 6, F.col("psi")))
+    return f.groupBy(*events.TRIPLE).agg(rounded(F.coalesce(a - b, F.lit(0.0))).alias("dpsi"))
+
+
+@query(f"""{FEATURES} SELECT gene_id, e1s, e1e, e2s, e2e, e3s, e3e FROM feat GROUP BY ALL
+HAVING avg(CASE WHEN e1e3 <= 1 THEN 1.0 ELSE 0 END) FILTER (sample_id < 6) <= 0.5 OR avg(CASE WHEN e1e3 <= 1 THEN 1.0 ELSE 0 END) FILTER (sample_id >= 6) <= 0.5
+  OR avg(CASE WHEN least(e1e2, e2e3) <= 1 THEN 1.0 ELSE 0 END) FILTER (sample_id < 6) <= 0.5 OR avg(CASE WHEN least(e1e2, e2e3) <= 1 THEN 1.0 ELSE 0 END) FILTER (sample_id >= 6) <= 0.5""")
+def low_coverage_filter(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    low = lambda c, a: F.avg(F.when((F.col("sample_id") < 6) == a, F.when(c <= 1, 1.0).otherwise(0.0)))
+    c0, c1 = F.col("e1e3"), F.least("e1e2", "e2e3")
+    out = f.groupBy(*events.TRIPLE).agg(*[low(c, a).alias(f"z{i}{int(a)}") for i, c in enumerate((c0, c1)) for a in (True, False)])
+    return out.where("z01 <= 0.5 OR z00 <= 0.5 OR z11 <= 0.5 OR z10 <= 0.5").select(*events.TRIPLE)
+
+
+@query(f"""{QUANT}, {FULL}, {GEO} SELECT gene_id, round(avg(x / sf) FILTER (sample_id < 6), 6) AS mean_a, round(avg(x / sf) FILTER (sample_id >= 6), 6) AS mean_b,
+  CASE WHEN avg(x / sf) FILTER (sample_id < 6) > 0 AND avg(x / sf) FILTER (sample_id >= 6) > 0
+    THEN round(log2(avg(x / sf) FILTER (sample_id < 6)) - log2(avg(x / sf) FILTER (sample_id >= 6)), 6) END AS log2fc
+FROM grid JOIN sf USING (sample_id) GROUP BY gene_id""")
+def fold_change(spark, sf_dir):
+    expr = quant.gene_expression(_cov(spark, sf_dir))
+    full = quant.dense(expr, "gene_id", "sample_id", "raw_count").join(F.broadcast(quant.size_factors(expr)), "sample_id")
+    x = F.col("raw_count") / F.col("sf")
+    out = full.groupBy("gene_id").agg(F.avg(F.when(F.col("sample_id") < 6, x)).alias("a"), F.avg(F.when(F.col("sample_id") >= 6, x)).alias("b"))
+    return out.select("gene_id", rounded("a").alias("mean_a"), rounded("b").alias("mean_b"), rounded(F.log2("a") - F.log2("b")).alias("log2fc"))
+
+
+@query(f"""{QUANT}, {FULL}, {GEO}, lg AS (SELECT gene_id, sample_id, sf, x, log2(x / sf + 1) AS l FROM grid JOIN sf USING (sample_id)),
+q AS (SELECT gene_id, quantile_cont(l, 0.25) AS p25, quantile_cont(l, 0.75) AS p75 FROM lg GROUP BY gene_id)
+SELECT gene_id, sample_id, round(CASE WHEN p75 > p25 AND l > p75 + 1.5 * (p75 - p25) THEN (pow(2, p75 + 1.5 * (p75 - p25)) - 1) * sf ELSE x END, 6) AS capped FROM lg JOIN q USING (gene_id)""")
+def cap_outliers(spark, sf_dir):
+    from junctura.operators import testing
+
+    expr = quant.gene_expression(_cov(spark, sf_dir))
+    full = quant.dense(expr, "gene_id", "sample_id", "raw_count").join(F.broadcast(quant.size_factors(expr)), "sample_id")
+    out = testing.cap_outliers(full, "gene_id", "raw_count", "sf", 1.5)
+    return out.select("gene_id", "sample_id", rounded("capped").alias("capped"))
+
+
+# p-values: a fixed arithmetic over customers; null where the remainder is 0
+TESTS = "test AS (SELECT c_custkey AS event_id, c_custkey % 200 AS gene_id, CASE WHEN c_custkey % 97 <> 0 THEN ((c_custkey * 7919) % 10007) / 10007.0 * (((c_custkey * 31) % 101) / 101.0) END AS p FROM customer)"
+RANKED = f"WITH {TESTS}, ranked AS (SELECT *, row_number() OVER (ORDER BY p, event_id) AS r, (SELECT count(p) FROM test) AS m FROM test WHERE p IS NOT NULL)"
+
+
+def _tests(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    p = F.when(k % 97 != 0, ((k * 7919) % 10007) / F.lit(10007.0) * (((k * 31) % 101) / F.lit(101.0)))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("event_id"), (k % 200).alias("gene_id"), p.alias("p"))
+
+
+def _adjusted(method: str):
+    def run(spark, sf_dir):
+        return multiple_testing.adjust(_tests(spark, sf_dir), "p", method).where("p IS NOT NULL").select("event_id", rounded("p", 9).alias("p"), rounded("p_adj", 9).alias("p_adj"))
+
+    return run
+
+
+for _name, _method, _value in (
+    ("bonferroni", "bonferroni", "least(1, p * m)"),
+    ("holm", "holm", "least(1, max(p * (m - r + 1)) OVER (ORDER BY r))"),
+    ("hochberg", "hochberg", "least(1, min(p * (m - r + 1)) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"),
+    ("bh_adjust", "bh", "least(1, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"),
+    ("by_adjust", "by", "least(1, min(p * m * h / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"),
+):
+    QUERIES[_name] = _adjusted(_method)
+    if _name == "by_adjust":
+        ORACLES[_name] = f"{RANKED}, har AS (SELECT sum(1.0 / r) AS h FROM ranked) SELECT event_id, round(p, 9) AS p, round({_value}, 9) AS p_adj FROM ranked, har"
+    else:
+        ORACLES[_name] = f"{RANKED} SELECT event_id, round(p, 9) AS p, round({_value}, 9) AS p_adj FROM ranked"
+
+
+@query(f"WITH {TESTS} SELECT event_id, gene_id, round(p, 9) AS p FROM test WHERE p IS NOT NULL ORDER BY test.p, event_id LIMIT 20")
+def topk_tests(spark, sf_dir):
+    return _tests(spark, sf_dir).where("p IS NOT NULL").orderBy("p", "event_id").limit(20).withColumn("p", rounded("p", 9))
+
+
+@query(f"WITH {TESTS} SELECT gene_id, event_id, round(p, 9) AS p FROM (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY p, event_id) AS r FROM test WHERE p IS NOT NULL) t WHERE r = 1")
+def gene_unique(spark, sf_dir):
+    best = _tests(spark, sf_dir).where("p IS NOT NULL").groupBy("gene_id").agg(F.min(F.struct("p", "event_id")).alias("b"))
+    return best.select("gene_id", "b.event_id", rounded("b.p", 9).alias("p"))
+
+
+@query(f"""{WITH}, mark AS (SELECT DISTINCT gene_id, v_end FROM vertex), pt AS (SELECT DISTINCT gene_id, vs FROM edge)
+SELECT pt.gene_id, pt.vs, mark.v_end AS before FROM pt ASOF LEFT JOIN mark ON pt.gene_id = mark.gene_id AND pt.vs >= mark.v_end""")
+def nearest_exon(spark, sf_dir):
+    e = exons(spark, sf_dir)
+    return intervals.nearest_before(graph.edges(e), graph.vertices(e), ["gene_id"], "vs", "v_end")
+
+
+@query(f"""{WITH}, t AS (SELECT DISTINCT gene_id, transcript_id FROM exon WHERE gene_id < 50), n AS (SELECT transcript_id % 2 AS half, count(*) AS transcripts, count(DISTINCT gene_id) AS genes FROM t GROUP BY ALL) SELECT * FROM n""")
+def transcript_counts(spark, sf_dir):
+    t = exons(spark, sf_dir).where("gene_id < 50").select("gene_id", "transcript_id").distinct()
+    return t.groupBy((F.col("transcript_id") % 2).alias("half")).agg(F.count("*").alias("transcripts"), F.countDistinct("gene_id").alias("genes"))
+
+
+SEQ = "seq AS (SELECT p_partkey AS part, translate(upper(p_name), 'BDEFHIJKLMNOPQRSUVWXYZ ', 'ACGTACGTACGTACGTACGTACG') AS s, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part)"
+
+
+@query(f"""WITH {SEQ}, site AS (SELECT part, s, strand, substr(s, 1, 2) AS l, substr(s, length(s) - 1, 2) AS r FROM seq WHERE length(s) >= 4)
+SELECT part, strand, reverse(translate(s, 'ACGTacgt', 'TGCAtgca')) AS rc,
+  CASE WHEN strand = '+' THEN l IN ('GT', 'GC') AND r = 'AG' ELSE reverse(translate(r, 'ACGT', 'TGCA')) IN ('GT', 'GC') AND reverse(translate(l, 'ACGT', 'TGCA')) = 'AG' END AS ok FROM site""")
+def consensus_filter(spark, sf_dir):
+    s = F.translate(F.upper("p_name"), "BDEFHIJKLMNOPQRSUVWXYZ ", "ACGTACGTACGTACGTACGTACG")
+    df = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("part"), s.alias("s"), F.when(F.col("p_size") % 2 == 0, "+").otherwise("-").alias("strand")).where("length(s) >= 4")
+    ok = sequence.consensus(F.col("s"), F.col("strand"), F.lit(0), F.length("s"), "lenient")
+    return df.select("part", "strand", sequence.reverse_complement(F.col("s")).alias("rc"), ok.alias("ok"))
+
+
+RETAINED = f"""held AS (SELECT * FROM edge e WHERE EXISTS (
+    SELECT 1 FROM vertex v WHERE v.gene_id = e.gene_id AND v.v_start < e.ue AND v.v_end > e.vs)),
+retained AS (SELECT gene_id, us, ue, vs, ve FROM (
+  SELECT *, row_number() OVER (PARTITION BY gene_id, ue, vs ORDER BY us, ve) rn FROM held) t WHERE rn = 1)"""
+
+
+@query(f"""{WITH.replace('WITH', 'WITH RECURSIVE', 1)}, {RETAINED}, chain AS (SELECT * FROM retained
+  UNION SELECT c.gene_id, c.us, c.ue, r.vs, r.ve FROM chain c JOIN retained r ON c.gene_id = r.gene_id AND c.vs = r.us AND c.ve = r.ue)
+SELECT * FROM chain""")
+def retained_chains(spark, sf_dir):
+    """Chains of retained introns: each start exon with every exon reached over them."""
+    from junctura.operators import augment
+
+    e = exons(spark, sf_dir)
+    kept = events.intron_retention(graph.edges(e), graph.vertices(e))
+    return augment.retention_closure(kept.select("gene_id", F.col("e1s").alias("us"), F.col("e1e").alias("ue"), F.col("e2s").alias("vs"), F.col("e2e").alias("ve")))
