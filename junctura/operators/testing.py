@@ -15,3 +15,73 @@ def cap_outliers(df: DataFrame, row: str, value: str, factor: str | None, times:
     out = logged.join(q, row)
     capped = F.when((F.col("__q3") > F.col("__q1")) & (F.col("__l") > top), (F.pow(F.lit(2.0), top) - 1) * sf).otherwise(F.col(value))
     return out.withColumn("capped", capped).drop("__l", "__q1", "__q3")
+
+
+def response(event_counts: DataFrame, gene_counts: DataFrame, event_sf: DataFrame, gene_sf: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row for each event and form: event_id, form, y, sf and in_a as arrays in group and sample order.
+
+    event_counts: event_id, gene_id, form, sample_id, n.  gene_counts: gene_id,
+    sample_id, raw_count.  groups: sample_id, in_a.  Samples are few, so an array
+    holds one event's samples only; gene counts are rounded as rint(x + 0.5)."""
+    order = F.struct(F.when(F.col("in_a"), 0).otherwise(1).alias("g"), F.col("sample_id"), F.col("n").cast("double").alias("n"), F.rint(F.coalesce(F.col("raw_count"), F.lit(0.0)) + 0.5).alias("x"), F.col("event_sf"), F.col("gene_sf"))
+    small = groups.join(event_sf.select("sample_id", F.col("sf").alias("event_sf")), "sample_id").join(gene_sf.select("sample_id", F.col("sf").alias("gene_sf")), "sample_id")
+    rows = event_counts.join(F.broadcast(small), "sample_id").join(gene_counts.select("gene_id", "sample_id", "raw_count"), ["gene_id", "sample_id"], "left")
+    packed = rows.groupBy("event_id", "gene_id", "form").agg(F.sort_array(F.collect_list(order)).alias("s"))
+    get = lambda f: F.transform("s", lambda x: x[f])
+    return packed.select("event_id", "gene_id", "form", F.concat(get("n"), get("x")).alias("y"), F.concat(get("event_sf"), get("gene_sf")).alias("sf"), F.transform("s", lambda x: (x["g"] == 0).cast("double")).alias("in_a"))
+
+
+def _mapped(df: DataFrame, schema: str, one) -> DataFrame:
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame([one(r) for r in batch.itertuples(index=False)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return df.mapInPandas(run, schema)
+
+
+def differential(rows: DataFrame, min_count: float = 10, max_zero: float = 0.5, method: str = "bh") -> DataFrame:
+    """event_id, gene_id, form, p, p_adj, disp_raw, disp_adj from the rows of :func:`response`.
+
+    Dispersions and tests run in tasks over the events; only a mean and a dispersion
+    of each event come to the driver for the trend, as in any two-parameter fit.
+    Of an event's two forms the one with the larger p is reported; without any, p = 1."""
+    import numpy as np
+
+    from junctura.functions import multiple_testing, nbglm
+
+    key = "event_id long, gene_id long, form int"
+
+    def first(r):
+        y, sf, x = np.array(r.y), np.array(r.sf), nbglm.design(np.array(r.in_a))
+        d, ok = nbglm.raw_dispersion(y, sf, x, min_count)
+        return r.event_id, r.gene_id, r.form, float((y / sf).mean()), None if np.isnan(d) else d, bool(ok), len(y)
+
+    raw = _mapped(rows, f"{key}, mean double, disp double, ok boolean, n long", first).persist()
+    try:
+        table = raw.toPandas()
+        if table.empty or not table["ok"].any():
+            l0, l1, low, prior = 0.0, 0.0, 0.0, 0.1
+        else:
+            disp = table["disp"].to_numpy(float)
+            l0, l1, filled, fitted = nbglm.trend(table["mean"].to_numpy(), disp, table["ok"].to_numpy())
+            low = float(np.percentile(np.unique(disp[table["ok"]]), 1))
+            prior = nbglm.prior_variance(filled, fitted, int(table["n"].iloc[0]), 4)
+
+        def second(r):
+            y, sf, in_a = np.array(r.y), np.array(r.sf), np.array(r.in_a)
+            start = r.disp if r.disp is not None and not np.isnan(r.disp) else low
+            fitted = l0 / r.mean + l1 if r.mean > 0 else np.nan
+            d, _ = nbglm.adjusted_dispersion(y, sf, nbglm.design(in_a), start, fitted, prior)
+            p = nbglm.ratio_test(y, sf, in_a, d, max_zero)
+            clean = lambda v: None if v is None or np.isnan(v) else float(v)
+            return r.event_id, r.gene_id, r.form, clean(p), clean(r.disp), clean(d)
+
+        joined = rows.join(raw.select("event_id", "form", "mean", "disp"), ["event_id", "form"]).select("event_id", "gene_id", "form", "y", "sf", "in_a", "mean", "disp")
+        tested = _mapped(joined, f"{key}, p double, disp_raw double, disp_adj double", second)
+        best = tested.groupBy("event_id", "gene_id").agg(F.max(F.struct(F.col("p").isNotNull().alias("has"), F.col("p"), (-F.col("form")).alias("f"), "disp_raw", "disp_adj")).alias("b"))
+        chosen = best.select("event_id", "gene_id", (-F.col("b.f")).cast("int").alias("form"), F.coalesce("b.p", F.lit(1.0)).alias("p"), "b.disp_raw", "b.disp_adj")
+        return multiple_testing.adjust(chosen, "p", method)
+    finally:
+        raw.unpersist()
