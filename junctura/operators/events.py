@@ -86,7 +86,7 @@ def mult_exon_skip(edges: DataFrame, limit: int = 500) -> DataFrame:
                     found.append((key[0], *a, *b, [{"start": int(s), "stop": int(e)} for s, e in inner]))
         return pd.DataFrame(found, columns=["gene_id", "us", "ue", "vs", "ve", "inner"])
 
-    return edges.groupBy("gene_id").applyInPandas(run, "gene_id long, us long, ue long, vs long, ve long, inner array<struct<start:long,stop:long>>")
+    return edges.groupBy("gene_id").applyInPandas(run, f"gene_id {dict(edges.dtypes)['gene_id']}, us long, ue long, vs long, ve long, inner array<struct<start:long,stop:long>>")
 
 
 def _detour(nodes: list, before: dict, a: tuple, b: tuple) -> list:

@@ -51,7 +51,8 @@ def differential(rows: DataFrame, min_count: float = 10, max_zero: float = 0.5,
 
     from junctura.functions import multiple_testing, nbglm
 
-    key = "event_id long, gene_id long, form int"
+    kinds = dict(rows.dtypes)
+    key = ", ".join(f"{c} {kinds[c]}" for c in ("event_id", "gene_id", "form"))
 
     def first(r):
         y, sf, x = np.array(r.y), np.array(r.sf), nbglm.design(np.array(r.in_a))
