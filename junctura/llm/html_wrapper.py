@@ -42,6 +42,7 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 WORD = re.compile(r"[a-z0-9]+")
 MAX_REGIONS = 20_000
+SALTS = 256
 
 
 class Element:
@@ -292,13 +293,17 @@ def infer(pages: DataFrame) -> DataFrame:
     """host and wrapper (JSON) of each host in ``pages`` (url, html).
 
     Every page is aligned within its partition; the partitions' wrappers of a host
-    are aligned in turn, so a host with many pages is never one task's rows."""
+    are aligned in two turns, first in ``SALTS`` parts, so a host with many pages is
+    never one task's rows."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId() % SALTS
         held: dict[str, list] = {}
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"host": list(held), "wrapper": [json.dumps(w, ensure_ascii=False) for w in held.values()]}, pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
+            out = pa.RecordBatch.from_pydict({"host": list(held), "salt": [salt] * len(held), "wrapper": [json.dumps(w, ensure_ascii=False) for w in held.values()]}, pa.schema([("host", pa.string()), ("salt", pa.int64()), ("wrapper", pa.string())]))
             held.clear()
             return out
 
@@ -318,8 +323,9 @@ def infer(pages: DataFrame) -> DataFrame:
             out = w if out is None else align(out, w)
         return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(out, ensure_ascii=False)]})
 
-    parts = pages.select("url", "html").mapInArrow(part, "host string, wrapper string")
-    return parts.groupBy("host").applyInPandas(merge, "host string, wrapper string")
+    parts = pages.select("url", "html").mapInArrow(part, "host string, salt long, wrapper string")
+    some = parts.groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string")
+    return some.groupBy("host").applyInPandas(merge, "host string, wrapper string")
 
 
 def regions(wrappers: DataFrame) -> DataFrame:

@@ -149,6 +149,7 @@ class LineIndex:
         self.shards, self.min_docs, self.version = shards, min_docs, 0
         self.refs: DataFrame | None = None
         self.counts: DataFrame | None = None
+        self.filter_version: dict[int, int] = {}
 
     def insert(self, docs: DataFrame) -> None:
         """Add documents; those already there are not counted twice."""
@@ -194,7 +195,7 @@ class LineIndex:
 
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             path = f"{folder}/filter-{int(key[0]):05d}"
-            out = _read_filter(path)
+            out = _read_filter(path, version)
             add, gone = (rows["h2"][rows["add"] == x].to_numpy().astype(np.uint64) for x in (True, False))
             if out is None:
                 out = CuckooFilter.of(add)
@@ -209,7 +210,6 @@ class LineIndex:
 
         shard = F.pmod(F.col("h1"), F.lit(shards)).alias("shard")
         done = storage.table(delta.groupBy(shard).applyInPandas(run, "shard long, rebuild boolean"), "line-filters")
-        self.filter_version = getattr(self, "filter_version", {})
         changed = done.collect()  # a row a shard
         rebuild = [r.shard for r in changed if r.rebuild]
         if rebuild:
@@ -245,8 +245,8 @@ class LineIndex:
 
         return refs.mapInArrow(run, refs.schema)
 
-    def drops(self, docs: DataFrame) -> DataFrame:
-        """doc_id and ``__drops``, the keys that the document loses."""
+    def drops(self) -> DataFrame:
+        """doc_id and ``__drops``, the keys that each document of the index loses."""
         own = self.refs.drop("sign") if self.version == 1 else self._live()
         lose = self.screened(own).join(self.hot().select("h1", "h2", "last_doc"), ["h1", "h2"]).where("doc_id <> last_doc")
         return lose.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("__drops"))
@@ -257,7 +257,7 @@ class LineIndex:
         A null text stays null and counts as one empty line.  ``n_chars``, if there, is
         counted anew.  A row without an id loses every hot line."""
         names = docs.columns
-        joined = docs.join(self.drops(docs), "doc_id", "left").select(*names, "__drops")
+        joined = docs.join(self.drops(), "doc_id", "left").select(*names, "__drops")
         nameless = docs.where("doc_id IS NULL")
         if not nameless.isEmpty():
             found = keys(nameless.select("doc_id", "text")).distinct().drop("doc_id").join(self.hot(), ["h1", "h2"]).agg(F.collect_list(F.struct("h1", "h2")).alias("__drops"))
@@ -288,8 +288,10 @@ class LineIndex:
         return joined.mapInArrow(run, schema)
 
 
-def _read_filter(path: str) -> CuckooFilter | None:
-    """The latest version of a shard's filter, or None."""
+def _read_filter(path: str, below: int) -> CuckooFilter | None:
+    """The latest version of a shard's filter before ``below``, or None.
+
+    A task that is run again starts from the same version, so it applies a change once."""
     parsed = storage._local(path)
     if parsed is not None:
         import glob
@@ -301,9 +303,11 @@ def _read_filter(path: str) -> CuckooFilter | None:
         store, name = fs.FileSystem.from_uri(path.rsplit("/", 1)[0])
         found = [x.path for x in store.get_file_info(fs.FileSelector(name, allow_not_found=True)) if x.path.startswith(f"{name}/{path.rsplit('/', 1)[1]}.") and x.path.rsplit(".", 1)[1].isdigit()]
         found = [f"{path.rsplit('/', 1)[0]}/{x.rsplit('/', 1)[1]}" for x in found]
+    number = lambda p: int(p.rsplit(".", 1)[1])
+    found = [p for p in found if number(p) < below]
     if not found:
         return None
-    with storage.open_file(max(found, key=lambda p: int(p.rsplit(".", 1)[1]))) as f:
+    with storage.open_file(max(found, key=number)) as f:
         return CuckooFilter.from_bytes(f.read())
 
 

@@ -25,6 +25,7 @@ MARK = "▁"
 SLICE_BYTES = 4 << 20
 CACHED_CHUNKS = 250_000
 CACHED_PAIRS = 700_000
+LONG = 64  # longer chunks are not remembered
 UNKNOWN = -1
 
 _models: dict[str, "PrefixTable"] = {}
@@ -171,6 +172,8 @@ class PrefixTable:
 
     def chunk(self, text: str) -> tuple[str, int, str]:
         """Ids as text, their number and the decoded text of a chunk."""
+        if len(text) > LONG:
+            return self._long(text)
         known = self.chunks.get(text)
         if known is None and (known := self.older.get(text)) is not None:
             self.chunks[text] = known
@@ -232,7 +235,7 @@ class PrefixTable:
         ids_sha, text_sha, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
         for part in cut_at_space(text) if self.by_word else [text]:
             for c in self.chunks_of(part):  # the mark in front is the dummy prefix, or the space that was cut
-                ids, size, decoded = self.chunk(c) if len(c) < 64 else self._long(c)
+                ids, size, decoded = self.chunk(c)
                 ids_sha.update(f"{ids} ".encode())
                 text_sha.update((decoded[1:] if first and decoded.startswith(" ") else decoded).encode())
                 n, first = n + size, False
