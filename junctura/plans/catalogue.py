@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from junctura.config import Evidence, Retention
 from junctura.functions import multiple_testing, sequence
-from junctura.operators import events, graph, intervals, quant
+from junctura.operators import events, graph, intervals, quant, testing, verify
+from junctura.plans import viz_data
 from junctura.plans.projection import EDGE, EXON, PAIR, VERTEX, exons
+from junctura.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -384,8 +387,6 @@ def fold_change(spark, sf_dir):
 q AS (SELECT gene_id, quantile_cont(l, 0.25) AS p25, quantile_cont(l, 0.75) AS p75 FROM lg GROUP BY gene_id)
 SELECT gene_id, sample_id, round(CASE WHEN p75 > p25 AND l > p75 + 1.5 * (p75 - p25) THEN (pow(2, p75 + 1.5 * (p75 - p25)) - 1) * sf ELSE x END, 6) AS capped FROM lg JOIN q USING (gene_id)""")
 def cap_outliers(spark, sf_dir):
-    from junctura.operators import testing
-
     expr = quant.gene_expression(_cov(spark, sf_dir))
     full = quant.dense(expr, "gene_id", "sample_id", "raw_count").join(F.broadcast(quant.size_factors(expr)), "sample_id")
     out = testing.cap_outliers(full, "gene_id", "raw_count", "sf", 1.5)
@@ -477,3 +478,112 @@ def retained_chains(spark, sf_dir):
     e = exons(spark, sf_dir)
     kept = events.intron_retention(graph.edges(e), graph.vertices(e))
     return augment.retention_closure(kept.select("gene_id", F.col("e1s").alias("us"), F.col("e1e").alias("ue"), F.col("e2s").alias("vs"), F.col("e2e").alias("ve")))
+
+
+# --- evidence, writers, tests over the projection -------------------------------------
+
+DEPTH = """(SELECT coalesce(sum((least({e}, r.run_end) - greatest({s}, r.run_start)) * r.depth), 0) / CAST({e} - {s} AS DOUBLE)
+    FROM runs r WHERE r.gene_id = o.gene_id AND r.sample_id = o.sample_id AND r.run_start < {e} AND {s} < r.run_end)"""
+
+
+def _evidence(spark, sf_dir, kind: str, found: DataFrame) -> DataFrame:
+    """Events in the samples of their own gene, as :func:`junctura.operators.verify.evidence` gives them."""
+    e = exons(spark, sf_dir)
+    named = lambda df: df.withColumn("sample", F.col("sample_id").cast("string")).drop("sample_id")
+    runs = named(intervals.coverage_runs(e, ["gene_id", "sample_id"], "ex_start", "ex_end"))
+    counts = named(quant.junction_counts(e))
+    samples = runs.select("sample").distinct()
+    own = counts.select("gene_id", "sample").distinct()
+    ev = verify.evidence(kind, found, samples, runs, counts, Evidence(junction=1, mutex_junction=1), Retention(1, 0.5, 0.1, 2), 1)
+    return ev.join(own, ["gene_id", "sample"], "left_semi").withColumn("sample_id", F.col("sample").cast("long"))
+
+
+OWN = "(SELECT {t}.*, s.sample_id FROM {t} JOIN (SELECT DISTINCT gene_id, sample_id FROM junction) s USING (gene_id)) o"
+
+
+@query(f"""{DEDUP}, {JUNCTION}, {RUNS}, feat AS (SELECT o.*, {DEPTH.format(s='e1s', e='e1e')} AS d1, {DEPTH.format(s='e2s', e='e2e')} AS d2, {DEPTH.format(s='e3s', e='e3e')} AS d3,
+  {_count('e1e2', 'e1e', 'e2s')}, {_count('e2e3', 'e2e', 'e3s')}, {_count('e1e3', 'e1e', 'e3s')} FROM {OWN.format(t='one')})
+SELECT gene_id, sample_id, e1s, e1e, e2s, e2e, e3s, e3e, round(d2, 6) AS e2_cov, d2 >= 0.05 * ((d1 + d3) / 2) AS v1, e1e2 >= 1 AS v2, e2e3 >= 1 AS v3, e1e3 >= 1 AS v4 FROM feat""")
+def evidence_exon_skip(spark, sf_dir):
+    out = _evidence(spark, sf_dir, "exon_skip", _skip_events(spark, sf_dir))
+    return out.select("gene_id", "sample_id", *events.TRIPLE[1:], rounded("e2_cov").alias("e2_cov"), "v1", "v2", "v3", "v4")
+
+
+COVERED = """(SELECT coalesce(sum(least({e}, r.run_end) - greatest({s}, r.run_start)), 0) / CAST({e} - {s} AS DOUBLE)
+    FROM runs r WHERE r.gene_id = o.gene_id AND r.sample_id = o.sample_id AND r.run_start < {e} AND {s} < r.run_end)"""
+
+
+@query(f"""{WITH}, {RETAINED}, {JUNCTION}, {RUNS}, ev AS (SELECT gene_id, us e1s, ue e1e, vs e2s, ve e2e FROM retained), feat AS (SELECT o.*,
+  {DEPTH.format(s='e1s', e='e1e')} AS d1, {DEPTH.format(s='e1e', e='e2s')} AS d2, {DEPTH.format(s='e2s', e='e2e')} AS d3, {COVERED.format(s='e1e', e='e2s')} AS share, {_count('n', 'e1e', 'e2s')} FROM {OWN.format(t='ev')})
+SELECT gene_id, sample_id, e1s, e1e, e2s, e2e, round(d2, 6) AS cov, round(share, 6) AS share, d2 > 1 AND share > 0.5 AND d2 >= 0.1 * ((d1 + d3) / 2) AS v1, n >= 1 AS v2,
+  CASE WHEN d2 + n >= 1 THEN round(d2 / (d2 + n), 6) END AS psi FROM feat""")
+def evidence_intron_retention(spark, sf_dir):
+    e = exons(spark, sf_dir)
+    out = _evidence(spark, sf_dir, "intron_retention", events.intron_retention(graph.edges(e), graph.vertices(e)))
+    return out.select("gene_id", "sample_id", "e1s", "e1e", "e2s", "e2e", rounded("e2_cov").alias("cov"), rounded("e2_region").alias("share"), "v1", "v2", rounded("psi").alias("psi"))
+
+
+def _as_events(df: DataFrame) -> DataFrame:
+    pair = lambda *names: F.array(*[F.struct(F.col(f"{n}s").cast("int").alias("start"), F.col(f"{n}e").cast("int").alias("stop")) for n in names])
+    return df.select(F.lit("exon_skip").alias("event_type"), "event_id", F.lit("c1").alias("contig"), F.lit("+").alias("strand"), F.col("gene_id").cast("string").alias("gene_id"), F.lit(3).alias("annotated"), pair("e1", "e3").alias("exons1"), pair("e1", "e2", "e3").alias("exons2"))
+
+
+NUMBERED = f"{DEDUP}, ev AS (SELECT *, row_number() OVER (ORDER BY gene_id, e1e, e2s, e2e, e3s) AS event_id FROM one)"
+
+
+@query(f"""{NUMBERED} SELECT event_id, concat_ws(chr(9), 'c1', e1s, e3e, 'CA-' || gene_id || '-' || event_id, '.', '+', e1s, e3e, '.', '3',
+  (e1e - e1s) || ',' || (e2e - e2s) || ',' || (e3e - e3s), '0,' || (e2s - e1s) || ',' || (e3s - e1s)) AS line FROM ev""")
+def event_bed(spark, sf_dir):
+    return sinks.bed(_as_events(event_ids(spark, sf_dir))).select("event_id", F.col("value").alias("line"))
+
+
+@query(f"""{NUMBERED} SELECT event_id, count(*) AS n_lines, min(line) AS first_line, max(line) AS last_line FROM (
+  SELECT event_id, concat_ws(chr(9), 'c1', 'exon_skip', 'gene', e1s + 1, e3e, '.', '+', '.', 'ID=exon_skip.' || event_id || ';GeneName="' || gene_id || '";HasNovelJunction="N"') AS line FROM ev
+  UNION ALL SELECT event_id, concat_ws(chr(9), 'c1', 'exon_skip', 'mRNA', e1s + 1, e3e, '.', '+', '.', 'ID=exon_skip.' || event_id || '_iso' || k || ';Parent=exon_skip.' || event_id || ';GeneName="' || gene_id || '"') FROM ev, (VALUES (1), (2)) t(k)
+  UNION ALL SELECT event_id, concat_ws(chr(9), 'c1', 'exon_skip', 'exon', s + 1, e, '.', '+', '.', 'Parent=exon_skip.' || event_id || '_iso' || k) FROM (
+    SELECT event_id, e1s s, e1e e, 1 k FROM ev UNION ALL SELECT event_id, e3s, e3e, 1 FROM ev UNION ALL SELECT event_id, e1s, e1e, 2 FROM ev
+    UNION ALL SELECT event_id, e2s, e2e, 2 FROM ev UNION ALL SELECT event_id, e3s, e3e, 2 FROM ev) x) y GROUP BY event_id""")
+def event_gff3(spark, sf_dir):
+    out = sinks.gff3(_as_events(event_ids(spark, sf_dir)))
+    return out.groupBy("event_id").agg(F.count("*").alias("n_lines"), F.min("value").alias("first_line"), F.max("value").alias("last_line"))
+
+
+@query(f"""{NUMBERED} SELECT event_id, e1s || '-' || e1e || ':' || e2s || '-' || e2e || ':' || e3s || '-' || e3e AS exon_pos, '0:1:0' AS alt_usage FROM ev""")
+def event_coordinates(spark, sf_dir):
+    return sinks.coordinates(_as_events(event_ids(spark, sf_dir))).select("event_id", "exon_pos", "alt_usage")
+
+
+@query(f"""{FEATURES} SELECT gene_id, sample_id, e1s, e1e, e2s, e2e, e3s, e3e, CASE WHEN e1e2 + e2e3 + e1e3 >= 2 AND e1e2 + e2e3 + 2 * e1e3 > 0
+  THEN round(CAST(e1e2 + e2e3 AS DOUBLE) / (e1e2 + e2e3 + 2 * e1e3), 6) END AS psi FROM feat""")
+def path_psi(spark, sf_dir):
+    """PSI over both inclusion junctions, as one of the writers has it."""
+    f = _features(spark, sf_dir)
+    return f.select("gene_id", "sample_id", *events.TRIPLE[1:], rounded(sinks.tcga_psi("exon_skip", 2)).alias("psi"))
+
+
+@query(f"""{FEATURES} SELECT gene_id, sample_id, e1s, e1e, e2s, e2e, e3s, e3e, form, CAST(floor(CASE WHEN form = 0 THEN e1e3 ELSE least(e1e2, e2e3) END) AS DOUBLE) AS n FROM feat, (VALUES (0), (1)) t(form)""")
+def counts_for_test(spark, sf_dir):
+    f = _features(spark, sf_dir).withColumn("event_id", F.struct(*events.TRIPLE[1:])).withColumnRenamed("sample_id", "sample")
+    out = verify.test_counts("exon_skip", f)
+    return out.select("gene_id", F.col("sample").alias("sample_id"), *[F.col(f"event_id.{c}").alias(c) for c in events.TRIPLE[1:]], "form", "n")
+
+
+@query(f"{QUANT}, {FULL} SELECT gene_id, round(avg(x), 6) AS mean, round(var_samp(x), 6) AS variance FROM grid GROUP BY gene_id")
+def mean_variance(spark, sf_dir):
+    full = quant.dense(quant.gene_expression(_cov(spark, sf_dir)), "gene_id", "sample_id", "raw_count")
+    return viz_data.mean_variance(full, "gene_id", "raw_count").select("gene_id", rounded("mean").alias("mean"), rounded("variance").alias("variance"))
+
+
+@query()
+def differential_test(spark, sf_dir):
+    """Genes as events: exons counted as one form, junctions as the other, samples 0 to 5 against 6 to 11."""
+    e = exons(spark, sf_dir)
+    n_exons = e.groupBy("gene_id", "sample_id").agg(F.count("*").cast("double").alias("n"))
+    n_introns = graph.consecutive(e, ["sample_id"]).groupBy("gene_id", "sample_id").agg(F.count("*").cast("double").alias("n"))
+    both = [quant.dense(df, "gene_id", "sample_id", "n").withColumn("form", F.lit(k)) for k, df in enumerate((n_introns, n_exons))]
+    counts = both[0].unionByName(both[1]).withColumn("event_id", F.col("gene_id"))
+    groups = counts.select("sample_id").distinct().withColumn("in_a", F.col("sample_id") < 6)
+    sf = groups.select("sample_id", F.lit(1.0).alias("sf"))
+    expression = quant.dense(quant.gene_expression(_cov(spark, sf_dir)), "gene_id", "sample_id", "raw_count")
+    rows = testing.response(counts, expression, sf, sf, groups)
+    return testing.differential(rows, 10, 0.95).select("event_id", "gene_id", "form", rounded("p").alias("p"), rounded("p_adj").alias("p_adj"), rounded("disp_raw").alias("disp_raw"), rounded("disp_adj").alias("disp_adj"))

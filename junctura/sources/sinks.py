@@ -68,10 +68,10 @@ def wide(events: DataFrame, counts: DataFrame, features: list[str], samples: lis
     return coordinates(events).drop("exons1", "exons2").join(pivot, ["event_type", "event_id"], "left")
 
 
-def tcga_psi(kind: str) -> Column:
+def tcga_psi(kind: str, min_reads: int = 10) -> Column:
     """The ratio of the third writer, which differs from :func:`junctura.operators.quant.psi`."""
     c = F.col
-    ratio = lambda a, b, support: F.when(support >= 10, F.try_divide(a.cast("double"), b))
+    ratio = lambda a, b, support: F.when(support >= min_reads, F.try_divide(a.cast("double"), b))
     skip = c("e1e2") + c("e2e3")
     return {
         "exon_skip": lambda: ratio(skip, skip + 2 * c("e1e3"), skip + c("e1e3")),
