@@ -260,8 +260,11 @@ class LineIndex:
         joined = docs.join(self.drops(), "doc_id", "left").select(*names, "__drops")
         nameless = docs.where("doc_id IS NULL")
         if not nameless.isEmpty():
-            found = keys(nameless.select("doc_id", "text")).distinct().drop("doc_id").join(self.hot(), ["h1", "h2"]).agg(F.collect_list(F.struct("h1", "h2")).alias("__drops"))
-            joined = joined.where("doc_id IS NOT NULL").unionByName(nameless.crossJoin(F.broadcast(found)).select(*names, "__drops"))
+            # such rows are known by their text's hash; equal texts lose the same lines
+            by_text = nameless.select(F.xxhash64("text").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+            lose = keys(by_text).join(self.hot().select("h1", "h2"), ["h1", "h2"]).groupBy(F.col("doc_id").alias("__text")).agg(F.collect_list(F.struct("h1", "h2")).alias("__drops"))
+            own = nameless.join(lose, F.xxhash64("text") == F.col("__text"), "left").select(*names, "__drops")
+            joined = joined.where("doc_id IS NOT NULL").unionByName(own)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -130,13 +130,12 @@ def thresholds(featured: DataFrame, labels: DataFrame, alpha: float, delta: floa
         for i, c in enumerate(grid):
             for q in (0, 1):
                 sums.append(F.count(F.when((F.col("quality") == q) & (F.col(r) > c), 1)).alias(f"{r}_{i}_{q}"))
-    per = rows.groupBy("stratum").agg(*sums)
+    per = storage.table(rows.groupBy("stratum").agg(*sums), "label-counts")
     tests = [F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{i}_1").alias("k"), F.col(f"{r}_{i}_0").alias("hits")) for r, grid in GRIDS.items() for i, c in enumerate(grid)]
-    strata = F.broadcast(per.agg(F.count("*").alias("strata")))  # one row
-    level = F.lit(delta) / (F.col("strata") * len(tests))
+    level = delta / max(1, per.count() * len(tests))
     passed = F.filter(F.array(*tests), lambda t: binomial_tail(t["k"], F.col("good"), alpha / len(GRIDS)) <= level)
     best = lambda r: F.array_max(F.transform(F.filter(F.col("passed"), lambda t: (t["rule"] == r) & (t["hits"] > t["k"])), lambda t: F.struct((t["hits"] - t["k"]).alias("net"), t["cutoff"].alias("cutoff"))))["cutoff"]
-    return per.join(strata).withColumn("passed", passed).select("stratum", *[best(r).alias(r) for r in GRIDS])
+    return per.withColumn("passed", passed).select("stratum", *[best(r).alias(r) for r in GRIDS])
 
 
 def judge(featured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
