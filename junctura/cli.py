@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--dpsi", type=float, default=0.05)
             p.add_argument("--min-count", type=int, default=10)
             p.add_argument("--cap-exp-outliers", action=argparse.BooleanOptionalAction, default=True)
+            p.add_argument("--cap-outliers", action="store_true")
         if mode == "viz-data":
             p.add_argument("--gene", required=True)
     return top
@@ -62,7 +63,7 @@ def config(args: argparse.Namespace) -> Config:
         "ignore_mismatches": "ignore_mismatches", "filter_consensus": "filter_consensus", "reference": "reference", "validate_sg": "validate", "validate_sg_count": "validate_min",
         "iterations": "iterations", "ase_edge_limit": "edge_limit", "psi_min_reads": "psi_min_reads", "insert_es": "insert_cassettes", "insert_ir": "insert_retentions",
         "insert_ni": "insert_edges", "remove_se": "remove_short", "filter_ambiguous": "filter_ambiguous", "correction": "correction", "max_zero_frac": "max_zero",
-        "dpsi": "min_dpsi", "min_count": "min_count", "cap_exp_outliers": "cap_expression",
+        "dpsi": "min_dpsi", "min_count": "min_count", "cap_exp_outliers": "cap_expression", "cap_outliers": "cap_counts",
     }
     found = {new: given[old] for old, new in keys.items() if old in given}
     return Config(**found, samples=names(given["bams"]) if "bams" in given else (), event_types=names(given["event_types"]))
@@ -80,11 +81,16 @@ def main(argv: list[str] | None = None) -> None:
         job.annotation()
         job.prepare()
     elif args.mode == "build":
+        from junctura.plans import report
+
         job.run()
+        report.write(spark, job.cfg)
     elif args.mode == "test":
-        for kind in job.cfg.event_types:
-            for k in {"alt_3prime": ("alt_right", "alt_left"), "alt_5prime": ("alt_right", "alt_left")}.get(kind, (kind,)):
-                job.test(k, list(names(args.condition_a)), list(names(args.condition_b))).write.mode("overwrite").parquet(f"{args.outdir}/testing/{k}")
+        from junctura.plans import report
+
+        patterns = {p for kind in job.cfg.event_types for p in (("alt_right", "alt_left") if kind.startswith("alt") else (kind,))}
+        for kind in sorted(patterns):
+            report.write_test(job.test(kind, list(names(args.condition_a)), list(names(args.condition_b))), args.outdir, kind)
     else:
         from junctura.plans import viz_data
 

@@ -15,7 +15,7 @@ from junctura.functions import sequence
 from junctura.operators import augment, events, graph, intervals, quant, reads, verify
 from junctura.sources import alignments, annotation, fasta
 
-DETECTED = ("exon_skip", "intron_retention", "alt_right", "alt_left", "mutex_exons", "mult_exon_skip")
+MAX_INTRONS, MAX_ROUNDS = 200, 12
 
 
 class Build:
@@ -70,9 +70,27 @@ class Build:
 
     # --- graph --------------------------------------------------------------------
 
-    def introns(self, genes: DataFrame, junctions: DataFrame) -> DataFrame:
+    def introns(self, genes: DataFrame, prep: dict[str, DataFrame]) -> DataFrame:
+        """The introns of each gene in each sample.
+
+        Genes with more than MAX_INTRONS in a sample are read again with a tighter
+        filter, round by round; the others keep theirs."""
         cfg = self.cfg
         given = reads.ReadFilter.preset(cfg.confidence, cfg.read_length)
+        found = self.stage("prep/introns-0", lambda: self._introns(genes, prep["junctions"], given))
+        for k in range(1, MAX_ROUNDS):
+            many = found.groupBy("sample", "gene_id").agg(F.count("*").alias("n")).where(F.col("n") > MAX_INTRONS).select("gene_id").distinct()
+            if many.isEmpty():
+                break
+            given = given.tightened()
+            tight = self.alignments().where(reads.passes(given, cfg.primary_only, cfg.var_aware, not cfg.ignore_mismatches))
+            again = self._introns(genes.join(many, "gene_id", "left_semi"), reads.junctions(tight), given)
+            last = found.join(many, "gene_id", "left_anti").unionByName(again)
+            found = self.stage(f"prep/introns-{k}", lambda last=last: last)
+        return found
+
+    def _introns(self, genes: DataFrame, junctions: DataFrame, given: reads.ReadFilter) -> DataFrame:
+        cfg = self.cfg
         if cfg.filter_consensus:
             seq = fasta.read_fasta(self.spark, cfg.reference)
             sites = junctions.join(seq, "contig")
@@ -82,7 +100,7 @@ class Build:
             marked = junctions.withColumn("__c", F.concat_ws(" ", "contig", "strand"))
             clear = graph.unambiguous(marked.select(F.col("__c").alias("contig"), "i_start", "i_end"), placed, 200, 1 << 16)
             junctions = marked.join(clear.withColumnRenamed("contig", "__c"), ["__c", "i_start", "i_end"], "left_semi").drop("__c")
-        return reads.gene_introns(junctions, genes, given.mincount)
+        return reads.gene_introns(junctions, genes, given.mincount).select("sample", "gene_id", "i_start", "i_end", "n")
 
     def graph(self, genes: DataFrame, exons: DataFrame, prep: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
         """(vertices, edges with n_samples) of the merged graph."""
@@ -91,7 +109,7 @@ class Build:
         samples = prep["all_coverage"].select("sample").distinct()
 
         def make() -> DataFrame:
-            introns = self.introns(genes, prep["junctions"]).select("sample", "gene_id", "i_start", "i_end")
+            introns = self.introns(genes, prep).select("sample", "gene_id", "i_start", "i_end")
             runs = gene_runs(prep["coverage"], genes, 5000)
             return augment.augmented(samples, v, e, introns, runs, augment.neighbour_ends(genes, v), cfg)
 
@@ -195,6 +213,9 @@ class Build:
         if cfg.cap_expression:
             expression = testing.cap_outliers(expression, "gene_id", "raw_count", "sf", 1.5).drop("raw_count").withColumnRenamed("capped", "raw_count")
         counts = verify.test_counts(kind, rows)
+        if cfg.cap_counts:
+            row = counts.withColumn("row", F.struct("event_id", "form"))
+            counts = testing.cap_outliers(row, "row", "n", None, 3.0).drop("n", "row").withColumnRenamed("capped", "n")
         event_sf = quant.size_factors(counts.withColumn("row", F.struct("event_id", "form")).select("row", "sample", "n"), "row", "sample", "n")
         low = lambda in_a: F.avg(F.when(F.col("in_a") == in_a, (F.col("n") <= 1).cast("int")))
         form_ok = counts.join(F.broadcast(groups), "sample").groupBy("event_id", "form").agg(low(True).alias("za"), low(False).alias("zb")).where((F.col("za") <= cfg.max_zero) | (F.col("zb") <= cfg.max_zero))

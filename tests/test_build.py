@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from junctura import cli
 from junctura.config import Config
-from junctura.plans import viz_data
+from junctura.plans import report, viz_data
 from junctura.plans.build import Build
 
 EXONS = [(1000, 1200), (1500, 1600), (2000, 2300)]
@@ -54,6 +54,12 @@ def test_build(spark, tmp_path):
     assert len(sf) == 8 and all(0.8 < v < 1.3 for v in sf.values())
     test = job.test("exon_skip", [f"s{i}" for i in range(4)], [f"s{i}" for i in range(4, 8)]).collect()
     assert len(test) == 1 and test[0].p < 0.05 and test[0].dpsi < -0.1
+    report.write(spark, cfg)
+    lines = [r.value for r in spark.read.text(cfg.outdir + "/reports/exon_skip.confirmed.gff3").collect()]
+    assert len(lines) == 8 and "\tgene\t1001\t2300\t" in lines[0] and 'HasNovelJunction="Y"' in lines[0]
+    assert spark.read.option("header", True).option("sep", "\t").csv(cfg.outdir + "/reports/exon_skip.tsv").columns[-1] == "s7:psi"
+    report.write_test(job.test("exon_skip", ["s0", "s1", "s2", "s3"], ["s4", "s5", "s6", "s7"]), cfg.outdir, "exon_skip")
+    assert spark.read.option("header", True).option("sep", "\t").csv(cfg.outdir + "/testing/exon_skip.gene_unique.tsv").count() == 1
     again = Build(spark, cfg).run()["exon_skip"][0]
     assert again.count() == 8
     runs = spark.read.parquet(cfg.outdir + "/counts/runs").where("gene_id = 'g1'")
