@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
                 p.add_argument(f"--insert-{name}", action=argparse.BooleanOptionalAction, default=True)
             p.add_argument("--remove-se", action="store_true")
             p.add_argument("--filter-ambiguous", action="store_true")
+            p.add_argument("--use-anno-support", action="store_true")
         if mode == "test":
             p.add_argument("--condition-a", required=True)
             p.add_argument("--condition-b", required=True)
@@ -62,7 +63,7 @@ def config(args: argparse.Namespace) -> Config:
         "outdir": "outdir", "confidence": "confidence", "readlen": "read_length", "annotation": "annotation", "primary_only": "primary_only", "var_aware": "var_aware",
         "ignore_mismatches": "ignore_mismatches", "filter_consensus": "filter_consensus", "reference": "reference", "validate_sg": "validate", "validate_sg_count": "validate_min",
         "iterations": "iterations", "ase_edge_limit": "edge_limit", "psi_min_reads": "psi_min_reads", "insert_es": "insert_cassettes", "insert_ir": "insert_retentions",
-        "insert_ni": "insert_edges", "remove_se": "remove_short", "filter_ambiguous": "filter_ambiguous", "correction": "correction", "max_zero_frac": "max_zero",
+        "insert_ni": "insert_edges", "remove_se": "remove_short", "filter_ambiguous": "filter_ambiguous", "use_anno_support": "use_annotated_support", "correction": "correction", "max_zero_frac": "max_zero",
         "dpsi": "min_dpsi", "min_count": "min_count", "cap_exp_outliers": "cap_expression", "cap_outliers": "cap_counts",
     }
     found = {new: given[old] for old, new in keys.items() if old in given}

@@ -37,20 +37,38 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
-def evidence(kind: str, events: DataFrame, samples: DataFrame, runs: DataFrame, junctions: DataFrame, ev: Evidence = Evidence(), ir: Retention = Retention.preset(3), min_reads: int = 10) -> DataFrame:
+def evidence(kind: str, events: DataFrame, samples: DataFrame, runs: DataFrame, junctions: DataFrame, ev: Evidence = Evidence(), ir: Retention = Retention.preset(3), min_reads: int = 10, known: DataFrame | None = None) -> DataFrame:
     """Each event in each sample: features, criteria v1, v2, ..., psi, iso1 and iso2.
 
     runs: gene_id, sample, run_start, run_end, depth.  junctions: gene_id, sample,
-    i_start, i_end, n.  A gene without any reads has features 0 and fails."""
+    i_start, i_end, n.  A gene without any reads has features 0 and fails.  With
+    ``known`` introns (gene_id, i_start, i_end), an annotated junction needs no reads."""
     rows = events.crossJoin(F.broadcast(samples))
     span = lambda n: (_c(f"e{n}s"), _c(f"e{n}e"))
     flank = lambda a, b: (_c(f"{a}_cov") + _c(f"{b}_cov")) / 2
-    enough = lambda name: _c(name) >= ev.junction
+    flags: list[str] = []
+
+    def counted(df: DataFrame, introns: dict[str, tuple[str, str]]) -> DataFrame:
+        df = with_counts(df, junctions, introns)
+        if known is not None:
+            for name, (a, b) in introns.items():
+                own = known.select("gene_id", F.col("i_start").cast("int").alias(a), F.col("i_end").cast("int").alias(b), F.lit(True).alias(f"__known_{name}")).distinct()
+                df = df.join(own, ["gene_id", a, b], "left")
+                flags.append(f"__known_{name}")
+        return df
+
+    def enough(*names: str, least: int = ev.junction) -> Column:
+        ok = F.lit(True)
+        for name in names:
+            one = _c(name) >= least
+            ok = ok & (one if known is None else one | F.coalesce(_c(f"__known_{name}"), F.lit(False)))
+        return ok
+
     if kind == "exon_skip":
-        rows = with_counts(with_depth(rows, runs, {f"e{n}": span(n) for n in (1, 2, 3)}), junctions, {"e1e2": ("e1e", "e2s"), "e2e3": ("e2e", "e3s"), "e1e3": ("e1e", "e3s")})
+        rows = counted(with_depth(rows, runs, {f"e{n}": span(n) for n in (1, 2, 3)}), {"e1e2": ("e1e", "e2s"), "e2e3": ("e2e", "e3s"), "e1e3": ("e1e", "e3s")})
         criteria = [_c("e2_cov") >= ev.rel_cov * flank("e1", "e3"), enough("e1e2"), enough("e2e3"), enough("e1e3")]
     elif kind == "intron_retention":
-        rows = with_counts(with_depth(rows, runs, {"e1": span(1), "e2": (_c("e1e"), _c("e2s")), "e3": span(2)}), junctions, {"e1e3": ("e1e", "e2s")})
+        rows = counted(with_depth(rows, runs, {"e1": span(1), "e2": (_c("e1e"), _c("e2s")), "e3": span(2)}), {"e1e3": ("e1e", "e2s")})
         criteria = [(_c("e2_cov") > ir.min_cov) & (_c("e2_region") > ir.min_region) & (_c("e2_cov") >= ir.rel_low * flank("e1", "e3")), enough("e1e3")]
     elif kind in ("alt_right", "alt_left"):
         # the longer isoform's additional part, and what both have
@@ -64,14 +82,14 @@ def evidence(kind: str, events: DataFrame, samples: DataFrame, runs: DataFrame,
             both = {"__a": ("e1e", "e3s"), "__b": ("e2e", "e3s")}
             size = (F.least("e1e", "e2e") - F.greatest("e1s", "e2s"), _c("e3e") - _c("e3s"))
             longer = F.when(_c("e1e") > _c("e2e"), _c("__a")).otherwise(_c("__b"))
-        rows = with_counts(with_depth(rows, runs, parts), junctions, both)
-        rows = rows.withColumn("e2", longer).withColumn("e1e3", _c("__a") + _c("__b") - _c("e2")).drop("__a", "__b")
+        rows = counted(with_depth(rows, runs, parts), both)
+        rows = rows.withColumn("e2", longer).withColumn("e1e3", _c("__a") + _c("__b") - _c("e2"))
         fixed = (_c("e1_cov") * size[0] + _c("e3_cov") * size[1]) / (size[0] + size[1])
-        criteria = [_c("e2_cov") >= ev.rel_cov * fixed, F.least("e1e3", "e2") >= ev.junction]
+        criteria = [_c("e2_cov") >= ev.rel_cov * fixed, enough("__a", "__b")]
     elif kind == "mutex_exons":
-        rows = with_counts(with_depth(rows, runs, {f"e{n}": span(n) for n in (1, 2, 3, 4)}), junctions, {"e1e2": ("e1e", "e2s"), "e1e3": ("e1e", "e3s"), "e2e4": ("e2e", "e4s"), "e3e4": ("e3e", "e4s")})
+        rows = counted(with_depth(rows, runs, {f"e{n}": span(n) for n in (1, 2, 3, 4)}), {"e1e2": ("e1e", "e2s"), "e1e3": ("e1e", "e3s"), "e2e4": ("e2e", "e4s"), "e3e4": ("e3e", "e4s")})
         level = ev.rel_cov * flank("e1", "e4")
-        criteria = [_c("e2_cov") >= level, _c("e3_cov") >= level, F.least("e1e2", "e2e4") >= ev.mutex_junction, F.least("e1e3", "e3e4") >= ev.mutex_junction]
+        criteria = [_c("e2_cov") >= level, _c("e3_cov") >= level, enough("e1e2", "e2e4", least=ev.mutex_junction), enough("e1e3", "e3e4", least=ev.mutex_junction)]
     elif kind == "mult_exon_skip":
         # us..ue, vs..ve and the exons between
         key = ["gene_id", "event_id", "sample"]
@@ -83,13 +101,14 @@ def evidence(kind: str, events: DataFrame, samples: DataFrame, runs: DataFrame,
         steps = rows.select(*key, F.explode(pairs).alias("p")).select(*key, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
         between = with_counts(steps, junctions, {"m": ("a", "b")}).groupBy(*key).agg(F.sum("m").alias("sum_e2"))
         rows = rows.withColumn("f", F.element_at("inner", 1)["start"].cast("int")).withColumn("l", F.element_at("inner", -1)["stop"].cast("int"))
-        rows = with_counts(with_depth(rows, runs, {"e1": (_c("us"), _c("ue")), "e3": (_c("vs"), _c("ve"))}), junctions, {"e1e2": ("ue", "f"), "e2e3": ("l", "vs"), "e1e3": ("ue", "vs")}).drop("f", "l")
+        rows = counted(with_depth(rows, runs, {"e1": (_c("us"), _c("ue")), "e3": (_c("vs"), _c("ve"))}), {"e1e2": ("ue", "f"), "e2e3": ("l", "vs"), "e1e3": ("ue", "vs")}).drop("f", "l")
         rows = rows.join(depth, key, "left").join(between, key, "left").withColumn("sum_e2", F.coalesce("sum_e2", F.lit(0))).withColumn("num_e2", F.size("inner"))
         criteria = [_c("e2_cov") >= ev.rel_cov * flank("e1", "e3"), enough("e1e2"), enough("e2e3"), _c("sum_e2") / _c("num_e2") >= ev.junction, enough("e1e3")]
     else:
         raise ValueError(kind)
     for i, c in enumerate(criteria, 1):
         rows = rows.withColumn(f"v{i}", c)
+    rows = rows.drop(*flags, "__a", "__b")
     a, b = quant.psi_terms("alt_prime" if kind.startswith("alt") else kind)
     return rows.withColumns({"psi": quant.psi(a, b, min_reads), "iso2": a.cast("int"), "iso1": b.cast("int")})
 

@@ -188,8 +188,9 @@ class Build:
         """For each pattern (features, criteria and PSI by sample; confirmed samples by event)."""
         cfg, out = self.cfg, {}
         samples = counts["runs"].select("sample").distinct()
+        known = graph.introns(self.spark.read.parquet(f"{cfg.outdir.rstrip('/')}/exons")) if cfg.use_annotated_support else None
         for kind, df in found.items():
-            rows = self.stage(f"psi/{kind}", lambda df=df, kind=kind: verify.evidence(kind, df, samples, counts["runs"], counts["junctions"], cfg.evidence, cfg.retention, cfg.psi_min_reads))
+            rows = self.stage(f"psi/{kind}", lambda df=df, kind=kind: verify.evidence(kind, df, samples, counts["runs"], counts["junctions"], cfg.evidence, cfg.retention, cfg.psi_min_reads, known))
             criteria = [c for c in rows.columns if c[0] == "v" and c[1:].isdigit()]
             out[kind] = rows, self.stage(f"confirmed/{kind}", lambda rows=rows, criteria=criteria: quant.confirmed(rows, ["event_id", "gene_id"], criteria))
         return out
