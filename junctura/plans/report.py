@@ -74,6 +74,8 @@ def write(spark: SparkSession, cfg: Config) -> None:
             sinks.write_lines(sinks.gff3(events), f"{base}/reports/{kind}.{name}.gff3")
             sinks.write_lines(sinks.bed(events), f"{base}/reports/{kind}.{name}.bed")
         by = rows.withColumn("event_type", event_type(kind)).withColumn("event_id", F.col("event_id").cast("int"))
+        if kind != "mult_exon_skip":
+            sinks.write_lines(sinks.structured(sure, by, samples), f"{base}/reports/{kind}.struc")
         sinks.write_tsv(sinks.wide(sure, by, [*FEATURES[kind], "psi"], samples), f"{base}/reports/{kind}.tsv", ["event_type", "event_id"])
         sinks.write_tsv(sinks.icgc(sure, by, samples), f"{base}/reports/{kind}.icgc.tsv", ["event_type", "event_id"])
 

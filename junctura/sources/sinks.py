@@ -90,6 +90,52 @@ def icgc(events: DataFrame, psi: DataFrame, samples: list[str]) -> DataFrame:
     return table.where(some).select(_id().alias("event_id"), code.alias("event_type"), "contig", "exon_pos", "alt_usage", "gene_id", *[F.when(F.col(f"`{s}`").isNull(), "NA").otherwise(F.format_string("%.6f", F.col(f"`{s}`"))).alias(s) for s in samples])
 
 
+def structured(events: DataFrame, psi: DataFrame, samples: list[str]) -> DataFrame:
+    """One attribute line an event: flanks, structure and splice chain, sites in transcript order.
+
+    A donor is marked ^, an acceptor -.  On the plus strand an exon's end is its donor
+    and its start (from 1) its acceptor; on the minus strand it is the other way round
+    and sites are read from right to left.  Events of several skipped exons give no line."""
+    plus = F.col("strand") == "+"
+    exon = lambda k, i: F.element_at(f"exons{k}", i)
+    end = lambda x: x["stop"].cast("string")
+    start = lambda x: (x["start"] + 1).cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    a, z, b = exon(1, 1), exon(1, -1), exon(2, 2)
+    outer = F.when(plus, text(end(a), "^,", start(z), "-")).otherwise(text(start(z), "^,", end(a), "-"))
+    inner = lambda x: F.when(plus, text(start(x), "-", end(x), "^")).otherwise(text(end(x), "-", start(x), "^"))
+    y = exon(2, -1)
+    first = exon(2, 1)
+    left = a == first  # the alternative exons are the right ones
+    near, far = F.least(z["start"], y["start"]) + 1, F.greatest(z["start"], y["start"]) + 1
+    near_plus = F.least(z["start"] + 1, y["start"]) + 1  # as the format's writers count it
+    low, high = F.least(a["stop"], first["stop"]), F.greatest(a["stop"], first["stop"])
+    stop, begin = F.least(z["stop"], y["stop"]), F.greatest(a["start"], first["start"]) + 1
+    whole = exon(2, 1)
+    kinds = {
+        "exon_skip": (outer, F.lit("0,1-2^"), text(",", inner(b))),
+        "mutex_exons": (outer, F.lit("1-2^,3-4^"), text(inner(exon(1, 2)), ",", inner(b))),
+        "intron_retention": (
+            F.when(plus, text(whole["stop"] + 1, "-,", end(whole), "^")).otherwise(text(end(whole), "-,", start(whole), "^")),
+            F.lit("0,1^2-"),
+            F.when(plus, text(",", end(a), "^", start(z), "-")).otherwise(text(",", start(z), "^", end(a), "-")),
+        ),
+        "alt": (
+            F.when(left & plus, text(end(a), "^,", stop, "^")).when(left, text(stop, "-,", end(a), "-")).when(plus, text(begin, "-,", start(z), "-")).otherwise(text(start(z), "^,", begin, "^")),
+            F.when(left == plus, F.lit("1-,2-")).otherwise(F.lit("1^,2^")),
+            F.when(left & plus, text(near_plus, "-,", far, "-")).when(left, text(far, "^,", near, "^")).when(plus, text(low, "^,", high, "^")).otherwise(text(high, "-,", low, "-")),
+        ),
+    }
+    kind = F.when(F.col("event_type").startswith("alt_"), "alt").otherwise(F.col("event_type"))
+    pick = lambda j: F.coalesce(*[F.when(kind == k, v[j]) for k, v in kinds.items()])
+    by = psi.groupBy("event_type", "event_id").pivot("sample", samples).agg(F.first("psi"))
+    rows = events.where(F.col("event_type") != "mult_exon_skip").join(by, ["event_type", "event_id"], "left")
+    tags = F.concat_ws(";", *[text(f' psi_{s} "', F.when(F.col(f"`{s}`").isNull(), "nan").otherwise(F.format_string("%.6f", F.col(f"`{s}`"))), '"') for s in samples])
+    head = F.concat_ws("\t", "contig", F.lit("undefined"), "event_type", a["start"].cast("string"), end(z), F.lit("."), "strand", F.lit("."))
+    line = F.concat(head, text("\tgene_id \"", _id(), "\"; transcript_id \"", _id(), "\"; gene_name \"", F.col("gene_id"), "\"; is_annotated \"", F.col("annotated"), "\"; flanks \"", pick(0), "\"; structure \"", pick(1), "\"; splice_chain \"", pick(2), "\";", tags, ";"))
+    return rows.select("event_type", "event_id", F.lit(0).alias("line_no"), line.alias("value"))
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """One ordered text file: the events of a type are a report, not a data set."""
     lines.repartition(1).sortWithinPartitions("event_type", "event_id", "line_no").select("value").write.mode("overwrite").text(path)

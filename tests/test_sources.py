@@ -190,6 +190,26 @@ def test_writers(spark):
     assert sinks.icgc(events, counts, ["a", "b"]).collect()[0][-2:] == ("0.500000", "NA")
 
 
+def test_structured(spark):
+    schema = "event_type string, event_id int, contig string, strand string, gene_id string, annotated int, exons1 array<struct<start:int,stop:int>>, exons2 array<struct<start:int,stop:int>>"
+    rows = [
+        ("exon_skip", 1, "c", "+", "g", 1, [(0, 10), (40, 50)], [(0, 10), (20, 30), (40, 50)]),
+        ("exon_skip", 2, "c", "-", "g", 1, [(0, 10), (40, 50)], [(0, 10), (20, 30), (40, 50)]),
+        ("alt_3prime", 1, "c", "+", "g", 1, [(0, 10), (30, 50)], [(0, 10), (20, 50)]),
+        ("alt_3prime", 2, "c", "-", "g", 1, [(0, 10), (40, 50)], [(0, 15), (40, 50)]),
+        ("alt_5prime", 1, "c", "+", "g", 1, [(0, 10), (40, 50)], [(0, 15), (40, 50)]),
+        ("intron_retention", 1, "c", "+", "g", 1, [(0, 10), (40, 50)], [(0, 50)]),
+    ]
+    psi = spark.createDataFrame([("exon_skip", 1, "s", 0.25)], "event_type string, event_id int, sample string, psi double")
+    out = {(r.event_type, r.event_id): r.value for r in sinks.structured(spark.createDataFrame(rows, schema), psi, ["s"]).collect()}
+    assert out["exon_skip", 1] == 'c\tundefined\texon_skip\t0\t50\t.\t+\t.\tgene_id "exon_skip.1"; transcript_id "exon_skip.1"; gene_name "g"; is_annotated "1"; flanks "10^,41-"; structure "0,1-2^"; splice_chain ",21-30^"; psi_s "0.250000";'
+    assert 'flanks "41^,10-"; structure "0,1-2^"; splice_chain ",30-21^"' in out["exon_skip", 2]
+    assert 'flanks "10^,50^"; structure "1-,2-"; splice_chain "21-,31-"' in out["alt_3prime", 1]
+    assert 'flanks "41^,1^"; structure "1-,2-"; splice_chain "15-,10-"' in out["alt_3prime", 2]
+    assert 'structure "1^,2^"; splice_chain "10^,15^"' in out["alt_5prime", 1]
+    assert 'structure "0,1^2-"; splice_chain ",10^41-"' in out["intron_retention", 1]
+
+
 @pytest.mark.parametrize("method", ["bonferroni", "holm", "hochberg", "bh", "by"])
 def test_window_corrections(spark, method):
     p = [0.01, 0.2, None, 0.01, 0.9, 0.04]
