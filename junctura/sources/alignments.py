@@ -38,31 +38,67 @@ def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Bgzf:
-    """The bytes of a BGZF file, a block at a time."""
-
-    def __init__(self, file):
-        self.file, self.held = file, b""
+    """The bytes of a BGZF file from one of its blocks on, a block at a time.
+
+    ``within``: how many of the bytes read and held so far come from blocks that start
+    before ``stop``."""
+
+    def __init__(self, file, start: int = 0, stop: int | None = None):
+        self.file, self.at, self.stop = file, start, stop
+        self.held, self.taken, self.within = b"", 0, 0
+        file.seek(start)
+
+    def more(self) -> bool:
+        """Hold one more block; False at the end of the file."""
+        head = self.file.read(12)
+        if len(head) < 12:
+            return False
+        extra = self.file.read(struct.unpack_from("<H", head, 10)[0])
+        size = _block_size(extra)
+        if head[:4] != MAGIC or size is None:
+            raise ValueError("not a BGZF file")
+        raw = self.file.read(size - 12 - len(extra))
+        data = zlib.decompress(raw[:-8], -15)
+        self.held += data
+        if self.stop is None or self.at < self.stop:
+            self.within += len(data)
+        self.at += size
+        return True
 
     def read(self, n: int) -> bytes:
-        while len(self.held) < n:
-            head = self.file.read(12)
-            if len(head) < 12:
-                break
-            extra = self.file.read(struct.unpack_from("<H", head, 10)[0])
-            at, size = 0, None
-            while at + 4 <= len(extra):
-                a, b, length = extra[at], extra[at + 1], struct.unpack_from("<H", extra, at + 2)[0]
-                if (a, b) == (66, 67):
-                    size = struct.unpack_from("<H", extra, at + 4)[0] + 1
-                at += 4 + length
-            if size is None:
-                raise ValueError("not a BGZF file")
-            raw = self.file.read(size - 12 - len(extra))
-            self.held += zlib.decompress(raw[:-8], -15)
+        while len(self.held) < n and self.more():
+            pass
         out, self.held = self.held[:n], self.held[n:]
+        self.taken += len(out)
         return out
 
 
+MAGIC = b"\x1f\x8b\x08\x04"
+
+
+def _block_size(extra: bytes) -> int | None:
+    at = 0
+    while at + 4 <= len(extra):
+        length = struct.unpack_from("<H", extra, at + 2)[0]
+        if extra[at : at + 2] == b"BC":
+            return struct.unpack_from("<H", extra, at + 4)[0] + 1
+        at += 4 + length
+    return None
+
+
+def next_block(file, start: int, stop: int) -> int | None:
+    """The first block that starts in [start, stop): one that is followed by another or by the end."""
+    file.seek(start)
+    raw = file.read(min(stop - start, 1 << 16) + 2 * (1 << 16) + 32)
+    at = raw.find(MAGIC)
+    while 0 <= at and start + at < stop:
+        size = _block_size(raw[at + 12 : at + 12 + struct.unpack_from("<H", raw, at + 10)[0]]) if at + 12 <= len(raw) else None
+        if size is not None and (raw[at + size : at + size + 4] == MAGIC or at + size >= len(raw)):
+            return start + at
+        at = raw.find(MAGIC, at + 1)
+    return None
+
+
 def bam_header(stream: Bgzf) -> list[tuple[str, int]]:
     """(contig, length) in the file's order."""
     if stream.read(4) != b"BAM\1":
@@ -75,6 +111,35 @@ def bam_header(stream: Bgzf) -> list[tuple[str, int]]:
     return out
 
 
+def _plausible(raw: bytes, at: int, contigs: list[tuple[str, int]]) -> int | None:
+    """The end of the record at ``at`` if it can be one."""
+    if at + 36 > len(raw):
+        return None
+    size, ref, pos, name, _, _, n_ops, _, length, mate, mate_pos = struct.unpack_from("<iiiBBHHHiii", raw, at)
+    fixed = 32 + name + 4 * n_ops + (max(length, 0) + 1) // 2 + max(length, 0)
+    inside = lambda r, p: -1 <= r < len(contigs) and -1 <= p and (r < 0 or p <= contigs[r][1])
+    if length < 0 or name < 1 or not fixed <= size < 1 << 26 or not inside(ref, pos) or not inside(mate, mate_pos):
+        return None
+    end = at + 36 + name
+    if end <= len(raw) and (raw[end - 1] != 0 or any(not 33 <= c <= 126 for c in raw[at + 36 : end - 1])):
+        return None
+    return at + 4 + size
+
+
+def first_record(stream: Bgzf, contigs: list[tuple[str, int]], chain: int = 4) -> bool:
+    """Move to the first record that starts in the blocks of the split: one from which ``chain`` records follow."""
+    while len(stream.held) < 1 << 18 and stream.more():
+        pass
+    for at in range(stream.within):
+        end, n = _plausible(stream.held, at, contigs), 1
+        while end is not None and n < chain and end + 36 <= len(stream.held):
+            end, n = _plausible(stream.held, end, contigs), n + 1
+        if end is not None and (n == chain or end + 36 > len(stream.held)):
+            stream.read(at)
+            return True
+    return False
+
+
 def _tags(raw: bytes, at: int) -> dict[str, object]:
     sizes = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
     out: dict[str, object] = {}
@@ -96,37 +161,72 @@ def _tags(raw: bytes, at: int) -> dict[str, object]:
 
 
 def bam_records(stream: Bgzf, sample: str, contigs: list[tuple[str, int]]) -> Iterator[tuple]:
-    while len(head := stream.read(4)) == 4:
+    """The records that start in the stream's own blocks."""
+    while stream.held or stream.more():
+        if stream.taken >= stream.within:
+            return
+        head = stream.read(4)
+        if len(head) < 4:
+            return
         raw = stream.read(struct.unpack("<i", head)[0])
         ref, pos, name, _, _, n_ops, flag, length = struct.unpack_from("<iiBBHHHi", raw)
         at = 32 + name
         ops = struct.unpack_from(f"<{n_ops}I", raw, at)
         tags = _tags(raw, at + 4 * n_ops + (length + 1) // 2 + length)
+        number = lambda t: None if isinstance(tags.get(t), str) else tags.get(t)  # noqa: B023, E731
         cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in ops) or "*"
-        yield sample, contigs[ref][0] if ref >= 0 else "*", pos, flag, cigar, tags.get("NM"), tags.get("XS") if isinstance(tags.get("XS"), str) else None, tags.get("XM") if not isinstance(tags.get("XM"), str) else None, tags.get("XG") if not isinstance(tags.get("XG"), str) else None
+        yield sample, contigs[ref][0] if ref >= 0 else "*", pos, flag, cigar, number("NM"), tags["XS"] if isinstance(tags.get("XS"), str) else None, number("XM"), number("XG")
+
+
+def _open(path: str):
+    if path.startswith("file:") or "://" not in path:
+        return open(path.removeprefix("file://").removeprefix("file:"), "rb")
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Split(InputPartition):
+    def __init__(self, path: str, start: int, stop: int):
+        self.path, self.start, self.stop = path, start, stop
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("path", "").split(",") if p]
+        self.size = int(options.get("splitBytes", 128 << 20))
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
+        out = []
+        for path in self.paths:
+            with _open(path) as f:
+                f.seek(0, 2)
+                end = f.tell()
+            out += [_Split(path, a, min(a + self.size, end)) for a in range(0, end, self.size)]
+        return out
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        path = partition.path.removeprefix("file://")
-        with open(path, "rb") as f:
-            stream = Bgzf(f)
-            yield from bam_records(stream, sample_of(path), bam_header(stream))
+    def read(self, split: _Split) -> Iterator[tuple]:
+        with _open(split.path) as f:
+            head = Bgzf(f, 0, split.stop)
+            contigs = bam_header(head)
+            if split.start == 0:
+                stream = head
+            else:
+                block = next_block(f, split.start, split.stop)
+                if block is None:
+                    return
+                stream = Bgzf(f, block, split.stop)
+                if not first_record(stream, contigs):
+                    return
+            yield from bam_records(stream, sample_of(split.path), contigs)
 
 
 class BamSource(DataSource):
-    """``spark.read.format("bam").load("a.bam,b.bam")``: one partition a file, streamed block by block."""
+    """``spark.read.format("bam").option("splitBytes", n).load("a.bam,b.bam")``.
+
+    Files are split by bytes without an index: a split starts at the first block in
+    it, and there at the first place from which several records follow."""
 
     @classmethod
     def name(cls) -> str:
@@ -139,6 +239,6 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
 
-def read_bam(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_bam(spark: SparkSession, paths: list[str], split_bytes: int = 128 << 20) -> DataFrame:
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").load(",".join(paths))
+    return spark.read.format("bam").option("splitBytes", split_bytes).load(",".join(paths))

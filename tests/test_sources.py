@@ -103,14 +103,34 @@ def test_sam_and_bam(spark, tmp_path):
         ops = [(int(n) << 4) | alignments.OPS.index(op) for n, op in re.findall(r"(\d+)(.)", c)]
         rec = struct.pack("<iiBBHHHiiii", 0, 100, 2, 60, 0, len(ops), flag, 0, -1, -1, 0) + b"r\0" + struct.pack(f"<{len(ops)}I", *ops) + b"NMC" + bytes([nm]) + (b"XSA" + xs.encode() if xs else b"")
         body += struct.pack("<i", len(rec)) + rec
+    out = bgzf([body[:100], body[100:], b""])
+    assert gzip.decompress(out) == body
+    (tmp_path / "s.bam").write_bytes(out)
+    assert sorted(map(repr, alignments.read_bam(spark, [str(tmp_path / "s.bam")]).collect())) == want
+
+
+def bgzf(parts):
     out = b""
-    for part in (body[:100], body[100:], b""):
+    for part in parts:
         co = zlib.compressobj(wbits=-15)
         raw = co.compress(part) + co.flush()
         out += struct.pack("<BBBBIBBH", 31, 139, 8, 4, 0, 0, 255, 6) + b"BC" + struct.pack("<HH", 2, len(raw) + 25) + raw + struct.pack("<II", zlib.crc32(part), len(part))
-    assert gzip.decompress(out) == body
-    (tmp_path / "s.bam").write_bytes(out)
-    assert sorted(map(repr, alignments.read_bam(spark, [str(tmp_path / "s.bam")]).collect())) == want
+    return out
+
+
+def test_bam_splits(tmp_path):
+    rng = np.random.default_rng(6)
+    body = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 2) + b"c\0" + struct.pack("<i", 100_000)
+    for k in range(3000):
+        name, seq = f"read{k}".encode() + b"\0", bytes(rng.integers(0, 256, 25, dtype=np.uint8)) + bytes(rng.integers(0, 40, 50, dtype=np.uint8))
+        rec = struct.pack("<iiBBHHHiiii", 0, k, len(name), 60, 0, 1, 0, 50, -1, -1, 0) + name + struct.pack("<I", 50 << 4) + seq + b"NMC\0"
+        body += struct.pack("<i", len(rec)) + rec
+    raw = bgzf([*(body[i : i + 5000] for i in range(0, len(body), 5000)), b""])
+    (tmp_path / "s.bam").write_bytes(raw)
+    for size in (len(raw) + 1, 40_000, 7001):
+        reader = alignments.BamReader({"path": str(tmp_path / "s.bam"), "splitBytes": str(size)})
+        got = [r[2] for p in reader.partitions() for r in reader.read(p)]
+        assert sorted(got) == list(range(3000))
 
 
 def test_interval_join(spark):
