@@ -1,8 +1,8 @@
 """Whole-text encoding with a word-level BPE of the tokenizers library.
 
-Pre-tokens never cross white space, so a text's ids are the ids of its
-space-separated words in order.  Words are numbered per slice by Arrow, each
-distinct one is encoded once by the library, and the ids are gathered in numpy.
+Pre-tokens never cross white space, so a text's ids are the ids of its words in
+order.  Arrow splits a slice's texts and numbers the distinct words, the library
+encodes each of those once, and numpy gathers the ids.
 """
 
 from __future__ import annotations
@@ -12,16 +12,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 END_ID = 1
 SLICE_BYTES = 6 << 20
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
+LONG = 64  # longer words are not remembered
 
-# The tokenizer file's own split pattern, and characters for which
-# lower-casing and normal form C are one to one in every library.
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN = r"[!-~À-ÖØ-öø-įı-ňŊ-ž]+"
+# Characters outside those whose lower case and normal form C are one
+# to one in every library; what the tokenizer's own split pattern cuts off from
+# the letters beside it, within the plain characters.
+NOT_PLAIN = r"[^!-~À-ÖØ-öø-įı-ňŊ-ž \n]"
+BORDERED = r"('s|'t|'re|'ve|'m|'ll|'d|[!-/:-@\[-`{-~]+|[0-9])"
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -60,6 +61,9 @@ def cut_at_space(text: str, limit: int) -> list[str]:
 
 
 class WordEncoder:
+    """Rows are encoded in three ways with the same result: plain ones by pre-token,
+    others by word, and those with a special token's text by the library as a whole."""
+
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
@@ -68,37 +72,54 @@ class WordEncoder:
         self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.plain, self.pretoken = regex.compile(PLAIN), regex.compile(PRETOKEN)
-        self.cached, self.words, self.parts = cached, {"": b""}, {}
+        self.cached = cached
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in row order, and how many each row has (null: none)."""
         texts = pc.fill_null(texts, "")
-        odd = np.zeros(len(texts), bool)
-        for token in self.special:  # in a text they stand for one id: left to the library
-            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-        if odd.any():
-            ids, sizes = [], []
-            for text, alone in zip(texts.to_pylist(), odd):
-                if alone:
-                    ids.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
-                    sizes.append(len(ids[-1]))
-                else:
-                    got, n = self.encode(pa.array([text]))
-                    ids.append(got)
-                    sizes.append(int(n[0]))
-            return np.concatenate(ids), np.array(sizes, np.int64)
-        if len(texts) == 1 and len(whole := texts[0].as_py()) > SLICE_BYTES:
-            parts = [self._words(pa.array([p])) for p in cut_at_space(whole, SLICE_BYTES)]
-            return np.concatenate([p[0] for p in parts]), np.array([sum(len(p[0]) for p in parts)], np.int64)
-        return self._words(texts)
+        if len(texts) == 1 and len(whole := texts[0].as_py()) > SLICE_BYTES and not any(t in whole for t in self.special):
+            parts = [self._by_kind(pa.array([p]))[0] for p in cut_at_space(whole, SLICE_BYTES)]
+            return np.concatenate(parts), np.array([sum(map(len, parts))], np.int64)
+        return self._by_kind(texts)
+
+    def _by_kind(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        special = np.zeros(len(texts), bool)
+        for token in self.special:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        plain = ~pc.match_substring_regex(texts, NOT_PLAIN).to_numpy(zero_copy_only=False)
+        groups = [(np.flatnonzero(m), f) for m, f in ((plain & ~special, self._pretokens), (~plain & ~special, self._words), (special, self._whole)) if m.any()]
+        if len(groups) == 1:
+            return groups[0][1](texts)
+        sizes, got = np.zeros(len(texts), np.int64), []
+        for rows, f in groups:
+            ids, n = f(texts.take(pa.array(rows)))
+            sizes[rows] = n
+            got.append((rows, ids, n))
+        start = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.uint32)
+        for rows, ids, n in got:
+            out[np.repeat(start[rows] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, sizes
+
+    def _pretokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.replace_substring(pc.utf8_lower(texts), "\n", " ")
+        return self._gather(pc.replace_substring_regex(texts, BORDERED, r" \1 "), self._joined)
 
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return self._gather(pc.replace_substring(texts, "\n", " "), self._alone)
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts.to_pylist()]
+        return np.concatenate(ids), np.array(list(map(len, ids)), np.int64)
+
+    def _gather(self, texts: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.split_pattern(texts, " ")
         at = split.offsets.to_numpy() - split.offsets[0].as_py()
         words = pc.dictionary_encode(split.flatten())
         code = words.indices.to_numpy()
-        found = self._ids_of(words.dictionary.to_pylist())
+        found = self._ids_of(words.dictionary.to_pylist(), encode)
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         table = np.frombuffer(b"".join(found), "<u4")
         first = np.cumsum(size) - size
@@ -107,38 +128,42 @@ class WordEncoder:
         ids = table[np.repeat(first[code] - to[:-1], each) + np.arange(to[-1])]
         return ids, np.diff(to[at])
 
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        if len(self.words) > self.cached:
-            self.words = {"": b""}
-        if len(self.parts) > 2 * self.cached:
-            self.parts = {}
-        known = self.words
-        missing = [w for w in words if w not in known]
-        if missing:
-            split = {w: self.pretoken.findall(w.lower()) for w in missing if self.plain.fullmatch(w)}
-            self._fill(list(dict.fromkeys(p for ps in split.values() for p in ps if p not in self.parts)))
-            rest = [w for w in missing if w not in split]
-            for i in range(0, len(rest), 4096):
-                some = rest[i : i + 4096]
-                for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            for w, ps in split.items():
-                known[w] = b"".join([self.parts[p] for p in ps])
-        return [known[w] for w in words]
-
-    def _fill(self, parts: list[str]) -> None:
-        for i in range(0, len(parts), 8192):
-            some = parts[i : i + 8192]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) == len(some):  # each pre-token ends with one word-end id
-                raw, at = ids.tobytes(), 0
-                for p, to in zip(some, stop.tolist()):
-                    self.parts[p] = raw[4 * at : 4 * to]
-                    at = to
-            else:
-                for p in some:
-                    self.parts[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids_of(self, words: list[str], encode) -> list[bytes]:
+        """Each word's ids as bytes.  Of two generations of known words, the older goes."""
+        if len(self.known) > self.cached:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    missing.append(w)
+        for i in range(0, len(missing), 8192):
+            encode(missing[i : i + 8192])
+        found = [known[w] for w in words]
+        for w in missing:
+            if len(w) > LONG:
+                del known[w]
+        return found
+
+    def _joined(self, words: list[str]) -> None:
+        """Pre-tokens encode alike alone and with others; each ends with a word-end id."""
+        words = [w for w in words if w]
+        self.known[""] = b""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(words):
+            return self._alone(words)
+        raw, at = ids.tobytes(), 0
+        for w, to in zip(words, (4 * stop).tolist()):
+            self.known[w] = raw[at:to]
+            at = to
+
+    def _alone(self, words: list[str]) -> None:
+        for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def with_end(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
