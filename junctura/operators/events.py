@@ -115,14 +115,14 @@ def deduplicated(events: DataFrame, keys: list[str], inner: list[str], span: tup
     return events.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
 
 
-def numbered(events: DataFrame, order: list[str]) -> DataFrame:
-    """Ids from 1 in ``order``, without a window over all rows in one task: ranks
-    within range partitions plus the counts of the partitions before."""
-    sorted_events = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    within = sorted_events.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    counts = within.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = counts.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return within.join(F.broadcast(before.select("__p", "__b")), "__p").withColumn("event_id", (F.col("__r") + F.col("__b")).cast("long")).drop("__p", "__r", "__b")
+def numbered(events: DataFrame, order: list[str], lead: int) -> DataFrame:
+    """Ids from 1 in ``order``: ranks within groups of the first ``lead`` columns, plus
+    the counts of the groups before.  Only the counts (a row a gene or contig) meet in one task."""
+    groups = order[:lead]
+    counts = events.groupBy(*groups).agg(F.count("*").alias("__c"))
+    before = F.coalesce(F.sum("__c").over(Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = events.withColumn("__r", F.row_number().over(Window.partitionBy(*groups).orderBy(*order[lead:])))
+    return ranked.join(counts.select(*groups, before.alias("__b")), groups).withColumn("event_id", (F.col("__r") + F.col("__b")).cast("long")).drop("__r", "__b")
 
 
 def annotated(events: DataFrame, introns: DataFrame, iso1: list[tuple[str, str]], iso2: list[tuple[str, str]]) -> DataFrame:

@@ -177,11 +177,11 @@ class Build:
                 low, high = ("e1s", "e2e") if kind == "alt_right" else ("e1s", "e3e")
             one = events.deduplicated(df.join(place, "gene_id"), ["contig", "strand"], inner[kind], (low, high), [low, high, "gene_id"])
             noted = events.annotated(one, known, *flags[kind])
-            out[kind] = self.stage(f"events/{kind}", lambda noted=noted, kind=kind: events.numbered(noted, ["contig", "strand", *inner[kind], "gene_id"]))
+            out[kind] = self.stage(f"events/{kind}", lambda noted=noted, kind=kind: events.numbered(noted, ["contig", "strand", *inner[kind], "gene_id"], 2))
         if "mult_exon_skip" in self.cfg.event_types:
             named = events.mult_exon_skip(few, self.cfg.edge_limit)
             named = named.select("gene_id", *[F.col(c).cast("int").alias(c) for c in ("us", "ue", "vs", "ve")], "inner").join(place, "gene_id")
-            out["mult_exon_skip"] = self.stage("events/mult_exon_skip", lambda: events.numbered(named, ["contig", "strand", "gene_id", "ue", "vs", "us", "ve"]))
+            out["mult_exon_skip"] = self.stage("events/mult_exon_skip", lambda: events.numbered(named, ["contig", "strand", "gene_id", "ue", "vs", "us", "ve"], 2))
         return out
 
     def analyze(self, found: dict[str, DataFrame], counts: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:

@@ -138,7 +138,7 @@ def exon_skip_dedup(spark, sf_dir):
 
 @query(f"{DEDUP} SELECT gene_id, e1s, e1e, e2s, e2e, e3s, e3e, row_number() OVER (ORDER BY gene_id, e1e, e2s, e2e, e3s) AS event_id FROM one")
 def event_ids(spark, sf_dir):
-    return events.numbered(_skip_events(spark, sf_dir), ["gene_id", "e1e", "e2s", "e2e", "e3s"])
+    return events.numbered(_skip_events(spark, sf_dir), ["gene_id", "e1e", "e2s", "e2e", "e3s"], 1)
 
 
 @query(f"""{DEDUP}, known AS (SELECT DISTINCT gene_id, ue AS s, vs AS e FROM pair WHERE transcript_id % 2 = 1)
