@@ -37,6 +37,7 @@ BANDS, WIDTH, VALUES, STEP = 20, 3, 64, 8
 TOLERANCE = 1e-8
 TILE = 512
 PAIRS_AT_ONCE = 1 << 17
+MAX_IDS = 2_000_000  # document ids that may be broadcast: 16 MB
 _rng = np.random.default_rng(20240229)
 MULT = _rng.integers(1 << 62, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
 MASK = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -354,8 +355,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLE
     by = ["key", "t1", "t2"]
     dealt = lambda df: df.repartition(*by).sortWithinPartitions(*by)
     need = storage.table(candidates(dealt(tiled), threshold, tolerance), "candidates")
-    chosen = nodes.join(need.select("node").distinct(), "node", "left_semi").select(F.col("doc").alias("__doc"))
-    wanted = docs.select("doc_id", "text").join(chosen.distinct(), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
+    chosen = nodes.join(need.select("node").distinct(), "node", "left_semi").select(F.col("doc").alias("__doc")).distinct()
+    few = storage.checked_broadcast(storage.table(chosen, "chosen"), MAX_IDS)  # else texts are shuffled to meet them
+    wanted = docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
     grams = gram_rows(wanted).groupBy("node").agg(F.first("grams").alias("grams"))
     full = need.join(grams, "node").join(narrow, "node").select(*by, "band", "side", "node", "sig", "grams")
     exact = storage.table(verified(dealt(full), threshold, tolerance), "verified")
@@ -385,9 +387,11 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Rows without an id cannot be told apart by it: they all stay."""
     found = storage.table(ngram_join(docs, threshold), "classes")
-    keep = found.where("class_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    out = docs.where("doc_id IS NOT NULL").join(keep.select("doc_id"), "doc_id", "left_semi")
-    if not keep.where("n > 1").isEmpty():
+    first = F.count(F.when(F.col("class_id") == F.col("doc_id"), 1))
+    ids = storage.table(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(first.alias("n")).where("n <> 1"), "not-once")
+    gone = storage.checked_broadcast(ids.where("n = 0").select("doc_id"), MAX_IDS)  # else texts are shuffled to meet them
+    out = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    if not ids.where("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id IS NULL")
     return out if nameless.isEmpty() else out.unionByName(nameless)

@@ -65,11 +65,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` marked for broadcast, but only after a count shows ``max_rows`` narrow rows at most."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, max_rows: int = 20_000) -> DataFrame:
-    """Broadcast ``right`` only after a count shows that it has ``max_rows`` rows at most."""
-    if right.limit(max_rows + 1).count() <= max_rows:
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+    return left.join(checked_broadcast(right, max_rows), on, how)
 
 
 # --- on the executors ---------------------------------------------------------
