@@ -5,6 +5,9 @@ union-free regular expression over tags and text.  A mismatch of text makes a
 slot, an element that only one side has becomes optional, a run of equal elements
 becomes a repeated group.  What stays fixed is the host's template; the wrapper's
 element that holds the slots with the most text is the main region.
+
+Elements whose tag, role or ``hidden`` says so are never main text.  Those that only
+a word of their id or class names so go unless they hold the main region.
 """
 
 from __future__ import annotations
@@ -12,8 +15,10 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -40,7 +45,8 @@ MAIN_WORDS = frozenset("article content main post entry story text body".split()
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
-WORD = re.compile(r"[a-z0-9]+")
+WORD = re.compile(r"[a-z0-9#]+")
+COPIES = 3  # different pages with a long text, or one in a marked region, until it is the template's: fewer may be copies
 MAX_REGIONS = 20_000
 SALTS = 256
 
@@ -58,8 +64,7 @@ def _open(tag: str, raw: str, parent: Element) -> Element:
     if raw and "=" in raw or "hidden" in raw:
         found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
         key = " ".join(f"{found.get('id', '')} {found.get('class', '')}".lower().split())
-        words = set(WORD.findall(key))
-        dropped = dropped or bool(words & DROPPED_WORDS) or found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found
+        dropped = dropped or found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found
         if found.get("role", "").lower() == "main":
             key = f"main {key}".strip()
         key = re.sub(r"\d+", "#", key)
@@ -108,28 +113,47 @@ def parse(page: str) -> Element:
             here = new
 
 
-# --- wrappers: [tag, key, least, most, chars, fixed text or None, kids] ---------
-TAG, KEY, LEAST, MOST, CHARS, TEXT, KIDS = range(7)
+@lru_cache(1 << 16)
+def named(key: str) -> int:
+    """Whether id and class say that this is no main text: 0 no, 1 as a part of a compound name, 2 with a whole name."""
+    return 2 if DROPPED_WORDS.intersection(key.split()) else int(not DROPPED_WORDS.isdisjoint(WORD.findall(key)))
+
+
+def step(path: int, tag: str, key: str) -> int:
+    return zlib.crc32(f"{tag} {key}".encode(), path)
+
+
+def place(path: int, text: str) -> int:
+    """A number for a text at a path."""
+    return path << 32 | zlib.crc32(text.encode())
+
+
+def short(text: str) -> str:
+    return text if len(text) < 200 else hash_text(text)
+
+
+# --- wrappers: [tag, key, least, most, chars, fixed text or None, kids, pages with the fixed text] ---------
+TAG, KEY, LEAST, MOST, CHARS, TEXT, KIDS, SEEN = range(8)
 TEXT_TAG = "#"
 
 
-def wrapper_of(x: Element) -> list:
+def wrapper_of(x: Element, page: int = 0) -> list:
     """A page's own wrapper: its elements, runs of equal ones folded into repeated groups."""
     kids: list[list] = []
     for k in x.kids:
         if isinstance(k, str):
             text = " ".join(k.split())
             if text:
-                kids.append([TEXT_TAG, "", 1, 1, len(text), text if len(text) < 200 else hash_text(text), []])
-        elif k.tag not in RAW and k.tag not in VOID:
-            kids.append(wrapper_of(k))
-    return [x.tag, x.key, 1, 1, 0, None, fold(kids)]
+                kids.append([TEXT_TAG, "", 1, 1, len(text), short(text), [], [page]])
+        elif not k.dropped and k.tag not in VOID:
+            kids.append(wrapper_of(k, page))
+    return [x.tag, x.key, 1, 1, 0, None, fold(kids), []]
 
 
 def hash_text(text: str) -> str:
     import hashlib
 
-    return hashlib.md5(text.encode()).hexdigest()
+    return "\n" + hashlib.md5(text.encode()).hexdigest()
 
 
 def same(a: list, b: list) -> bool:
@@ -153,7 +177,7 @@ def align(a: list, b: list) -> list:
     """The wrapper that covers both: text that differs is a slot, what one side lacks is optional."""
     if a[TAG] == TEXT_TAG:
         fixed = a[TEXT] if a[TEXT] == b[TEXT] else None
-        return [TEXT_TAG, "", min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST]), a[CHARS] + b[CHARS], fixed, []]
+        return [TEXT_TAG, "", min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST]), a[CHARS] + b[CHARS], fixed, [], sorted({*a[SEEN], *b[SEEN]})[:COPIES] if fixed is not None else []]
     x, y = a[KIDS], b[KIDS]
     # longest common subsequence of element kinds
     n, m = len(x), len(y)
@@ -172,7 +196,7 @@ def align(a: list, b: list) -> list:
         else:
             kids.append([*y[j][:LEAST], 0, *y[j][MOST:]])
             j += 1
-    return [a[TAG], a[KEY], min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST]), 0, None, refold(kids)]
+    return [a[TAG], a[KEY], min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST]), 0, None, refold(kids), []]
 
 
 def refold(kids: list[list]) -> list[list]:
@@ -198,30 +222,92 @@ def expression(w: list) -> str:
     return f"({body}){mark}" if mark else body
 
 
-def slot_chars(w: list) -> int:
-    return (w[CHARS] if w[TEXT] is None else 0) if w[TAG] == TEXT_TAG else sum(map(slot_chars, w[KIDS]))
+def marked(tag: str, key: str) -> bool:
+    return (tag in ("article", "main") or "main" in key.split()) and named(key) < 2
+
+
+def cued(tag: str, key: str) -> bool:
+    return marked(tag, key) or tag in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(WORD.findall(key)) and named(key) < 2
+
 
+Kind = tuple[str, str]
+Plan = tuple[Kind | None, frozenset[Kind], frozenset[int]]
 
-def region(w: list) -> tuple[str, str] | None:
-    """(tag, key) of the main region: of article, main and content-like elements the one with the most slot text."""
-    best: dict[tuple[int, str, str], int] = defaultdict(int)
 
-    def visit(x: list, inside: bool) -> None:
-        if x[TAG] == TEXT_TAG or x[TAG] in DROPPED or set(WORD.findall(x[KEY])) & DROPPED_WORDS and x[TAG] not in ("html", "body"):
-            return
-        words = set(WORD.findall(x[KEY]))
-        rank = 3 if x[TAG] == "article" else 2 if x[TAG] == "main" or "main" in words else 1 if words & MAIN_WORDS and x[TAG] in ("div", "section", "td") else 0
-        if rank and not inside:
-            best[rank, x[TAG], x[KEY]] += 1 + slot_chars(x)
+def plan(w: list, known: frozenset[int] = frozenset()) -> Plan:
+    """The main region (tag, key), the kinds that stay although id or class name them otherwise, the places of fixed text.
+
+    Slot text decides what stays, of articles, main and content-like elements the region."""
+    fixed: set[int] = set()
+    flat: list[tuple[Kind, int, int, bool, int]] = []  # kind, number after the last one inside, depth, at most once, slot text of its own
+
+    def visit(x: list, path: int, depth: int, once: bool, inside: bool) -> None:
+        kind, at = (x[TAG], x[KEY]), len(flat)
+        path, once = step(path, *kind), once and x[MOST] <= 1
+        inside = inside or once and marked(*kind)
+        flat.append((kind, 0, depth, once, 0))
+        own = 0
         for k in x[KIDS]:
-            visit(k, inside or rank == 3)
+            if k[TAG] != TEXT_TAG:
+                visit(k, path, depth + 1, once, inside)
+                continue
+            spot = place(path, k[TEXT]) if k[TEXT] is not None else None
+            if spot is not None and (spot in known or len(k[SEEN]) >= (COPIES if inside or k[TEXT].startswith("\n") else 2)):
+                fixed.add(spot)
+            else:
+                own += k[CHARS]
+        flat[at] = (kind, len(flat), depth, once, own)
+
+    visit(w, 0, 0, True, False)
+
+    def sums(lost: set[Kind]) -> tuple[list[int], dict[Kind, int]]:
+        """Slot text of each element and of each kind (the outermost ones), without what is inside of lost kinds."""
+        up, at = [0] * (len(flat) + 1), 0
+        while at < len(flat):
+            gone = flat[at][0] in lost
+            for i in range(at, flat[at][1] if gone else at + 1):
+                up[i + 1] = up[i] + (0 if gone else flat[i][4])
+            at = flat[at][1] if gone else at + 1
+        each = [up[end] - up[i] for i, (_, end, *_) in enumerate(flat)]
+        by: dict[Kind, int] = defaultdict(int)
+        until: dict[Kind, int] = {}
+        for i, (kind, end, *_) in enumerate(flat):
+            if i >= until.get(kind, 0):
+                by[kind] += each[i]
+                until[kind] = end
+        return each, by
+
+    each, by = sums(set())
+    often = {kind for kind, _, _, once, _ in flat if not once}
+    mains = {kind for kind, *_ in flat if marked(*kind)} - often
+    main = max(mains, key=lambda k: (by[k], k), default=None)
+
+    def part(outer: Kind, inner: Kind, each: list[int]) -> int:
+        """Slot text of the inner kind that lies in elements of the outer one."""
+        n, i = 0, 0
+        stop = 0
+        while i < len(flat):
+            if flat[i][0] == outer:
+                stop = max(stop, flat[i][1])
+            if flat[i][0] == inner and i < stop:
+                n, i = n + each[i], flat[i][1]
+            else:
+                i += 1
+        return n
+
+    suspects = {kind for kind, *_ in flat if named(kind[1]) and kind[0] not in ("", "html", "body")}
+    holds = {k for k in suspects if main and by[main] and 2 * part(k, main, each) > by[main]}
+    kept = holds | {k for k in suspects if 2 * by[k] > each[0] and (main is None or named(k[1]) == 1)}
+    lost = suspects - kept
+    each, by = sums(lost)
+    rank = lambda k: 3 if k[0] == "article" else 2 if k[0] == "main" or "main" in WORD.findall(k[1]) else 1 if cued(*k) else 0
+    found = max((k for k in by if k not in lost and rank(k)), key=lambda k: (rank(k), by[k], k), default=None)
+    return found, frozenset(kept), frozenset()
+
 
-    visit(w, False)
-    if not best:
-        return None
-    top = max(r for r, _, _ in best)
-    found = max(((n, t, k) for (r, t, k), n in best.items() if r == top))
-    return found[1], found[2]
+def region(w: list) -> Kind | None:
+    """(tag, key) of the main region: the element that holds the slots with the most text."""
+    return plan(w)[0]
 
 
 def host_of(url: str | None) -> str:
@@ -231,21 +317,34 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def blocks(root: Element, wanted: tuple[str, str] | None) -> list[str]:
+def blocks(root: Element, wanted: Kind | None, kept: frozenset[Kind] = frozenset(), fixed: frozenset[int] = frozenset()) -> list[str]:
     """The text blocks of the page's main region, in page order.
 
-    The region is the page's elements of the host's kind; without one, its
-    articles, else its main element, else its body."""
+    The region is the page's elements of the host's kind.  A page without one, or
+    without text in it, has the region of a wrapper of its own."""
+    found = _blocks(root, wanted, kept, fixed) if wanted else []
+    return found or _blocks(root, *plan(wrapper_of(root), fixed))
+
+
+def _blocks(root: Element, wanted: Kind | None, kept: frozenset[Kind], fixed: frozenset[int]) -> list[str]:
+    def gone(x: Element) -> bool:
+        return x.dropped or named(x.key) > 0 and x.tag not in ("html", "body") and (x.tag, x.key) not in kept
 
     def live(x: Element) -> Iterator[Element]:
         for k in x.kids:
-            if not isinstance(k, str) and not k.dropped:
+            if not isinstance(k, str) and not gone(k):
                 yield k
                 yield from live(k)
 
+    def path(x: Element) -> int:
+        return step(path(x.parent) if x.parent is not None else 0, x.tag, x.key)
+
     everything = list(live(root))
-    tests = [lambda x: wanted is not None and (x.tag, x.key) == wanted, lambda x: x.tag == "article", lambda x: x.tag == "main" or "main" in x.key.split(), lambda x: x.tag == "body"]
-    chosen = next((c for t in tests if (c := [x for x in everything if t(x)])), [root])
+    if wanted is not None:
+        chosen = [x for x in everything if (x.tag, x.key) == wanted or wanted[0] == x.tag == "body"]
+    else:
+        tests = [lambda x: x.tag == "article", lambda x: x.tag == "main" or "main" in x.key.split(), lambda x: x.tag == "body"]
+        chosen = next((c for t in tests if (c := [x for x in everything if t(x)])), [root])
     inner = set(map(id, chosen))
     out: list[str] = []
     run: list[str] = []
@@ -256,23 +355,23 @@ def blocks(root: Element, wanted: tuple[str, str] | None) -> list[str]:
         if text:
             out.append(text)
 
-    def text_of(x: Element) -> None:
+    def text_of(x: Element, here: int) -> None:
         for k in x.kids:
             if isinstance(k, str):
-                run.append(k)
-            elif k.dropped:
+                run.append(" " if fixed and place(here, short(" ".join(k.split()))) in fixed else k)
+            elif gone(k):
                 if k.tag in BLOCK:
                     close()
                 else:
                     run.append(" ")
             elif k.tag in BLOCK:
                 close()
-                text_of(k)
+                text_of(k, step(here, k.tag, k.key))
                 close()
             elif k.tag == "br":
                 run.append(" ")
             else:
-                text_of(k)
+                text_of(k, step(here, k.tag, k.key))
 
     def outermost(x: Element) -> bool:
         x = x.parent
@@ -284,7 +383,7 @@ def blocks(root: Element, wanted: tuple[str, str] | None) -> list[str]:
 
     for x in chosen:
         if outermost(x):
-            text_of(x)
+            text_of(x, path(x))
             close()
     return out
 
@@ -310,7 +409,7 @@ def infer(pages: DataFrame) -> DataFrame:
         for given in batches:
             for first, rows in slices(given.column("html"), 8 << 20):
                 for url, page in zip(given.column("url").slice(first, len(rows)).to_pylist(), rows.to_pylist()):
-                    host, own = host_of(url), wrapper_of(parse(page or ""))
+                    host, own = host_of(url), wrapper_of(parse(page or ""), zlib.crc32((page or "").encode()))
                     held[host] = align(held[host], own) if host in held else own
             if len(held) > 2000:
                 yield batch()
@@ -329,14 +428,20 @@ def infer(pages: DataFrame) -> DataFrame:
 
 
 def regions(wrappers: DataFrame) -> DataFrame:
-    """host and the tag and key of its main region (null: none)."""
+    """host and its plan (JSON): main region, kept kinds, places of fixed text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [region(json.loads(w)) for w in batch["wrapper"]]
-            yield pd.DataFrame({"host": batch["host"], "tag": [f and f[0] for f in found], "key": [f and f[1] for f in found]})
+            found = [plan(json.loads(w)) for w in batch["wrapper"]]
+            yield pd.DataFrame({"host": batch["host"], "plan": [json.dumps([r, sorted(kept), sorted(fixed)], ensure_ascii=False) for r, kept, fixed in found]})
+
+    return wrappers.mapInPandas(run, "host string, plan string")
+
 
-    return wrappers.mapInPandas(run, "host string, tag string, key string")
+@lru_cache(1024)
+def plan_of(text: str | None) -> Plan:
+    r, kept, fixed = json.loads(text or "[null, [], []]")
+    return r and tuple(r), frozenset(map(tuple, kept)), frozenset(fixed)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -344,7 +449,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty page has the empty text; a null or odd url counts as the empty
     host.  White space within a block is one space, blocks are joined by \\n."""
-    found = storage.table(regions(infer(pages)), "wrappers").withColumnsRenamed({"host": "__host", "tag": "__tag", "key": "__key"})
+    found = storage.table(regions(infer(pages)), "wrappers").withColumnsRenamed({"host": "__host", "plan": "__plan"})
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\[\]]+)", 1)), F.lit(""))
     pages = pages.select("page_id", "url", "html").withColumn("__host", host)
     joined = storage.join_small(pages, found, ["__host"], "left", MAX_REGIONS)
@@ -354,8 +459,8 @@ def extract(pages: DataFrame) -> DataFrame:
             for first, rows in slices(batch.column("html"), 8 << 20):
                 part = batch.slice(first, len(rows))
                 texts = []
-                for page, tag, key in zip(rows.to_pylist(), part.column("__tag").to_pylist(), part.column("__key").to_pylist()):
-                    texts.append("\n".join(blocks(parse(page or ""), None if tag is None else (tag, key))))
+                for page, text in zip(rows.to_pylist(), part.column("__plan").to_pylist()):
+                    texts.append("\n".join(blocks(parse(page or ""), *plan_of(text))))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "__tag", "__key").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "__plan").mapInArrow(run, "page_id long, url string, text string, n_chars long")
