@@ -46,6 +46,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 WORD = re.compile(r"[a-z0-9#]+")
+CONTAINER = frozenset("article main section div td table center".split())
+NEED, NEED_MARKED = 0.8, 0.5  # share of the slot text that a region has; with a tag or a word for main text
 COPIES = 3  # different pages with a long text, or one in a marked region, until it is the template's: fewer may be copies
 MAX_REGIONS = 20_000
 SALTS = 256
@@ -237,7 +239,9 @@ Plan = tuple[Kind | None, frozenset[Kind], frozenset[int]]
 def plan(w: list, known: frozenset[int] = frozenset()) -> Plan:
     """The main region (tag, key), the kinds that stay although id or class name them otherwise, the places of fixed text.
 
-    Slot text decides what stays, of articles, main and content-like elements the region."""
+    Slot text decides.  A region stands at most once in a page; it is the innermost
+    element with ``NEED`` of the slot text, before that the one with most of it whose tag
+    or name is one of main text, if it has ``NEED_MARKED``."""
     fixed: set[int] = set()
     flat: list[tuple[Kind, int, int, bool, int]] = []  # kind, number after the last one inside, depth, at most once, slot text of its own
 
@@ -300,9 +304,20 @@ def plan(w: list, known: frozenset[int] = frozenset()) -> Plan:
     kept = holds | {k for k in suspects if 2 * by[k] > each[0] and (main is None or named(k[1]) == 1)}
     lost = suspects - kept
     each, by = sums(lost)
-    rank = lambda k: 3 if k[0] == "article" else 2 if k[0] == "main" or "main" in WORD.findall(k[1]) else 1 if cued(*k) else 0
-    found = max((k for k in by if k not in lost and rank(k)), key=lambda k: (rank(k), by[k], k), default=None)
-    return found, frozenset(kept), frozenset()
+    barred, stop = set(often), 0
+    for kind, end, *_ in flat:  # what stays for its share of the text alone, against its whole name, is no region
+        if kind in lost or kind in suspects - holds and named(kind[1]) == 2:
+            stop = max(stop, end)
+        if stop and end <= stop:
+            barred.add(kind)
+    depth = {kind: d for kind, _, d, *_ in flat}
+    free = [k for k in by if k not in barred and by[k] and (k[0] in CONTAINER or "-" in k[0])]
+    found = max((k for k in free if cued(*k) and by[k] >= NEED_MARKED * each[0]), key=lambda k: (by[k], depth[k], k), default=None)
+    inner = [k for k in free if (by[k] >= NEED * each[0] if found is None else cued(*k) and part(found, k, each) >= NEED * by[found])]
+    found = min(inner, key=lambda k: (not marked(*k), by[k], -depth[k], k), default=found)
+    if found is None and any(kind[0] == "body" and 2 * each[i] > each[0] for i, (kind, *_) in enumerate(flat)):
+        found = ("body", "")
+    return found, frozenset(kept), frozenset(fixed | known)
 
 
 def region(w: list) -> Kind | None:
@@ -318,7 +333,7 @@ def host_of(url: str | None) -> str:
 
 
 def blocks(root: Element, wanted: Kind | None, kept: frozenset[Kind] = frozenset(), fixed: frozenset[int] = frozenset()) -> list[str]:
-    """The text blocks of the page's main region, in page order.
+    """The text blocks of the page's main region, in page order, without the host's fixed text.
 
     The region is the page's elements of the host's kind.  A page without one, or
     without text in it, has the region of a wrapper of its own."""

@@ -39,3 +39,23 @@ def test_rare_name_does_not_drop_the_story(spark):
     # one page of the host has a container of its own
     html, want = pages(lambda story, i: f"<div class='{'page-with-sidebar' if i == 3 else 'entry'}'>{story}</div>")
     assert texts(spark, html) == want
+
+
+def test_cards_are_not_the_story(spark):
+    card = lambda i: f"<article class='card'>Next {i}</article>"
+    html, want = pages(lambda story, i: f"<main>{story}</main><section>{card(i)}{card(i + 1)}</section>")
+    assert texts(spark, html) == want
+    html, want = pages(lambda story, i: f"<main>{story}{card(i)}{card(i + 1)}</main>")
+    assert texts(spark, html) == [f"{w}\nNext {i}\nNext {i + 1}" for i, w in enumerate(want)]
+
+
+@pytest.mark.parametrize("n", [2, 6])
+def test_no_tag_and_no_name(spark, n):
+    html, want = pages(lambda story, i: f"<div class='m1'><a>Home</a> <a>All about us</a></div><div class='c1'>{story}<div class='m3'>Read more</div></div><div class='m2'>Made by hand</div>", n)
+    assert texts(spark, html) == want
+
+
+def test_copies_are_not_the_template(spark):
+    # two addresses of one story differ in their date only
+    page = "<html><body><div class='date'>{}</div><article><h1>Head</h1><p>A story.</p></article></body></html>"
+    assert texts(spark, [page.format("1 May 2020"), page.format("3 June 2021")]) == ["Head\nA story."] * 2
