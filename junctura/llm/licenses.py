@@ -1,6 +1,8 @@
 """License statements: an exact set-similarity join of text blocks with templates.
 
-A block is a line.  The tokens of the templates are ordered by the number of
+A block is a line, or, for statements that are wrapped, a window of words over
+several lines that is as long as the template (and ``1 / threshold`` times that at
+most, so that not only scattered words make a statement).  The tokens of the templates are ordered by the number of
 blocks that have them, the rarest first.  A block that holds ``threshold`` of a
 template's tokens must share one of the first tokens of that order (prefix
 filter), must be long enough (length filter), and the tokens that are left after
@@ -76,8 +78,9 @@ def token_counts(docs: DataFrame, given: list[Template]) -> dict[bytes, int]:
 class Join:
     """The templates' prefix index under a global token order."""
 
-    def __init__(self, given: list[Template], counts: dict[bytes, int], threshold: float = THRESHOLD):
+    def __init__(self, given: list[Template], counts: dict[bytes, int], threshold: float = THRESHOLD, lengths: list[int] | None = None):
         self.given = given
+        self.span = [int(n / threshold + 1e-9) for n in lengths or (len(t) for _, t in given)]  # words of a window
         self.rank = {t: i for i, t in enumerate(sorted(counts, key=lambda t: (counts[t], t)))}
         self.need = [math.ceil(threshold * len(t) - 1e-9) for _, t in given]
         self.order = [sorted(t, key=self.rank.__getitem__) for _, t in given]
@@ -104,12 +107,47 @@ class Join:
                     yield k, common / len(order)
 
 
+    def windows(self, lines: list[list[bytes]], vocabulary: set[bytes], met: dict[int, set[int]]) -> Iterator[tuple[int, float, int, int]]:
+        """(template, containment, first and last word) of every window over lines that none of ``met`` meets already."""
+        near = {k for t in self.prefix & vocabulary for k in self.index[t] if len(vocabulary & self.given[k][1]) >= self.need[k]}
+        if not near or len(lines) < 2:
+            return
+        spots: dict[bytes, list[tuple[int, int]]] = {t: [] for k in near for t in self.given[k][1]}
+        at = 0
+        for i, words in enumerate(lines):
+            for w in words:
+                if w in spots:
+                    spots[w].append((at, i))
+                at += 1
+        for k in near:
+            tokens, need, span, full = self.given[k][1], self.need[k], self.span[k], met.get(k, ())
+            held: Counter = Counter()
+            found = sorted((*x, t) for t in tokens for x in spots[t])
+            left = 0
+            for i, (last, line, token) in enumerate(found):
+                if line in full:  # windows begin after it
+                    left = i + 1
+                    held.clear()
+                    continue
+                held[token] += 1
+                while last - found[left][0] >= span or held[found[left][2]] > 1:
+                    first = found[left][2]
+                    held[first] -= 1
+                    if not held[first]:
+                        del held[first]
+                    left += 1
+                if len(held) >= need and found[left][1] < line:
+                    yield k, len(held) / len(tokens), found[left][0], last
+
+
 def scan(docs: DataFrame, given: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Base phrases, labels and score of every row of ``docs`` (doc_id, text); a null text is empty.
 
     ``score`` is the best containment of a template, 1 where a base phrase stands; 0
-    without either.  ``n_blocks`` counts the blocks that meet a template."""
+    without either.  ``n_blocks`` counts the blocks that meet a template: lines, and
+windows over lines that do not meet it themselves; windows that overlap are one."""
     sets = templates(given)
+    lengths = [len(WORD.findall(text.encode())) for _, text in given]
     counts = token_counts(docs, sets)
     phrases = [(p.encode().split(), label) for p, label in PHRASES.items()]
 
@@ -133,19 +171,28 @@ def scan(docs: DataFrame, given: list[tuple[str, str]] = TEMPLATES, threshold: f
         if base:
             score = 1.0
         if not join.prefix.isdisjoint(vocabulary):
-            for line in raw.split(b"\n"):
-                found = list(join.matches(frozenset(WORD.findall(line))))
+            lines = [WORD.findall(line) for line in raw.split(b"\n")]
+            met: dict[int, set[int]] = {}
+            for i, line in enumerate(lines):
+                found = list(join.matches(frozenset(line)))
                 blocks += bool(found)
                 for k, part in found:
                     labels.add(join.given[k][0])
                     score = max(score, part)
+                    met.setdefault(k, set()).add(i)
+            end = -1
+            for k, part, first, last in sorted(join.windows(lines, vocabulary, met), key=lambda x: x[2:]):
+                labels.add(join.given[k][0])
+                score = max(score, part)
+                blocks += first > end
+                end = max(end, last)
         return len(words), len(base), min(base, default=None), max(base, default=None), base_labels, ",".join(sorted(labels)), score, blocks
 
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_blocks"]
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = Join(sets, counts, threshold)
+        join = Join(sets, counts, threshold, lengths)
         for batch in batches:
             for first, rows in slices(batch.column("text"), 8 << 20):
                 cols = zip(*(one(t, join) for t in rows.to_pylist()))
