@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from junctura.llm import storage
 from junctura.llm.word_encoding import slices
@@ -345,7 +346,7 @@ def _tiles(rows: DataFrame, tile: int) -> DataFrame:
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, node; nodes: node, class_id, n_links, n_copies)."""
+    """(rows: doc_id, node; nodes: node, class_id, n_links, n_copies, label of the component)."""
     rows = storage.table(signed(docs), "signatures")
     some = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
     nodes = storage.table(some, "nodes")
@@ -366,7 +367,7 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLE
     named = nodes.select("node", "doc", "n_copies").join(label, "node", "left").join(degree, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("doc").alias("class_id"))
-    return rows.select("doc_id", "node"), named.join(lowest, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
+    return rows.select("doc_id", "node"), named.join(lowest, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies", "label")
 
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -382,16 +383,36 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.join(nodes, "node", "left").select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
 
 
+def with_node(docs: DataFrame) -> DataFrame:
+    """``docs`` with the column __node, null for a text without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, rows in slices(batch.column("text"), 4 << 20):
+                node = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in ngram_sets(rows)]
+                part = batch.slice(first, len(rows))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, pa.binary())], [*part.schema.names, "__node"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.BinaryType())]))
+
+
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are the first of their class; of rows that share that id, one.
+    """The rows of ``docs`` that are the first of their class, one row a class.
 
-    Rows without an id cannot be told apart by it: they all stay."""
-    found = storage.table(ngram_join(docs, threshold), "classes")
-    first = F.count(F.when(F.col("class_id") == F.col("doc_id"), 1))
-    ids = storage.table(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(first.alias("n")).where("n <> 1"), "not-once")
-    gone = storage.checked_broadcast(ids.where("n = 0").select("doc_id"), MAX_IDS)  # else texts are shuffled to meet them
+    Rows that share an id are told apart by their n-gram sets: unrelated texts stay,
+    of copies and near copies one row.  Rows without an id all stay."""
+    rows, nodes = links(docs, threshold)
+    named = rows.where("doc_id IS NOT NULL").join(nodes.select("node", "class_id", "label"), "node", "left")
+    found = storage.table(named.withColumn("first", F.col("node").isNull() | F.col("class_id").eqNullSafe(F.col("doc_id"))), "classes")
+    count = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("first"), 1)).alias("firsts"))
+    ids = storage.table(count.where("n <> 1 OR firsts <> 1"), "not-once")
+    gone = storage.checked_broadcast(ids.select("doc_id"), MAX_IDS)  # else texts are shuffled to meet them
     out = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
-    if not ids.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    shared = ids.where("firsts > 0").select(F.col("doc_id").alias("__doc"))
+    if not shared.isEmpty():
+        some = docs.join(storage.checked_broadcast(shared, MAX_IDS), F.col("doc_id") == F.col("__doc"), "left_semi")
+        first = found.where("first").join(shared, F.col("doc_id") == F.col("__doc"), "left_semi").groupBy(F.col("doc_id").alias("__doc"), "label").agg(F.min("node").alias("__first")).drop("label")
+        kept = with_node(some).join(first, (F.col("doc_id") == F.col("__doc")) & F.col("__node").eqNullSafe(F.col("__first")), "left_semi")
+        out = out.unionByName(kept.dropDuplicates(["doc_id", "__node"]).drop("__node"))
     nameless = docs.where("doc_id IS NULL")
     return out if nameless.isEmpty() else out.unionByName(nameless)
