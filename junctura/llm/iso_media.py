@@ -151,6 +151,15 @@ def tracks(data: bytes) -> list[Track]:
         elif kind == b"stsz":
             one, n = struct.unpack_from(">II", data, a + 4)
             tables[kind] = np.full(n, one, np.int64) if one else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
+        elif kind == b"stz2":
+            bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+            if bits not in (4, 8, 16) or a + 12 + (n * bits + 7) // 8 > b:
+                raise ValueError("a table of compact sizes is broken")
+            if bits == 4:
+                pairs = np.frombuffer(data, "u1", (n + 1) // 2, a + 12)
+                tables[b"stsz"] = np.stack([pairs >> 4, pairs & 15], 1).ravel()[:n].astype(np.int64)
+            else:
+                tables[b"stsz"] = np.frombuffer(data, f">u{bits // 8}", n, a + 12).astype(np.int64)
     for track, tables in zip(out, raw):
         sizes, chunks = tables.get(b"stsz", np.zeros(0, np.int64)), tables.get(b"stco", np.zeros(0, np.int64))
         stsc = tables.get(b"stsc", np.zeros((0, 3), np.int64))
@@ -197,20 +206,26 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Digests and features of the first track of each container in ``media``.
+    """Digests and features of each container in ``media``; of more than one track joined by ", ", in their order.
 
-    A null or broken container gives nulls and the reason in ``error``."""
+    The payload is that of all tracks, ``seconds`` the longest.  A null or broken
+    container, or one with fragments, gives nulls and the reason in ``error``."""
 
     def one(data: bytes | None) -> tuple:
         if data is None:
             return None, None, None, None, None, None, None, None, "no container"
         sha = hashlib.sha256(data).hexdigest()
         try:
-            track = tracks(data)[0]
-            body = payload(data, track)
-        except (ValueError, IndexError, struct.error) as e:
+            if any(path[-1] == b"moof" for path, _, _ in walk(data)):
+                raise ValueError("movie fragments (moof) are not supported")
+            found = tracks(data)
+            if not found:
+                raise ValueError("no track")
+            body = b"".join(payload(data, t) for t in found)
+            feature, seconds = ", ".join(map(describe, found)), max(t.duration / t.timescale for t in found)
+        except (ValueError, IndexError, ZeroDivisionError, struct.error) as e:
             return None, None, None, len(data), sha, None, None, None, str(e) or type(e).__name__
-        return len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-FRAME:]), len(data), sha, describe(track), track.codec, track.duration / track.timescale, None
+        return len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-FRAME:]), len(data), sha, feature, ", ".join(t.codec for t in found), seconds, None
 
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "seconds", "error"]
