@@ -24,6 +24,7 @@ FRAME = 64
 RATE = 25
 CHUNK = 256  # frames
 KEY_EVERY = 32  # frames
+MAX_PATH = 16  # deeper boxes have their outermost names and their own in the path
 CONTAINERS = frozenset(b"moov trak mdia minf stbl dinf edts udta mvex moof traf".split())
 
 
@@ -75,12 +76,16 @@ def build(payload: bytes) -> bytes:
     return b"".join([ftyp, moov(first), box(b"mdat", payload)])
 
 
-def walk(data: bytes, start: int = 0, stop: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
+def walk(data: bytes) -> Iterator[tuple[tuple, int, int]]:
     """(path, start, stop) of the content of each box, containers before what they hold.
 
-    Raises ValueError at a box that runs over its container."""
-    stop, at = len(data) if stop is None else stop, start
-    while at + 8 <= stop:
+    Boxes may nest as deep as they like.  Raises ValueError at a box that runs over its
+    container."""
+    open_boxes = [((), 0, len(data))]
+    while open_boxes:
+        path, at, stop = open_boxes.pop()
+        if at + 8 > stop:
+            continue
         size, kind, head = struct.unpack_from(">I", data, at)[0], bytes(data[at + 4 : at + 8]), 8
         if size == 1:
             if at + 16 > stop:
@@ -90,10 +95,11 @@ def walk(data: bytes, start: int = 0, stop: int | None = None, path: tuple = ())
             size = stop - at
         if size < head or at + size > stop:
             raise ValueError(f"box {kind!r} at {at} runs over its container")
-        yield (*path, kind), at + head, at + size
+        open_boxes.append((path, at + size, stop))
+        inner = (*path[:MAX_PATH], kind)
+        yield inner, at + head, at + size
         if kind in CONTAINERS:
-            yield from walk(data, at + head, at + size, (*path, kind))
-        at += size
+            open_boxes.append((inner, at + head, at + size))
 
 
 @dataclass
@@ -121,12 +127,28 @@ def _table(data: bytes, at: int, stop: int, columns: int, kind: str = ">u4") ->
     return np.frombuffer(data, kind, n * columns, at + 8).astype(np.int64).reshape(n, columns)
 
 
+class Broken(ValueError):
+    """A container whose tables cannot be read, and why."""
+
+
 def tracks(data: bytes) -> list[Track]:
-    """The tracks of a container, their sample tables decoded."""
+    """The tracks of a container, their sample tables decoded.
+
+    Raises :class:`Broken` where boxes or tables contradict each other or the file's
+    length, and where samples are in movie fragments; memory is bounded by the file."""
+    try:
+        return _tracks(data)
+    except (ValueError, IndexError, OverflowError, struct.error) as e:
+        raise Broken(str(e) or type(e).__name__) from e
+
+
+def _tracks(data: bytes) -> list[Track]:
     out: list[Track] = []
     raw: list[dict] = []
     for path, a, b in walk(data):
         kind = path[-1]
+        if kind == b"moof":
+            raise ValueError("movie fragments (moof) are not supported")
         if path == (b"moov", b"trak"):
             out.append(Track())
             raw.append({})
@@ -150,6 +172,8 @@ def tracks(data: bytes) -> list[Track]:
             tables[kind] = _table(data, a, b, 1)[:, 0]
         elif kind == b"stsz":
             one, n = struct.unpack_from(">II", data, a + 4)
+            if (n * one > len(data)) if one else (a + 12 + 4 * n > b):
+                raise ValueError("a table of sizes tells of more than the file holds")
             tables[kind] = np.full(n, one, np.int64) if one else np.frombuffer(data, ">u4", n, a + 12).astype(np.int64)
         elif kind == b"stz2":
             bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
@@ -163,7 +187,10 @@ def tracks(data: bytes) -> list[Track]:
     for track, tables in zip(out, raw):
         sizes, chunks = tables.get(b"stsz", np.zeros(0, np.int64)), tables.get(b"stco", np.zeros(0, np.int64))
         stsc = tables.get(b"stsc", np.zeros((0, 3), np.int64))
-        per = np.repeat(stsc[:, 1], np.diff([*stsc[:, 0], len(chunks) + 1])) if len(stsc) else np.zeros(0, np.int64)
+        runs = np.diff([*stsc[:, 0].tolist(), len(chunks) + 1])
+        if len(stsc) and (stsc[0, 0] != 1 or (runs < 0).any()):
+            raise ValueError("the runs of chunks are out of order")
+        per = np.repeat(stsc[:, 1], runs) if len(stsc) else np.zeros(0, np.int64)
         if per.sum() != len(sizes):
             raise ValueError("chunks and samples do not agree")
         chunk = np.repeat(np.arange(len(per)), per)
@@ -172,16 +199,24 @@ def tracks(data: bytes) -> list[Track]:
         track.sizes = sizes
         track.offsets = chunks[chunk] + before - before[first[chunk]] if len(sizes) else sizes
         track.keys = tables[b"stss"] - 1 if b"stss" in tables else np.arange(len(sizes))
+        if len(track.keys) and not 0 <= track.keys.min() <= track.keys.max() < len(sizes):
+            raise ValueError("a keyframe is none of the samples")
+        if not track.timescale:
+            raise ValueError("a time scale is zero")
         if b"stts" in tables and not track.duration:
             track.duration = int((tables[b"stts"][:, 0] * tables[b"stts"][:, 1]).sum())
     return out
 
 
 def payload(data: bytes, track: Track) -> bytes:
-    """The samples' bytes, in order; runs of adjacent samples are read as one."""
+    """The samples' bytes, in order; runs of adjacent samples are read as one.
+
+    Raises :class:`Broken` where they are not in the file, or more than the file."""
     if not len(track.sizes):
         return b""
     ends = track.offsets + track.sizes
+    if track.offsets.min() < 0 or ends.max() > len(data) or track.sizes.sum() > len(data):
+        raise Broken("samples lie outside of the file")
     cut = np.flatnonzero(track.offsets[1:] != ends[:-1]) + 1
     return b"".join(data[a:b] for a, b in zip(track.offsets[[0, *cut]].tolist(), ends[[*(cut - 1), -1]].tolist()))
 
@@ -208,52 +243,42 @@ def store(docs: DataFrame) -> DataFrame:
 def features(media: DataFrame) -> DataFrame:
     """Digests and features of each container in ``media``; of more than one track joined by ", ", in their order.
 
-    The payload is that of all tracks, ``seconds`` the longest.  A null or broken
-    container, or one with fragments, gives nulls and the reason in ``error``."""
+    The payload is that of all tracks, ``seconds`` the longest, ``keyframes`` the byte
+    range [start, stop) of every keyframe with its track's number.  A null or broken
+    container, or one with fragments, gives nulls and the reason in ``error``; no bytes
+    stop the job.  Columns beside doc_id, n_bytes and media are not read."""
 
     def one(data: bytes | None) -> tuple:
         if data is None:
-            return None, None, None, None, None, None, None, None, "no container"
+            return None, None, None, None, None, None, None, None, None, "no container"
         sha = hashlib.sha256(data).hexdigest()
         try:
-            if any(path[-1] == b"moof" for path, _, _ in walk(data)):
-                raise ValueError("movie fragments (moof) are not supported")
             found = tracks(data)
             if not found:
-                raise ValueError("no track")
+                raise Broken("no track")
             body = b"".join(payload(data, t) for t in found)
-            feature, seconds = ", ".join(map(describe, found)), max(t.duration / t.timescale for t in found)
-        except (ValueError, IndexError, ZeroDivisionError, struct.error) as e:
-            return None, None, None, len(data), sha, None, None, None, str(e) or type(e).__name__
-        return len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-FRAME:]), len(data), sha, feature, ", ".join(t.codec for t in found), seconds, None
+        except Broken as e:
+            return None, None, None, len(data), sha, None, None, None, None, str(e)
+        feature, seconds = ", ".join(map(describe, found)), max(t.duration / t.timescale for t in found)
+        keys = [{"track": k, "start": a, "stop": b} for k, t in enumerate(found) for a, b in t.key_ranges()]
+        return len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-FRAME:]), len(data), sha, feature, ", ".join(t.codec for t in found), seconds, keys, None
 
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "seconds", "error"]
+    ranges = pa.list_(pa.struct([("track", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), ranges, pa.string()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "seconds", "keyframes", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = list(zip(*(one(x.as_py()) for x in batch.column("media")))) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", *names])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, seconds double, error string")
-
-
-def keyframes(media: DataFrame) -> DataFrame:
-    """doc_id, track, keyframe, start, stop: the byte range of every keyframe."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media")):
-                for t, track in enumerate(tracks(data.as_py() or b"")):
-                    ranges = track.key_ranges()
-                    a, b = zip(*ranges) if ranges else ((), ())
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(a), pa.int64()), pa.array([t] * len(a), pa.int64()), pa.array(range(len(a)), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "track", "keyframe", "start", "stop"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, track long, keyframe long, start long, stop long")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, seconds double, keyframes array<struct<track: int, start: long, stop: long>>, error string")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """Store every text of ``docs`` (doc_id, text) in a media column, and read features back from it.
 
-    Null texts are empty: a payload of one frame.  Each row, repeated or not, has its own container."""
+    Null texts are empty: a payload of one frame.  Each row, repeated or not, has its own
+    container; equal texts have equal bytes.  Long texts are stored whole.  An empty table
+    gives no rows; other columns of ``docs`` are not read, whatever their names."""
     return features(storage.table(store(docs), "media"))

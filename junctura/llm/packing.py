@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,30 +101,33 @@ def cut(docs: DataFrame, tokenizer: str, size: int, open_windows: int) -> DataFr
 
 
 def merge_left(left: DataFrame, size: int, parts: int) -> DataFrame:
-    """Repack the pieces of open windows, those of ``parts`` partitions in one task, largest first."""
+    """Repack the pieces of open windows, those of ``parts`` partitions in one task, largest first.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "sequence_id", "offset"], ascending=[False, True, True, True, True])
-        packer, out, base = Packer(size, None), {}, (1 << 61) | (int(key[0]) << 32)
-        place = [None] * len(rows)
-        for i, length in enumerate(rows["length"].tolist()):
+    A task gets at most ``parts * open_windows * size`` tokens, whatever the input."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "start", "sequence_id", "offset"))])
+        packer, base = Packer(size, None), (1 << 61) | (key[0].as_py() << 32)
+        place = np.zeros((2, len(rows)), np.int64)
+        for i, length in enumerate(rows.column("length").to_pylist()):
             for w, at, k in packer.place(length, i) or ():
-                place[k] = (base | w, at)
+                place[:, k] = base | w, at
         for window in packer.rest():
             for w, at, k in window:
-                place[k] = (base | w, at)
-        rows["sequence_id"], rows["offset"] = ([p[j] for p in place] for j in (0, 1))
-        return rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+                place[:, k] = base | w, at
+        return rows.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).append_column("sequence_id", pa.array(place[0])).append_column("offset", pa.array(place[1]))
 
-    return left.groupBy(F.floor(F.col("part") / parts).cast("long").alias("g")).applyInPandas(run, PIECE)
+    return left.groupBy(F.floor(F.col("part") / parts).cast("long").alias("g")).applyInArrow(run, PIECE)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, open_windows: int = 64, merge: int = 16) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): where it came from and where it lies.
 
-    Null texts are empty: they give the end id alone.  Null and repeated ids are
-    kept as they are, each row packed on its own.  An empty table gives no rows.
-    Each sequence is gapless from offset 0 and holds ``size`` ids at most."""
+    Null texts are empty: they give the end id alone.  Null, repeated and very large
+    ids are kept as they are, each row packed on its own.  Long texts are cut into
+    full windows and one remainder.  An empty table gives no rows; other columns are
+    not read, whatever their names.  Each sequence is gapless from offset 0 and holds
+    ``size`` ids at most."""
     pieces = storage.table(cut(docs, tokenizer, size, open_windows), "packed")
     done = pieces.where("part IS NULL").drop("part")
     return done.unionByName(merge_left(pieces.where("part IS NOT NULL"), size, merge))

@@ -152,3 +152,44 @@ def test_pages(spark):
     texts = {r.page_id: r.text for r in got}
     assert texts[1] == texts[4] == texts[None] == "A & b\nx y\nz" and texts[2] == texts[3] == texts[5] == "" and texts[6] == "plain text"
     assert html_wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+BIG = (1 << 53) + 1
+
+
+def test_large_ids(spark):
+    """Ids above 2**53 beside nulls come back as they are, from every query and stage."""
+    rows = [(BIG + 2 * k, t, "en", None, None) for k, t in enumerate([PROSE, PROSE + " end", f"{LINE}\nmine", None, "mail a@b.co", f"{LINE}\nyours"])]
+    rows += [(None, PROSE, None, "s", 7), (None, None, None, None, None), (BIG, PROSE, "en", None, None), (BIG, "another text", None, None, BIG)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    labels = spark.createDataFrame([(BIG, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    want = sorted(str(r[0]) for r in rows)
+    every = {
+        "op1": wavelet.wavelet_tokens(docs, WORD), "op2": prefix_table.encode_decode(docs, PIECE), "op4": packing.pack(docs, WORD), "op5": licenses.scan(docs),
+        "op6": quality.quality(docs, labels), "op7": iso_media.media_columns(docs), "op8": pii.detect(docs), "op8r": pii.redacted(docs), "op9": ngram_join.ngram_join(docs), "op10": line_dedup.line_dedup(docs), "op10d": line_dedup.deduped(docs),
+    }
+    for name, got in every.items():
+        assert sorted(str(r.doc_id) for r in got.collect()) == want, name
+    assert {r.n_chars for r in pii.redacted(docs.where("text IS NULL")).collect()} == {None}
+    kept = [r.doc_id for r in ngram_join.one_of_each(docs).collect()]
+    assert {x for x in kept if x} <= {r[0] for r in rows}
+    pages = spark.createDataFrame([(BIG, "http://h/a", "<p>x"), (None, None, None)], "page_id long, url string, html string")
+    assert {r.page_id for r in html_wrapper.extract(pages).collect()} == {BIG, None}
+
+
+def test_pieces_against_library(docs):
+    """Where each piece starts, its checksum and its document's tokens, against the library's ids."""
+    tok = Tokenizer.from_file(WORD)
+    want = {}
+    for i, t in pairs(docs):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want.setdefault(i, []).append(ids)
+    for p in packing.pack(docs, WORD, open_windows=3).collect():
+        assert any(len(ids) == p.doc_tokens and zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for ids in want[p.doc_id])
+
+
+def test_pii_context_and_length():
+    assert [s[:3] for s in pii.find("ES9121000418450200051332 EUR")] == [("iban", 0, 24)]
+    assert [s[:3] for s in pii.find("ES91 2100 0418 4502 0005 1332 TO")] == [("iban", 0, 29)]
+    assert [s[0] for s in pii.find("Party of 123-45-6789 social")] == ["ssn"]
+    assert pii.find("hotel ship partly 123-45-6789") == [] and pii.find("DE89370400440532013000x") == []
