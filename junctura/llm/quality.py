@@ -1,14 +1,19 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Features are counts over the whole text.  For each stratum and rule, every cutoff
-of a fixed grid is tested on labelled documents: the hypothesis that it falsely
-rejects more than ``alpha / rules`` of the good ones is tested by the exact
-binomial tail, at level ``delta`` divided by the number of all tests
-(Bonferroni).  Among the cutoffs that pass, the rule takes the one that rejects
-most bad documents net of good ones, the more lenient of equals; where none
-passes, the rule rejects nothing.  So with probability ``1 - delta`` at least, the
-rules together falsely reject at most ``alpha`` of the good documents of every
-stratum.
+Features are counts over the whole text.  The labelled documents of a stratum are
+split in two by a hash of their ids.  The tuning half puts the (rule, cutoff) pairs
+that reject bad documents in an order: those that reject the fewest good ones first.
+The rejection sets of the first 1, 2, 3, ... pairs are nested, and each is tested on
+the other half, the holdout: that it falsely rejects more than ``alpha`` of the good
+documents is refuted where the exact binomial tail is at most ``delta`` divided by
+the number of strata (Bonferroni).  The order does not depend on the holdout and the
+tests stop at the first that fails (fixed-sequence testing), so they need no further
+correction: with probability ``1 - delta`` at least, the rules of every stratum,
+taken together, falsely reject at most ``alpha`` of its good documents.  Of the sets
+that pass, the one is taken that rejects most bad documents net of good ones, the
+smallest of equals; where none passes, only the base rules reject.
+
+The guarantee holds for documents drawn like the labelled ones that pass the base rules.
 """
 
 from __future__ import annotations
@@ -45,14 +50,15 @@ def _let(value: Column, body) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words in three-word windows that the text has twice or more.
 
-    Windows are compared by a 64-bit hash and sorted with their places, so the cost
-    is n log n in the words of one text."""
+    Windows are sorted with their places, by a hash and then by their words, so the
+    cost is n log n in the words of one text and equal hashes do no harm."""
     window = lambda w: F.transform(
         F.sequence(F.lit(1), F.size(w) - 2),
-        lambda i: F.struct(F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)).alias("h"), i.alias("p")),
+        lambda i: F.struct(F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)).alias("h"), F.get(w, i - 1).alias("a"), F.get(w, i).alias("b"), F.get(w, i + 1).alias("c"), i.alias("p")),
     )
+    equal = lambda x, y: (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
     twice = lambda s: F.filter(
-        s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])).__or__((i < F.size(s) - 1) & F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
+        s, lambda x, i: F.coalesce((i > 0) & equal(F.get(s, i - 1), x), F.lit(False)) | F.coalesce(equal(F.get(s, i + 1), x), F.lit(False))
     )
     covered = lambda s: F.aggregate(
         F.sort_array(F.transform(twice(s), lambda x: x["p"])),
@@ -118,29 +124,42 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).when(k == 0, F.exp(first)).otherwise(total)
 
 
-def thresholds(featured: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
-    """One row for each stratum with a labelled document: stratum and a cutoff (or null) for each rule.
+def labelled(featured: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, values (in the order of GRIDS), good and tuning of every labelled row that passes the base rules.
 
     All labelled rows count; a document with several labels is good if all are 1."""
     label = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    narrow = featured.select("doc_id", F.col(FEATURES)["char"]["stratum"].alias("stratum"), base_failed().alias("failed"), *[_feature(r).alias(r) for r in GRIDS])
-    rows = narrow.join(label, "doc_id").where(~F.col("failed"))
-    sums = [F.count(F.when(F.col("quality") == 1, 1)).alias("good"), F.count(F.when(F.col("quality") == 0, 1)).alias("bad")]
-    for r, grid in GRIDS.items():
-        for i, c in enumerate(grid):
-            for q in (0, 1):
-                sums.append(F.count(F.when((F.col("quality") == q) & (F.col(r) > c), 1)).alias(f"{r}_{i}_{q}"))
-    per = storage.table(rows.groupBy("stratum").agg(*sums), "label-counts")
-    tests = [F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{r}_{i}_1").alias("k"), F.col(f"{r}_{i}_0").alias("hits")) for r, grid in GRIDS.items() for i, c in enumerate(grid)]
-    level = delta / max(1, per.count() * len(tests))
-    passed = F.filter(F.array(*tests), lambda t: binomial_tail(t["k"], F.col("good"), alpha / len(GRIDS)) <= level)
-    best = lambda r: F.array_max(F.transform(F.filter(F.col("passed"), lambda t: (t["rule"] == r) & (t["hits"] > t["k"])), lambda t: F.struct((t["hits"] - t["k"]).alias("net"), t["cutoff"].alias("cutoff"))))["cutoff"]
-    return per.withColumn("passed", passed).select("stratum", *[best(r).alias(r) for r in GRIDS])
+    narrow = featured.where(~base_failed()).select("doc_id", F.col(FEATURES)["char"]["stratum"].alias("stratum"), F.array(*map(_feature, GRIDS)).alias("values"))
+    tuning = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8"
+    return narrow.join(label, "doc_id").where("quality IN (0, 1)").select("stratum", "values", (F.col("quality") == 1).alias("good"), tuning.alias("tuning"))
+
+
+def thresholds(rows: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """One row for each stratum in ``rows`` (see :func:`labelled`): stratum and a cutoff (or null) for each rule."""
+    pairs = [(i, float(c)) for i, grid in enumerate(GRIDS.values()) for c in grid]
+    good, bad = F.col("good"), ~F.col("good")
+    number = lambda when: F.count(F.when(when, 1))
+    above = [F.get("values", F.lit(i)) > c for i, c in pairs]
+    steps = F.array(*[F.struct(number(good & x).alias("k"), (-number(bad & x)).alias("miss"), F.lit(i).alias("rule"), F.lit(c).alias("cutoff")) for x, (i, c) in zip(above, pairs)])
+    tuned = rows.where("tuning").groupBy("stratum").agg(steps.alias("steps")).withColumn("steps", F.sort_array(F.filter("steps", lambda s: s["miss"] < 0)))
+    tuned = storage.table(tuned, "tuned-steps")
+    # the first step that rejects a row; 0 where none does
+    at = F.array_position(F.transform("steps", lambda s: F.get("values", s["rule"]) > s["cutoff"]), True)
+    held = storage.join_small(rows.where(~F.col("tuning")), tuned, ["stratum"], "inner").withColumn("at", at)
+    upto = lambda which: F.array(*[number(which & F.col("at").between(1, i)) for i in range(1, len(pairs) + 1)])
+    counts = held.groupBy("stratum").agg(number(good).alias("n"), upto(good).alias("k"), upto(bad).alias("hits"))
+    strata = max(1, tuned.count())
+    each = F.transform(F.sequence(F.lit(1), F.size("steps")), lambda i: F.struct((F.element_at("hits", i) - F.element_at("k", i)).alias("net"), (-i).alias("i"), F.element_at("k", i).alias("k")))
+    # k never falls from step to step, so the tests that pass are the first ones
+    passed = F.filter(F.when(F.size("steps") > 0, each), lambda s: (s["net"] > 0) & (binomial_tail(s["k"], F.col("n"), alpha) <= delta / strata))
+    best = counts.join(tuned, "stratum").withColumn("taken", F.slice("steps", F.lit(1), F.coalesce(-F.array_max(passed)["i"], F.lit(0))))
+    cutoff = lambda i: F.array_min(F.transform(F.filter("taken", lambda s: s["rule"] == i), lambda s: s["cutoff"]))
+    return best.select("stratum", *[cutoff(i).alias(r) for i, r in enumerate(GRIDS)])
 
 
 def judge(featured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """``featured`` with columns ``base_failed`` and ``kept``; it is read twice, so let it be a table."""
-    cut = storage.table(thresholds(featured, labels, alpha, delta), "thresholds")
+    cut = storage.table(thresholds(storage.table(labelled(featured, labels), "labelled"), alpha, delta), "thresholds")
     cut = cut.select(F.col("stratum").alias("__stratum"), F.struct(*GRIDS).alias("__cut"))
     out = featured.withColumn("__stratum", F.col(FEATURES)["char"]["stratum"])
     out = storage.join_small(out, cut, ["__stratum"], "left")
@@ -151,8 +170,10 @@ def judge(featured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: fl
 def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every row of ``docs`` (doc_id, text, lang).
 
-    A null text has no words and fails; a null language is a stratum of its own; with
-    no labels only the base rules reject.  Repeated rows are judged one by one."""
+    A null or empty text has no words and fails; a null language is a stratum of its
+    own; with no labels only the base rules reject.  Repeated rows and rows that share an
+    id are judged one by one, and all count if the id is labelled.  Texts are counted
+    whole.  An empty table gives no rows; other columns are not read, whatever their names."""
     featured = storage.table(with_features(docs.select("doc_id", "text", "lang")).drop("text", "lang"), "quality")
     count, char = F.col(FEATURES)["count"], F.col(FEATURES)["char"]
     return judge(featured, labels, alpha, delta).select(
@@ -161,6 +182,8 @@ def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns."""
+    """The rows of ``docs`` that the rules keep, with their columns, as :func:`quality` judges them.
+
+    Columns of the names that this module makes begin with two underscores; ``docs`` may have any others."""
     names = docs.columns
     return judge(storage.table(with_features(docs), "quality"), labels, alpha, delta).where("kept").select(*names)

@@ -59,8 +59,68 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op3_html_wrapper, op4_bounded_packing, op5_license_scan, op6_quality_rules, op7_iso_media, op8_pii_spans, op9_ngram_join, op10_line_dedup, pipeline)}
 
+def _quality_sql(alpha: float = 0.05, delta: float = 0.05) -> str:
+    """The counts, the tuning order, the exact tails and the verdicts of :mod:`quality` in SQL."""
+    rules = list(quality.GRIDS)
+    grid = ", ".join(f"({i}, {float(c)!r})" for i, r in enumerate(rules) for c in quality.GRIDS[r])
+    values = f"[{', '.join(rules)}]"
+    ratio = lambda a, b: f"coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0)"
+    return rf"""
+WITH w0 AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS stratum FROM documents),
+word AS (
+  SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS p FROM (SELECT r, regexp_extract_all(t, '[^ 	-]+') AS w FROM w0)),
+win AS (
+  SELECT r, p, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM word WINDOW o AS (PARTITION BY r ORDER BY p)),
+twice AS (
+  SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM win WHERE c IS NOT NULL) WHERE n > 1),
+rep AS (
+  SELECT r, count(DISTINCT q) AS n_repeat_words FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY r),
+n_word AS (
+  SELECT r, count(*) AS n_words, sum(length(a)) AS word_chars FROM word GROUP BY r),
+n_line AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM w0)
+  WHERE regexp_matches(x, '[^ 	-]') GROUP BY r),
+c AS (
+  SELECT r, doc_id, stratum, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+         length(t) - length(replace(t, '!', '')) AS n_bangs, length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper
+  FROM w0 LEFT JOIN n_word USING (r) LEFT JOIN n_line USING (r) LEFT JOIN rep USING (r)),
+f AS MATERIALIZED (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {ratio("n_symbols", "word_chars")} AS symbol_ratio, {ratio("n_bangs", "word_chars")} AS bang_ratio,
+         {ratio("n_upper", "word_chars")} AS upper_ratio, {ratio("n_dup_lines", "n_lines")} AS dup_line_ratio, {ratio("n_repeat_words", "n_words")} AS repeat_ratio FROM c),
+label AS (
+  SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+lab AS MATERIALIZED (
+  SELECT r, stratum, {values} AS v, quality = 1 AS good, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS tuning FROM f JOIN label USING (doc_id) WHERE NOT base_failed AND quality IN (0, 1)),
+grid(rule, cutoff) AS (VALUES {grid}),
+tuned AS (
+  SELECT stratum, rule, cutoff, count(*) FILTER (good AND v[rule + 1] > cutoff) AS k, count(*) FILTER (NOT good AND v[rule + 1] > cutoff) AS hits
+  FROM lab CROSS JOIN grid WHERE tuning GROUP BY ALL),
+step AS MATERIALIZED (
+  SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum ORDER BY k, -hits, rule, cutoff) AS i FROM tuned WHERE hits > 0),
+first_step AS (
+  SELECT h.r, h.stratum, h.good, min(s.i) AS i FROM lab h LEFT JOIN step s ON s.stratum = h.stratum AND h.v[s.rule + 1] > s.cutoff WHERE NOT h.tuning GROUP BY ALL),
+test AS (
+  SELECT s.stratum, s.i, count(*) FILTER (h.good) AS n, count(*) FILTER (h.good AND h.i <= s.i) AS k, count(*) FILTER (NOT h.good AND h.i <= s.i) AS hits
+  FROM step s JOIN first_step h ON h.stratum = s.stratum GROUP BY s.stratum, s.i),
+tail AS (
+  SELECT stratum, i, n, k, hits, CASE WHEN k >= n * {alpha} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
+    lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))) END AS p FROM test),
+taken AS (
+  SELECT stratum, arg_max(i, (hits - k) * 1000 - i) AS i FROM tail
+  WHERE hits > k AND p <= {delta} / (SELECT greatest(1, count(DISTINCT stratum)) FROM lab WHERE tuning) GROUP BY stratum),
+cut AS (
+  SELECT s.stratum, s.rule, min(s.cutoff) AS cutoff FROM step s JOIN taken t ON t.stratum = s.stratum AND s.i <= t.i GROUP BY ALL),
+lost AS (
+  SELECT DISTINCT f.r FROM f JOIN cut ON cut.stratum = f.stratum AND ({values})[cut.rule + 1] > cut.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost.r IS NULL AS kept
+FROM f LEFT JOIN lost USING (r)"""
+
+
 # Where the rows of a query follow from SQL alone.
 ORACLES: dict[str, str] = {
+    "op6_quality_rules": _quality_sql(),
     "op10_line_dedup": r"""
 WITH line AS (
   SELECT doc_id, i, x AS line,
