@@ -1,15 +1,24 @@
-"""License statements that are wrapped over lines."""
+"""License statements anywhere in a text, against all windows of its words."""
 
+import math
 import random
 import textwrap
 
+import pytest
+
 from junctura.llm import licenses
+from junctura.llm.license_texts import TEMPLATES
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
 BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
 ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above"
 
 
+def scanned(spark, rows):
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)
+    return {r.doc_id: r for r in licenses.scan(docs).collect()}
+
+
 def test_wrapped_statements(spark):
     rows, want = [], []
     for label, text in (("mit", MIT), ("bsd", BSD), ("isc", ISC)):
@@ -17,36 +26,55 @@ def test_wrapped_statements(spark):
             rows.append(f"Copyright 2020 Some One\n\n{textwrap.fill(text, width, initial_indent=mark, subsequent_indent=mark, break_long_words=False)}\n\nmore text")
             want.append((label, 1))
     rows += [f"{MIT}\n{textwrap.fill(BSD, 60)}", "Released under the MIT\nLicense, and again\nthe MIT license.", "the license\nof a town\nwas not of MIT", MIT, "Licensed under the\nApache License,\nVersion 2.0."]
-    want += [("bsd,mit", 2), ("mit", 2), ("", 0), ("mit", 1), ("apache,apache-2.0", 2)]
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = {r.doc_id: (r.labels, r.n_blocks) for r in licenses.scan(docs).collect()}
-    assert [got[i] for i in range(len(rows))] == want
+    want += [("bsd,mit", 2), ("mit", 2), ("", 0), ("mit", 1), ("apache,apache-2.0", 1)]
+    got = scanned(spark, rows)
+    assert [(got[i].labels, got[i].n_blocks) for i in range(len(rows))] == want
+
+
+def test_scattered_words_are_no_statement(spark):
+    got = scanned(spark, ["she left mit without a driver license", "reserved seats all human rights", "this is a license by cc under apache", "", None])
+    assert all(r.labels == "" and r.score == 0 and r.n_blocks == 0 for r in got.values())
+
+
+@pytest.mark.parametrize("label, text", TEMPLATES)
+def test_each_template_is_found(label, text):
+    given = licenses.templates()
+    join = licenses.Join(given, dict.fromkeys(frozenset().union(*(t.tokens for t in given)), 0))
+    random.seed(len(text))
+    words = text.split()
+    if len(words) > 60:
+        words[random.randrange(10, 40)] = "changed"
+    text = "before it\n" + textwrap.fill(" ".join(words), 50, initial_indent="// ", subsequent_indent="// ") + "\nafter it"
+    assert label in {given[k].label for k, *_ in join.matches(licenses.WORD.findall(text.encode().lower()))}
 
 
-def test_windows_against_all_windows():
+def test_against_all_windows():
     random.seed(6)
-    given = [("x", "a b c d e f g h i j"), ("y", "a b"), ("z", "c a c b d")]
-    sets, lengths = licenses.templates(given), [10, 2, 5]
-    for threshold in (0.6, 0.9):
-        join = licenses.Join(sets, {bytes([c]): random.randint(0, 9) for c in b"abcdefghij"}, threshold, lengths)
-        for _ in range(400):
-            lines = [[random.choice([b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"h", b"i", b"j", b"q"]) for _ in range(random.randint(0, 8))] for _ in range(random.randint(1, 6))]
-            met = {}
-            for i, line in enumerate(lines):
-                for k, _ in join.matches(frozenset(line)):
-                    met.setdefault(k, set()).add(i)
-            words = [(w, i) for i, line in enumerate(lines) for w in line]
+    given = licenses.templates([("w", "a b c d e f g h i j"), ("x", "a b"), ("y", "c a c b d"), ("z", "d e a b b a c e f g h a")])
+    letters = [bytes([c]) for c in b"abcdefghijq"]
+    vocabulary = frozenset().union(*(t.tokens for t in given))
+    pruned = licenses.Counter()
+    for threshold in (0.5, 0.7, 0.9):
+        join = licenses.Join(given, {p: random.randint(0, 9) for p in vocabulary}, threshold)
+        for turn in range(400):
+            words = [random.choice(letters) for _ in range(random.randint(0, 40))]
+            if turn % 2:  # a template with some changes
+                part = random.choice([b"a b c d e f g h i j", b"c a c b d", b"d e a b b a c e f g h a"]).split()
+                for _ in range(random.randint(0, 2)):
+                    part[random.randrange(len(part))] = random.choice(letters)
+                spot = random.randint(0, len(words))
+                words[spot:spot] = part
             best = {}
-            for k, (_, tokens) in enumerate(sets):
+            for k, t in enumerate(given):
+                size = int(t.words / threshold + 1e-9)
                 for a in range(len(words)):
-                    part = words[a : a + int(lengths[k] / threshold + 1e-9)]
-                    while part:
-                        n = len({w for w, _ in part} & tokens)
-                        inside = {i for _, i in part}
-                        if n >= join.need[k] and part[0][1] < part[-1][1] and not inside & met.get(k, set()):
-                            best[k] = max(best.get(k, 0), n / len(tokens))
-                        part = part[:-1]
+                    n = len(set(licenses.pairs_of(words[a : a + size])) & t.tokens)
+                    if n >= math.ceil(threshold * len(t.tokens) - 1e-9):
+                        best[k] = max(best.get(k, 0), n / len(t.tokens))
             got = {}
-            for k, n, _, _ in join.windows(lines, {w for w, _ in words}, met):
-                got[k] = max(got.get(k, 0), n)
+            for k, part, first, last in join.matches(words):
+                got[k] = max(got.get(k, 0), part)
+                assert len(set(licenses.pairs_of(words[first : last + 1])) & given[k].tokens) / len(given[k].tokens) == part
             assert got == best
+        pruned += join.pruned
+    assert pruned["length"] and pruned["position"] and pruned["verified"]

@@ -275,18 +275,6 @@ def test_posterior_bound():
         assert tail(m) >= 1e-8 and (m == 0 or tail(m - 1) < 1e-8)
 
 
-def test_license_join_is_exact():
-    random.seed(5)
-    sets = licenses.templates()
-    words = sorted(set().union(*(t for _, t in sets)))
-    for threshold in (0.5, 0.8, 0.9):
-        join = licenses.Join(sets, {w: random.randint(0, 9) for w in words}, threshold)
-        for _ in range(300):
-            block = frozenset(random.sample(words, random.randint(0, len(words) - 1)))
-            want = {k for k, (_, t) in enumerate(sets) if len(block & t) >= threshold * len(t) - 1e-9}
-            assert {k for k, _ in join.matches(block)} == want
-
-
 def test_license_base(spark):
     rows = [(1, "CC-BY cc by, the GNU General\nPublic  License; all rights: reserved éall rights reserved"), (2, "cc cc by by")]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
