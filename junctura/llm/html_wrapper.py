@@ -1,29 +1,37 @@
 """Main text of web pages by union-free wrappers.
 
-Pages of a host are aligned one after another with the host's wrapper, a
-union-free regular expression over tags and text.  A mismatch of text makes a
-slot, an element that only one side has becomes optional, a run of equal elements
-becomes a repeated group.  What stays fixed is the host's template; the wrapper's
-element that holds the slots with the most text is the main region.
-
-Elements whose tag, role or ``hidden`` says so are never main text.  Those that only
-a word of their id or class names so go unless they hold the main region.
+1. Every page is a stream of tags and texts.  How many different pages of a host have
+   the same text at the same place (the tags above it) is counted exactly; what most
+   of them have is the template's, all other text is a slot.
+2. The streams of a host are aligned one after another with the host's wrapper, a
+   union-free regular expression over tags, fixed texts and slots.  An element that
+   only one side has becomes optional, equal neighbours become a repeated group.
+3. The wrapper's element that holds the slots with the most text is the main region.
+   Its text, without the template's, is the page's main text.
+
+Elements whose tag, role or ``hidden`` says so are never main text; a ``header`` within
+the main region is, with its title.  Elements that a word of their id or class names
+as something else go, unless they hold the main region or its title.
+
+Nothing here recurses: pages may be as deep and as wide as they like.  A wrapper has at
+most ``MAX_NODES`` elements of ``MAX_DEPTH`` levels; beyond, elements that one page
+alone has, then the deepest, count as slot text of the element above them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from junctura.llm import storage
@@ -37,8 +45,8 @@ ENDS_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr legend
 SELF_ENDING = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "option": "select", "tr": "table", "td": "tr table", "th": "tr table"}
 BOUNDARY = frozenset("article aside body div footer form header main nav section table td th ul ol dl blockquote".split())
 # Elements, class words and roles that are no main text.
-DROPPED = RAW | frozenset("head nav header footer aside form button select option menu dialog template svg math object canvas audio video datalist".split())
-DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored sponsors sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead notice notices cookie cookies consent gdpr popup modal overlay subscribe subscription newsletter signup comment comments discussion disqus respond reply replies share sharing social related recommended widget widgets pagination pager".split())
+DROPPED = RAW | frozenset("head nav footer aside form button select option menu dialog template svg math object canvas audio video datalist".split())
+DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising promo promotion sponsor sponsored sponsors sidebar nav navbar navigation breadcrumb breadcrumbs footer notice notices cookie cookies consent gdpr popup modal overlay subscribe subscription newsletter signup comment comments discussion disqus respond reply replies share sharing social related recommended widget widgets pagination pager".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 MAIN_WORDS = frozenset("article content main post entry story text body".split())
 
@@ -48,9 +56,12 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 WORD = re.compile(r"[a-z0-9#]+")
 CONTAINER = frozenset("article main section div td table center".split())
 NEED, NEED_MARKED = 0.8, 0.5  # share of the slot text that a region has; with a tag or a word for main text
-COPIES = 3  # different pages with a long text, or one in a marked region, until it is the template's: fewer may be copies
-MAX_REGIONS = 20_000
+LONG = 200  # characters of a text that is not likely a template's
+MAX_NODES, MAX_DEPTH, WIDE = 4000, 64, 64
+AT_ONCE = 8  # pages that are aligned with a wrapper in one go
+PLAN_BYTES = 8 << 20  # plans that may be broadcast
 SALTS = 256
+ROOT = 0
 
 
 class Element:
@@ -74,8 +85,26 @@ def _open(tag: str, raw: str, parent: Element) -> Element:
 
 
 def parse(page: str) -> Element:
-    """A page's element tree; end tags that fit nothing are ignored, open elements end with their container."""
+    """A page's element tree; end tags that fit nothing are ignored, open elements end with their container.
+
+    Each container counts its open elements by tag, so no tag is looked for in vain and
+    the time is linear in the page."""
     root = here = Element("")
+    everywhere: dict[str, int] = defaultdict(int)
+    scopes: list[dict[str, int]] = [defaultdict(int)]
+
+    def up_to(x: Element) -> Element:
+        """Close all elements up to ``x`` and ``x`` itself; what is open then."""
+        now = here
+        while True:
+            if now.tag in BOUNDARY:
+                scopes.pop()
+            scopes[-1][now.tag] -= 1
+            everywhere[now.tag] -= 1
+            if now is x:
+                return now.parent
+            now = now.parent
+
     at = 0
     while True:
         m = TOKEN.search(page, at)
@@ -90,22 +119,29 @@ def parse(page: str) -> Element:
         if not tag:
             continue
         if m[1] or m[4]:
-            x = here
-            while x.parent is not None and x.tag != tag and not (tag not in BOUNDARY and x.tag in BOUNDARY and x.tag not in ("body",)):
-                x = x.parent
-            if x.tag == tag and x.parent is not None:
-                here = x.parent
+            if (everywhere if tag in BOUNDARY else scopes[-1])[tag] > 0:
+                x = here
+                while x.tag != tag:
+                    x = x.parent
+                here = up_to(x)
             continue
-        if tag in ENDS_P or tag in SELF_ENDING:
-            ends = ("p",) if tag in ENDS_P and tag not in SELF_ENDING else ((tag, "p") if tag not in ("dt", "dd") else ("dt", "dd", "p"))
-            stop = SELF_ENDING.get(tag, "").split()
+        if tag in SELF_ENDING:
+            ends, stop = ("dt", "dd", "p") if tag in ("dt", "dd") else (tag, "p"), SELF_ENDING[tag].split()
+            if any((scopes[-1] if e not in BOUNDARY else everywhere)[e] > 0 for e in ends):
+                x, last = here, None
+                while x.parent is not None and x.tag not in stop and (x.tag not in BOUNDARY or x.tag == tag):
+                    if x.tag in ends:
+                        last = x
+                        if x.tag == tag:
+                            break
+                    x = x.parent
+                if last is not None:
+                    here = up_to(last)
+        elif tag in ENDS_P and scopes[-1]["p"] > 0:
             x = here
-            while x.parent is not None and x.tag not in BOUNDARY - {tag} and x.tag not in stop:
-                if x.tag in ends:
-                    here = x.parent
-                    if x.tag == tag or tag in ENDS_P and tag not in SELF_ENDING:
-                        break
+            while x.tag != "p":
                 x = x.parent
+            here = up_to(x)
         new = _open(tag, m[3] or "", here)
         here.kids.append(new)
         if tag in RAW:
@@ -113,6 +149,10 @@ def parse(page: str) -> Element:
             at = end.end() if end else len(page)
         elif tag not in VOID:
             here = new
+            everywhere[tag] += 1
+            scopes[-1][tag] += 1
+            if tag in BOUNDARY:
+                scopes.append(defaultdict(int))
 
 
 @lru_cache(1 << 16)
@@ -126,102 +166,277 @@ def step(path: int, tag: str, key: str) -> int:
 
 
 def place(path: int, text: str) -> int:
-    """A number for a text at a path."""
-    return path << 32 | zlib.crc32(text.encode())
+    """A number for a text at a path; never 0, which stands for the page."""
+    return (path << 31 | zlib.crc32(text.encode()) >> 1) or 1
 
 
-def short(text: str) -> str:
-    return text if len(text) < 200 else hash_text(text)
+def one_line(text: str) -> str:
+    return " ".join(text.split())
 
 
-# --- wrappers: [tag, key, least, most, chars, fixed text or None, kids, pages with the fixed text] ---------
-TAG, KEY, LEAST, MOST, CHARS, TEXT, KIDS, SEEN = range(8)
-TEXT_TAG = "#"
-
-
-def wrapper_of(x: Element, page: int = 0) -> list:
-    """A page's own wrapper: its elements, runs of equal ones folded into repeated groups."""
-    kids: list[list] = []
-    for k in x.kids:
-        if isinstance(k, str):
-            text = " ".join(k.split())
-            if text:
-                kids.append([TEXT_TAG, "", 1, 1, len(text), short(text), [], [page]])
-        elif not k.dropped and k.tag not in VOID:
-            kids.append(wrapper_of(k, page))
-    return [x.tag, x.key, 1, 1, 0, None, fold(kids), []]
+def texts(root: Element) -> Iterator[tuple[int, str, bool]]:
+    """(place, text, whether inside of a tag for main text) of every text that is not dropped for sure."""
+    stack = [(root, step(ROOT, root.tag, root.key), False)]
+    while stack:
+        x, path, inside = stack.pop()
+        for k in x.kids:
+            if isinstance(k, str):
+                if text := one_line(k):
+                    yield place(path, text), text, inside
+            elif not k.dropped and k.tag not in VOID:
+                stack.append((k, step(path, k.tag, k.key), inside or marked(k.tag, k.key)))
 
 
-def hash_text(text: str) -> str:
-    import hashlib
+def page_rows(root: Element) -> tuple[int, dict[int, tuple[bool, bool]]]:
+    """A page's mark, and for each place whether its text is long and whether it is in an element for main text.
 
-    return "\n" + hashlib.md5(text.encode()).hexdigest()
+    The mark is the hash of the longest text, so that copies of a page count as one."""
+    longest, spots = "", {}
+    for spot, text, inside in texts(root):
+        spots[spot] = (len(text) >= LONG, inside)
+        if (len(text), text) > (len(longest), longest):
+            longest = text
+    return int.from_bytes(hashlib.blake2b(longest.encode(), digest_size=8).digest(), "big", signed=True), spots
 
 
-def same(a: list, b: list) -> bool:
-    return a[TAG] == b[TAG] and a[KEY] == b[KEY]
+# --- wrappers: [tag, key, least, most, chars, marks, kids] -------------------------
+# A text has the tag "#"; its key is empty for a slot and the text's place where it is the template's.
+TAG, KEY, LEAST, MOST, CHARS, MARKS, KIDS = range(7)
+TEXT_TAG = "#"
+Kind = tuple[str, str]
 
 
-def fold(kids: list[list]) -> list[list]:
-    """Neighbours of the same kind become one group that occurs their number of times."""
-    out: list[list] = []
-    for k in kids:
-        if out and same(out[-1], k):
-            least, most = out[-1][LEAST] + k[LEAST], out[-1][MOST] + k[MOST]
-            out[-1] = align(out[-1], k)
-            out[-1][LEAST], out[-1][MOST] = min(least, 2), min(most, 2)
+def wrapper_of(root: Element, mark: int = 0, fixed: frozenset[int] = frozenset()) -> list:
+    """A page's own wrapper: its elements, runs of equal ones folded into repeated groups."""
+    top = [root.tag, root.key, 1, 1, 0, [mark], []]
+    stack = [(root, top, step(ROOT, root.tag, root.key), 0)]
+    while stack:
+        x, node, path, depth = stack.pop()
+        for k in x.kids:
+            if isinstance(k, str):
+                if text := one_line(k):
+                    spot = place(path, text)
+                    node[KIDS].append([TEXT_TAG, str(spot) if spot in fixed else "", 1, 1, len(text), [mark], []])
+            elif not k.dropped and k.tag not in VOID:
+                if depth < MAX_DEPTH:
+                    own = [k.tag, k.key, 1, 1, 0, [mark], []]
+                    node[KIDS].append(own)
+                    stack.append((k, own, step(path, k.tag, k.key), depth + 1))
+                elif n := sum(len(text) for _, text, _ in texts(k)):
+                    node[KIDS].append([TEXT_TAG, "", 1, 1, n, [mark], []])
+    return merged([top])
+
+
+def kind(w: list) -> Kind:
+    return w[TAG], w[KEY]
+
+
+def matched(x: list[Kind], y: list[Kind]) -> list[tuple[int, int]]:
+    """Index pairs of a common subsequence: the longest one of short sequences, else that between kinds
+    that both have once, and where there are none, the first fit."""
+    out: list[tuple[int, int]] = []
+    parts = [(0, len(x), 0, len(y))]
+    while parts:
+        a, b, c, d = parts.pop()
+        while a < b and c < d and x[a] == y[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
+            continue
+        if (b - a) * (d - c) <= WIDE * WIDE:
+            best = [[0] * (d - c + 1) for _ in range(b - a + 1)]
+            for i in range(b - a - 1, -1, -1):
+                for j in range(d - c - 1, -1, -1):
+                    best[i][j] = best[i + 1][j + 1] + 1 if x[a + i] == y[c + j] else max(best[i + 1][j], best[i][j + 1])
+            i = j = 0
+            while i < b - a and j < d - c:
+                if x[a + i] == y[c + j]:
+                    out.append((a + i, c + j))
+                    i, j = i + 1, j + 1
+                elif best[i + 1][j] >= best[i][j + 1]:
+                    i += 1
+                else:
+                    j += 1
+            continue
+        anchors = _rising(_once(x, a, b), _once(y, c, d))
+        if anchors:
+            for i, j in anchors:
+                parts.append((a, i, c, j))
+                out.append((i, j))
+                a, c = i + 1, j + 1
+            parts.append((a, b, c, d))
+            continue
+        spots: dict[Kind, list[int]] = defaultdict(list)
+        for i in range(a, b):
+            spots[x[i]].append(i)
+        last = a - 1
+        for j in range(c, d):
+            own = spots.get(y[j], [])
+            k = bisect_left(own, last + 1)
+            if k < len(own):
+                last = own[k]
+                out.append((last, j))
+    return sorted(out)
+
+
+def _once(x: list[Kind], a: int, b: int) -> dict[Kind, int]:
+    """Where the kinds stand that occur once in x[a:b]."""
+    at: dict[Kind, int] = {}
+    for i in range(a, b):
+        at[x[i]] = -1 if x[i] in at else i
+    return {k: i for k, i in at.items() if i >= 0}
+
+
+def _rising(x: dict[Kind, int], y: dict[Kind, int]) -> list[tuple[int, int]]:
+    """The longest run of common kinds whose places rise on both sides."""
+    both = sorted((i, y[k]) for k, i in x.items() if k in y)
+    tails: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(both)
+    for n, (_, j) in enumerate(both):
+        k = bisect_left(tails, j)
+        tails[k : k + 1] = [j]
+        ends[k : k + 1] = [n]
+        before[n] = ends[k - 1] if k else -1
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(both[n])
+        n = before[n]
+    return out[::-1]
+
+
+def merged(same: list[list]) -> list:
+    """The wrapper that covers all of the given ones, which are of one kind.
+
+    Their children are aligned one list after another: what some lack is optional,
+    equal neighbours are one repeated group.  Lists that stay longer than WIDE have one
+    group for each kind."""
+    top = _joined(same)
+    stack = [(top, same)]
+    while stack:
+        node, sources = stack.pop()
+        if node[TAG] == TEXT_TAG:
+            continue
+        groups: list[tuple[Kind, dict[int, list[list]]]] = []
+        for n, source in enumerate(sources):
+            own = _runs(source[KIDS], n)
+            if not n:
+                groups = own
+                continue
+            pairs, both, i, j = matched([g[0] for g in groups], [g[0] for g in own]), [], 0, 0
+            for a, b in [*pairs, (len(groups), len(own))]:
+                both += groups[i:a] + own[j:b]
+                if a < len(groups):
+                    groups[a][1].update(own[b][1])
+                    both.append(groups[a])
+                i, j = a + 1, b + 1
+            groups = _neighbours(both)
+            if len(groups) > WIDE:
+                groups = _by_kind(groups)
+        if len(groups) > WIDE:
+            groups = _by_kind(groups)
+        for _, held in groups:
+            flat = [w for ws in held.values() for w in ws]
+            child = _joined(flat)
+            child[LEAST] = 0 if len(held) < len(sources) else min(2, *(sum(w[LEAST] for w in ws) for ws in held.values()))
+            child[MOST] = min(2, max(sum(w[MOST] for w in ws) for ws in held.values()))
+            node[KIDS].append(child)
+            stack.append((child, flat))
+    return bounded(top)
+
+
+def _joined(same: list[list]) -> list:
+    a = same[0]
+    marks = a[MARKS] if len(same) == 1 else sorted({m for w in same for m in w[MARKS]})[:2]
+    return [a[TAG], a[KEY], min(w[LEAST] for w in same), max(w[MOST] for w in same), sum(w[CHARS] for w in same), marks, []]
+
+
+def _runs(kids: list[list], n: int) -> list[tuple[Kind, dict[int, list[list]]]]:
+    return _neighbours([(kind(k), {n: [k]}) for k in kids])
+
+
+def _neighbours(groups: list) -> list:
+    out: list = []
+    for k, held in groups:
+        if out and out[-1][0] == k:
+            for n, ws in held.items():
+                out[-1][1].setdefault(n, []).extend(ws)
         else:
-            out.append(k)
+            out.append((k, held))
     return out
 
 
-def align(a: list, b: list) -> list:
-    """The wrapper that covers both: text that differs is a slot, what one side lacks is optional."""
-    if a[TAG] == TEXT_TAG:
-        fixed = a[TEXT] if a[TEXT] == b[TEXT] else None
-        return [TEXT_TAG, "", min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST]), a[CHARS] + b[CHARS], fixed, [], sorted({*a[SEEN], *b[SEEN]})[:COPIES] if fixed is not None else []]
-    x, y = a[KIDS], b[KIDS]
-    # longest common subsequence of element kinds
-    n, m = len(x), len(y)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if same(x[i], y[j]) else max(best[i + 1][j], best[i][j + 1])
-    kids, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and same(x[i], y[j]):
-            kids.append(align(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            kids.append([*x[i][:LEAST], 0, *x[i][MOST:]])
-            i += 1
-        else:
-            kids.append([*y[j][:LEAST], 0, *y[j][MOST:]])
-            j += 1
-    return [a[TAG], a[KEY], min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST]), 0, None, refold(kids), []]
-
-
-def refold(kids: list[list]) -> list[list]:
-    out: list[list] = []
-    for k in kids:
-        if out and same(out[-1], k):
-            least = min(out[-1][LEAST], k[LEAST])
-            out[-1] = align(out[-1], k)
-            out[-1][LEAST], out[-1][MOST] = least, 2
+def _by_kind(groups: list) -> list:
+    by: dict[Kind, dict[int, list[list]]] = {}
+    for k, held in groups:
+        if k in by:
+            for n, ws in held.items():
+                by[k].setdefault(n, []).extend(ws)
         else:
-            out.append(k)
-    return out
+            by[k] = held
+    return list(by.items())
+
+
+def walk(w: list) -> Iterator[tuple[list, int]]:
+    """(node, depth), each before what it holds, in order."""
+    stack = [(w, 0)]
+    while stack:
+        node, depth = stack.pop()
+        yield node, depth
+        stack.extend((k, depth + 1) for k in reversed(node[KIDS]))
+
+
+def bounded(w: list) -> list:
+    """Keep a wrapper within MAX_NODES: elements that one page alone has, then the deepest, become slot text of the one above."""
+    nodes = list(walk(w))
+    limit, rare = MAX_DEPTH, False
+    while len(nodes) > MAX_NODES and limit > 1:
+        rare, limit = True, limit if not rare else limit // 2
+        total: dict[int, int] = {}
+        for node, _ in reversed(nodes):
+            total[id(node)] = node[CHARS] + sum(total[id(k)] for k in node[KIDS])
+        for node, depth in nodes:
+            gone = [k for k in node[KIDS] if k[TAG] != TEXT_TAG and (len(k[MARKS]) < 2 or depth + 1 > limit)]
+            if gone:
+                stay = [k for k in node[KIDS] if not any(k is g for g in gone)] if len(gone) < 8 else [k for k in node[KIDS] if k[TAG] == TEXT_TAG or not (len(k[MARKS]) < 2 or depth + 1 > limit)]
+                chars = sum(total[id(k)] for k in gone)
+                node[KIDS] = stay + ([[TEXT_TAG, "", 0, 2, chars, gone[0][MARKS], []]] if chars else [])
+        nodes = list(walk(w))
+    return w
+
+
+def packed(w: list) -> str:
+    """A wrapper as JSON without nesting."""
+    return json.dumps([[depth, *node[:KIDS]] for node, depth in walk(w)], ensure_ascii=False)
+
+
+def unpacked(text: str) -> list:
+    above: list[list] = []
+    for depth, *own in json.loads(text):
+        node = [*own, []]
+        del above[depth:]
+        if above:
+            above[-1][KIDS].append(node)
+        above.append(node)
+    return above[0]
 
 
 def expression(w: list) -> str:
-    """The wrapper as a regular expression over tags; _ is a slot."""
-    if w[TAG] == TEXT_TAG:
-        body = "_" if w[TEXT] is None else repr(w[TEXT])
-    else:
-        inner = "".join(map(expression, w[KIDS]))
-        body = f"<{w[TAG]}>{inner}</{w[TAG]}>" if w[TAG] else inner
-    mark = {(0, 1): "?", (0, 2): "*", (1, 2): "+", (2, 2): "+"}.get((min(w[LEAST], 2), min(w[MOST], 2)), "")
-    return f"({body}){mark}" if mark else body
+    """The wrapper as a regular expression over tags; _ is a slot, # a text of the template."""
+    out: list[str] = []
+    todo: list[list | str] = [w]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        mark = {(0, 1): "?", (0, 2): "*", (1, 2): "+", (2, 2): "+"}.get((x[LEAST], x[MOST]), "")
+        inner = ["#" if x[KEY] else "_"] if x[TAG] == TEXT_TAG else [f"<{x[TAG]}>" if x[TAG] else "", *x[KIDS], f"</{x[TAG]}>" if x[TAG] else ""]
+        todo.extend(reversed(["(" if mark else "", *inner, f"){mark}" if mark else ""]))
+    return "".join(out)
 
 
 def marked(tag: str, key: str) -> bool:
@@ -232,37 +447,29 @@ def cued(tag: str, key: str) -> bool:
     return marked(tag, key) or tag in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(WORD.findall(key)) and named(key) < 2
 
 
-Kind = tuple[str, str]
 Plan = tuple[Kind | None, frozenset[Kind], frozenset[int]]
 
 
-def plan(w: list, known: frozenset[int] = frozenset()) -> Plan:
-    """The main region (tag, key), the kinds that stay although id or class name them otherwise, the places of fixed text.
+def plan(w: list) -> tuple[Kind | None, frozenset[Kind]]:
+    """The main region (tag, key) and the kinds that stay although id or class name them otherwise.
 
     Slot text decides.  A region stands at most once in a page; it is the innermost
     element with ``NEED`` of the slot text, before that the one with most of it whose tag
     or name is one of main text, if it has ``NEED_MARKED``."""
-    fixed: set[int] = set()
-    flat: list[tuple[Kind, int, int, bool, int]] = []  # kind, number after the last one inside, depth, at most once, slot text of its own
-
-    def visit(x: list, path: int, depth: int, once: bool, inside: bool) -> None:
-        kind, at = (x[TAG], x[KEY]), len(flat)
-        path, once = step(path, *kind), once and x[MOST] <= 1
-        inside = inside or once and marked(*kind)
-        flat.append((kind, 0, depth, once, 0))
-        own = 0
-        for k in x[KIDS]:
-            if k[TAG] != TEXT_TAG:
-                visit(k, path, depth + 1, once, inside)
-                continue
-            spot = place(path, k[TEXT]) if k[TEXT] is not None else None
-            if spot is not None and (spot in known or len(k[SEEN]) >= (COPIES if inside or k[TEXT].startswith("\n") else 2)):
-                fixed.add(spot)
-            else:
-                own += k[CHARS]
-        flat[at] = (kind, len(flat), depth, once, own)
-
-    visit(w, 0, 0, True, False)
+    flat: list[list] = []  # kind, number after the last one inside, depth, at most once, slot text of its own
+    above: list[int] = []
+    for node, depth in walk(w):
+        while len(above) > depth:
+            flat[above.pop()][1] = len(flat)
+        if node[TAG] == TEXT_TAG:
+            if not node[KEY]:
+                flat[above[-1]][4] += node[CHARS]
+            continue
+        once = node[MOST] <= 1 and (not above or flat[above[-1]][3])
+        above.append(len(flat))
+        flat.append([kind(node), 0, depth, once, node[CHARS]])
+    while above:
+        flat[above.pop()][1] = len(flat)
 
     def sums(lost: set[Kind]) -> tuple[list[int], dict[Kind, int]]:
         """Slot text of each element and of each kind (the outermost ones), without what is inside of lost kinds."""
@@ -275,16 +482,16 @@ def plan(w: list, known: frozenset[int] = frozenset()) -> Plan:
         each = [up[end] - up[i] for i, (_, end, *_) in enumerate(flat)]
         by: dict[Kind, int] = defaultdict(int)
         until: dict[Kind, int] = {}
-        for i, (kind, end, *_) in enumerate(flat):
-            if i >= until.get(kind, 0):
-                by[kind] += each[i]
-                until[kind] = end
+        for i, (c, end, *_) in enumerate(flat):
+            if i >= until.get(c, 0):
+                by[c] += each[i]
+                until[c] = end
         return each, by
 
     each, by = sums(set())
-    often = {kind for kind, _, _, once, _ in flat if not once}
-    mains = {kind for kind, *_ in flat if marked(*kind)} - often
-    main = max(mains, key=lambda k: (by[k], k), default=None)
+    often = {c for c, _, _, once, _ in flat if not once}
+    mains = {c for c, *_ in flat if marked(*c)} - often
+    main = max(mains, key=lambda c: (by[c], c), default=None)
 
     def part(outer: Kind, inner: Kind, each: list[int]) -> int:
         """Slot text of the inner kind that lies in elements of the outer one."""
@@ -299,25 +506,25 @@ def plan(w: list, known: frozenset[int] = frozenset()) -> Plan:
                 i += 1
         return n
 
-    suspects = {kind for kind, *_ in flat if named(kind[1]) and kind[0] not in ("", "html", "body")}
-    holds = {k for k in suspects if main and by[main] and 2 * part(k, main, each) > by[main]}
-    kept = holds | {k for k in suspects if 2 * by[k] > each[0] and (main is None or named(k[1]) == 1)}
+    suspects = {c for c, *_ in flat if named(c[1]) and c[0] not in ("", "html", "body")}
+    holds = {c for c in suspects if main and by[main] and 2 * part(c, main, each) > by[main]}
+    kept = holds | {c for c in suspects if 2 * by[c] > each[0] and (main is None or named(c[1]) == 1)}
     lost = suspects - kept
     each, by = sums(lost)
     barred, stop = set(often), 0
-    for kind, end, *_ in flat:  # what stays for its share of the text alone, against its whole name, is no region
-        if kind in lost or kind in suspects - holds and named(kind[1]) == 2:
+    for c, end, *_ in flat:  # what stays for its share of the text alone, against its whole name, is no region
+        if c in lost or c in suspects - holds and named(c[1]) == 2:
             stop = max(stop, end)
         if stop and end <= stop:
-            barred.add(kind)
-    depth = {kind: d for kind, _, d, *_ in flat}
-    free = [k for k in by if k not in barred and by[k] and (k[0] in CONTAINER or "-" in k[0])]
-    found = max((k for k in free if cued(*k) and by[k] >= NEED_MARKED * each[0]), key=lambda k: (by[k], depth[k], k), default=None)
-    inner = [k for k in free if (by[k] >= NEED * each[0] if found is None else cued(*k) and part(found, k, each) >= NEED * by[found])]
-    found = min(inner, key=lambda k: (not marked(*k), by[k], -depth[k], k), default=found)
-    if found is None and any(kind[0] == "body" and 2 * each[i] > each[0] for i, (kind, *_) in enumerate(flat)):
+            barred.add(c)
+    depth = {c: d for c, _, d, *_ in flat}
+    free = [c for c in by if c not in barred and by[c] and (c[0] in CONTAINER or "-" in c[0])]
+    found = max((c for c in free if cued(*c) and by[c] >= NEED_MARKED * each[0]), key=lambda c: (by[c], depth[c], c), default=None)
+    inner = [c for c in free if (by[c] >= NEED * each[0] if found is None else cued(*c) and part(found, c, each) >= NEED * by[found])]
+    found = min(inner, key=lambda c: (not marked(*c), by[c], -depth[c], c), default=found)
+    if found is None and any(c[0] == "body" and 2 * each[i] > each[0] for i, (c, *_) in enumerate(flat)):
         found = ("body", "")
-    return found, frozenset(kept), frozenset(fixed | known)
+    return found, frozenset(kept)
 
 
 def region(w: list) -> Kind | None:
@@ -325,86 +532,161 @@ def region(w: list) -> Kind | None:
     return plan(w)[0]
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
-
-
 def blocks(root: Element, wanted: Kind | None, kept: frozenset[Kind] = frozenset(), fixed: frozenset[int] = frozenset()) -> list[str]:
     """The text blocks of the page's main region, in page order, without the host's fixed text.
 
     The region is the page's elements of the host's kind.  A page without one, or
-    without text in it, has the region of a wrapper of its own."""
-    found = _blocks(root, wanted, kept, fixed) if wanted else []
-    return found or _blocks(root, *plan(wrapper_of(root), fixed))
-
-
-def _blocks(root: Element, wanted: Kind | None, kept: frozenset[Kind], fixed: frozenset[int]) -> list[str]:
-    def gone(x: Element) -> bool:
-        return x.dropped or named(x.key) > 0 and x.tag not in ("html", "body") and (x.tag, x.key) not in kept
-
-    def live(x: Element) -> Iterator[Element]:
-        for k in x.kids:
-            if not isinstance(k, str) and not gone(k):
-                yield k
-                yield from live(k)
-
-    def path(x: Element) -> int:
-        return step(path(x.parent) if x.parent is not None else 0, x.tag, x.key)
-
-    everything = list(live(root))
+    without text in it, has the region of a wrapper of its own.  A page that has less
+    text of its own than of the host's is a copy of others and keeps all of it."""
+    for region_of in ((wanted, kept), None):
+        if region_of is None:
+            region_of = plan(wrapper_of(root, 0, fixed))
+        elif wanted is None:
+            continue
+        found, own, lost = _blocks(root, *region_of, fixed)
+        if lost > own:
+            found, own, _ = _blocks(root, *region_of, frozenset())
+        if found:
+            return found
+    return []
+
+
+def _blocks(root: Element, wanted: Kind | None, kept: frozenset[Kind], fixed: frozenset[int]) -> tuple[list[str], int, int]:
+    """Blocks, and how many characters were the page's own and the template's."""
+    titled = _with_title(root)
+    whole = wanted is None or wanted[0] == "body"
+    dead: set[int] = set()
+    live: list[tuple[Element, int]] = []  # in page order, with their paths
+    stack = [(root, step(ROOT, root.tag, root.key), False)]
+    while stack:
+        x, path, inside = stack.pop()
+        if x is not root:
+            live.append((x, path))
+        inside = inside or marked(x.tag, x.key)
+        for k in reversed(x.kids):
+            if not isinstance(k, str):
+                drop = k.tag == "header" and whole and not inside
+                if drop or k.dropped or named(k.key) > 0 and k.tag not in ("html", "body") and (k.tag, k.key) not in kept and id(k) not in titled:
+                    dead.add(id(k))
+                else:
+                    stack.append((k, step(path, k.tag, k.key), inside))
     if wanted is not None:
-        chosen = [x for x in everything if (x.tag, x.key) == wanted or wanted[0] == x.tag == "body"]
+        chosen = [x for x in live if (x[0].tag, x[0].key) == wanted or wanted[0] == x[0].tag == "body"]
     else:
         tests = [lambda x: x.tag == "article", lambda x: x.tag == "main" or "main" in x.key.split(), lambda x: x.tag == "body"]
-        chosen = next((c for t in tests if (c := [x for x in everything if t(x)])), [root])
-    inner = set(map(id, chosen))
+        chosen = next((c for t in tests if (c := [x for x in live if t(x[0])])), [(root, step(ROOT, root.tag, root.key))])
     out: list[str] = []
     run: list[str] = []
+    own = lost = 0
 
     def close() -> None:
-        text = " ".join(entities.unescape("".join(run)).split())
+        text = one_line(entities.unescape("".join(run)))
         run.clear()
         if text:
             out.append(text)
 
-    def text_of(x: Element, here: int) -> None:
-        for k in x.kids:
-            if isinstance(k, str):
-                run.append(" " if fixed and place(here, short(" ".join(k.split()))) in fixed else k)
-            elif gone(k):
+    inner = {id(x) for x, _ in chosen}
+    covered: set[int] = set()
+    for x, path in chosen:
+        if id(x) in covered:
+            continue
+        todo: list[tuple[Element | str | None, int]] = [(x, path)]
+        while todo:
+            k, here = todo.pop()
+            if k is None:
+                close()
+            elif isinstance(k, str):
+                if text := one_line(k):
+                    fix = bool(fixed) and place(here, text) in fixed
+                    own, lost = (own, lost + len(text)) if fix else (own + len(text), lost)
+                    run.append(" " if fix else k)
+                else:
+                    run.append(k)
+            elif id(k) in dead:
                 if k.tag in BLOCK:
                     close()
                 else:
                     run.append(" ")
-            elif k.tag in BLOCK:
-                close()
-                text_of(k, step(here, k.tag, k.key))
-                close()
             elif k.tag == "br":
                 run.append(" ")
             else:
-                text_of(k, step(here, k.tag, k.key))
-
-    def outermost(x: Element) -> bool:
-        x = x.parent
-        while x is not None:
-            if id(x) in inner:
-                return False
-            x = x.parent
-        return True
-
-    for x in chosen:
-        if outermost(x):
-            text_of(x, path(x))
-            close()
+                if id(k) in inner:
+                    covered.add(id(k))
+                if block := k.tag in BLOCK:
+                    close()
+                if block:
+                    todo.append((None, 0))
+                todo.extend((c, here if isinstance(c, str) else step(here, c.tag, c.key)) for c in reversed(k.kids))
+        close()
+    return out, own, lost
+
+
+def _with_title(root: Element) -> set[int]:
+    """The elements that hold an h1 which is not dropped for sure."""
+    out: set[int] = set()
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        for k in x.kids:
+            if not isinstance(k, str) and not k.dropped:
+                stack.append(k)
+                if k.tag == "h1":
+                    up = k.parent
+                    while up is not None and id(up) not in out:
+                        out.add(id(up))
+                        up = up.parent
     return out
 
 
+# --- jobs ----------------------------------------------------------------------------
+
+
+def host_of(url: str) -> Column:
+    """The host in a column of addresses; a null or odd address has the empty one."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\[\]]+)", 1)), F.lit(""))
+
+
+def fixed_texts(pages: DataFrame) -> DataFrame:
+    """host and the places of its template's texts, for each host in ``pages`` (host, html) that has some.
+
+    A text is the template's if at least two different pages have it at its place, three
+    if it is long or in an element for main text, and half of the host's different pages
+    do, of long texts four fifths.  There are thus at most twice as many as texts in a page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, rows in slices(batch.column("html"), 8 << 20):
+                at, spots, marks, long, inside = [], [], [], [], []
+                for i, page in enumerate(rows.to_pylist()):
+                    mark, found = page_rows(parse(page or ""))
+                    found[0] = (False, False)
+                    at += [i] * len(found)
+                    spots += found
+                    marks += [mark] * len(found)
+                    long += [x for x, _ in found.values()]
+                    inside += [x for _, x in found.values()]
+                hosts = batch.column("host").slice(first, len(rows)).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([hosts, pa.array(spots, pa.int64()), pa.array(marks, pa.int64()), pa.array(long, pa.bool_()), pa.array(inside, pa.bool_())], ["host", "place", "mark", "long", "inside"])
+
+    rows = pages.select("host", "html").mapInArrow(run, "host string, place long, mark long, long boolean, inside boolean")
+    each = rows.groupBy("host", "place", "mark").agg(F.max("long").alias("long"), F.max("inside").alias("inside"))
+    count = storage.table(each.groupBy("host", "place").agg(F.count("*").alias("n"), F.max("long").alias("long"), F.max("inside").alias("inside")).where("n > 1"), "page-texts")
+    whole = count.where("place = 0").select("host", F.col("n").alias("pages"))
+    fixed = count.where("place <> 0").join(whole, "host").where((F.col("n") >= F.when(F.col("long") | F.col("inside"), 3).otherwise(2)) & (F.col("n") >= F.when(F.col("long"), 0.8).otherwise(0.5) * F.col("pages")))
+    return fixed.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("fixed"))
+
+
+def with_plans(pages: DataFrame, plans: DataFrame, names: list[str]) -> DataFrame:
+    """``pages`` with the columns of their hosts: by broadcast up to PLAN_BYTES, else with each host's pages in SALTS parts."""
+    size = plans.agg(F.sum(sum(F.octet_length(F.to_json(F.struct(n))) for n in names) + F.octet_length("host") + 64)).first()[0] or 0
+    if size <= PLAN_BYTES:
+        return pages.join(F.broadcast(plans), "host", "left")
+    salted = plans.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("__salt", F.pmod(F.xxhash64("html"), F.lit(SALTS))).join(salted, ["host", "__salt"], "left").drop("__salt")
+
+
 def infer(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON) of each host in ``pages`` (url, html).
+    """host and wrapper of each host in ``pages`` (host, html, fixed).
 
     Every page is aligned within its partition; the partitions' wrappers of a host
     are aligned in two turns, first in ``SALTS`` parts, so a host with many pages is
@@ -414,68 +696,76 @@ def infer(pages: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         salt = TaskContext.get().partitionId() % SALTS
-        held: dict[str, list] = {}
+        held: dict[str, list[list]] = {}  # the first is the host's wrapper so far
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"host": list(held), "salt": [salt] * len(held), "wrapper": [json.dumps(w, ensure_ascii=False) for w in held.values()]}, pa.schema([("host", pa.string()), ("salt", pa.int64()), ("wrapper", pa.string())]))
+            for ws in held.values():
+                ws[:] = [merged(ws)]
+            out = pa.RecordBatch.from_pydict({"host": list(held), "salt": [salt] * len(held), "wrapper": [packed(w) for w, in held.values()]}, pa.schema([("host", pa.string()), ("salt", pa.int64()), ("wrapper", pa.string())]))
             held.clear()
             return out
 
         for given in batches:
             for first, rows in slices(given.column("html"), 8 << 20):
-                for url, page in zip(given.column("url").slice(first, len(rows)).to_pylist(), rows.to_pylist()):
-                    host, own = host_of(url), wrapper_of(parse(page or ""), zlib.crc32((page or "").encode()))
-                    held[host] = align(held[host], own) if host in held else own
+                own_rows = given.slice(first, len(rows))
+                for host, page, fixed in zip(own_rows.column("host").to_pylist(), rows.to_pylist(), own_rows.column("fixed").to_pylist()):
+                    ws = held.setdefault(host, [])
+                    ws.append(wrapper_of(parse(page or ""), zlib.crc32((page or "").encode()), frozenset(fixed or ())))
+                    if len(ws) > AT_ONCE:
+                        ws[:] = [merged(ws)]
             if len(held) > 2000:
                 yield batch()
         yield batch()
 
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
         out = None
-        for text in sorted(rows["wrapper"]):
-            w = json.loads(text)
-            out = w if out is None else align(out, w)
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(out, ensure_ascii=False)]})
+        for text in sorted(rows.column("wrapper").to_pylist()):
+            w = unpacked(text)
+            out = w if out is None else merged([out, w])
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([packed(out)], pa.string())})
 
-    parts = pages.select("url", "html").mapInArrow(part, "host string, salt long, wrapper string")
-    some = parts.groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string")
-    return some.groupBy("host").applyInPandas(merge, "host string, wrapper string")
+    parts = pages.select("host", "html", "fixed").mapInArrow(part, "host string, salt long, wrapper string")
+    some = parts.groupBy("host", "salt").applyInArrow(merge, "host string, wrapper string")
+    return some.groupBy("host").applyInArrow(merge, "host string, wrapper string")
 
 
-def regions(wrappers: DataFrame) -> DataFrame:
-    """host and its plan (JSON): main region, kept kinds, places of fixed text."""
+def plans(wrappers: DataFrame) -> DataFrame:
+    """host and its plan (JSON): main region and kept kinds."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [plan(json.loads(w)) for w in batch["wrapper"]]
-            yield pd.DataFrame({"host": batch["host"], "plan": [json.dumps([r, sorted(kept), sorted(fixed)], ensure_ascii=False) for r, kept, fixed in found]})
+            found = [plan(unpacked(w)) for w in batch.column("wrapper").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([json.dumps([r, sorted(kept)], ensure_ascii=False) for r, kept in found], pa.string())], ["host", "plan"])
 
-    return wrappers.mapInPandas(run, "host string, plan string")
+    return wrappers.mapInArrow(run, "host string, plan string")
 
 
 @lru_cache(1024)
-def plan_of(text: str | None) -> Plan:
-    r, kept, fixed = json.loads(text or "[null, [], []]")
-    return r and tuple(r), frozenset(map(tuple, kept)), frozenset(fixed)
+def plan_of(text: str | None) -> tuple[Kind | None, frozenset[Kind]]:
+    r, kept = json.loads(text or "[null, []]")
+    return r and tuple(r), frozenset(map(tuple, kept))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
     A null or empty page has the empty text; a null or odd url counts as the empty
-    host.  White space within a block is one space, blocks are joined by \\n."""
-    found = storage.table(regions(infer(pages)), "wrappers").withColumnsRenamed({"host": "__host", "plan": "__plan"})
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\[\]]+)", 1)), F.lit(""))
-    pages = pages.select("page_id", "url", "html").withColumn("__host", host)
-    joined = storage.join_small(pages, found, ["__host"], "left", MAX_REGIONS)
+    host.  White space within a block is one space, blocks are joined by \\n.  Repeated
+    rows give repeated rows, and copies of a page do not make its text the template's.
+    Long, deep and wide pages are read whole.  An empty table gives no rows; other
+    columns of ``pages`` are not read, whatever their names."""
+    rows = pages.select("page_id", "url", "html", host_of("url").alias("host"))
+    fixed = storage.table(fixed_texts(rows), "fixed-texts")
+    known = with_plans(rows, fixed, ["fixed"])
+    found = storage.table(plans(infer(known)).join(fixed, "host", "left"), "plans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows in slices(batch.column("html"), 8 << 20):
                 part = batch.slice(first, len(rows))
                 texts = []
-                for page, text in zip(rows.to_pylist(), part.column("__plan").to_pylist()):
-                    texts.append("\n".join(blocks(parse(page or ""), *plan_of(text))))
+                for page, text, fixed in zip(rows.to_pylist(), part.column("plan").to_pylist(), part.column("fixed").to_pylist()):
+                    texts.append("\n".join(blocks(parse(page or ""), *plan_of(text), frozenset(fixed or ()))))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "__plan").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return with_plans(rows, found, ["plan", "fixed"]).select("page_id", "url", "html", "plan", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")

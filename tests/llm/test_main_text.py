@@ -1,6 +1,8 @@
 """Main text of hosts whose templates are not a bare article."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from junctura.llm import html_wrapper
 
@@ -59,3 +61,62 @@ def test_copies_are_not_the_template(spark):
     # two addresses of one story differ in their date only
     page = "<html><body><div class='date'>{}</div><article><h1>Head</h1><p>A story.</p></article></body></html>"
     assert texts(spark, [page.format("1 May 2020"), page.format("3 June 2021")]) == ["Head\nA story."] * 2
+
+
+def test_the_wrapper_decides(spark):
+    """Equal text of the host's pages goes, slots stay; without the wrapper it would all stay."""
+    html, want = pages(lambda story, i: f"<article><header>{story[: story.index('</h1>') + 5]}</header>{story[story.index('</h1>') + 5 :]}<p>Share this story with friends</p></article>")
+    assert texts(spark, html) == want
+    alone = ["\n".join(html_wrapper.blocks(html_wrapper.parse(p), None)) for p in html]
+    assert alone == [f"{w}\nShare this story with friends" for w in want]
+
+
+def test_titles_and_names_within_the_story(spark):
+    html, want = pages(lambda story, i: f"<header>Site {i}</header><article><div class='post-header share'>{story[: story.index('</h1>') + 5]}</div>{story[story.index('</h1>') + 5 :]}</article>")
+    assert texts(spark, html) == want
+
+
+def test_copies_keep_their_text(spark):
+    """Near copies of one story on a host are no template, though most pages have its paragraphs."""
+    story = "".join(f"<p>{x * 3}</p>" for x in STORY)
+    html = [f"<body><div class='date'>{i}</div><article><h1>Head {i}</h1>{story}<p>{'changed ' * 60}{i}</p></article></body>" for i in range(6)]
+    got = texts(spark, html)
+    assert all(t.startswith(f"Head {i}\n{STORY[0]}") for i, t in enumerate(got))
+
+
+@pytest.mark.parametrize("n", [3000, 100_000])
+def test_deep_and_wide_pages(spark, n):
+    html, want = pages(lambda story, i: f"<article>{story}</article>", 3)
+    deep = "<html><body><article>" + "<div>" * n + "in the deep" + "</div>" * n + "</article></body></html>"
+    wide = "<html><body><article>" + "".join(f"<p class='c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}'>x{i}</p>" for i in range(n)) + "</article></body></html>"
+    ids = "<html><body><article>" + "".join(f"<div id='k{i:x}g'>x{i}</div>" for i in range(n)) + "</article></body></html>"
+    got = texts(spark, [*html, deep, wide, ids])
+    numbers = "\n".join(f"x{i}" for i in range(n))
+    assert got[:3] == want and got[3] == "in the deep" and got[4] == numbers and got[5] == numbers
+
+
+def test_wrappers_do_not_grow_with_pages():
+    """Elements with an id of their own on each page do not stay in the wrapper."""
+    w = None
+    for i in range(300):
+        ids = "".join(f"<section class='u{chr(97 + i % 26)}{chr(97 + i // 26)}x{chr(97 + j)}'>own {i} {j}</section>" for j in range(20))
+        own = html_wrapper.wrapper_of(html_wrapper.parse(f"<body><nav>n</nav><article><p>text {i}</p>{ids}</article></body>"), i)
+        w = own if w is None else html_wrapper.merged([w, own])
+    assert sum(1 for _ in html_wrapper.walk(w)) <= html_wrapper.MAX_NODES and html_wrapper.region(w) == ("article", "")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), max_size=90), st.lists(st.sampled_from("abcdefgh"), max_size=90))
+def test_alignment_is_a_common_subsequence(x, y):
+    x, y = [(c, "") for c in x], [(c, "") for c in y]
+    found = html_wrapper.matched(x, y)
+    assert all(x[i] == y[j] for i, j in found)
+    assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="<>/pdivarticleh1 ='\"&;#!-x\n", max_size=200))
+def test_any_text_is_a_page(page):
+    html_wrapper.blocks(html_wrapper.parse(page), None)
+    w = html_wrapper.wrapper_of(html_wrapper.parse(page), 1)
+    assert html_wrapper.expression(html_wrapper.unpacked(html_wrapper.packed(w))) == html_wrapper.expression(w)
