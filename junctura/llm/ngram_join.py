@@ -28,7 +28,6 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from junctura.llm import storage
 from junctura.llm.word_encoding import slices
@@ -38,7 +37,9 @@ BANDS, WIDTH, VALUES, STEP = 20, 3, 64, 8
 TOLERANCE = 1e-8
 TILE = 512
 PAIRS_AT_ONCE = 1 << 17
-MAX_IDS = 2_000_000  # document ids that may be broadcast: 16 MB
+MAX_IDS = 1_000_000  # narrow rows that may be broadcast: about 50 MB as a hash table of one long key
+SALTS = 64
+MANY = 1_000_000  # rows of one node from which they stay where they are in joins
 _rng = np.random.default_rng(20240229)
 MULT = _rng.integers(1 << 62, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
 MASK = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -97,7 +98,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (null without words), grams and sig of each row of ``docs`` (doc_id, text)."""
+    """doc_id, h (a hash of the text), node (null without words), grams and sig of each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,9 +106,10 @@ def signed(docs: DataFrame) -> DataFrame:
                 sets = ngram_sets(rows)
                 node = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 sig = [s.tobytes() for s in signatures(sets)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(rows)), pa.array(node, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "node", "grams", "sig"])
+                part = batch.slice(first, len(rows))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(node, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "h", "node", "grams", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, grams long, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, node binary, grams long, sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -115,8 +117,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
-    """``nodes`` once for each band: key, band, and its other columns."""
-    names = nodes.columns
+    """key, band and node: each of ``nodes`` (node, sig) once for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,10 +127,20 @@ def band_keys(nodes: DataFrame) -> DataFrame:
                 key = _mix(key + (v[:, :, k] + np.uint64(1)) * PLACE[k])
             rows = pa.array(np.repeat(np.arange(len(v)), BANDS))
             band = np.tile(np.arange(BANDS, dtype=np.int32), len(v))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(band), *(batch.column(n).take(rows) for n in names)], ["key", "band", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(band), batch.column("node").take(rows)], ["key", "band", "node"])
+
+    return nodes.select("node", "sig").mapInArrow(run, "key long, band int, node binary").withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS)))
+
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
-    return nodes.mapInArrow(run, f"key long, band int, {kinds}")
+def in_shared_buckets(nodes: DataFrame) -> DataFrame:
+    """The rows of :func:`band_keys` whose bucket has more than one node, with the number ``k`` of its nodes.
+
+    Signatures stay behind, and a bucket's nodes are counted and met in SALTS parts, so
+    a bucket with very many is no one task's."""
+    bands = band_keys(nodes)
+    count = bands.withColumn("bit", F.expr("shiftleft(1L, salt)")).groupBy("key").agg(F.count("*").alias("k"), F.bit_or("bit").alias("bits")).where("k > 1")
+    parts = F.expr(f"filter(sequence(0, {SALTS - 1}), i -> (shiftrightunsigned(bits, i) & 1L) = 1L)")
+    return bands.join(count.select("key", "k", F.explode(parts).alias("salt")), ["key", "salt"]).select("key", "band", "node", "k")
 
 
 @lru_cache
@@ -320,18 +331,20 @@ def gram_rows(docs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the connected components: hooking to the smallest neighbour, then pointer jumping.
 
-    Each round writes its labels to the shared folder, so no lineage grows."""
+    Each round writes its labels to the shared folder and drops those before, so neither
+    lineage nor disk grows."""
     both = storage.table(edges.unionAll(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
     labels = storage.table(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("low"))
-        hooked = labels.join(near, "node").select("node", F.least("label", "low").alias("label"), F.col("label").alias("old"))
-        hooked = storage.table(hooked, "labels")
+        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("low"))
+        hooked = storage.table(labels.select("node", "label").join(near, "node").select("node", F.least("label", "low").alias("label"), F.col("label").alias("old")), "labels")
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
         now = storage.table(hooked.join(jump, "label").select("node", F.col("next").alias("label"), "old"), "labels")
+        storage.drop(labels, hooked)
         if now.where("label <> old").isEmpty():
-            return now.select("node", "label")
-        labels = now.drop("old")
+            storage.drop(both)
+            return now
+        labels = now
 
 
 def _tiles(rows: DataFrame, tile: int) -> DataFrame:
@@ -346,28 +359,32 @@ def _tiles(rows: DataFrame, tile: int) -> DataFrame:
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, node; nodes: node, class_id, n_links, n_copies, label of the component)."""
+    """(rows: doc_id, h, node; nodes: node, class_id, n_links, n_copies, label of the component), two tables."""
     rows = storage.table(signed(docs), "signatures")
     some = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
     nodes = storage.table(some, "nodes")
     narrow = nodes.select("node", "sig")
-    shared = band_keys(narrow).select("key").groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    tiled = _tiles(band_keys(narrow).join(shared, "key"), tile)
+    tiled = _tiles(in_shared_buckets(narrow).join(narrow, "node"), tile)
     by = ["key", "t1", "t2"]
     dealt = lambda df: df.repartition(*by).sortWithinPartitions(*by)
     need = storage.table(candidates(dealt(tiled), threshold, tolerance), "candidates")
-    chosen = nodes.join(need.select("node").distinct(), "node", "left_semi").select(F.col("doc").alias("__doc")).distinct()
-    few = storage.checked_broadcast(storage.table(chosen, "chosen"), MAX_IDS)  # else texts are shuffled to meet them
-    wanted = docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
+    chosen = storage.table(nodes.join(need.select("node").distinct(), "node", "left_semi").select("doc").distinct(), "chosen")
+    few = storage.checked_broadcast(chosen.where("doc IS NOT NULL").withColumnRenamed("doc", "doc_id"), MAX_IDS)  # else texts are shuffled to meet them
+    wanted = docs.select("doc_id", "text").join(few, "doc_id", "left_semi")
+    if not chosen.where("doc IS NULL").isEmpty():
+        wanted = wanted.unionByName(docs.select("doc_id", "text").where("doc_id IS NULL"))
     grams = gram_rows(wanted).groupBy("node").agg(F.first("grams").alias("grams"))
     full = need.join(grams, "node").join(narrow, "node").select(*by, "band", "side", "node", "sig", "grams")
     exact = storage.table(verified(dealt(full), threshold, tolerance), "verified")
+    storage.drop(need, chosen)
     degree = exact.groupBy("node").agg(F.sum("degree").alias("n_links"))
     label = components(exact.where("other IS NOT NULL").select("node", "other"))
-    named = nodes.select("node", "doc", "n_copies").join(label, "node", "left").join(degree, "node", "left")
-    named = named.withColumn("label", F.coalesce("label", "node"))
-    lowest = named.groupBy("label").agg(F.min("doc").alias("class_id"))
-    return rows.select("doc_id", "node"), named.join(lowest, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies", "label")
+    named = nodes.select("node", "doc", "n_copies").join(label.select("node", "label"), "node", "left").join(degree, "node", "left")
+    named = storage.table(named.select("node", "doc", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies", F.coalesce("label", "node").alias("label")), "named")
+    storage.drop(nodes, exact, label)
+    lowest = named.groupBy("label").agg(F.min("doc").alias("class_id"), F.count("*").alias("of_class"))
+    out = storage.join_heavy(named.drop("doc"), lowest, ["label"], F.col("of_class") >= MANY)
+    return rows.select("doc_id", "h", "node"), out.select("node", "class_id", "n_links", "n_copies", "label")
 
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -376,43 +393,38 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``class_id`` is the smallest id of the row's connected component, ``n_links`` the
     number of different texts (by n-gram set) with a coefficient of at least
     ``threshold``, ``n_copies`` the rows with the same n-gram set, itself included.  A
-    text without words has no links and its own id as class.  Rows without an id are
-    joined like others; a component of such rows alone has a null class."""
+    null or empty text, or one without words, has no links and its own id as class.
+    Rows without an id and repeated rows are joined like others; a component of rows
+    without ids alone has a null class.  Texts are read whole; an empty table gives no
+    rows; other columns of ``docs`` are not read, whatever their names."""
     rows, nodes = links(docs, threshold)
-    own = F.coalesce("class_id", F.when(F.col("node").isNull(), F.col("doc_id")))
-    return rows.join(nodes, "node", "left").select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
-
-
-def with_node(docs: DataFrame) -> DataFrame:
-    """``docs`` with the column __node, null for a text without words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, rows in slices(batch.column("text"), 4 << 20):
-                node = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in ngram_sets(rows)]
-                part = batch.slice(first, len(rows))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, pa.binary())], [*part.schema.names, "__node"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.BinaryType())]))
+    wordy = storage.join_heavy(rows.where("node IS NOT NULL"), nodes, ["node"], F.col("n_copies") >= MANY)
+    none = rows.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return wordy.select("doc_id", "class_id", "n_links", "n_copies").unionByName(none)
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are the first of their class, one row a class.
+    """One row of each class of near copies: that with the smallest id, of those the one with the smallest hash of its text.
 
-    Rows that share an id are told apart by their n-gram sets: unrelated texts stay,
-    of copies and near copies one row.  Rows without an id all stay."""
+    Rows are told apart by id and text, so unrelated texts with one id all stay.  Rows
+    without an id come last in their class.  Of rows that are equal in both, the first by
+    all their columns stays.  Rows without words are in no class and all stay.  All
+    columns stay as they are, whatever their names (but for __id and __h)."""
     rows, nodes = links(docs, threshold)
-    named = rows.where("doc_id IS NOT NULL").join(nodes.select("node", "class_id", "label"), "node", "left")
-    found = storage.table(named.withColumn("first", F.col("node").isNull() | F.col("class_id").eqNullSafe(F.col("doc_id"))), "classes")
-    count = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("first"), 1)).alias("firsts"))
-    ids = storage.table(count.where("n <> 1 OR firsts <> 1"), "not-once")
-    gone = storage.checked_broadcast(ids.select("doc_id"), MAX_IDS)  # else texts are shuffled to meet them
-    out = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
-    shared = ids.where("firsts > 0").select(F.col("doc_id").alias("__doc"))
-    if not shared.isEmpty():
-        some = docs.join(storage.checked_broadcast(shared, MAX_IDS), F.col("doc_id") == F.col("__doc"), "left_semi")
-        first = found.where("first").join(shared, F.col("doc_id") == F.col("__doc"), "left_semi").groupBy(F.col("doc_id").alias("__doc"), "label").agg(F.min("node").alias("__first")).drop("label")
-        kept = with_node(some).join(first, (F.col("doc_id") == F.col("__doc")) & F.col("__node").eqNullSafe(F.col("__first")), "left_semi")
-        out = out.unionByName(kept.dropDuplicates(["doc_id", "__node"]).drop("__node"))
-    nameless = docs.where("doc_id IS NULL")
-    return out if nameless.isEmpty() else out.unionByName(nameless)
+    wordy = storage.join_heavy(rows.where("node IS NOT NULL"), nodes.select("node", "label", "n_copies"), ["node"], F.col("n_copies") >= MANY)
+    known = storage.table(wordy.select("label", "doc_id", "h"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))).alias("first")
+    heads = known.groupBy("label").agg(first, F.count("*").alias("of_class")).where("of_class > 1")
+    several = storage.table(storage.join_heavy(known, heads, ["label"], F.col("of_class") >= MANY).select("doc_id", "h", (F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))).alias("stays")), "several")
+    gone = several.where("NOT stays").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    twice = storage.table(several.where("stays").groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+    same = lambda right: (F.xxhash64(docs["text"]) == right["__h"]) & docs["doc_id"].eqNullSafe(right["__id"])
+    gone = storage.table(gone.unionByName(twice), "gone")
+    few = storage.checked_broadcast(gone, MAX_IDS)  # else texts are shuffled to meet them
+    out = docs.join(few, same(few), "left_anti")
+    if twice.isEmpty():
+        return out
+    names = docs.columns
+    repeated = docs.join(twice, same(twice), "left_semi")
+    each = repeated.groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h")).agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("row"))
+    return out.unionByName(each.select(*[F.col("row")[n].alias(n) for n in names]))

@@ -12,7 +12,7 @@ import os
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_DEFAULT = "file:///tmp/checkpoints/junctura"
@@ -43,10 +43,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release() -> None:
-    """Delete the folders made so far whose session is still alive."""
-    while _made:
-        spark, path = _made.pop()
+def mark() -> int:
+    """A point in time, for :func:`release`."""
+    return len(_made)
+
+
+def release(since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the folders made since a :func:`mark` whose session is alive, but not those of the tables to keep."""
+    kept = {df.folder for df in keep}
+    stay = [x for x in _made[since:] if x[1] in kept]
+    gone = [x for x in _made[since:] if x[1] not in kept]
+    _made[since:] = stay
+    for spark, path in gone:
         try:
             if spark.sparkContext._jsc is not None:
                 remove(spark, path)
@@ -54,15 +62,25 @@ def release() -> None:
             pass
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that nothing reads any more."""
+    gone = {df.folder for df in tables}
+    for at in range(len(_made) - 1, -1, -1):
+        if _made[at][1] in gone:
+            remove(*_made.pop(at))
+
+
 atexit.register(release)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage."""
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage.  ``folder`` of the result says where."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
 
 
 def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -70,6 +88,20 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_heavy(left: DataFrame, right: DataFrame, on: list[str], heavy: Column, max_rows: int = 100_000) -> DataFrame:
+    """The inner join of two tables where the rows of ``right`` that are ``heavy`` meet very many of ``left``.
+
+    Those are broadcast, so their partners stay where they are; the others meet by a
+    shuffle.  ``right`` has a row a key.  Above ``max_rows`` heavy rows (each has its
+    thousands of partners, so the data are large) all meet by the shuffle."""
+    hot = right.where(heavy)
+    n = hot.limit(max_rows + 1).count()
+    if not 0 < n <= max_rows:
+        return left.join(right, on)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(~heavy), on)
+    return left.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, max_rows: int = 20_000) -> DataFrame:
     return left.join(checked_broadcast(right, max_rows), on, how)
 
