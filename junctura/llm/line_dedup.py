@@ -13,8 +13,8 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ SPACE = " \t\n\x0b\f\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MIN_CHARS, MIN_DOCS = 40, 5
 SLOTS, KICKS = 4, 500
+PER_SHARD = 200_000  # hot keys of a filter: 1 MB
+MANY = 1_000_000  # documents with one line from which their references stay where they are
 MAGIC = b"CKF1"
 
 
@@ -142,9 +144,12 @@ class LineIndex:
     """The tables and filters of one corpus, below a shared folder.
 
     A row without an id counts as no document: it is never the one that keeps a
-    line.  Rows that share an id are one document."""
+    line.  Rows that share an id are one document.  Insertions and deletions touch the
+    references of the documents they name and add their differences to the counts; only
+    where a key loses its last document is the next one looked up.  There is a filter for
+    each PER_SHARD hot keys, more as they grow, so none outgrows a task."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, shards: int = 64, min_docs: int = MIN_DOCS):
+    def __init__(self, spark: SparkSession, folder: str | None = None, shards: int | None = None, min_docs: int = MIN_DOCS):
         self.spark, self.folder = spark, folder or storage.new_folder(spark, "line-index")
         self.shards, self.min_docs, self.version = shards, min_docs, 0
         self.refs: DataFrame | None = None
@@ -155,70 +160,108 @@ class LineIndex:
         """Add documents; those already there are not counted twice."""
         new = keys(docs).where("doc_id IS NOT NULL").distinct()
         if self.refs is not None:
-            new = new.join(self._live(), ["h1", "h2", "doc_id"], "left_anti")
+            new = new.join(self._live(docs), ["h1", "h2", "doc_id"], "left_anti")
         self._apply(new.withColumn("sign", F.lit(1)))
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take out the documents whose ids are in the column ``doc_id``."""
         if self.refs is not None:
-            gone = self._live().join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-            self._apply(gone.withColumn("sign", F.lit(-1)))
+            self._apply(self._live(doc_ids).withColumn("sign", F.lit(-1)))
 
-    def _live(self) -> DataFrame:
+    def _live(self, of: DataFrame | None = None) -> DataFrame:
+        """The references that hold, of all documents or of those whose ids are in ``of``."""
+        refs = self.refs if of is None else self.refs.join(of.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
         if self.version == 1:
-            return self.refs.drop("sign")
-        return self.refs.groupBy("h1", "h2", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
+            return refs.select("h1", "h2", "doc_id")
+        return refs.groupBy("h1", "h2", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
+
+    def _table(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def _apply(self, delta: DataFrame) -> None:
         self.version += 1
-        delta.write.option("compression", "zstd").parquet(f"{self.folder}/refs/version={self.version}")
+        delta = self._table(delta.select("h1", "h2", "doc_id", F.col("sign").cast("int").alias("sign")), f"refs/version={self.version}")
         self.refs = self.spark.read.schema("h1 long, h2 long, doc_id long, sign int").parquet(f"{self.folder}/refs").drop("version")
         before = self.counts
-        many = self._live().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        many.write.option("compression", "zstd").parquet(f"{self.folder}/counts-{self.version}")
-        self.counts = self.spark.read.parquet(f"{self.folder}/counts-{self.version}")
+        last = F.max(F.when(F.col("sign") > 0, F.col("doc_id")))
+        change = delta.groupBy("h1", "h2").agg(F.sum("sign").alias("more"), last.alias("new_last"), F.max(F.when(F.col("sign") < 0, F.col("doc_id"))).alias("lost"))
+        if before is None:
+            many = change.select("h1", "h2", F.col("more").alias("n_docs"), F.col("new_last").alias("last_doc"))
+        else:
+            both = before.join(change, ["h1", "h2"], "full")
+            both = both.select("h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "new_last").alias("last_doc"), F.coalesce(F.col("lost") >= F.col("last_doc"), F.lit(False)).alias("open")).where("n_docs > 0")
+            if delta.where("sign < 0").isEmpty():
+                many = both.drop("open")
+            else:
+                both = self._table(both, f"counts-open-{self.version}")
+                lost = both.where("open").select("h1", "h2")
+                found = self.refs.join(lost, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0")
+                found = found.groupBy("h1", "h2").agg(F.max("doc_id").alias("found"))
+                many = both.join(found, ["h1", "h2"], "left").select("h1", "h2", "n_docs", F.when(F.col("open"), F.col("found")).otherwise(F.col("last_doc")).alias("last_doc"))
+        self.counts = self._table(many, f"counts-{self.version}")
         self._filters(before)
 
+    def compact(self) -> None:
+        """Write the references that hold as one version, so that the log of changes starts anew."""
+        live = self._live().withColumn("sign", F.lit(1))
+        self.folder, old = storage.new_folder(self.spark, "line-index"), self.folder
+        self._table(live, "refs/version=1")
+        self.refs = self.spark.read.schema("h1 long, h2 long, doc_id long, sign int").parquet(f"{self.folder}/refs").drop("version")
+        self.counts, self.version, self.filter_version = self._table(self.counts, "counts-1"), 1, {}
+        storage.remove(self.spark, old)
+        self._filters(None)
+
     def hot(self) -> DataFrame:
         """The keys found in enough documents: h1, h2, n_docs, last_doc."""
         return self.counts.where(F.col("n_docs") >= self.min_docs)
 
     def _filters(self, before: DataFrame | None) -> None:
-        """Bring each shard's filter to the keys that are now hot: insertions and deletions only."""
+        """Bring each shard's filter to the keys that are now hot, by insertions and deletions.
+
+        A filter that is full is made anew from the exact table, and all of them, in
+        twice as many shards as are needed, where there are too few."""
         now = self.hot().select("h1", "h2")
-        if before is None:
+        n = now.count()
+        if self.shards is None or n > 2 * PER_SHARD * self.shards:
+            self.shards, self.filter_version = max(1, 2 * n // PER_SHARD), {}
+        if before is None or not self.filter_version:
             delta = now.withColumn("add", F.lit(True))
         else:
             was = before.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
             delta = now.join(was, ["h1", "h2"], "left_anti").withColumn("add", F.lit(True)).unionByName(was.join(now, ["h1", "h2"], "left_anti").withColumn("add", F.lit(False)))
-        folder, shards, version = self.folder, self.shards, self.version
+        folder, version, known = self.folder, self.version, dict(self.filter_version)
 
-        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            path = f"{folder}/filter-{int(key[0]):05d}"
-            out = _read_filter(path, version)
-            add, gone = (rows["h2"][rows["add"] == x].to_numpy().astype(np.uint64) for x in (True, False))
-            if out is None:
+        def numbers(rows: pa.Table) -> np.ndarray:
+            return rows.column("h2").to_numpy().astype(np.uint64)
+
+        def run(key: tuple, rows: pa.Table) -> pa.Table:
+            shard = key[0].as_py()
+            add, gone = (numbers(rows.filter(pc.equal(rows.column("add"), x))) for x in (True, False))
+            if shard not in known:
                 out = CuckooFilter.of(add)
-            elif out.size + len(add) - len(gone) > 0.9 * out.table.size:
-                out = None  # too small: made anew from the exact table
             else:
-                out.delete(gone)
-                out = out if out.insert(add) else None
+                # the version is named by the driver: a task that runs again applies a change once
+                with storage.open_file(f"{folder}/filter-{shard:05d}.{known[shard]}") as f:
+                    out = CuckooFilter.from_bytes(f.read())
+                if out.size + len(add) - len(gone) > 0.9 * out.table.size:
+                    out = None
+                else:
+                    out.delete(gone)
+                    out = out if out.insert(add) else None
             if out is not None:
-                storage.put_bytes(f"{path}.{version}", out.to_bytes())
-            return pd.DataFrame({"shard": [int(key[0])], "rebuild": [out is None]})
+                storage.put_bytes(f"{folder}/filter-{shard:05d}.{version}", out.to_bytes())
+            return pa.table({"shard": pa.array([shard], pa.int64()), "rebuild": [out is None]})
 
-        shard = F.pmod(F.col("h1"), F.lit(shards)).alias("shard")
-        done = storage.table(delta.groupBy(shard).applyInPandas(run, "shard long, rebuild boolean"), "line-filters")
-        changed = done.collect()  # a row a shard
+        def anew(key: tuple, rows: pa.Table) -> pa.Table:
+            storage.put_bytes(f"{folder}/filter-{key[0].as_py():05d}.{version}", CuckooFilter.of(numbers(rows)).to_bytes())
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int64())})
+
+        shard = F.pmod(F.col("h1"), F.lit(self.shards)).alias("shard")
+        changed = self._table(delta.groupBy(shard).applyInArrow(run, "shard long, rebuild boolean"), f"filters-{version}").collect()  # a row a shard
         rebuild = [r.shard for r in changed if r.rebuild]
         if rebuild:
-
-            def anew(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-                storage.put_bytes(f"{folder}/filter-{int(key[0]):05d}.{version}", CuckooFilter.of(rows["h2"].to_numpy().astype(np.uint64)).to_bytes())
-                return pd.DataFrame({"shard": [int(key[0])]})
-
-            storage.table(now.where(F.pmod("h1", F.lit(shards)).isin(rebuild)).groupBy(shard).applyInPandas(anew, "shard long"), "line-filters")
+            self._table(now.where(F.pmod("h1", F.lit(self.shards)).isin(rebuild)).groupBy(shard).applyInArrow(anew, "shard long"), f"filters-anew-{version}").count()
         for r in changed:
             self.filter_version[r.shard] = version
 
@@ -247,8 +290,8 @@ class LineIndex:
 
     def drops(self) -> DataFrame:
         """doc_id and ``__drops``, the keys that each document of the index loses."""
-        own = self.refs.drop("sign") if self.version == 1 else self._live()
-        lose = self.screened(own).join(self.hot().select("h1", "h2", "last_doc"), ["h1", "h2"]).where("doc_id <> last_doc")
+        hot = self.hot().select("h1", "h2", "last_doc", "n_docs")
+        lose = storage.join_heavy(self.screened(self._live()), hot, ["h1", "h2"], F.col("n_docs") >= MANY).where("doc_id <> last_doc")
         return lose.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("__drops"))
 
     def dedup(self, docs: DataFrame) -> DataFrame:
@@ -291,29 +334,6 @@ class LineIndex:
         return joined.mapInArrow(run, schema)
 
 
-def _read_filter(path: str, below: int) -> CuckooFilter | None:
-    """The latest version of a shard's filter before ``below``, or None.
-
-    A task that is run again starts from the same version, so it applies a change once."""
-    parsed = storage._local(path)
-    if parsed is not None:
-        import glob
-
-        found = [p for p in glob.glob(f"{parsed}.*") if p.rsplit(".", 1)[1].isdigit()]
-    else:
-        from pyarrow import fs
-
-        store, name = fs.FileSystem.from_uri(path.rsplit("/", 1)[0])
-        found = [x.path for x in store.get_file_info(fs.FileSelector(name, allow_not_found=True)) if x.path.startswith(f"{name}/{path.rsplit('/', 1)[1]}.") and x.path.rsplit(".", 1)[1].isdigit()]
-        found = [f"{path.rsplit('/', 1)[0]}/{x.rsplit('/', 1)[1]}" for x in found]
-    number = lambda p: int(p.rsplit(".", 1)[1])
-    found = [p for p in found if number(p) < below]
-    if not found:
-        return None
-    with storage.open_file(max(found, key=number)) as f:
-        return CuckooFilter.from_bytes(f.read())
-
-
 def _index(docs: DataFrame) -> LineIndex:
     index = LineIndex(docs.sparkSession)
     index.insert(docs)
@@ -321,12 +341,17 @@ def _index(docs: DataFrame) -> LineIndex:
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped and kept_sha256 of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_lines, n_dropped and kept_sha256 of every row of ``docs`` (doc_id, text).
+
+    A null or empty text is one empty line.  Rows that share an id are one document, a
+    row without one loses every hot line.  Of equal lines in the document that keeps
+    them all stay.  Texts are read whole; an empty table gives no rows; other columns
+    are not read, whatever their names."""
     docs = docs.select("doc_id", "text")
     out = _index(docs).dedup(docs)
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def deduped(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines dropped."""
+    """``docs`` with the lines dropped, as :func:`line_dedup` counts them; other columns as they are (but for __drops, __lines, __dropped)."""
     return _index(docs).dedup(docs).select(*docs.columns)

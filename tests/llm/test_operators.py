@@ -205,10 +205,39 @@ def test_lines_are_reversible(spark):
     assert got(index, rows[50:]) == brute_lines(rows[50:])
     index.insert(frame(rows[:50]))
     assert got(index, rows) == brute_lines(rows)
+    index.compact()
+    assert got(index, rows) == brute_lines(rows)
+    index.delete(frame(rows[20:]))
+    assert got(index, rows[:20]) == brute_lines(rows[:20])
     index.delete(frame(rows))
     assert index.hot().count() == 0
 
 
+def test_counts_follow_each_change(spark, monkeypatch):
+    """After random insertions and deletions the counts, the last documents and the filters are those of what is left."""
+    monkeypatch.setattr(line_dedup, "PER_SHARD", 2)
+    monkeypatch.setattr(line_dedup, "MANY", 6)
+    rng = random.Random(5)
+    pool = [f"line {k} " + "y" * 40 for k in range(40)]
+    text = {i: "\n".join(rng.sample(pool, 6)) for i in range(40)}
+    frame = lambda ids: spark.createDataFrame([(i, text[i]) for i in ids], "doc_id long, text string")
+    index, held = line_dedup.LineIndex(spark), set()
+    for turn in range(4):
+        some = set(rng.sample(range(40), 20))
+        (index.delete if turn in (1, 3) else index.insert)(frame(sorted(some)))
+        held = held - some if turn in (1, 3) else held | some
+        want = collections.defaultdict(list)
+        for i in held:
+            for x in text[i].split("\n"):
+                want[line_dedup.key_of(x)].append(i)
+        got = {np.array([r.h1, r.h2], "<i8").tobytes(): (r.n_docs, r.last_doc) for r in index.counts.collect()}
+        assert got == {k: (len(v), max(v)) for k, v in want.items()}
+        assert {(r.h1, r.h2) for r in index.hot().collect()} <= {(r.h1, r.h2) for r in index.screened(index.counts.select("h1", "h2")).collect()}
+        rows = [(i, text[i]) for i in sorted(held)]
+        assert {r.doc_id: r.text for r in index.dedup(frame(sorted(held))).collect()} == brute_lines(rows)
+    assert index.shards > 4
+
+
 def test_line_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
