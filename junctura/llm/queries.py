@@ -14,46 +14,57 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, from their wavelet shards.  Edge cases: :func:`junctura.llm.wavelet.wavelet_tokens`."""
     return wavelet.wavelet_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op2_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence pieces of all documents, encoded and decoded.  Edge cases: :func:`junctura.llm.prefix_table.encode_decode`."""
     return prefix_table.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages.  Edge cases: :func:`junctura.llm.html_wrapper.extract`."""
     return html_wrapper.extract(_table(spark, sf_dir, "pages"))
 
 
 def op4_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 ids.  Edge cases: :func:`junctura.llm.packing.pack`."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and statements of all documents.  Edge cases: :func:`junctura.llm.licenses.scan`."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents, with thresholds from all labels.  Edge cases: :func:`junctura.llm.quality.quality`."""
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as media containers, read back.  Edge cases: :func:`junctura.llm.iso_media.media_columns`."""
     return iso_media.media_columns(_table(spark, sf_dir, "documents"))
 
 
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents.  Edge cases: :func:`junctura.llm.pii.detect`."""
     return pii.detect(_table(spark, sf_dir, "documents"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of near copies of all documents.  Edge cases: :func:`junctura.llm.ngram_join.ngram_join`."""
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that many share.  Edge cases: :func:`junctura.llm.line_dedup.line_dedup`."""
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of the corpus pipeline over all documents.  Edge cases: the stages in ``corpus_pipeline``."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
@@ -69,7 +80,8 @@ def _quality_sql(alpha: float = 0.05, delta: float = 0.05) -> str:
 WITH w0 AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS stratum FROM documents),
 word AS (
-  SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS p FROM (SELECT r, regexp_extract_all(t, '[^ 	-]+') AS w FROM w0)),
+  SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS p FROM (SELECT r, regexp_extract_all(t, '[^ 	-
+]+') AS w FROM w0)),
 win AS (
   SELECT r, p, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM word WINDOW o AS (PARTITION BY r ORDER BY p)),
 twice AS (
@@ -80,7 +92,8 @@ n_word AS (
   SELECT r, count(*) AS n_words, sum(length(a)) AS word_chars FROM word GROUP BY r),
 n_line AS (
   SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM w0)
-  WHERE regexp_matches(x, '[^ 	-]') GROUP BY r),
+  WHERE regexp_matches(x, '[^ 	-
+]') GROUP BY r),
 c AS (
   SELECT r, doc_id, stratum, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
@@ -118,9 +131,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN lost USING (r)"""
 
 
+NGRAM_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT r, doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))))
+                         WHEN len(w) > 0 THEN ['<' || array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+named AS MATERIALIZED (
+  SELECT r, doc_id, g, CASE WHEN len(g) > 0 THEN sha256(array_to_string(g, chr(10))) END AS node FROM grams),
+node AS MATERIALIZED (
+  SELECT node, any_value(g) AS g, min(doc_id) AS doc, count(*) AS n_copies FROM named WHERE node IS NOT NULL GROUP BY node),
+piece AS MATERIALIZED (SELECT node, len(g) AS n, unnest(g) AS x FROM node),
+link AS MATERIALIZED (
+  SELECT a.node AS a, b.node AS b FROM piece a JOIN piece b ON a.x = b.x AND a.node <> b.node
+  GROUP BY a.node, b.node HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+reach AS (
+  SELECT node AS a, node AS b FROM node
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+class AS (SELECT reach.a AS node, min(node.doc) AS class_id FROM reach JOIN node ON node.node = reach.b GROUP BY reach.a),
+degree AS (SELECT a AS node, count(*) AS n_links FROM link GROUP BY a)
+SELECT doc_id, CASE WHEN node IS NULL THEN doc_id ELSE class_id END AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies
+FROM named LEFT JOIN class USING (node) LEFT JOIN degree USING (node) LEFT JOIN (SELECT node, n_copies FROM node) USING (node)"""
+
 # Where the rows of a query follow from SQL alone.
 ORACLES: dict[str, str] = {
     "op6_quality_rules": _quality_sql(),
+    "op9_ngram_join": NGRAM_SQL,
     "op10_line_dedup": r"""
 WITH line AS (
   SELECT doc_id, i, x AS line,

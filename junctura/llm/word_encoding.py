@@ -7,6 +7,7 @@ encodes each of those once, and numpy gathers the ids.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,22 @@ def cut_at_space(text: str, limit: int) -> list[str]:
     return parts
 
 
+# How a tokenizer normalizes and splits for which this module is exact.
+NORMALIZERS = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+SPLITTERS = [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel", None)]
+
+
+def check_kind(path: str) -> None:
+    """Refuse a tokenizer file for which this module's ids would not be the library's."""
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    steps = lambda x, name: [(y["type"], (y.get("pattern") or {}).get("Regex")) for y in (x or {}).get(name, [])]
+    model = given["model"]
+    found = steps(given.get("normalizer"), "normalizers"), steps(given.get("pre_tokenizer"), "pretokenizers"), model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")
+    if found != (NORMALIZERS, SPLITTERS, "BPE", "</w>", None):
+        raise ValueError(f"{path}: not a tokenizer that can be encoded word by word")
+
+
 class WordEncoder:
     """Rows are encoded in three ways with the same result: plain ones by pre-token,
     others by word, and those with a special token's text by the library as a whole."""
@@ -67,6 +84,7 @@ class WordEncoder:
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
+        check_kind(path)
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)

@@ -193,3 +193,15 @@ def test_pii_context_and_length():
     assert [s[:3] for s in pii.find("ES91 2100 0418 4502 0005 1332 TO")] == [("iban", 0, 29)]
     assert [s[0] for s in pii.find("Party of 123-45-6789 social")] == ["ssn"]
     assert pii.find("hotel ship partly 123-45-6789") == [] and pii.find("DE89370400440532013000x") == []
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    from junctura.llm import word_encoding
+
+    with open(WORD, encoding="utf-8") as f:
+        given = f.read()
+    other = tmp_path / "other.json"
+    other.write_text(given.replace('"Lowercase"', '"NFKC"'), encoding="utf-8")
+    with pytest.raises(ValueError):
+        word_encoding.WordEncoder(str(other))
+    word_encoding.check_kind(WORD)

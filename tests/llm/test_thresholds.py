@@ -4,6 +4,7 @@ from math import comb
 
 import duck
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from junctura.llm import quality, queries, storage
@@ -86,7 +87,8 @@ def test_each_large_stratum_has_a_cutoff(spark):
     assert got.get((0, True), 0) < 0.05 * got[0, False] and got.get((1, False), 0) < 0.05 * got[1, True]
 
 
-def test_sql(spark, sf):
-    got = queries.op6_quality_rules(spark, sf).toPandas()
-    want = duck.connect(sf).sql(queries.ORACLES["op6_quality_rules"]).df()
+@pytest.mark.parametrize("name", ["op6_quality_rules", "op9_ngram_join"])
+def test_sql(spark, sf, name):
+    got = queries.QUERIES[name](spark, sf).toPandas()
+    want = duck.connect(sf).sql(queries.ORACLES[name]).df()
     assert duck.rows(got) == duck.rows(want)
