@@ -29,3 +29,28 @@ def test_stages(spark):
             assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == {r.doc_id for r in before.select("doc_id").collect()}
     assert seen == ["quality_rules", "line_dedup", "near_duplicates", "personal_data", "packing"]
     assert docs.count() == queries.pipeline(spark, SF).count()
+
+
+def test_edge_rows_through_all_stages(spark, tmp_path):
+    """Nulls, repeated rows and ids, large ids, clashing names and an empty table."""
+    prose = " ".join(f"word{i} and{i % 7} other{i % 11} thing{i % 13}" for i in range(80))
+    big = (1 << 53) + 1
+    rows = [
+        (big, prose, "en", "s", 5), (big + 2, prose + " end", "en", None, None), (big, prose, "en", "s", 5), (big, prose[::-1], None, "s", 1), (None, prose + " more", "de", "s", 2),
+        (None, None, None, None, None), (1, "", "en", "s", 0), (2, None, "en", "s", None), (3, "x " * 200_000, "en", "s", 1), (4, "mail a@b.co " + prose.replace("word", "term"), "en", "s", 1),
+    ]
+    extra = [(*r, "n", 1, "h", 2, "p") for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, k int, h string, label int, part string"
+    spark.createDataFrame([(big, 1, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(extra, schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = storage.table(stage(spark, docs, str(tmp_path)), "t")
+        assert docs.columns == schema.replace(",", "").split(" ")[0::2], name
+    got = {(r.doc_id, r.text[:10]) for r in docs.collect()}
+    assert got == {(big, prose[:10]), (big, prose[::-1][:10]), (4, "mail [EMAI")}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == {big, 4}
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0
