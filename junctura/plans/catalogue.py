@@ -81,11 +81,11 @@ def exon_skip(spark, sf_dir):
     return events.exon_skip(graph.edges(exons(spark, sf_dir)))
 
 
-@query(f"""{WITH}, path AS (SELECT a.gene_id, a.us "as", a.ue ae, a.vs bs, a.ve be, b.vs ds, b.ve de
-  FROM edge a JOIN edge b ON a.gene_id = b.gene_id AND a.vs = b.us AND a.ve = b.ue)
-SELECT p.gene_id, p."as" e1s, p.ae e1e, p.bs e2s, p.be e2e, q.bs e3s, q.be e3e, p.ds e4s, p.de e4e
-FROM path p JOIN path q ON p.gene_id = q.gene_id AND p."as" = q."as" AND p.ae = q.ae AND p.ds = q.ds AND p.de = q.de AND q.bs >= p.be
-WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.gene_id = p.gene_id AND e.us = p.bs AND e.ue = p.be AND e.vs = q.bs AND e.ve = q.be)""")
+@query(f"""{WITH}, path AS MATERIALIZED (SELECT a.gene_id, a.us "as", a.ue ae, a.vs bs, a.ve be, b.vs ds, b.ve de
+  FROM edge a JOIN edge b ON a.gene_id = b.gene_id AND a.vs = b.us AND a.ve = b.ue),
+both_ways AS MATERIALIZED (SELECT p.gene_id, p."as" e1s, p.ae e1e, p.bs e2s, p.be e2e, q.bs e3s, q.be e3e, p.ds e4s, p.de e4e
+  FROM path p JOIN path q ON p.gene_id = q.gene_id AND p."as" = q."as" AND p.ae = q.ae AND p.ds = q.ds AND p.de = q.de WHERE q.bs >= p.be)
+SELECT b.* FROM both_ways b ANTI JOIN edge e ON e.gene_id = b.gene_id AND e.us = b.e2s AND e.ue = b.e2e AND e.vs = b.e3s AND e.ve = b.e3e""")
 def mutex_exons(spark, sf_dir):
     return events.mutex_exons(graph.edges(exons(spark, sf_dir)))
 
@@ -116,7 +116,18 @@ def alt_left(spark, sf_dir):
     return events.alt_left(graph.edges(exons(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EXON}, {PAIR}, {EDGE}, step AS MATERIALIZED (SELECT gene_id, {{'s': us, 'e': ue}} AS a, {{'s': vs, 'e': ve}} AS b FROM edge),
+way AS (
+  SELECT gene_id, a AS first, b AS last, 1 AS n, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS back FROM step
+  UNION ALL
+  SELECT way.gene_id, first, step.b, n + 1, list_prepend(way.last, back) FROM way JOIN step ON step.gene_id = way.gene_id AND step.a = way.last),
+around AS (
+  SELECT w.gene_id, w.first, w.last, n, back, row_number() OVER (PARTITION BY w.gene_id, w.first, w.last ORDER BY n, back) AS low, row_number() OVER (PARTITION BY w.gene_id, w.first, w.last ORDER BY n DESC, back) AS high
+  FROM way w SEMI JOIN step s ON s.gene_id = w.gene_id AND s.a = w.first AND s.b = w.last WHERE n > 1),
+chosen AS (
+  SELECT gene_id, first, last, coalesce(max(back) FILTER (low = 1 AND n > 2), max(back) FILTER (high = 1 AND n > 2)) AS back FROM around GROUP BY ALL)
+SELECT gene_id, first.s AS us, first.e AS ue, last.s AS vs, last.e AS ve, len(back) AS n_inner,
+  array_to_string(list_transform(list_reverse(back), lambda x: concat(x.s, '-', x.e)), ':') AS inner_exons FROM chosen WHERE back IS NOT NULL""")
 def mult_exon_skip(spark, sf_dir):
     out = events.mult_exon_skip(graph.edges(exons(spark, sf_dir)))
     return out.select("gene_id", "us", "ue", "vs", "ve", F.size("inner").cast("long").alias("n_inner"), F.array_join(F.transform("inner", lambda x: F.concat_ws("-", x["start"], x["stop"])), ":").alias("inner_exons"))
@@ -443,17 +454,16 @@ def nearest_exon(spark, sf_dir):
     return intervals.nearest_before(graph.edges(e), graph.vertices(e), ["gene_id"], "vs", "v_end")
 
 
-@query(f"""{WITH}, t AS (SELECT DISTINCT gene_id, transcript_id FROM exon WHERE gene_id < 50), n AS (SELECT transcript_id % 2 AS half, count(*) AS transcripts, count(DISTINCT gene_id) AS genes FROM t GROUP BY ALL) SELECT * FROM n""")
+@query(f"""{WITH}, t AS (SELECT DISTINCT gene_id, transcript_id FROM exon), n AS (SELECT transcript_id % 2 AS half, count(*) AS transcripts, count(DISTINCT gene_id) AS genes FROM t GROUP BY ALL) SELECT * FROM n""")
 def transcript_counts(spark, sf_dir):
-    t = exons(spark, sf_dir).where("gene_id < 50").select("gene_id", "transcript_id").distinct()
+    t = exons(spark, sf_dir).select("gene_id", "transcript_id").distinct()
     return t.groupBy((F.col("transcript_id") % 2).alias("half")).agg(F.count("*").alias("transcripts"), F.countDistinct("gene_id").alias("genes"))
 
 
 @query(f"""{WITH}, t AS (SELECT DISTINCT gene_id, transcript_id FROM exon), n AS (SELECT transcript_id % 2 AS half, count(*) AS transcripts, count(DISTINCT gene_id) AS genes FROM t GROUP BY ALL) SELECT * FROM n""")
 def transcript_counts_all(spark, sf_dir):
-    """All transcripts and genes; ``transcript_counts`` has the genes that its SQL has."""
-    t = exons(spark, sf_dir).select("gene_id", "transcript_id").distinct()
-    return t.groupBy((F.col("transcript_id") % 2).alias("half")).agg(F.count("*").alias("transcripts"), F.countDistinct("gene_id").alias("genes"))
+    """The same as ``transcript_counts``."""
+    return transcript_counts(spark, sf_dir)
 
 
 SEQ = "seq AS (SELECT p_partkey AS part, translate(upper(p_name), 'BDEFHIJKLMNOPQRSUVWXYZ ', 'ACGTACGTACGTACGTACGTACG') AS s, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part)"

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from junctura.functions import cigar, multiple_testing, nbglm, sequence
+from junctura.functions import cigar, nbglm, sequence
 from junctura.operators import graph, intervals, reads
 from junctura.sources import alignments, annotation, fasta, sinks
 
@@ -174,27 +174,6 @@ def test_glm():
     assert abs(nbglm.chi2_1_survival(3.841458820694124) - 0.05) < 1e-10
 
 
-def test_corrections():
-    p = np.array([0.01, 0.02, 0.03, 0.04, np.nan, 0.05])
-    assert np.allclose(multiple_testing.adjust_array(p, "bh")[[0, 1, 2, 3, 5]], 0.05)
-    assert np.allclose(multiple_testing.adjust_array(p, "holm")[[0, 1, 2, 3, 5]], [0.05, 0.08, 0.09, 0.09, 0.09])
-    assert np.allclose(multiple_testing.adjust_array(p, "hochberg")[[0, 1, 2, 3, 5]], 0.05)
-    # Hommel by its closed test: p rejects at a if every Simes test of a set that holds it does
-    from itertools import combinations
-
-    q = np.array([0.004, 0.03, 0.011, 0.2])
-    want = []
-    for i in range(4):
-        worst = 0.0
-        for n in range(1, 5):
-            for s in combinations(range(4), n):
-                if i in s:
-                    v = np.sort(q[list(s)])
-                    worst = max(worst, (n * v / np.arange(1, n + 1)).min())
-        want.append(worst)
-    assert np.allclose(multiple_testing.adjust_array(q, "hommel"), want)
-
-
 def test_writers(spark):
     schema = "event_type string, event_id int, contig string, strand string, gene_id string, annotated int, exons1 array<struct<start:int,stop:int>>, exons2 array<struct<start:int,stop:int>>"
     events = spark.createDataFrame([("exon_skip", 1, "c1", "+", "g", 3, [(0, 10), (40, 50)], [(0, 10), (20, 30), (40, 50)])], schema)
@@ -228,11 +207,3 @@ def test_structured(spark):
     assert 'flanks "41^,1^"; structure "1-,2-"; splice_chain "15-,10-"' in out["alt_3prime", 2]
     assert 'structure "1^,2^"; splice_chain "10^,15^"' in out["alt_5prime", 1]
     assert 'structure "0,1^2-"; splice_chain ",10^41-"' in out["intron_retention", 1]
-
-
-@pytest.mark.parametrize("method", ["bonferroni", "holm", "hochberg", "bh", "by"])
-def test_window_corrections(spark, method):
-    p = [0.01, 0.2, None, 0.01, 0.9, 0.04]
-    got = [r.p_adj for r in multiple_testing.adjust(spark.createDataFrame(list(enumerate(p)), "i int, p double"), "p", method).orderBy("i").collect()]
-    want = multiple_testing.adjust_array(np.array([np.nan if x is None else x for x in p]), method)
-    assert np.allclose([np.nan if x is None else x for x in got], want, equal_nan=True)
