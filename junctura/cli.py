@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import argparse
 
-from junctura.config import EVENT_TYPES, Config
+from junctura.config import EVENT_TYPES, MERGES, Config
+from junctura.functions.multiple_testing import METHODS
 
 
 def parser() -> argparse.ArgumentParser:
@@ -15,6 +16,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-o", "--outdir", required=True)
         p.add_argument("-c", "--confidence", type=int, default=3)
         p.add_argument("-n", "--readlen", type=int, default=50)
+        p.add_argument("-M", "--merge-strat", default="merge_graphs", choices=MERGES)
+        p.add_argument("--validate-sg", action="store_true")
         p.add_argument("--event-types", default=",".join(EVENT_TYPES))
         if mode in ("prep", "build"):
             p.add_argument("-a", "--annotation", required=True)
@@ -25,7 +28,6 @@ def parser() -> argparse.ArgumentParser:
         if mode == "build":
             p.add_argument("--filter-consensus", default="", choices=["", "strict", "lenient"])
             p.add_argument("--reference", default="")
-            p.add_argument("--validate-sg", action="store_true")
             p.add_argument("--validate-sg-count", type=int, default=10)
             p.add_argument("-I", "--iterations", type=int, default=5)
             p.add_argument("--ase-edge-limit", type=int, default=500)
@@ -38,7 +40,9 @@ def parser() -> argparse.ArgumentParser:
         if mode == "test":
             p.add_argument("--condition-a", required=True)
             p.add_argument("--condition-b", required=True)
-            p.add_argument("--correction", default="bh", choices=["bonferroni", "holm", "hochberg", "bh", "by"])
+            p.add_argument("--label-a", default="A")
+            p.add_argument("--label-b", default="B")
+            p.add_argument("--correction", default="bh", choices=METHODS)
             p.add_argument("--max-zero-frac", type=float, default=0.5)
             p.add_argument("--dpsi", type=float, default=0.05)
             p.add_argument("--min-count", type=int, default=10)
@@ -64,7 +68,7 @@ def config(args: argparse.Namespace) -> Config:
         "ignore_mismatches": "ignore_mismatches", "filter_consensus": "filter_consensus", "reference": "reference", "validate_sg": "validate", "validate_sg_count": "validate_min",
         "iterations": "iterations", "ase_edge_limit": "edge_limit", "psi_min_reads": "psi_min_reads", "insert_es": "insert_cassettes", "insert_ir": "insert_retentions",
         "insert_ni": "insert_edges", "remove_se": "remove_short", "filter_ambiguous": "filter_ambiguous", "use_anno_support": "use_annotated_support", "correction": "correction", "max_zero_frac": "max_zero",
-        "dpsi": "min_dpsi", "min_count": "min_count", "cap_exp_outliers": "cap_expression", "cap_outliers": "cap_counts",
+        "merge_strat": "merge", "label_a": "label_a", "label_b": "label_b", "dpsi": "min_dpsi", "min_count": "min_count", "cap_exp_outliers": "cap_expression", "cap_outliers": "cap_counts",
     }
     found = {new: given[old] for old, new in keys.items() if old in given}
     return Config(**found, samples=names(given["bams"]) if "bams" in given else (), event_types=names(given["event_types"]))
@@ -89,13 +93,13 @@ def main(argv: list[str] | None = None) -> None:
     elif args.mode == "test":
         from junctura.plans import report
 
-        patterns = {p for kind in job.cfg.event_types for p in (("alt_right", "alt_left") if kind.startswith("alt") else (kind,))}
-        for kind in sorted(patterns):
-            report.write_test(job.test(kind, list(names(args.condition_a)), list(names(args.condition_b))), args.outdir, kind)
+        a, b = list(names(args.condition_a)), list(names(args.condition_b))
+        for kind in job.cfg.event_types:
+            report.write_test(spark, job.cfg, job.test(kind, a, b), kind, a, b)
     else:
         from junctura.plans import viz_data
 
-        viz_data.gene_tables(spark, args.outdir, args.gene)
+        viz_data.gene_tables(spark, job.cfg.root, args.gene)
 
 
 if __name__ == "__main__":

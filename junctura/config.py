@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import json
+from dataclasses import asdict, dataclass, field
 
 EVENT_TYPES = ("exon_skip", "intron_retention", "alt_3prime", "alt_5prime", "mult_exon_skip", "mutex_exons")
 
+MERGES = ("merge_graphs", "merge_bams", "merge_all", "single")
+TEST_ONLY = ("outdir", "max_zero", "min_dpsi", "min_count", "correction", "cap_expression", "cap_counts", "label_a", "label_b")
+
 
 @dataclass(frozen=True)
 class Retention:
@@ -73,12 +78,12 @@ class Config:
     ignore_mismatches: bool = False
     use_annotated_support: bool = False
     event_types: tuple[str, ...] = EVENT_TYPES
-    shuffle_samples_a: tuple[str, ...] = ()
-    shuffle_samples_b: tuple[str, ...] = ()
     max_zero: float = 0.5
     min_dpsi: float = 0.05
     min_count: int = 10
     correction: str = "bh"
+    label_a: str = "A"
+    label_b: str = "B"
     cap_expression: bool = True
     cap_counts: bool = False
     retention: Retention | None = None
@@ -93,12 +98,31 @@ class Config:
             raise ValueError("filter_consensus is strict or lenient")
         if self.filter_consensus and not self.reference:
             raise ValueError("filter_consensus needs a reference")
+        if self.merge not in MERGES:
+            raise ValueError(f"merge is one of {', '.join(MERGES)}")
         unknown = set(self.event_types) - set(EVENT_TYPES)
         if unknown:
             raise ValueError(f"unknown event types: {sorted(unknown)}")
         if self.retention is None:
             object.__setattr__(self, "retention", Retention.preset(self.confidence))
 
+    @property
+    def root(self) -> str:
+        """The folder of a build, named by confidence, merge mode and validation."""
+        return f"{self.outdir.rstrip('/')}/conf{self.confidence}.{self.merge}{'.validated' if self.validate else ''}"
+
+    @property
+    def digest(self) -> str:
+        """A hash of all settings that the stages of a build depend on."""
+        given = {k: v for k, v in asdict(self).items() if k not in TEST_ONLY}
+        return hashlib.sha256(json.dumps(given, sort_keys=True).encode()).hexdigest()
+
+    @property
+    def patterns(self) -> tuple[str, ...]:
+        """The patterns to look for: alt_right and alt_left stand for both alternative ends, one on either strand."""
+        found = [("alt_right", "alt_left") if t.startswith("alt_") else (t,) for t in self.event_types]
+        return tuple(sorted({p for some in found for p in some}))
+
     @property
     def support(self) -> int:
         """Samples that an edge needs when graphs are validated."""

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 METHODS = ("bonferroni", "holm", "hochberg", "hommel", "bh", "by", "tsbh")
 PER_RANGE = 200_000
 MAX_FAMILY = 5_000_000
-TWO_STAGE_LEVEL = 0.05
+TWO_STAGE_LEVEL = 0.1
 EULER_GAMMA = 0.5772156649015329
 
 

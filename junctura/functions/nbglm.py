@@ -143,41 +143,6 @@ def _alternate(y, sf, x, start, objective) -> tuple[float, bool]:
     return d, ok
 
 
-def trend(means: np.ndarray, disp: np.ndarray, converged: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
-    """(l0, l1, raw with nan filled, fitted): dispersion = l0 / mean + l1, a Gamma regression with identity link."""
-    good = converged & ~np.isnan(disp)
-    if not good.any():
-        raise ValueError("no dispersion converged")
-    low, high = np.percentile(np.unique(disp[good]), [1, 99])
-    filled = np.where(np.isnan(disp), low, disp)
-    rows = good & (filled > low) & (filled < high) & (means > 0)
-    if rows.sum() < 2:
-        level = float(np.median(filled[good]))
-        return 0.0, level, filled, np.full(len(filled), level)
-    x, y = np.stack([1 / means[rows], np.ones(rows.sum())], 1), filled[rows]
-    mu, beta = y.copy(), np.zeros(2)
-    for _ in range(100):
-        w = 1 / mu
-        new = np.linalg.lstsq(x * w[:, None], y * w, rcond=None)[0]
-        mu = np.maximum(x @ new, 1e-8)
-        if np.allclose(new, beta, rtol=1e-8, atol=1e-12):
-            beta = new
-            break
-        beta = new
-    with np.errstate(divide="ignore"):
-        fitted = np.where(means > 0, beta[0] / np.where(means > 0, means, 1) + beta[1], np.nan)
-    return float(beta[0]), float(beta[1]), filled, fitted
-
-
-def prior_variance(raw: np.ndarray, fitted: np.ndarray, samples: int, columns: int, least: float = 0.1) -> float:
-    ok = (raw > 0) & (fitted > 0)
-    if not ok.any():
-        return least
-    gap = np.log(raw[ok]) - np.log(fitted[ok])
-    mad = 1.4826 * np.median(np.abs(gap - np.median(gap)))
-    return max(mad * mad - trigamma((samples - columns) / 2), least)
-
-
 def ratio_test(y: np.ndarray, sf: np.ndarray, in_a: np.ndarray, disp: float, max_zero: float) -> float:
     """p of the splicing column; nan for rows without a dispersion or with too many zeros in the event half."""
     n = len(in_a)

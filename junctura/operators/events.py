@@ -144,3 +144,27 @@ def curate_alt(events: DataFrame) -> DataFrame:
     end = F.least("e2e", "e3e")
     trimmed = events.where("e2s > e1e AND e3s > e1e").withColumn("__e", end)
     return trimmed.withColumn("e2e", F.col("__e")).withColumn("e3e", F.col("__e")).drop("__e").where("e2e > e2s AND e3e > e3s")
+
+
+def curate_alt_left(events: DataFrame) -> DataFrame:
+    """Alt left: overlapping exons are trimmed to the later outer start; introns must not be empty."""
+    start = F.greatest("e1s", "e2s")
+    trimmed = events.where("e3s > e1e AND e3s > e2e").withColumn("__s", start)
+    return trimmed.withColumn("e1s", F.col("__s")).withColumn("e2s", F.col("__s")).drop("__s").where("e1e > e1s AND e2e > e2s")
+
+
+def annotated_paths(events: DataFrame, introns: DataFrame) -> DataFrame:
+    """``annotated`` of events of :func:`mult_exon_skip`: 3, less 1 if the skipping intron is not annotated, less 2 if one of the path's is not."""
+    key = ["gene_id", "us", "ue", "vs", "ve"]
+    ends, starts = F.concat(F.array("ue"), F.transform("inner", lambda x: x["stop"])), F.concat(F.transform("inner", lambda x: x["start"]), F.array("vs"))
+    steps = events.select(*key, F.explode(F.arrays_zip(ends.alias("s"), starts.alias("e"))).alias("i"), F.lit(2).alias("bit")).select(*key, F.col("i.s").alias("i_start"), F.col("i.e").alias("i_end"), "bit")
+    skip = events.select(*key, F.col("ue").alias("i_start"), F.col("vs").alias("i_end"), F.lit(1).alias("bit"))
+    known = introns.select("gene_id", "i_start", "i_end").distinct().withColumn("known", F.lit(True))
+    novel = steps.unionByName(skip).join(known, ["gene_id", "i_start", "i_end"], "left").where("known IS NULL").groupBy(*key).agg(F.bit_or("bit").alias("bits"))
+    return events.join(novel, key, "left").withColumn("annotated", (3 - F.coalesce("bits", F.lit(0))).cast("long")).drop("bits")
+
+
+def path_inner(events: DataFrame) -> DataFrame:
+    """``events`` of :func:`mult_exon_skip` with ``inner_coords``: of the path's coordinates the second to fourth and the three before the last."""
+    flat = F.flatten(F.concat(F.array(F.array("us", "ue")), F.transform("inner", lambda x: F.array(x["start"], x["stop"])), F.array(F.array("vs", "ve"))))
+    return events.withColumn("inner_coords", F.sort_array(F.array_distinct(F.concat(F.slice(F.sort_array(flat), 2, 3), F.slice(F.sort_array(flat), -4, 3)))))

@@ -84,6 +84,51 @@ def label_alt(verts: DataFrame, edge: DataFrame) -> DataFrame:
     return intervals.max_depth(spans, ["gene_id"], "s", "e").select("gene_id", F.col("max_depth").cast("long").alias("max_depth"), (F.col("max_depth") > 1).alias("is_alt"))
 
 
+def simple_terminals(verts: DataFrame, edge: DataFrame) -> DataFrame:
+    """Terminal exons that are mere alternatives: gene_id, v_start, v_end.
+
+    A first exon is one if others have its end, all of them have its successors, and
+    none has a predecessor that ends after it starts.  A last exon is one if others have
+    its start, all of them have its predecessors, and for each of their successors the
+    exon just before it, in the gene's order, does not start before it ends."""
+    order = Window.partitionBy("gene_id").orderBy("v_start", "v_end")
+    v = verts.select("gene_id", "v_start", "v_end").withColumn("k", F.row_number().over(order))
+    left = v.select("gene_id", F.col("v_start").alias("us"), F.col("v_end").alias("ue"), F.col("k").alias("u"))
+    right = v.select("gene_id", F.col("v_start").alias("vs"), F.col("v_end").alias("ve"), F.col("k").alias("v"))
+    e = edge.select(*EDGE).join(left, ["gene_id", "us", "ue"]).join(right, ["gene_id", "vs", "ve"])
+    start_before = v.select("gene_id", (F.col("k") + 1).alias("v"), F.col("v_start").alias("near"))
+    after = e.join(start_before, ["gene_id", "v"], "left").groupBy("gene_id", F.col("u").alias("k")).agg(F.sort_array(F.collect_set("v")).alias("next"), F.min("near").alias("near"))
+    before = e.groupBy("gene_id", F.col("v").alias("k")).agg(F.sort_array(F.collect_set("u")).alias("last"), F.max("ue").alias("end_before"))
+    full = v.join(after, ["gene_id", "k"], "left").join(before, ["gene_id", "k"], "left")
+    other = full.select("gene_id", *[F.col(c).alias(f"o_{c}") for c in full.columns if c != "gene_id"])
+    c = F.col
+    same_end = full.where("last IS NULL").join(other.withColumn("v_end", c("o_v_end")), ["gene_id", "v_end"]).where("k <> o_k")
+    bad_end = ~c("next").eqNullSafe(c("o_next")) | F.coalesce(c("o_end_before") > c("v_start"), F.lit(False))
+    same_start = full.where("next IS NULL").join(other.withColumn("v_start", c("o_v_start")), ["gene_id", "v_start"]).where("k <> o_k")
+    bad_start = ~c("last").eqNullSafe(c("o_last")) | F.coalesce(c("o_near") < c("v_end"), F.lit(False))
+    key = ["gene_id", "v_start", "v_end"]
+    first = same_end.groupBy(*key).agg(F.max(bad_end).alias("bad")).where("NOT bad")
+    last = same_start.groupBy(*key).agg(F.max(bad_start).alias("bad")).where("NOT bad")
+    return first.select(*key).unionByName(last.select(*key)).distinct()
+
+
+def label_alt_full(verts: DataFrame, edge: DataFrame) -> DataFrame:
+    """gene_id, is_alt_spliced and is_alt of each gene.
+
+    Alternatively spliced: without its simple alternative terminals, some position is
+    covered more than once by exons and introns.  Alternative: that, or there are such terminals."""
+    simple = simple_terminals(verts, edge)
+    key = ["gene_id", "v_start", "v_end"]
+    left, right = (simple.toDF("gene_id", *names) for names in (("us", "ue"), ("vs", "ve")))
+    rest = verts.select(*key).join(simple, key, "left_anti")
+    kept = edge.join(left, ["gene_id", "us", "ue"], "left_anti").join(right, ["gene_id", "vs", "ve"], "left_anti")
+    deep = label_alt(rest, kept).select("gene_id", F.col("is_alt").alias("deep"))
+    some = simple.select("gene_id").distinct().withColumn("some", F.lit(True))
+    genes = verts.groupBy("gene_id").agg(F.count("*").alias("n")).join(deep, "gene_id", "left").join(some, "gene_id", "left")
+    spliced = (F.col("n") > 1) & F.coalesce("deep", F.lit(False))
+    return genes.select("gene_id", spliced.alias("is_alt_spliced"), ((F.col("n") > 1) & (F.coalesce("deep", F.lit(False)) | F.coalesce("some", F.lit(False)))).alias("is_alt"))
+
+
 def unambiguous(candidates: DataFrame, genes: DataFrame, pad: int = 200, width: int | None = None) -> DataFrame:
     """Introns (contig, i_start, i_end) that, padded, overlap exactly one gene (contig, g_start, g_end)."""
     key = ["contig", "i_start", "i_end"]

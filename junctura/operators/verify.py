@@ -113,8 +113,8 @@ def evidence(kind: str, events: DataFrame, samples: DataFrame, runs: DataFrame,
     return rows.withColumns({"psi": quant.psi(a, b, min_reads), "iso2": a.cast("int"), "iso1": b.cast("int")})
 
 
-def test_counts(kind: str, rows: DataFrame) -> DataFrame:
-    """Long counts for testing: event_id, gene_id, form (0 skipping, 1 inclusion), sample, n."""
+def test_forms(kind: str) -> Column:
+    """Both forms of an event as an array of (form, n): 0 skipping, 1 inclusion."""
     skip, keep = {
         "exon_skip": (_c("e1e3"), F.least("e1e2", "e2e3")),
         "intron_retention": (_c("e1e3"), _c("e2_cov")),
@@ -123,8 +123,13 @@ def test_counts(kind: str, rows: DataFrame) -> DataFrame:
         "mutex_exons": (F.least("e1e2", "e2e4"), F.least("e1e3", "e3e4")),
         "mult_exon_skip": (_c("e1e3"), F.least("e1e2", "e2e3", "sum_e2")),
     }[kind]
-    forms = F.explode(F.array(F.struct(F.lit(0).alias("form"), F.floor(skip).cast("double").alias("n")), F.struct(F.lit(1).alias("form"), F.floor(keep).cast("double").alias("n"))))
-    return rows.select("event_id", "gene_id", "sample", forms.alias("f")).select("event_id", "gene_id", "sample", "f.form", "f.n")
+    form = lambda k, n: F.struct(F.lit(k).alias("form"), F.floor(n).cast("double").alias("n"))
+    return F.array(form(0, skip), form(1, keep))
+
+
+def test_counts(kind: str, rows: DataFrame) -> DataFrame:
+    """Long counts for testing: event_id, gene_id, form, sample, n."""
+    return rows.select("event_id", "gene_id", "sample", F.explode(test_forms(kind)).alias("f")).select("event_id", "gene_id", "sample", "f.form", "f.n")
 
 
-test_counts.__test__ = False
+test_counts.__test__ = test_forms.__test__ = False

@@ -1,11 +1,13 @@
 """The build: annotation and alignments to graphs, counts, events and PSI.
 
-Stages are written below ``cfg.outdir``; one that is complete is read, not made again.
+Stages are written below ``cfg.root``; one that is complete, and was made with the same
+settings, is read, not made again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from junctura.operators import augment, events, graph, intervals, quant, reads,
 from junctura.sources import alignments, annotation, fasta
 
 MAX_INTRONS, MAX_ROUNDS = 200, 12
+MERGED = "merged"
 
 
 class Build:
@@ -23,11 +26,14 @@ class Build:
         self.spark, self.cfg = spark, cfg
 
     def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        path = f"{self.cfg.outdir.rstrip('/')}/{name}"
-        jvm = self.spark.sparkContext._jvm
-        done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        """The table ``name`` below ``cfg.root``; made anew unless it is complete and of the same settings."""
+        path = f"{self.cfg.root}/{name}"
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        done, told = (jvm.org.apache.hadoop.fs.Path(f"{path}/{f}") for f in ("_SUCCESS", f"_settings-{self.cfg.digest}"))
+        files = done.getFileSystem(conf)
+        if not (files.exists(done) and files.exists(told)):
             make().write.mode("overwrite").parquet(path)
+            files.create(told, True).close()
         return self.spark.read.parquet(path)
 
     # --- inputs ------------------------------------------------------------------
@@ -54,12 +60,27 @@ class Build:
             out = out.unionByName(p)
         return out
 
+    def graph_rows(self, rows: DataFrame) -> DataFrame:
+        """The alignments that graphs are built from: where samples are merged as reads, MERGED is all of them as one."""
+        merge = self.cfg.merge
+        if merge in ("merge_graphs", "single"):
+            return rows
+        one = rows.withColumn("sample", F.lit(MERGED))
+        return one if merge == "merge_bams" else rows.unionByName(one)
+
+    def graph_samples(self, prep: dict[str, DataFrame]) -> DataFrame:
+        """The samples that have a graph of their own: in the mode single the first one."""
+        own = sorted(r["sample"] for r in prep["all_coverage"].select("sample").distinct().collect())
+        first = alignments.sample_of(self.cfg.samples[0])
+        names = {"merge_graphs": own, "single": [first] if first in own else own[:1], "merge_bams": [MERGED], "merge_all": [*own, MERGED]}[self.cfg.merge]
+        return self.spark.createDataFrame([(s,) for s in names], "sample string")
+
     def prepare(self) -> dict[str, DataFrame]:
         """The sparse summaries: junctions and coverage, filtered for graphs and full for counts."""
         cfg = self.cfg
         rows = self.alignments()
         given = reads.ReadFilter.preset(cfg.confidence, cfg.read_length)
-        strict = rows.where(reads.passes(given, cfg.primary_only, cfg.var_aware, not cfg.ignore_mismatches))
+        strict = self.graph_rows(rows.where(reads.passes(given, cfg.primary_only, cfg.var_aware, not cfg.ignore_mismatches)))
         full = rows.where(reads.passes(None, cfg.primary_only))
         return {
             "junctions": self.stage("prep/junctions", lambda: reads.junctions(strict)),
@@ -83,7 +104,7 @@ class Build:
             if many.isEmpty():
                 break
             given = given.tightened()
-            tight = self.alignments().where(reads.passes(given, cfg.primary_only, cfg.var_aware, not cfg.ignore_mismatches))
+            tight = self.graph_rows(self.alignments().where(reads.passes(given, cfg.primary_only, cfg.var_aware, not cfg.ignore_mismatches)))
             again = self._introns(genes.join(many, "gene_id", "left_semi"), reads.junctions(tight), given)
             last = found.join(many, "gene_id", "left_anti").unionByName(again)
             found = self.stage(f"prep/introns-{k}", lambda last=last: last)
@@ -106,11 +127,12 @@ class Build:
         """(vertices, edges with n_samples) of the merged graph."""
         cfg = self.cfg
         v, e = graph.vertices(exons), graph.edges(exons)
-        samples = prep["all_coverage"].select("sample").distinct()
+        samples = self.graph_samples(prep)
 
         def make() -> DataFrame:
-            introns = self.introns(genes, prep).select("sample", "gene_id", "i_start", "i_end")
-            runs = gene_runs(prep["coverage"], genes, 5000)
+            wanted = F.broadcast(samples)  # a row a sample
+            introns = self.introns(genes, prep).select("sample", "gene_id", "i_start", "i_end").join(wanted, "sample", "left_semi")
+            runs = gene_runs(prep["coverage"].join(wanted, "sample", "left_semi"), genes, 5000)
             return augment.augmented(samples, v, e, introns, runs, augment.neighbour_ends(genes, v), cfg)
 
         each = self.stage("graphs", make)
@@ -143,10 +165,15 @@ class Build:
     # --- events ---------------------------------------------------------------------
 
     def detect(self, genes: DataFrame, exons: DataFrame, vertices: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-        """Events by pattern, numbered within each type; alt_right is 3' on plus and 5' on minus."""
-        alt = graph.label_alt(vertices, edges).where("is_alt").select("gene_id")
-        few = events.small_genes(edges.select(*graph.EDGE), vertices, self.cfg.edge_limit).join(alt, "gene_id", "left_semi")
+        """Events of the wanted types by pattern; alt_right is 3' on plus and 5' on minus, alt_left the reverse.
+
+        Events are made unique and numbered within their type; alternative ends are
+        trimmed after that, so that dropped events leave their numbers unused."""
+        cfg = self.cfg
+        alt = graph.label_alt_full(vertices, edges).where("is_alt").select("gene_id")
+        few = events.small_genes(edges.select(*graph.EDGE), vertices, cfg.edge_limit).join(alt, "gene_id", "left_semi")
         known = graph.introns(exons)
+        place = genes.select("gene_id", "contig", "strand")
         flags = {
             "exon_skip": ([("e1e", "e3s")], [("e1e", "e2s"), ("e2e", "e3s")]),
             "intron_retention": ([("e1e", "e2s")], []),
@@ -161,34 +188,65 @@ class Build:
             "alt_left": ["e1e", "e2e", "e3s"],
             "mutex_exons": ["e1e", "e2s", "e2e", "e3s", "e3e", "e4s"],
         }
-        outer = {"exon_skip": ("e1s", "e3e"), "intron_retention": ("e1s", "e2e"), "mutex_exons": ("e1s", "e4e")}
-        found = {
-            "exon_skip": events.exon_skip(few),
-            "intron_retention": events.intron_retention(few, vertices),
-            "alt_right": events.curate_alt(events.alt_right(few)),
-            "alt_left": events.alt_left(few).where("e3s > e1e AND e3s > e2e"),
-            "mutex_exons": events.mutex_exons(few),
+        make = {
+            "exon_skip": lambda: events.exon_skip(few),
+            "intron_retention": lambda: events.intron_retention(few, vertices),
+            "alt_right": lambda: events.alt_right(few),
+            "alt_left": lambda: events.alt_left(few),
+            "mutex_exons": lambda: events.mutex_exons(few),
         }
+        # of each pattern the whole span; of alternative right ends it ends with the longer exon
+        span = {"exon_skip": (F.col("e1s"), F.col("e3e")), "intron_retention": (F.col("e1s"), F.col("e2e")), "mutex_exons": (F.col("e1s"), F.col("e4e"))}
+        span |= {"alt_right": (F.col("e1s"), F.greatest("e2e", "e3e")), "alt_left": (F.least("e1s", "e2s"), F.col("e3e"))}
+
+        def unique(kind: str) -> DataFrame:
+            df = make[kind]().join(place, "gene_id")
+            positive = F.least(*[F.col(c) for c in df.columns if c[0] == "e" and c[1].isdigit()]) > 0
+            low, high = span[kind]
+            df = df.where(positive).withColumn("__low", low).withColumn("__high", high)
+            rest = [c for c in df.columns if c[0] == "e" and c[1].isdigit() and c not in inner[kind]]
+            one = events.deduplicated(df, ["contig", "strand"], inner[kind], ("__low", "__high"), [*rest, "gene_id"]).drop("__low", "__high")
+            return events.annotated(one, known, *flags[kind])
+
         out = {}
-        place = genes.select("gene_id", "contig", "strand")
-        for kind, df in found.items():
-            low, high = outer.get(kind, (None, None))
-            if low is None:
-                low, high = ("e1s", "e2e") if kind == "alt_right" else ("e1s", "e3e")
-            one = events.deduplicated(df.join(place, "gene_id"), ["contig", "strand"], inner[kind], (low, high), [low, high, "gene_id"])
-            noted = events.annotated(one, known, *flags[kind])
-            out[kind] = self.stage(f"events/{kind}", lambda noted=noted, kind=kind: events.numbered(noted, ["contig", "strand", *inner[kind], "gene_id"], 2))
-        if "mult_exon_skip" in self.cfg.event_types:
-            named = events.mult_exon_skip(few, self.cfg.edge_limit)
-            named = named.select("gene_id", *[F.col(c).cast("int").alias(c) for c in ("us", "ue", "vs", "ve")], "inner").join(place, "gene_id")
-            out["mult_exon_skip"] = self.stage("events/mult_exon_skip", lambda: events.numbered(named, ["contig", "strand", "gene_id", "ue", "vs", "us", "ve"], 2))
+        for kind in ("exon_skip", "intron_retention", "mutex_exons"):
+            if kind in cfg.event_types:
+                out[kind] = self.stage(f"events/{kind}", lambda kind=kind: events.numbered(unique(kind), ["contig", "strand", *inner[kind], "gene_id"], 2))
+        if "alt_right" in cfg.patterns:
+            curate = {"alt_right": events.curate_alt, "alt_left": events.curate_alt_left}
+            plus = {"alt_right": "alt_3prime", "alt_left": "alt_5prime"}
+
+            def both() -> DataFrame:
+                """The alternative ends of both patterns, numbered within their type: on one strand a type has one pattern."""
+                parts = []
+                for kind in ("alt_right", "alt_left"):
+                    type_of = F.when((F.col("strand") == "-") == (plus[kind] == "alt_3prime"), "alt_5prime").otherwise("alt_3prime")
+                    keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(inner[kind])]
+                    parts.append(unique(kind).select("*", F.lit(kind).alias("pattern"), type_of.alias("type"), *keys))
+                rows = parts[0].unionByName(parts[1])
+                order = ["contig", "strand", "k0", "k1", "k2", "gene_id"]
+                each = [events.numbered(rows.where(F.col("type") == t), order, 2) for t in sorted(cfg.event_types) if t.startswith("alt_")]
+                return reduce(DataFrame.unionByName, each).drop("k0", "k1", "k2", "type")
+
+            ends = self.stage("events/alternative_ends", both)
+            for kind in ("alt_right", "alt_left"):
+                out[kind] = self.stage(f"events/{kind}", lambda kind=kind: curate[kind](ends.where(F.col("pattern") == kind).drop("pattern")))
+        if "mult_exon_skip" in cfg.event_types:
+
+            def paths() -> DataFrame:
+                named = events.mult_exon_skip(few, cfg.edge_limit)
+                named = named.select("gene_id", *[F.col(c).cast("int").alias(c) for c in ("us", "ue", "vs", "ve")], "inner").where("us > 0").join(place, "gene_id")
+                one = events.deduplicated(events.path_inner(named), ["contig", "strand"], ["inner_coords"], ("us", "ve"), ["us", "ve", "ue", "vs", "gene_id"])
+                return events.numbered(events.annotated_paths(one, known), ["contig", "strand", "inner_coords", "gene_id"], 2).drop("inner_coords")
+
+            out["mult_exon_skip"] = self.stage("events/mult_exon_skip", paths)
         return out
 
     def analyze(self, found: dict[str, DataFrame], counts: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:
         """For each pattern (features, criteria and PSI by sample; confirmed samples by event)."""
         cfg, out = self.cfg, {}
         samples = counts["runs"].select("sample").distinct()
-        known = graph.introns(self.spark.read.parquet(f"{cfg.outdir.rstrip('/')}/exons")) if cfg.use_annotated_support else None
+        known = graph.introns(self.spark.read.parquet(f"{cfg.root}/exons")) if cfg.use_annotated_support else None
         for kind, df in found.items():
             rows = self.stage(f"psi/{kind}", lambda df=df, kind=kind: verify.evidence(kind, df, samples, counts["runs"], counts["junctions"], cfg.evidence, cfg.retention, cfg.psi_min_reads, known))
             criteria = [c for c in rows.columns if c[0] == "v" and c[1:].isdigit()]
@@ -202,30 +260,48 @@ class Build:
         return self.analyze(self.detect(genes, exons, vertices, edges), self.counts(genes, vertices, edges, prep))
 
     def test(self, kind: str, a: list[str], b: list[str]) -> DataFrame:
-        """Differential test of one pattern between two groups of samples, on the results of :meth:`run`."""
+        """Differential test of one event type between two groups of samples, on the results of :meth:`run`.
+
+        A row for each confirmed event that has enough reads in a form: event_id, p,
+        p_adj, dpsi, the means of the reported form's counts and of the gene's expression
+        over their size factors in either group, log2 fold changes, the counts of each
+        sample, and both dispersions.  Events whose PSI hardly differs are not tested: p = 1."""
+        from junctura.functions import multiple_testing
         from junctura.operators import testing
+        from junctura.plans.report import event_type
 
         cfg = self.cfg
-        read = lambda name: self.spark.read.parquet(f"{cfg.outdir.rstrip('/')}/{name}")
+        read = lambda name: self.spark.read.parquet(f"{cfg.root}/{name}")
         groups = self.spark.createDataFrame([(s, True) for s in a] + [(s, False) for s in b], "sample string, in_a boolean")
-        rows = read(f"psi/{kind}").join(read(f"confirmed/{kind}").where("confirmed >= 1").select("event_id"), "event_id", "left_semi").join(F.broadcast(groups), "sample")
+
+        def confirmed(pattern: str) -> DataFrame:
+            sure = read(f"confirmed/{pattern}").where("confirmed >= 1").select("event_id", "gene_id")
+            own = read(f"psi/{pattern}").where(event_type(pattern) == kind).join(sure, ["event_id", "gene_id"], "left_semi").join(F.broadcast(groups), "sample")
+            return own.select("event_id", "gene_id", "sample", "in_a", "psi", verify.test_forms(pattern).alias("forms"))
+
+        patterns = ("alt_right", "alt_left") if kind.startswith("alt_") else (kind,)
+        rows = reduce(DataFrame.unionByName, map(confirmed, patterns))
         gene_sf = read("size_factors")
         expression = read("expression").join(F.broadcast(groups), "sample").join(F.broadcast(gene_sf), "sample")
         if cfg.cap_expression:
             expression = testing.cap_outliers(expression, "gene_id", "raw_count", "sf", 1.5).drop("raw_count").withColumnRenamed("capped", "raw_count")
-        counts = verify.test_counts(kind, rows)
+        counts = rows.select("event_id", "gene_id", "sample", F.explode("forms").alias("f")).select("event_id", "gene_id", "sample", "f.form", "f.n")
         if cfg.cap_counts:
             row = counts.withColumn("row", F.struct("event_id", "form"))
             counts = testing.cap_outliers(row, "row", "n", None, 3.0).drop("n", "row").withColumnRenamed("capped", "n")
+        counts = testing.cut(counts)
         event_sf = quant.size_factors(counts.withColumn("row", F.struct("event_id", "form")).select("row", "sample", "n"), "row", "sample", "n")
         low = lambda in_a: F.avg(F.when(F.col("in_a") == in_a, (F.col("n") <= 1).cast("int")))
         form_ok = counts.join(F.broadcast(groups), "sample").groupBy("event_id", "form").agg(low(True).alias("za"), low(False).alias("zb")).where((F.col("za") <= cfg.max_zero) | (F.col("zb") <= cfg.max_zero))
         mean = lambda in_a: F.avg(F.when(F.col("in_a") == in_a, F.col("psi")))
-        dpsi = rows.groupBy("event_id").agg(F.coalesce(mean(True) - mean(False), F.lit(0.0)).alias("dpsi"))
-        kept = dpsi.where(F.abs("dpsi") >= cfg.min_dpsi).join(form_ok.select("event_id").distinct(), "event_id", "left_semi")
+        dpsi = rows.groupBy("event_id", "gene_id").agg(F.coalesce(mean(True) - mean(False), F.lit(0.0)).alias("dpsi")).join(form_ok.select("event_id").distinct(), "event_id", "left_semi")
         ids = lambda df: df.withColumnRenamed("sample", "sample_id")
-        packed = testing.response(ids(counts.join(kept.select("event_id"), "event_id", "left_semi")), ids(expression.select("gene_id", "sample", "raw_count")), ids(event_sf), ids(gene_sf), ids(groups))
-        return testing.differential(packed, cfg.min_count, cfg.max_zero, cfg.correction).join(dpsi, "event_id")
+        packed = testing.response(ids(counts.join(dpsi.select("event_id"), "event_id", "left_semi")), ids(expression.select("gene_id", "sample", "raw_count")), ids(event_sf), ids(gene_sf), ids(groups))
+        wanted = packed.join(dpsi.where(F.abs("dpsi") >= cfg.min_dpsi).select("event_id"), "event_id", "left_semi").join(form_ok.select("event_id", "form"), ["event_id", "form"], "left_semi")
+        tested = testing.differential(wanted, cfg.min_count, cfg.max_zero)
+        all_events = dpsi.join(tested.drop("gene_id"), "event_id", "left").withColumn("form", F.coalesce("form", F.lit(0))).withColumn("p", F.coalesce("p", F.lit(1.0)))
+        adjusted = multiple_testing.adjust(testing.cut(all_events), "p", cfg.correction)
+        return adjusted.join(testing.means(packed), ["event_id", "gene_id", "form"])
 
 
 def _unstranded(rows: DataFrame) -> DataFrame:

@@ -298,6 +298,31 @@ def label_alt(spark, sf_dir):
     return graph.label_alt(graph.vertices(e), graph.edges(e))
 
 
+@query(f"""{WITH}, v AS (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY v_start, v_end) AS k FROM vertex),
+e AS (SELECT e.gene_id, e.us, e.ue, e.vs, e.ve, a.k AS u, b.k AS v FROM edge e JOIN v a ON a.gene_id = e.gene_id AND a.v_start = e.us AND a.v_end = e.ue
+  JOIN v b ON b.gene_id = e.gene_id AND b.v_start = e.vs AND b.v_end = e.ve),
+f AS (SELECT v.*, (SELECT string_agg(e.v, ',' ORDER BY e.v) FROM e WHERE e.gene_id = v.gene_id AND e.u = v.k) AS next,
+  (SELECT string_agg(e.u, ',' ORDER BY e.u) FROM e WHERE e.gene_id = v.gene_id AND e.v = v.k) AS last,
+  (SELECT max(e.ue) FROM e WHERE e.gene_id = v.gene_id AND e.v = v.k) AS end_before,
+  (SELECT min(w.v_start) FROM e JOIN v w ON w.gene_id = e.gene_id AND w.k = e.v - 1 WHERE e.gene_id = v.gene_id AND e.u = v.k) AS near FROM v),
+simple AS (
+  SELECT i.gene_id, i.v_start, i.v_end FROM f i JOIN f j ON i.gene_id = j.gene_id AND i.v_end = j.v_end AND i.k <> j.k WHERE i.last IS NULL
+  GROUP BY ALL HAVING NOT bool_or(i.next IS DISTINCT FROM j.next OR coalesce(j.end_before > i.v_start, false))
+  UNION
+  SELECT i.gene_id, i.v_start, i.v_end FROM f i JOIN f j ON i.gene_id = j.gene_id AND i.v_start = j.v_start AND i.k <> j.k WHERE i.next IS NULL
+  GROUP BY ALL HAVING NOT bool_or(i.last IS DISTINCT FROM j.last OR coalesce(j.near < i.v_end, false))),
+rest AS (SELECT gene_id, v_start, v_end FROM vertex ANTI JOIN simple USING (gene_id, v_start, v_end)),
+span AS (SELECT gene_id, v_start AS s, v_end AS e FROM rest UNION ALL SELECT e.gene_id, e.ue, e.vs FROM e
+  SEMI JOIN rest a ON a.gene_id = e.gene_id AND a.v_start = e.us AND a.v_end = e.ue SEMI JOIN rest b ON b.gene_id = e.gene_id AND b.v_start = e.vs AND b.v_end = e.ve),
+deep AS (SELECT gene_id, max(d) AS d FROM (
+  SELECT p.gene_id, p.s, count(*) AS d FROM (SELECT DISTINCT gene_id, s FROM span) p JOIN span q ON q.gene_id = p.gene_id AND q.s <= p.s AND q.e > p.s GROUP BY ALL) GROUP BY gene_id),
+n AS (SELECT gene_id, count(*) AS n FROM vertex GROUP BY gene_id)
+SELECT n.gene_id, n > 1 AND coalesce(d, 0) > 1 AS is_alt_spliced, n > 1 AND (coalesce(d, 0) > 1 OR n.gene_id IN (SELECT gene_id FROM simple)) AS is_alt FROM n LEFT JOIN deep USING (gene_id)""")
+def label_alt_full(spark, sf_dir):
+    e = exons(spark, sf_dir)
+    return graph.label_alt_full(graph.vertices(e), graph.edges(e))
+
+
 EXPR = "expr AS (SELECT gene_id, sample_id, sum(mean_cov * (seg_end - seg_start)) / 50 AS raw_count FROM cov GROUP BY ALL)"
 FULL = """grid AS (SELECT g.gene_id, s.sample_id, coalesce(raw_count, 0.0) AS x FROM (SELECT DISTINCT gene_id FROM expr) g CROSS JOIN (SELECT DISTINCT sample_id FROM expr) s
   LEFT JOIN expr e ON e.gene_id = g.gene_id AND e.sample_id = s.sample_id)"""
@@ -603,4 +628,4 @@ def differential_test(spark, sf_dir):
     sf = groups.select("sample_id", F.lit(1.0).alias("sf"))
     expression = quant.dense(quant.gene_expression(_cov(spark, sf_dir)), "gene_id", "sample_id", "raw_count")
     rows = testing.response(counts, expression, sf, sf, groups)
-    return testing.differential(rows, 10, 0.95).select("event_id", "gene_id", "form", rounded("p").alias("p"), rounded("p_adj").alias("p_adj"), rounded("disp_raw").alias("disp_raw"), rounded("disp_adj").alias("disp_adj"))
+    return multiple_testing.adjust(testing.cut(testing.differential(rows, 10, 0.95)), "p", "bh").select("event_id", "gene_id", "form", rounded("p").alias("p"), rounded("p_adj").alias("p_adj"), rounded("disp_raw").alias("disp_raw"), rounded("disp_adj").alias("disp_adj"))

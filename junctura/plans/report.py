@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.config import Config
+from junctura.operators import testing
 from junctura.sources import sinks
 
 # Patterns and the exons of their two isoforms.
@@ -49,7 +52,6 @@ def as_events(kind: str, df: DataFrame) -> DataFrame:
         ends = [F.array(_exon(c("us"), c("ue"))), F.array(_exon(c("vs"), c("ve")))]
         middle = F.transform("inner", lambda x: _exon(x["start"], x["stop"]))
         one, two = F.concat(*ends), F.concat(ends[0], middle, ends[1])
-        df = df.withColumn("annotated", F.lit(3))
     else:
         pair = [None if names is None else F.array(*[_exon(c(f"{n}s"), c(f"{n}e")) for n in names]) for names in ISOFORMS[kind]]
         one, two = pair[0], F.array(_exon(c("e1s"), c("e2e"))) if pair[1] is None else pair[1]
@@ -62,14 +64,14 @@ def as_events(kind: str, df: DataFrame) -> DataFrame:
 
 
 def write(spark: SparkSession, cfg: Config) -> None:
-    """Reports of every pattern below ``outdir/reports``: all events, confirmed ones, tables by sample."""
-    base = cfg.outdir.rstrip("/")
+    """Reports of every pattern below ``cfg.root/reports``: all events, confirmed ones, tables by sample."""
+    base = cfg.root
     samples = sorted(r["sample"] for r in spark.read.parquet(f"{base}/size_factors").select("sample").collect())
-    for kind in (*ISOFORMS, *(["mult_exon_skip"] if "mult_exon_skip" in cfg.event_types else [])):
+    for kind in cfg.patterns:
         rows = spark.read.parquet(f"{base}/psi/{kind}")
         every = as_events(kind, spark.read.parquet(f"{base}/events/{kind}"))
-        good = spark.read.parquet(f"{base}/confirmed/{kind}").where("confirmed >= 1").select(F.col("event_id").cast("int").alias("event_id"))
-        sure = every.join(good, "event_id", "left_semi")
+        good = spark.read.parquet(f"{base}/confirmed/{kind}").where("confirmed >= 1").select(F.col("event_id").cast("int").alias("event_id"), "gene_id")
+        sure = every.join(good, ["event_id", "gene_id"], "left_semi")
         for name, events in (("all", every), ("confirmed", sure)):
             sinks.write_lines(sinks.gff3(events), f"{base}/reports/{kind}.{name}.gff3")
             sinks.write_lines(sinks.bed(events), f"{base}/reports/{kind}.{name}.bed")
@@ -80,9 +82,33 @@ def write(spark: SparkSession, cfg: Config) -> None:
         sinks.write_tsv(sinks.icgc(sure, by, samples), f"{base}/reports/{kind}.icgc.tsv", ["event_type", "event_id"])
 
 
-def write_test(results: DataFrame, outdir: str, kind: str) -> None:
-    """The results by p, and the first row of each gene."""
-    base = f"{outdir.rstrip('/')}/testing/{kind}"
-    sinks.write_tsv(results, f"{base}.tsv", ["p", "event_id"])
-    unique = results.groupBy("gene_id").agg(F.min(F.struct("p", "event_id", *[c for c in results.columns if c not in ("p", "event_id", "gene_id")])).alias("b")).select("gene_id", "b.*")
-    sinks.write_tsv(unique, f"{base}.gene_unique.tsv", ["p", "event_id"])
+def test_table(spark: SparkSession, cfg: Config, results: DataFrame, kind: str) -> DataFrame:
+    """The fifteen columns of the results of :meth:`Build.test`, and with them event_counts, gene_counts and the dispersions."""
+    patterns = ("alt_right", "alt_left") if kind.startswith("alt_") else (kind,)
+    events = [as_events(p, spark.read.parquet(f"{cfg.root}/events/{p}")).where(F.col("event_type") == kind) for p in patterns]
+    placed = sinks.coordinates(reduce(DataFrame.unionByName, events)).select(F.col("event_id").cast("long").alias("event_id"), "gene_id", F.col("contig").alias("chrm"), "exon_pos", "alt_usage")
+    names = spark.read.parquet(f"{cfg.root}/genes").select("gene_id", F.col("gene_symbol").alias("gene_name"))
+    rows = results.join(placed, ["event_id", "gene_id"]).join(names, "gene_id", "left")
+    a, b = cfg.label_a, cfg.label_b
+    return rows.select(
+        F.concat(F.lit(f"{kind}."), F.col("event_id").cast("string")).alias("event_id"), "chrm", "exon_pos", "alt_usage", "gene_id", "gene_name",
+        F.col("p").alias("p_val"), F.col("p_adj").alias("p_val_adj"), F.col("dpsi").alias("dPSI"),
+        F.col("mean_event_count_A").alias(f"mean_event_count_{a}"), F.col("mean_event_count_B").alias(f"mean_event_count_{b}"), "log2FC_event_count",
+        F.col("mean_gene_exp_A").alias(f"mean_gene_exp_{a}"), F.col("mean_gene_exp_B").alias(f"mean_gene_exp_{b}"), "log2FC_gene_exp",
+        "event_counts", "gene_counts", "disp_raw", "disp_adj", F.col("event_id").alias("number"),
+    )
+
+
+def write_test(spark: SparkSession, cfg: Config, results: DataFrame, kind: str, a: list[str], b: list[str]) -> None:
+    """The results by p, the extended table with each sample's counts, and the first row of each gene."""
+    base = f"{cfg.root}/testing/test_results_C{cfg.confidence}_{kind}"
+    table = testing.cut(test_table(spark, cfg, results, kind))
+    extra = ["event_counts", "gene_counts", "disp_raw", "disp_adj", "number"]
+    short = table.drop(*extra[:-1])
+    samples = [*sorted(a), *sorted(b)]
+    each = [F.get(c, F.lit(i)).alias(f"{name}:{s}") for c, name in (("event_counts", "event_count"), ("gene_counts", "gene_exp")) for i, s in enumerate(samples)]
+    sinks.write_tsv(short, f"{base}.tsv", ["p_val", "number"], ["number"])
+    sinks.write_tsv(table.select(*[c for c in table.columns if c not in extra], *each, "disp_raw", "disp_adj", "number"), f"{base}.extended.tsv", ["p_val", "number"], ["number"])
+    columns = [c for c in short.columns if c not in ("p_val", "number")]
+    best = short.groupBy("gene_id").agg(F.min(F.struct("p_val", "number", *columns)).alias("b")).select("b.*").select(*short.columns)
+    sinks.write_tsv(best, f"{base}.gene_unique.tsv", ["p_val", "number"], ["number"])

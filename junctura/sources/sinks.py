@@ -54,10 +54,10 @@ def bed(events: DataFrame) -> DataFrame:
 
 
 def coordinates(events: DataFrame) -> DataFrame:
-    """exon_pos (start-stop of the distinct exons, by start) and alt_usage (1: in isoform 2 only)."""
+    """exon_pos (start-stop of the distinct exons, by start) and alt_usage (1: not in both isoforms)."""
     both = F.array_sort(F.array_distinct(F.concat("exons1", "exons2")))
     text = F.array_join(F.transform(both, lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))), ":")
-    usage = F.array_join(F.transform(both, lambda x: F.when(F.array_contains("exons1", x), "0").otherwise("1")), ":")
+    usage = F.array_join(F.transform(both, lambda x: F.when(F.array_contains("exons1", x) & F.array_contains("exons2", x), "0").otherwise("1")), ":")
     return events.withColumn("exon_pos", text).withColumn("alt_usage", usage)
 
 
@@ -137,9 +137,11 @@ def structured(events: DataFrame, psi: DataFrame, samples: list[str]) -> DataFra
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One ordered text file: the events of a type are a report, not a data set."""
-    lines.repartition(1).sortWithinPartitions("event_type", "event_id", "line_no").select("value").write.mode("overwrite").text(path)
+    """Ordered text files: ranges of events, in the order of the files' names."""
+    by = ["event_type", "event_id", "line_no"]
+    lines.repartitionByRange(*by).sortWithinPartitions(*by).select("value").write.mode("overwrite").text(path)
 
 
-def write_tsv(df: DataFrame, path: str, order: list[str]) -> None:
-    df.repartition(1).sortWithinPartitions(*order).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+def write_tsv(df: DataFrame, path: str, order: list[str], leave_out: list[str] = ()) -> None:
+    """Ordered tables with a header in each file; ``leave_out`` are columns that only order."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).drop(*leave_out).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)

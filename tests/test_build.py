@@ -42,7 +42,7 @@ def test_build(spark, tmp_path):
             reads(None, [(10_000 + 3000 * k, 11_000 + 3000 * k)], 300, rng, out)
         samples.append(str(tmp_path / f"s{i}.sam"))
         (tmp_path / f"s{i}.sam").write_text("\n".join(out) + "\n")
-    cfg = Config(outdir=str(tmp_path / "out"), annotation=str(tmp_path / "a.gtf"), samples=tuple(samples), event_types=("exon_skip", "mult_exon_skip"))
+    cfg = Config(outdir=str(tmp_path / "out"), annotation=str(tmp_path / "a.gtf"), samples=tuple(samples))
     job = Build(spark, cfg)
     found = job.run()
     psi, confirmed = found["exon_skip"]
@@ -50,24 +50,30 @@ def test_build(spark, tmp_path):
     got = {r.sample: r for r in psi.collect()}
     assert got["s0"].annotated == 2 and got["s0"].e1e3 > 30 and got["s0"].psi < got["s7"].psi
     assert found["mutex_exons"][0].count() == found["intron_retention"][0].count() == 0
-    sf = {r.sample: r.sf for r in spark.read.parquet(cfg.outdir + "/size_factors").collect()}
+    sf = {r.sample: r.sf for r in spark.read.parquet(cfg.root + "/size_factors").collect()}
     assert len(sf) == 8 and all(0.8 < v < 1.3 for v in sf.values())
     test = job.test("exon_skip", [f"s{i}" for i in range(4)], [f"s{i}" for i in range(4, 8)]).collect()
     assert len(test) == 1 and test[0].p < 0.05 and test[0].dpsi < -0.1
     report.write(spark, cfg)
-    lines = [r.value for r in spark.read.text(cfg.outdir + "/reports/exon_skip.confirmed.gff3").collect()]
+    lines = [r.value for r in spark.read.text(cfg.root + "/reports/exon_skip.confirmed.gff3").collect()]
     assert len(lines) == 8 and "\tgene\t1001\t2300\t" in lines[0] and 'HasNovelJunction="Y"' in lines[0]
-    assert spark.read.option("header", True).option("sep", "\t").csv(cfg.outdir + "/reports/exon_skip.tsv").columns[-1] == "s7:psi"
-    report.write_test(job.test("exon_skip", ["s0", "s1", "s2", "s3"], ["s4", "s5", "s6", "s7"]), cfg.outdir, "exon_skip")
-    assert spark.read.option("header", True).option("sep", "\t").csv(cfg.outdir + "/testing/exon_skip.gene_unique.tsv").count() == 1
+    assert spark.read.option("header", True).option("sep", "\t").csv(cfg.root + "/reports/exon_skip.tsv").columns[-1] == "s7:psi"
+    a, b = ["s0", "s1", "s2", "s3"], ["s4", "s5", "s6", "s7"]
+    report.write_test(spark, cfg, job.test("exon_skip", a, b), "exon_skip", a, b)
+    written = lambda name: spark.read.option("header", True).option("sep", "\t").csv(f"{cfg.root}/testing/test_results_C3_exon_skip.{name}")
+    assert written("gene_unique.tsv").count() == 1
+    assert written("tsv").columns == "event_id chrm exon_pos alt_usage gene_id gene_name p_val p_val_adj dPSI mean_event_count_A mean_event_count_B log2FC_event_count mean_gene_exp_A mean_gene_exp_B log2FC_gene_exp".split()
+    row = written("extended.tsv").collect()[0].asDict()
+    assert row["exon_pos"] == "1000-1200:1500-1600:2000-2300" and row["alt_usage"] == "0:1:0" and row["event_id"] == "exon_skip.1"
+    assert abs(sum(float(row[f"event_count:{s}"]) for s in a) / 4 - float(row["mean_event_count_A"])) < 1e-6 and len(row) == 15 + 16 + 2
     again = Build(spark, cfg).run()["exon_skip"][0]
     assert again.count() == 8
-    runs = spark.read.parquet(cfg.outdir + "/counts/runs").where("gene_id = 'g1'")
+    runs = spark.read.parquet(cfg.root + "/counts/runs").where("gene_id = 'g1'")
     low, high = viz_data.plot_range(runs, "run_start", "run_end")
     assert low < 1000 < 2300 < high and viz_data.coverage_bins(runs, low, high, 20).count() > 8
     groups = spark.createDataFrame([(f"s{i}", "a" if i < 4 else "b") for i in range(8)], "sample string, `group` string")
-    assert viz_data.segment_means(spark.read.parquet(cfg.outdir + "/counts/segment_depth"), groups).where("sem IS NOT NULL").count() > 0
-    tables = viz_data.gene_tables(spark, cfg.outdir, "g1.5")
+    assert viz_data.segment_means(spark.read.parquet(cfg.root + "/counts/segment_depth"), groups).where("sem IS NOT NULL").count() > 0
+    tables = viz_data.gene_tables(spark, cfg.root, "g1.5")
     assert tables["exons"].count() == 3
 
 

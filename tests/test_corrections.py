@@ -27,8 +27,8 @@ def plain(p, method):
         elif method == "by":
             v = bh(x) * sum(1 / k for k in range(1, m + 1))
         else:
-            left = m - sum(bh(y) <= 0.05 / 1.05 for y in p)
-            v = bh(x) * ((left or m) / m) * 1.05
+            left = m - sum(bh(y) <= 0.1 / 1.1 for y in p)
+            v = bh(x) * ((left or m) / m) * 1.1
         out.append(min(v, 1.0))
     return out
 
