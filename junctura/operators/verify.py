@@ -15,11 +15,14 @@ PSI_KIND = {"alt_3prime": "alt_prime", "alt_5prime": "alt_prime"}
 
 
 def with_depth(rows: DataFrame, runs: DataFrame, regions: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """Mean depth ``<name>_cov`` and covered share ``<name>_region`` of each named region in each row's sample."""
+    """Mean depth ``<name>_cov`` and covered share ``<name>_region`` of each named region in each row's sample.
+
+    The distinct regions of all names meet the runs once; the names take theirs from that."""
+    spans = F.array(*[F.struct(s.cast("int").alias("seg_start"), e.cast("int").alias("seg_end")) for s, e in regions.values()])
+    wanted = rows.select("gene_id", F.explode(spans).alias("r")).select("gene_id", "r.*").where("seg_end > seg_start").distinct()
+    found = intervals.segment_coverage(wanted, runs, ["gene_id"], ["sample"]).select("gene_id", "sample", "seg_start", "seg_end", "mean_cov", "covered")
     for name, (s, e) in regions.items():
         rows = rows.withColumn("seg_start", s.cast("int")).withColumn("seg_end", e.cast("int"))
-        wanted = rows.where("seg_end > seg_start").select("gene_id", "seg_start", "seg_end").distinct()
-        found = intervals.segment_coverage(wanted, runs, ["gene_id"], ["sample"])
         rows = rows.join(found, ["gene_id", "sample", "seg_start", "seg_end"], "left")
         share = F.coalesce(F.col("covered") / (F.col("seg_end") - F.col("seg_start")), F.lit(0.0))
         rows = rows.withColumn(f"{name}_cov", F.coalesce("mean_cov", F.lit(0.0))).withColumn(f"{name}_region", share).drop("seg_start", "seg_end", "mean_cov", "covered")

@@ -81,11 +81,14 @@ def exon_skip(spark, sf_dir):
     return events.exon_skip(graph.edges(exons(spark, sf_dir)))
 
 
-@query(f"""{WITH}, path AS MATERIALIZED (SELECT a.gene_id, a.us "as", a.ue ae, a.vs bs, a.ve be, b.vs ds, b.ve de
+MUTEX = """path AS MATERIALIZED (SELECT a.gene_id, a.us "as", a.ue ae, a.vs bs, a.ve be, b.vs ds, b.ve de
   FROM edge a JOIN edge b ON a.gene_id = b.gene_id AND a.vs = b.us AND a.ve = b.ue),
 both_ways AS MATERIALIZED (SELECT p.gene_id, p."as" e1s, p.ae e1e, p.bs e2s, p.be e2e, q.bs e3s, q.be e3e, p.ds e4s, p.de e4e
-  FROM path p JOIN path q ON p.gene_id = q.gene_id AND p."as" = q."as" AND p.ae = q.ae AND p.ds = q.ds AND p.de = q.de WHERE q.bs >= p.be)
-SELECT b.* FROM both_ways b ANTI JOIN edge e ON e.gene_id = b.gene_id AND e.us = b.e2s AND e.ue = b.e2e AND e.vs = b.e3s AND e.ve = b.e3e""")
+  FROM path p JOIN path q ON p.gene_id = q.gene_id AND p."as" = q."as" AND p.ae = q.ae AND p.ds = q.ds AND p.de = q.de WHERE q.bs >= p.be),
+mutex AS (SELECT b.* FROM both_ways b ANTI JOIN edge e ON e.gene_id = b.gene_id AND e.us = b.e2s AND e.ue = b.e2e AND e.vs = b.e3s AND e.ve = b.e3e)"""
+
+
+@query(f"{WITH}, {MUTEX} SELECT * FROM mutex")
 def mutex_exons(spark, sf_dir):
     return events.mutex_exons(graph.edges(exons(spark, sf_dir)))
 
@@ -116,16 +119,19 @@ def alt_left(spark, sf_dir):
     return events.alt_left(graph.edges(exons(spark, sf_dir)))
 
 
-@query(f"""WITH RECURSIVE {EXON}, {PAIR}, {EDGE}, step AS MATERIALIZED (SELECT gene_id, {{'s': us, 'e': ue}} AS a, {{'s': vs, 'e': ve}} AS b FROM edge),
+MULT = """hop AS MATERIALIZED (SELECT gene_id, {'s': us, 'e': ue} AS a, {'s': vs, 'e': ve} AS b FROM edge),
 way AS (
-  SELECT gene_id, a AS first, b AS last, 1 AS n, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS back FROM step
+  SELECT gene_id, a AS first, b AS last, 1 AS n, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS back FROM hop
   UNION ALL
-  SELECT way.gene_id, first, step.b, n + 1, list_prepend(way.last, back) FROM way JOIN step ON step.gene_id = way.gene_id AND step.a = way.last),
+  SELECT way.gene_id, first, hop.b, n + 1, list_prepend(way.last, back) FROM way JOIN hop ON hop.gene_id = way.gene_id AND hop.a = way.last),
 around AS (
   SELECT w.gene_id, w.first, w.last, n, back, row_number() OVER (PARTITION BY w.gene_id, w.first, w.last ORDER BY n, back) AS low, row_number() OVER (PARTITION BY w.gene_id, w.first, w.last ORDER BY n DESC, back) AS high
-  FROM way w SEMI JOIN step s ON s.gene_id = w.gene_id AND s.a = w.first AND s.b = w.last WHERE n > 1),
+  FROM way w SEMI JOIN hop s ON s.gene_id = w.gene_id AND s.a = w.first AND s.b = w.last WHERE n > 1),
 chosen AS (
-  SELECT gene_id, first, last, coalesce(max(back) FILTER (low = 1 AND n > 2), max(back) FILTER (high = 1 AND n > 2)) AS back FROM around GROUP BY ALL)
+  SELECT gene_id, first, last, coalesce(max(back) FILTER (low = 1 AND n > 2), max(back) FILTER (high = 1 AND n > 2)) AS back FROM around GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {EXON}, {PAIR}, {EDGE}, {MULT}
 SELECT gene_id, first.s AS us, first.e AS ue, last.s AS vs, last.e AS ve, len(back) AS n_inner,
   array_to_string(list_transform(list_reverse(back), lambda x: concat(x.s, '-', x.e)), ':') AS inner_exons FROM chosen WHERE back IS NOT NULL""")
 def mult_exon_skip(spark, sf_dir):
@@ -565,6 +571,63 @@ def evidence_intron_retention(spark, sf_dir):
     return out.select("gene_id", "sample_id", "e1s", "e1e", "e2s", "e2e", rounded("e2_cov").alias("cov"), rounded("e2_region").alias("share"), "v1", "v2", rounded("psi").alias("psi"))
 
 
+RIGHT = """alt AS (SELECT x.gene_id, x.us e1s, x.ue e1e, x.vs e2s, x.ve e2e, y.vs e3s, y.ve e3e FROM edge x JOIN edge y ON x.gene_id = y.gene_id AND x.us = y.us AND x.ue = y.ue
+WHERE x.vs < y.vs AND least(x.ve, y.ve) - greatest(x.vs, y.vs) >= 11)"""
+
+
+def _alt_evidence_sql(alt: str, parts: list[tuple[str, str]], longer: tuple[str, str], shorter: tuple[str, str]) -> str:
+    d1, d2, d3 = (DEPTH.format(s=s, e=e) for s, e in parts)
+    n1, n3 = (f"({parts[k][1]} - {parts[k][0]})" for k in (0, 2))
+    return f"""{WITH}, {alt}, {JUNCTION}, {RUNS}, feat AS (SELECT o.*, {d1} AS d1, {d2} AS d2, {d3} AS d3, {n1} AS n1, {n3} AS n3, {_count('e2', *longer)}, {_count('e1e3', *shorter)} FROM {OWN.format(t='alt')})
+SELECT gene_id, sample_id, e1s, e1e, e2s, e2e, e3s, e3e, round(d2, 6) AS e2_cov, e2, e1e3, d2 >= 0.05 * ((d1 * n1 + d3 * n3) / (n1 + n3)) AS v1, e2 >= 1 AND e1e3 >= 1 AS v2,
+  CASE WHEN e2 + e1e3 >= 1 THEN round(CAST(e2 AS DOUBLE) / (e2 + e1e3), 6) END AS psi FROM (SELECT * REPLACE (CAST(e2 AS BIGINT) AS e2, CAST(e1e3 AS BIGINT) AS e1e3) FROM feat)"""
+
+
+def _alt_evidence(spark, sf_dir, kind: str, found: DataFrame) -> DataFrame:
+    out = _evidence(spark, sf_dir, kind, found)
+    return out.select("gene_id", "sample_id", *events.TRIPLE[1:], rounded("e2_cov").alias("e2_cov"), "e2", "e1e3", "v1", "v2", rounded("psi").alias("psi"))
+
+
+@query(_alt_evidence_sql(RIGHT, [("e1s", "e1e"), ("e2s", "e3s"), ("e3s", "least(e2e, e3e)")], ("e1e", "e2s"), ("e1e", "e3s")))
+def evidence_alt_right(spark, sf_dir):
+    """Depth, counts, criteria and PSI of alternative right ends."""
+    return _alt_evidence(spark, sf_dir, "alt_right", events.alt_right(graph.edges(exons(spark, sf_dir))))
+
+
+@query(_alt_evidence_sql(LEFT, [("greatest(e1s, e2s)", "e1e"), ("e1e", "e2e"), ("e3s", "e3e")], ("e2e", "e3s"), ("e1e", "e3s")))
+def evidence_alt_left(spark, sf_dir):
+    """Depth, counts, criteria and PSI of alternative left ends."""
+    return _alt_evidence(spark, sf_dir, "alt_left", events.alt_left(graph.edges(exons(spark, sf_dir))))
+
+
+@query(f"""{WITH}, {MUTEX}, {JUNCTION}, {RUNS}, feat AS (SELECT o.*, {', '.join(f"{DEPTH.format(s=f'e{k}s', e=f'e{k}e')} AS d{k}" for k in (1, 2, 3, 4))},
+  {', '.join(_count(f'e{a}e{b}', f'e{a}e', f'e{b}s') for a, b in ((1, 2), (1, 3), (2, 4), (3, 4)))} FROM {OWN.format(t='mutex')})
+SELECT gene_id, sample_id, e1s, e1e, e2s, e2e, e3s, e3e, e4s, e4e, d2 >= 0.05 * ((d1 + d4) / 2) AS v1, d3 >= 0.05 * ((d1 + d4) / 2) AS v2, e1e2 >= 1 AND e2e4 >= 1 AS v3, e1e3 >= 1 AND e3e4 >= 1 AS v4,
+  CASE WHEN e1e2 + e2e4 + e1e3 + e3e4 >= 1 THEN round(CAST(e1e3 + e3e4 AS DOUBLE) / (e1e2 + e2e4 + e1e3 + e3e4), 6) END AS psi FROM feat""")
+def evidence_mutex_exons(spark, sf_dir):
+    """Criteria and PSI of mutually exclusive exons."""
+    out = _evidence(spark, sf_dir, "mutex_exons", events.mutex_exons(graph.edges(exons(spark, sf_dir))))
+    return out.select("gene_id", "sample_id", *[f"e{k}{x}" for k in (1, 2, 3, 4) for x in "se"], "v1", "v2", "v3", "v4", rounded("psi").alias("psi"))
+
+
+@query(f"""WITH RECURSIVE {EXON}, {PAIR}, {EDGE}, {MULT}, {JUNCTION}, {RUNS},
+mult AS (SELECT gene_id, first.s AS us, first.e AS ue, last.s AS vs, last.e AS ve, list_reverse(back) AS inner_exons FROM chosen WHERE back IS NOT NULL),
+own AS (SELECT mult.*, s.sample_id FROM mult JOIN (SELECT DISTINCT gene_id, sample_id FROM junction) s USING (gene_id)),
+part AS (SELECT o.gene_id, o.sample_id, o.us, o.ue, o.vs, o.ve, k, o.inner_exons[k].s AS xs, o.inner_exons[k].e AS xe, o.inner_exons[k + 1].s AS after
+  FROM (SELECT *, unnest(range(1, len(inner_exons) + 1)) AS k FROM own) o),
+sums AS (SELECT gene_id, sample_id, us, ue, vs, ve, sum({DEPTH.format(s='xs', e='xe')} * (xe - xs)) / sum(xe - xs) AS d2, count(*) AS num_e2,
+  coalesce(sum((SELECT sum(j.n) FROM junction j WHERE j.gene_id = o.gene_id AND j.sample_id = o.sample_id AND j.i_start = xe AND j.i_end = after)), 0) AS sum_e2 FROM part o GROUP BY ALL),
+feat AS (SELECT o.*, d2, num_e2, sum_e2, {DEPTH.format(s='o.us', e='o.ue')} AS d1, {DEPTH.format(s='o.vs', e='o.ve')} AS d3,
+  {_count('e1e2', 'o.ue', 'o.inner_exons[1].s')}, {_count('e2e3', 'o.inner_exons[-1].e', 'o.vs')}, {_count('e1e3', 'o.ue', 'o.vs')} FROM own o JOIN sums USING (gene_id, sample_id, us, ue, vs, ve))
+SELECT gene_id, sample_id, us, ue, vs, ve, round(d2, 6) AS e2_cov, CAST(sum_e2 AS BIGINT) AS sum_e2, num_e2, d2 >= 0.05 * ((d1 + d3) / 2) AS v1, e1e2 >= 1 AS v2, e2e3 >= 1 AS v3, sum_e2 / num_e2 >= 1 AS v4, e1e3 >= 1 AS v5,
+  CASE WHEN e1e2 + e2e3 + sum_e2 + (num_e2 + 1) * e1e3 >= 1 THEN round(CAST(e1e2 + e2e3 + sum_e2 AS DOUBLE) / (e1e2 + e2e3 + sum_e2 + (num_e2 + 1) * e1e3), 6) END AS psi FROM feat""")
+def evidence_mult_exon_skip(spark, sf_dir):
+    """Depth, counts, criteria and PSI of several skipped exons."""
+    found = events.mult_exon_skip(graph.edges(exons(spark, sf_dir))).withColumn("event_id", F.struct("us", "ue", "vs", "ve"))
+    out = _evidence(spark, sf_dir, "mult_exon_skip", found)
+    return longs(out.select("gene_id", "sample_id", "us", "ue", "vs", "ve", rounded("e2_cov").alias("e2_cov"), "sum_e2", "num_e2", "v1", "v2", "v3", "v4", "v5", rounded("psi").alias("psi")))
+
+
 def _as_events(df: DataFrame) -> DataFrame:
     pair = lambda *names: F.array(*[F.struct(F.col(f"{n}s").cast("int").alias("start"), F.col(f"{n}e").cast("int").alias("stop")) for n in names])
     return df.select(F.lit("exon_skip").alias("event_type"), "event_id", F.lit("c1").alias("contig"), F.lit("+").alias("strand"), F.col("gene_id").cast("string").alias("gene_id"), F.lit(3).alias("annotated"), pair("e1", "e3").alias("exons1"), pair("e1", "e2", "e3").alias("exons2"))
