@@ -25,6 +25,9 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--primary-only", action=argparse.BooleanOptionalAction, default=True)
             p.add_argument("--var-aware", action="store_true")
             p.add_argument("--ignore-mismatches", action="store_true")
+            p.add_argument("--filter-overlap-genes", action="store_true", help="leave out genes that overlap another one")
+            p.add_argument("--filter-overlap-exons", action="store_true", help="leave out genes that share an exon with another one")
+            p.add_argument("--filter-overlap-transcripts", action="store_true", help="leave out genes with a transcript whose exons overlap")
         if mode == "build":
             p.add_argument("--filter-consensus", default="", choices=["", "strict", "lenient"])
             p.add_argument("--reference", default="")
@@ -68,7 +71,7 @@ def config(args: argparse.Namespace) -> Config:
         "ignore_mismatches": "ignore_mismatches", "filter_consensus": "filter_consensus", "reference": "reference", "validate_sg": "validate", "validate_sg_count": "validate_min",
         "iterations": "iterations", "ase_edge_limit": "edge_limit", "psi_min_reads": "psi_min_reads", "insert_es": "insert_cassettes", "insert_ir": "insert_retentions",
         "insert_ni": "insert_edges", "remove_se": "remove_short", "filter_ambiguous": "filter_ambiguous", "use_anno_support": "use_annotated_support", "correction": "correction", "max_zero_frac": "max_zero",
-        "merge_strat": "merge", "label_a": "label_a", "label_b": "label_b", "dpsi": "min_dpsi", "min_count": "min_count", "cap_exp_outliers": "cap_expression", "cap_outliers": "cap_counts",
+        "merge_strat": "merge", "filter_overlap_genes": "drop_overlapping_genes", "filter_overlap_exons": "drop_shared_exons", "filter_overlap_transcripts": "drop_overlapping_exons", "label_a": "label_a", "label_b": "label_b", "dpsi": "min_dpsi", "min_count": "min_count", "cap_exp_outliers": "cap_expression", "cap_outliers": "cap_counts",
     }
     found = {new: given[old] for old, new in keys.items() if old in given}
     return Config(**found, samples=names(given["bams"]) if "bams" in given else (), event_types=names(given["event_types"]))

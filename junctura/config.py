@@ -73,6 +73,9 @@ class Config:
     psi_min_reads: int = 10
     filter_consensus: str = ""
     filter_ambiguous: bool = False
+    drop_overlapping_genes: bool = False
+    drop_shared_exons: bool = False
+    drop_overlapping_exons: bool = False
     primary_only: bool = True
     var_aware: bool = False
     ignore_mismatches: bool = False

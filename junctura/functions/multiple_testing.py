@@ -42,7 +42,7 @@ def _ranges(values: DataFrame, p: str, n: int) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(p)))
 
 
-def _distinct(tests: DataFrame, p: str, keys: list[str]) -> DataFrame:
+def ranks(tests: DataFrame, p: str, keys: list[str] = ()) -> DataFrame:
     """The distinct p of each family with their first and last rank, the range and the family's size ``m``."""
     values = tests.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("__c"))
     values = values.withColumn("__range", _ranges(values, p, values.count()))
@@ -91,7 +91,7 @@ def adjust(tests: DataFrame, p: str, method: str, keys: list[str] = ()) -> DataF
         schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, p]) + ", p_adj double"
         found = families.groupBy(*(keys or [F.lit(0).alias("__all")])).applyInPandas(family, schema)
     else:
-        values = _distinct(tests, p, keys)
+        values = ranks(tests, p, keys)
         if method == "bonferroni":
             found = values.withColumn("p_adj", c(p) * c("m"))
         elif method == "holm":

@@ -41,7 +41,7 @@ class Build:
     def annotation(self) -> tuple[DataFrame, DataFrame]:
         cfg = self.cfg
         read = annotation.read_gff3 if cfg.annotation.endswith((".gff", ".gff3")) else annotation.read_gtf
-        genes, exons = annotation.checked(*read(self.spark, cfg.annotation))
+        genes, exons = annotation.checked(*read(self.spark, cfg.annotation), cfg.drop_overlapping_genes, cfg.drop_shared_exons, cfg.drop_overlapping_exons)
         return self.stage("genes", lambda: genes), self.stage("exons", lambda: exons)
 
     def alignments(self) -> DataFrame:

@@ -79,7 +79,8 @@ def write(spark: SparkSession, cfg: Config) -> None:
         if kind != "mult_exon_skip":
             sinks.write_lines(sinks.structured(sure, by, samples), f"{base}/reports/{kind}.struc")
         sinks.write_tsv(sinks.wide(sure, by, [*FEATURES[kind], "psi"], samples), f"{base}/reports/{kind}.tsv", ["event_type", "event_id"])
-        sinks.write_tsv(sinks.icgc(sure, by, samples), f"{base}/reports/{kind}.icgc.tsv", ["event_type", "event_id"])
+        sinks.write_tsv(sinks.icgc(sure, by, samples), f"{base}/reports/{kind}.icgc.tsv", ["event_type", "number"], ["number"])
+        sinks.write_tsv(sinks.tcga(kind, sure, by, samples), f"{base}/reports/{kind}.tcga.tsv", ["eventtype", "number"], ["number"])
 
 
 def test_table(spark: SparkSession, cfg: Config, results: DataFrame, kind: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from junctura.functions import multiple_testing
+
 MAX_RANGE = 1_000_000
 
 
@@ -27,6 +29,54 @@ def coverage_bins(runs: DataFrame, start: int, end: int, bins: int = 500, log: b
     return out.withColumn("depth", F.log10(F.col("depth") + 1)) if log else out
 
 
+def normalised(bins: DataFrame, size_factors: DataFrame) -> DataFrame:
+    """``depth`` of each sample over its size factor (sample, sf); a sample without one stays as it is."""
+    return bins.join(F.broadcast(size_factors.select("sample", "sf")), "sample", "left").withColumn("depth", F.col("depth") / F.coalesce("sf", F.lit(1.0))).drop("sf")  # a row a sample
+
+
+def mean_coverage(bins: DataFrame, groups: DataFrame, n_bins: int) -> DataFrame:
+    """group, bin, depth: the mean of a group's samples (sample, group); bins and samples without reads count as 0."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
+    grid = sizes.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_bins - 1).cast("long"))))
+    sums = bins.join(F.broadcast(groups), "sample").groupBy("group", F.col("bin").cast("long").alias("bin")).agg(F.sum("depth").alias("s"))
+    return grid.join(sums, ["group", "bin"], "left").select("group", "bin", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("depth"))
+
+
+def heatmap(bins: DataFrame, samples: list[str], n_bins: int, log: bool = True) -> DataFrame:
+    """sample, depths: a row of a picture for each sample, an array over the bins."""
+    value = F.log10(F.col("depth") + 1) if log else F.col("depth")
+    rows = bins.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bin").cast("int").alias("b"), value.alias("v")))).alias("m"))
+    every = bins.sparkSession.createDataFrame([(s,) for s in samples], "sample string").join(rows, "sample", "left")
+    return every.select("sample", F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("depths"))
+
+
+def some_samples(samples: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` of the samples, by the order of a hash with the seed: the same ones in every run."""
+    return samples.orderBy(F.xxhash64("sample", F.lit(seed)), "sample").limit(n)
+
+
+def event_rows(spark: SparkSession, root: str, event: str) -> tuple[DataFrame, tuple[int, int]]:
+    """The evidence of one event ("exon_skip.3") in each sample, and the range to plot."""
+    from junctura.plans.report import event_type
+
+    kind, number = event.rsplit(".", 1)
+    patterns = ("alt_right", "alt_left") if kind.startswith("alt_") else (kind,)
+    found = None
+    for pattern in patterns:
+        rows = spark.read.parquet(f"{root}/psi/{pattern}").where((event_type(pattern) == kind) & (F.col("event_id") == int(number)))
+        found = rows if found is None or found.isEmpty() else found
+    if found.isEmpty():
+        raise ValueError(f"there is no event {event}")
+    low, high = ("us", "ve") if kind == "mult_exon_skip" else ("e1s", f"e{4 if kind == 'mutex_exons' else 2 if kind == 'intron_retention' else 3}e")
+    return found, plot_range(found, low, high)
+
+
+def top_tracks(spark: SparkSession, root: str, results: DataFrame, kind: str, k: int) -> list[tuple[str, tuple[int, int]]]:
+    """The k events of a test with the smallest p and their ranges, for one plot each."""
+    best = results.orderBy("p", "event_id").limit(k).select("event_id").collect()
+    return [(f"{kind}.{r.event_id}", event_rows(spark, root, f"{kind}.{r.event_id}")[1]) for r in best]
+
+
 def segment_means(depth: DataFrame, groups: DataFrame) -> DataFrame:
     """Mean and standard error of each segment's depth in each group."""
     rows = depth.join(F.broadcast(groups), "sample")
@@ -38,9 +88,8 @@ def mean_variance(counts: DataFrame, row: str, value: str) -> DataFrame:
 
 
 def qq(tests: DataFrame, p: str = "p") -> DataFrame:
-    """-log10 of the expected and observed p-values."""
-    by = Window.orderBy(p)
-    ranked = tests.where(F.col(p).isNotNull()).select(p, F.row_number().over(by).alias("r"), F.count("*").over(Window.partitionBy()).alias("m"))
+    """-log10 of the expected and observed p-values; ranks are taken range by range of p."""
+    ranked = multiple_testing.ranks(tests, p).select(p, "m", F.explode(F.sequence("first", "last")).alias("r"))
     return ranked.select((-F.log10(F.col("r") / (F.col("m") + 1))).alias("expected"), (-F.log10(F.col(p))).alias("observed"))
 
 

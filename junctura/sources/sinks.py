@@ -81,13 +81,73 @@ def tcga_psi(kind: str, min_reads: int = 10) -> Column:
     }[kind]()
 
 
+def _shown(events: DataFrame) -> tuple[Column, Column]:
+    """The exons that the ICGC and TCGA files show, and the alternative region's (start, stop) pairs."""
+    one, two = (lambda i: F.element_at("exons1", i)), (lambda i: F.element_at("exons2", i))
+    kind, left = F.col("event_type"), F.element_at("exons1", 1) == F.element_at("exons2", 1)
+    region = lambda a, b: F.array(F.struct(F.least(a, b).alias("start"), F.greatest(a, b).alias("stop")))
+    inner = F.slice("exons2", F.lit(2), F.greatest(F.size("exons2") - 2, F.lit(0)))
+    shown = (
+        F.when(kind == "intron_retention", F.col("exons1"))
+        .when(kind.startswith("alt_") & left, F.array(one(1), one(-1), two(-1)))
+        .when(kind.startswith("alt_"), F.array(one(-1), one(1), two(1)))
+        .when(kind == "mutex_exons", F.array(one(1), one(2), two(2), one(-1)))
+        .otherwise(F.col("exons2"))
+    )
+    part = (
+        F.when(kind == "intron_retention", region(one(1)["stop"], one(-1)["start"]))
+        .when(kind.startswith("alt_") & left, region(one(-1)["start"], two(-1)["start"]))
+        .when(kind.startswith("alt_"), region(one(1)["stop"], two(1)["stop"]))
+        .when(kind == "mutex_exons", F.array(one(2), two(2)))
+        .otherwise(inner)
+    )
+    return shown, part
+
+
+def _joined(exons: Column, within: str, between: str) -> Column:
+    return F.array_join(F.transform(exons, lambda x: F.concat_ws(within, x["start"].cast("string"), x["stop"].cast("string"))), between)
+
+
 def icgc(events: DataFrame, psi: DataFrame, samples: list[str]) -> DataFrame:
-    """event_id, type code, coordinates, gene and PSI (%.6f) of each sample; events without any PSI are left out."""
+    """Id, type code, contig, annotated bits, coordinates, alternative region, gene and PSI (%.6f) of each sample.
+
+    Events without any PSI are left out; the region of several exons begins with a colon."""
     code = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in ICGC_CODES.items()])
     pivot = psi.groupBy("event_type", "event_id").pivot("sample", samples).agg(F.first("psi"))
-    table = coordinates(events).join(pivot, ["event_type", "event_id"])
+    table = events.join(pivot, ["event_type", "event_id"])
     some = F.coalesce(*[F.col(f"`{s}`") for s in samples]).isNotNull()
-    return table.where(some).select(_id().alias("event_id"), code.alias("event_type"), "contig", "exon_pos", "alt_usage", "gene_id", *[F.when(F.col(f"`{s}`").isNull(), "NA").otherwise(F.format_string("%.6f", F.col(f"`{s}`"))).alias(s) for s in samples])
+    shown, part = _shown(events)
+    mark = F.when(F.col("event_type") == "mult_exon_skip", ":").otherwise("")
+    values = [F.when(F.col(f"`{s}`").isNull(), "nan").otherwise(F.format_string("%.6f", F.col(f"`{s}`"))).alias(s) for s in samples]
+    return table.where(some).select(
+        _id().alias("event_id"), code.alias("event_type"), F.col("contig").alias("event_chr"), F.col("annotated").alias("is_annotated"), _joined(shown, ":", ":").alias("event_coordinates"),
+        F.concat(mark, _joined(part, ":", ":")).alias("alt_region_coordinates"), F.col("gene_id").alias("gene_name"), *values, F.col("event_id").alias("number"),
+    )
+
+
+def tcga(kind: str, events: DataFrame, features: DataFrame, samples: list[str], min_reads: int = 10) -> DataFrame:
+    """gene, eventtype, coordinates and each sample's ratio with one decimal, NA below ``min_reads``.
+
+    ``features`` are the rows of :func:`junctura.operators.verify.evidence` of the pattern
+    ``kind``; ratios are those of :func:`tcga_psi`."""
+    shown, _ = _shown(events)
+    ends = [F.element_at(shown, 1), F.element_at(shown, -1)]
+    one = lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))
+    inner = F.array_join(F.transform(F.slice(shown, F.lit(2), F.greatest(F.size(shown) - 2, F.lit(0))), lambda x: F.concat(F.lit(":"), one(x), F.lit(":"))), "")
+    place = F.when(F.col("event_type") == "mult_exon_skip", F.concat(one(ends[0]), inner, F.lit(":"), one(ends[1]))).otherwise(_joined(shown, "-", ":"))
+    head = events.select("event_type", "event_id", F.col("gene_id").alias("gene"), F.col("event_type").alias("eventtype"), F.concat(F.col("contig"), F.lit("::"), place).alias("coordinates"), (F.element_at("exons1", 2)["start"] - F.element_at("exons1", 1)["stop"] < F.element_at("exons2", 2)["start"] - F.element_at("exons2", 1)["stop"]).alias("__near"))
+    if kind.startswith("alt"):
+        support = F.col("e2") + F.col("e1e3")
+        ratio = F.when(support >= min_reads, F.when(F.col("__near"), F.col("e2")).otherwise(F.col("e1e3")).cast("double") / support)
+    elif kind == "intron_retention":
+        ratio = F.when(F.col("e1e3") >= min_reads, F.col("e1e3").cast("double"))
+    else:
+        ratio = tcga_psi(kind, min_reads)
+    rows = features.join(head.select("event_type", "event_id", "__near"), ["event_type", "event_id"]).withColumn("__r", F.coalesce(F.format_string("%1.1f", ratio), F.lit("NA")))
+    rows = rows.withColumn("__r", F.when(ratio.isNull(), "NA").otherwise(F.col("__r")))
+    pivot = rows.groupBy("event_type", "event_id").pivot("sample", samples).agg(F.first("__r"))
+    out = head.join(pivot, ["event_type", "event_id"])
+    return out.select("gene", "eventtype", "coordinates", *[F.coalesce(F.col(f"`{s}`"), F.lit("NA")).alias(s) for s in samples], F.col("event_id").alias("number"))
 
 
 def structured(events: DataFrame, psi: DataFrame, samples: list[str]) -> DataFrame:

@@ -63,6 +63,8 @@ def test_build(spark, tmp_path):
     written = lambda name: spark.read.option("header", True).option("sep", "\t").csv(f"{cfg.root}/testing/test_results_C3_exon_skip.{name}")
     assert written("gene_unique.tsv").count() == 1
     assert written("tsv").columns == "event_id chrm exon_pos alt_usage gene_id gene_name p_val p_val_adj dPSI mean_event_count_A mean_event_count_B log2FC_event_count mean_gene_exp_A mean_gene_exp_B log2FC_gene_exp".split()
+    rows, (low, high) = viz_data.event_rows(spark, cfg.root, "exon_skip.1")
+    assert rows.count() == 8 and low < 1000 and high > 2300 and viz_data.top_tracks(spark, cfg.root, job.test("exon_skip", a, b), "exon_skip", 3)[0][0] == "exon_skip.1"
     row = written("extended.tsv").collect()[0].asDict()
     assert row["exon_pos"] == "1000-1200:1500-1600:2000-2300" and row["alt_usage"] == "0:1:0" and row["event_id"] == "exon_skip.1"
     assert abs(sum(float(row[f"event_count:{s}"]) for s in a) / 4 - float(row["mean_event_count_A"])) < 1e-6 and len(row) == 15 + 16 + 2
@@ -77,6 +79,20 @@ def test_build(spark, tmp_path):
     assert tables["exons"].count() == 3
 
 
+def test_plot_tables(spark):
+    runs = spark.createDataFrame([("a", 0, 10, 4), ("b", 5, 15, 2)], "sample string, run_start int, run_end int, depth int")
+    bins = viz_data.coverage_bins(runs, 0, 20, 4)
+    sf = spark.createDataFrame([("a", 2.0)], "sample string, sf double")
+    assert {(r.sample, r.bin): r.depth for r in viz_data.normalised(bins, sf).collect()} == {("a", 0): 2.0, ("a", 1): 2.0, ("b", 1): 2.0, ("b", 2): 2.0}
+    groups = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "sample string, `group` string")
+    got = {(r["group"], r.bin): r.depth for r in viz_data.mean_coverage(bins, groups, 4).collect()}
+    assert got[("x", 1)] == 3 and got[("x", 3)] == 0 and got[("y", 0)] == 0 and len(got) == 8
+    rows = {r.sample: r.depths for r in viz_data.heatmap(bins, ["a", "c"], 4, log=False).collect()}
+    assert rows == {"a": [4.0, 4.0, 0.0, 0.0], "c": [0.0] * 4}
+    many = spark.createDataFrame([(f"s{i}",) for i in range(30)], "sample string")
+    assert len({r.sample for r in viz_data.some_samples(many, 5).collect()}) == 5 and viz_data.some_samples(many, 5, 1).collect() != viz_data.some_samples(many, 5).collect()
+
+
 def test_plot_data(spark):
     df = spark.createDataFrame([(1, 0, 10), (1, 5, 20), (1, 12, 15), (2, 0, 3)], "g int, s int, e int")
     assert [r.level for r in viz_data.levels(df, ["g"], "s", "e").orderBy("g", "s").collect()] == [0, 1, 0, 0]

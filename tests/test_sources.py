@@ -186,7 +186,25 @@ def test_writers(spark):
     assert (row.exon_pos, row.alt_usage) == ("0-10:20-30:40-50", "0:1:0")
     counts = spark.createDataFrame([("exon_skip", 1, "a", 5, 0.5), ("exon_skip", 1, "b", 7, None)], "event_type string, event_id int, sample string, n int, psi double")
     assert sinks.wide(events, counts, ["n", "psi"], ["a", "b"]).collect()[0]["b:n"] == 7
-    assert sinks.icgc(events, counts, ["a", "b"]).collect()[0][-2:] == ("0.500000", "NA")
+    row = sinks.icgc(events, counts, ["a", "b"]).collect()[0]
+    assert tuple(row)[:9] == ("exon_skip.1", "ES", "c1", 3, "0:10:20:30:40:50", "20:30", "g", "0.500000", "nan")
+    features = spark.createDataFrame([("exon_skip", 1, "a", 9, 7, 4), ("exon_skip", 1, "b", 1, 2, 3)], "event_type string, event_id int, sample string, e1e2 int, e2e3 int, e1e3 int")
+    assert tuple(sinks.tcga("exon_skip", events, features, ["a", "b", "c"]).collect()[0]) == ("g", "exon_skip", "c1::0-10:20-30:40-50", "0.7", "NA", "NA", 1)
+
+
+def test_shown_exons(spark):
+    schema = "event_type string, event_id int, contig string, strand string, gene_id string, annotated int, exons1 array<struct<start:int,stop:int>>, exons2 array<struct<start:int,stop:int>>"
+    rows = [
+        ("intron_retention", 1, "c", "+", "g", 3, [(0, 10), (40, 50)], [(0, 50)]), ("alt_3prime", 2, "c", "+", "g", 3, [(0, 10), (40, 50)], [(0, 10), (30, 50)]),
+        ("alt_5prime", 3, "c", "+", "g", 3, [(0, 10), (40, 50)], [(0, 20), (40, 50)]), ("mutex_exons", 4, "c", "+", "g", 3, [(0, 9), (10, 19), (40, 50)], [(0, 9), (20, 30), (40, 50)]),
+        ("mult_exon_skip", 5, "c", "+", "g", 3, [(0, 9), (40, 50)], [(0, 9), (10, 12), (20, 30), (40, 50)]),
+    ]
+    events = spark.createDataFrame(rows, schema)
+    psi = spark.createDataFrame([(r[0], r[1], "a", 0.25, 6, 12, 0, 0) for r in rows], "event_type string, event_id int, sample string, psi double, e2 int, e1e3 int, x int, y int")
+    got = {r.number: (r.event_coordinates, r.alt_region_coordinates) for r in sinks.icgc(events, psi, ["a"]).collect()}
+    assert got == {1: ("0:10:40:50", "10:40"), 2: ("0:10:40:50:30:50", "30:40"), 3: ("40:50:0:10:0:20", "10:20"), 4: ("0:9:10:19:20:30:40:50", "10:19:20:30"), 5: ("0:9:10:12:20:30:40:50", ":10:12:20:30")}
+    assert sinks.tcga("alt_left", events.where("event_id = 3"), psi, ["a"]).collect()[0][2:4] == ("c::40-50:0-10:0-20", "0.7")
+    assert sinks.tcga("intron_retention", events.where("event_id = 1"), psi, ["a"]).collect()[0].a == "12.0"
 
 
 def test_structured(spark):
