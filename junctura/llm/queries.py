@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from junctura.llm import html_wrapper, iso_media, licenses, line_dedup, ngram_join, packing, pii, prefix_table, quality, wavelet
+from junctura.llm.license_texts import TEMPLATES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +132,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN lost USING (r)"""
 
 
+def _license_sql(threshold: float = licenses.THRESHOLD) -> str:
+    """Base phrases, and every window of word pairs around every template, in SQL."""
+    rows = ", ".join(f"({k}, '{label}', '{' '.join(w.decode() for w in licenses.WORD.findall(text.encode().lower()))}')" for k, (label, text) in enumerate(TEMPLATES))
+    phrases = ", ".join(f"('{label}', {p.split()!r})" for p, label in licenses.PHRASES.items())
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+word AS (SELECT r, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS a FROM d),
+next AS MATERIALIZED (
+  SELECT r, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM word WINDOW o AS (PARTITION BY r ORDER BY i)),
+phrase(label, p) AS (VALUES {phrases}),
+base AS MATERIALIZED (
+  SELECT r, i, label FROM next JOIN phrase ON a = p[1] AND b = p[2] AND (len(p) = 2 OR c = p[3])),
+template(k, label, t) AS (VALUES {rows}),
+token AS (
+  SELECT k, label, string_split(t, ' ') AS w FROM template),
+pair AS (
+  SELECT DISTINCT k, label, len(w) AS words, w[j] AS a, w[j + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS j FROM token)),
+size AS (
+  SELECT k, any_value(label) AS label, count(*) AS n, CAST(floor(any_value(words) / {threshold} + 1e-9) AS BIGINT) - 1 AS span, greatest(1, CAST(ceil({threshold} * count(*) - 1e-9) AS BIGINT)) AS need FROM pair GROUP BY k),
+hit AS MATERIALIZED (
+  SELECT r, i, pair.k, pair.a || ' ' || pair.b AS token FROM next JOIN pair ON next.a = pair.a AND next.b = pair.b),
+held AS (
+  SELECT j.r, j.k, j.i AS spot, h.token, max(h.i) AS i FROM hit j JOIN size s ON s.k = j.k JOIN hit h ON h.r = j.r AND h.k = j.k AND h.i <= j.i AND h.i > j.i - s.span GROUP BY ALL),
+found AS MATERIALIZED (
+  SELECT r, held.k, label, min(i) AS first, spot + 1 AS last, count(*) / any_value(n)::DOUBLE AS part FROM held JOIN size s ON s.k = held.k GROUP BY r, held.k, label, spot HAVING count(*) >= any_value(need)),
+block AS (
+  SELECT r, count(*) FILTER (first > coalesce(before, -1)) AS n_blocks FROM (
+    SELECT r, first, max(last) OVER (PARTITION BY r ORDER BY first, last, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM found) GROUP BY r),
+named AS (
+  SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM found UNION SELECT r, label FROM base) GROUP BY r),
+based AS (
+  SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+best AS (SELECT r, max(part) AS part FROM found GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(part, 0.0) END AS score, coalesce(n_blocks, 0) AS n_blocks
+FROM d LEFT JOIN named USING (r) LEFT JOIN based USING (r) LEFT JOIN best USING (r) LEFT JOIN block USING (r)"""
+
+
 NGRAM_SQL = r"""
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -156,6 +196,7 @@ FROM named LEFT JOIN class USING (node) LEFT JOIN degree USING (node) LEFT JOIN
 
 # Where the rows of a query follow from SQL alone.
 ORACLES: dict[str, str] = {
+    "op5_license_scan": _license_sql(),
     "op6_quality_rules": _quality_sql(),
     "op9_ngram_join": NGRAM_SQL,
     "op10_line_dedup": r"""
