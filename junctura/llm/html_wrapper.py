@@ -161,6 +161,7 @@ def named(key: str) -> int:
     return 2 if DROPPED_WORDS.intersection(key.split()) else int(not DROPPED_WORDS.isdisjoint(WORD.findall(key)))
 
 
+@lru_cache(1 << 16)
 def step(path: int, tag: str, key: str) -> int:
     return zlib.crc32(f"{tag} {key}".encode(), path)
 
@@ -208,6 +209,11 @@ Kind = tuple[str, str]
 
 def wrapper_of(root: Element, mark: int = 0, fixed: frozenset[int] = frozenset()) -> list:
     """A page's own wrapper: its elements, runs of equal ones folded into repeated groups."""
+    return merged([stream_of(root, mark, fixed)])
+
+
+def stream_of(root: Element, mark: int = 0, fixed: frozenset[int] = frozenset()) -> list:
+    """A page's elements and texts as the wrapper of this page alone, nothing folded yet."""
     top = [root.tag, root.key, 1, 1, 0, [mark], []]
     stack = [(root, top, step(ROOT, root.tag, root.key), 0)]
     while stack:
@@ -224,7 +230,7 @@ def wrapper_of(root: Element, mark: int = 0, fixed: frozenset[int] = frozenset()
                     stack.append((k, own, step(path, k.tag, k.key), depth + 1))
                 elif n := sum(len(text) for _, text, _ in texts(k)):
                     node[KIDS].append([TEXT_TAG, "", 1, 1, n, [mark], []])
-    return merged([top])
+    return top
 
 
 def kind(w: list) -> Kind:
@@ -697,10 +703,14 @@ def infer(pages: DataFrame) -> DataFrame:
 
         salt = TaskContext.get().partitionId() % SALTS
         held: dict[str, list[list]] = {}  # the first is the host's wrapper so far
+        waiting = 0  # characters of the pages that are not in it yet
 
-        def batch() -> pa.RecordBatch:
+        def settle() -> None:
             for ws in held.values():
                 ws[:] = [merged(ws)]
+
+        def batch() -> pa.RecordBatch:
+            settle()
             out = pa.RecordBatch.from_pydict({"host": list(held), "salt": [salt] * len(held), "wrapper": [packed(w) for w, in held.values()]}, pa.schema([("host", pa.string()), ("salt", pa.int64()), ("wrapper", pa.string())]))
             held.clear()
             return out
@@ -710,9 +720,13 @@ def infer(pages: DataFrame) -> DataFrame:
                 own_rows = given.slice(first, len(rows))
                 for host, page, fixed in zip(own_rows.column("host").to_pylist(), rows.to_pylist(), own_rows.column("fixed").to_pylist()):
                     ws = held.setdefault(host, [])
-                    ws.append(wrapper_of(parse(page or ""), zlib.crc32((page or "").encode()), frozenset(fixed or ())))
+                    ws.append(stream_of(parse(page or ""), zlib.crc32((page or "").encode()), frozenset(fixed or ())))
+                    waiting += len(page or "")
                     if len(ws) > AT_ONCE:
                         ws[:] = [merged(ws)]
+                    if waiting > 4 << 20:
+                        settle()
+                        waiting = 0
             if len(held) > 2000:
                 yield batch()
         yield batch()
