@@ -3,10 +3,9 @@ import struct
 import zlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from junctura.functions import cigar, nbglm, sequence
+from junctura.functions import nbglm, sequence
 from junctura.operators import graph, intervals, reads
 from junctura.sources import alignments, annotation, fasta, sinks
 
