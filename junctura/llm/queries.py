@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.llm import html_wrapper, iso_media, licenses, line_dedup, ngram_join, packing, pii, prefix_table, quality, wavelet
+from junctura.llm import html_wrapper, iso_media, licenses, line_dedup, ngram_join, packing, pii, prefix_table, quality, token_alignment, wavelet
 from junctura.llm.license_texts import TEMPLATES
 
 
@@ -64,12 +64,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of two tokenizers, aligned over all documents.  Edge cases: :func:`junctura.llm.token_alignment.alignment`."""
+    return token_alignment.align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of the corpus pipeline over all documents.  Edge cases: the stages in ``corpus_pipeline``."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op3_html_wrapper, op4_bounded_packing, op5_license_scan, op6_quality_rules, op7_iso_media, op8_pii_spans, op9_ngram_join, op10_line_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op3_html_wrapper, op4_bounded_packing, op5_license_scan, op6_quality_rules, op7_iso_media, op8_pii_spans, op9_ngram_join, op10_line_dedup, op11_segment_alignment, pipeline)}
 
 def _quality_sql(alpha: float = 0.05, delta: float = 0.05) -> str:
     """The counts, the tuning order, the exact tails and the verdicts of :mod:`quality` in SQL."""
