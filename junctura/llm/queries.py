@@ -5,8 +5,9 @@ from __future__ import annotations
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from junctura.llm import html_wrapper, iso_media, licenses, line_dedup, ngram_join, packing, pii, prefix_table, quality, token_alignment, wavelet
+from junctura.llm import hard_negatives, html_wrapper, iso_media, licenses, line_dedup, ngram_join, packing, pii, prefix_table, quality, token_alignment, wavelet
 from junctura.llm.license_texts import TEMPLATES
 
 
@@ -69,12 +70,18 @@ def op11_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors.  Edge cases: :func:`junctura.llm.hard_negatives.mine`."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of the corpus pipeline over all documents.  Edge cases: the stages in ``corpus_pipeline``."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op3_html_wrapper, op4_bounded_packing, op5_license_scan, op6_quality_rules, op7_iso_media, op8_pii_spans, op9_ngram_join, op10_line_dedup, op11_segment_alignment, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op3_html_wrapper, op4_bounded_packing, op5_license_scan, op6_quality_rules, op7_iso_media, op8_pii_spans, op9_ngram_join, op10_line_dedup, op11_segment_alignment, op12_hard_negatives, pipeline)}
 
 def _quality_sql(alpha: float = 0.05, delta: float = 0.05) -> str:
     """The counts, the tuning order, the exact tails and the verdicts of :mod:`quality` in SQL."""
@@ -199,11 +206,28 @@ degree AS (SELECT a AS node, count(*) AS n_links FROM link GROUP BY a)
 SELECT doc_id, CASE WHEN node IS NULL THEN doc_id ELSE class_id END AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies
 FROM named LEFT JOIN class USING (node) LEFT JOIN degree USING (node) LEFT JOIN (SELECT node, n_copies FROM node) USING (node)"""
 
+NEGATIVES_SQL = r"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS MATERIALIZED (
+  SELECT a.uid AS a, a.vec_id AS anchor_id, b.uid AS b, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.uid <> b.uid),
+positive AS MATERIALIZED (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id, b) AS i FROM pair WHERE same) WHERE i <= 5),
+negative AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.id, n.b) AS rank
+  FROM positive p JOIN pair n ON n.a = p.a AND NOT n.same AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 10"""
+
 # Where the rows of a query follow from SQL alone.
 ORACLES: dict[str, str] = {
     "op5_license_scan": _license_sql(),
     "op6_quality_rules": _quality_sql(),
     "op9_ngram_join": NGRAM_SQL,
+    "op12_hard_negatives": NEGATIVES_SQL,
     "op10_line_dedup": r"""
 WITH line AS (
   SELECT doc_id, i, x AS line,
