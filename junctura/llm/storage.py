@@ -8,6 +8,7 @@ session without one gets a folder of its own.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import uuid
 from urllib.parse import urlparse
@@ -83,6 +84,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files that no DataFrame refers to any more: it follows the collector, which comes late on a large heap."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` marked for broadcast, but only after a count shows ``max_rows`` narrow rows at most."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

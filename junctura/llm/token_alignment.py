@@ -32,15 +32,16 @@ from pyspark.sql import functions as F
 from junctura.llm import storage
 
 MARK = "▁"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 BLOCK_ROWS = 50_000
 LIST_ROWS = 20_000  # segments in a row of a block's list
 BATCH = 8192
-HEAVY = 20_000  # distinct segments that share an id pair
+BROADCAST_PAIRS = 50_000
 
 # Characters that every library takes for white space.
 CERTAIN_SPACE = "\t\n\v\f\r "
 
+_zstd = pa.Codec("zstd", compression_level=1)
 _pairs: dict[tuple[str, str], "TokenPair"] = {}
 
 
@@ -64,8 +65,6 @@ class Aligned:
 
     groups: list[str]
     n_a: np.ndarray
-    n_b: np.ndarray
-    n_groups: np.ndarray
     link_a: np.ndarray
     link_b: np.ndarray
     n_links: np.ndarray
@@ -145,15 +144,26 @@ class TokenPair:
         cut_a, cut_b = [0, *group_a.tolist()], [0, *group_b.tolist()]
         each = [f"{','.join(text_a[p:q])}|{','.join(text_b[r:s])}" for p, q, r, s in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
         at = [0, *np.cumsum(n_groups).tolist()]
-        return Aligned([";".join(each[p:q]) for p, q in zip(at, at[1:])], n_a, n_b, n_groups, a[link_a], b[link_b], n_links)
+        return Aligned([";".join(each[p:q]) for p, q in zip(at, at[1:])], n_a, a[link_a], b[link_b], n_links)
 
 
 CODED = "block long, doc_id long, codes binary, first_code int, segments array<string>, counts array<long>"
-ALIGNED = "sid long, block long, code int, n long, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>"
+ALIGNED = "sid long, block long, code int, n long, n_a long, groups string, a array<int>, b array<int>"
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 RESULT = f"doc_id long, {', '.join(f'{c} long' for c in NUMBERS)}, groups_sha256 string"
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes byte plane by byte plane, compressed: most are small."""
+    return len(codes).to_bytes(4, "little") + _zstd.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(_zstd.decompress(raw[4:], 4 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel()
+
+
 def _schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in ddl.split(", "))])
@@ -180,7 +190,7 @@ def coded(docs: DataFrame, a: str, b: str) -> DataFrame:
                 segments = pair.segments(texts[i].as_py())
                 codes = np.fromiter((known.setdefault(s, len(known)) for s in segments), np.int32, len(segments))
                 seen.append(codes)
-                found.append(codes.tobytes())
+                found.append(_packed(codes))
                 size, rows = size + sum(map(len, segments)), rows + 1
                 full = size >= BLOCK_BYTES or rows >= BLOCK_ROWS
                 if full or i + 1 == len(texts):
@@ -213,7 +223,7 @@ def aligned(blocks: DataFrame, a: str, b: str) -> DataFrame:
                 k = len(x.groups)
                 cut = pa.array(np.concatenate([[0], np.cumsum(x.n_links)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(first + at, first + at + k)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(n[at : at + k]), *map(pa.array, (x.n_a, x.n_b, x.n_groups, x.n_links)), pa.array(x.groups),
+                    [pa.array(np.arange(first + at, first + at + k)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(n[at : at + k]), pa.array(x.n_a), pa.array(x.groups),
                      *(pa.ListArray.from_arrays(cut, pa.array(y.astype(np.int32))) for y in (x.link_a, x.link_b))], schema=schema
                 )
 
@@ -245,7 +255,7 @@ def aligned(blocks: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def pair_counts(segments: DataFrame) -> DataFrame:
-    """a, b, count (links of all documents that hold the pair), n_segments (distinct ones that have it), best (no a has a higher count with b)."""
+    """a, b, count (links of all documents that hold the pair), n_segments (distinct ones, with repeats, that have it), best (no a has a higher count with b)."""
     links = segments.select("n", F.explode(F.arrays_zip("a", "b")).alias("l"))
     counts = links.groupBy(F.col("l.a").alias("a"), F.col("l.b").alias("b")).agg(F.sum("n").alias("count"), F.count("*").alias("n_segments"))
     top = counts.groupBy("b").agg(F.max("count").alias("top"))
@@ -253,19 +263,28 @@ def pair_counts(segments: DataFrame) -> DataFrame:
 
 
 def segment_sums(segments: DataFrame, pairs: DataFrame) -> DataFrame:
-    """sid, n_best, count_sum of each distinct segment."""
+    """sid, n_best, count_sum of each distinct segment.
+
+    Pairs with more than 1 / BROADCAST_PAIRS of all links are at most BROADCAST_PAIRS; their links stay where they are, those of the others meet them by a shuffle."""
     links = segments.select("sid", F.explode(F.arrays_zip("a", "b")).alias("l")).select("sid", F.col("l.a").alias("a"), F.col("l.b").alias("b"))
-    found = storage.join_heavy(links, pairs, ["a", "b"], F.col("n_segments") >= HEAVY)
+    total = pairs.agg(F.sum("n_segments")).first()[0] or 0
+    found = storage.join_heavy(links, pairs, ["a", "b"], F.col("n_segments") > total // BROADCAST_PAIRS, BROADCAST_PAIRS)
     return found.groupBy("sid").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
 
 
 def _compose(key: tuple, docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """The documents of a block from its segments' alignments."""
+    """The documents of a block from its segments' alignments.
+
+    A group of p and q tokens has p + q - 1 links, so the other numbers follow from the text of the groups."""
     place = np.empty(len(segments), np.int64)
     place[segments.column("code").to_numpy()] = np.arange(len(segments))
-    groups = np.array(segments.column("groups").to_pylist(), object)[place]
-    values = [segments.column(c).to_numpy()[place] for c in NUMBERS]
-    codes = [np.frombuffer(x, np.int32) for x in docs.column("codes").to_pylist()]
+    text = segments.column("groups").combine_chunks()
+    count = lambda mark: pc.count_substring(text, mark).to_numpy(zero_copy_only=False).astype(np.int64)
+    n_groups, n_a = count("|"), segments.column("n_a").to_numpy()
+    n_links = count(",") + n_groups
+    values = [v[place] for v in (n_a, n_links + n_groups - n_a, n_groups, n_links, segments.column("n_best").to_numpy(), segments.column("count_sum").to_numpy())]
+    groups = np.array(text.to_pylist(), object)[place]
+    codes = [_unpacked(x) for x in docs.column("codes").to_pylist()]
     sums = [pa.array([int(v[c].sum()) for c in codes], pa.int64()) for v in values]
     digest = [hashlib.sha256(";".join(groups[c].tolist()).encode()).hexdigest() if len(c) else "" for c in codes]
     return pa.table([docs.column("doc_id"), *sums, pa.array(digest, pa.string())], schema=_schema(RESULT))
@@ -273,12 +292,28 @@ def _compose(key: tuple, docs: pa.Table, segments: pa.Table) -> pa.Table:
 
 @dataclass
 class Alignment:
-    """``documents``: a row a document.  ``segments``: the distinct ones (sid, n, groups, link ids a and b).  ``pairs``: linked ids and their counts."""
+    """Written tables: ``blocks`` of coded documents, ``found`` segments and their places, ``pairs`` of linked ids with their counts."""
 
-    documents: DataFrame
-    segments: DataFrame
+    blocks: DataFrame
+    found: DataFrame
     pairs: DataFrame
 
+    def segments(self) -> DataFrame:
+        """The distinct segments: sid, n (in all documents), groups, and the ids a and b of their links."""
+        return self.found.where("block IS NULL").select("sid", "n", "n_a", "groups", "a", "b")
+
+    def documents(self, last: bool = False) -> DataFrame:
+        """A row a document.  ``last``: nothing else will be read, so tables go as soon as they are."""
+        spark, segments = self.found.sparkSession, self.segments()
+        wide = segments.select("sid", "n_a", "groups").join(segment_sums(segments, self.pairs), "sid")
+        placed = storage.table(self.found.where("block IS NOT NULL").select("sid", "block", "code").join(wide, "sid").drop("sid"), "alignment-placed")
+        if last:
+            storage.drop(self.found, self.pairs)
+        del segments, wide
+        storage.settle(spark)
+        coded_docs = self.blocks.where("codes IS NOT NULL").select("block", "doc_id", "codes")
+        return coded_docs.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_compose, RESULT)
+
 
 def alignment(docs: DataFrame, a: str, b: str) -> Alignment:
     """The alignment of the tokens of tokenizer file ``a`` and model file ``b`` over ``docs`` (doc_id, text).
@@ -287,17 +322,15 @@ def alignment(docs: DataFrame, a: str, b: str) -> Alignment:
     zeros and an empty digest.  Null and repeated ids give a row each; other columns are not read; very
     long texts are coded whole; an empty table gives empty tables."""
     token_pair(a, b)  # a wrong kind of file is an error here
+    spark = docs.sparkSession
     blocks = storage.table(coded(docs, a, b), "alignment-blocks")
     found = storage.table(aligned(blocks, a, b), "alignment-segments")
-    segments = found.where("block IS NULL")
-    pairs = storage.table(pair_counts(segments), "alignment-pairs")
-    wide = segments.select("sid", *NUMBERS[:4], "groups").join(segment_sums(segments, pairs), "sid")
-    placed = found.where("block IS NOT NULL").select("sid", "block", "code").join(wide, "sid").select("block", "code", "groups", *NUMBERS)
-    coded_docs = blocks.where("codes IS NOT NULL").select("block", "doc_id", "codes")
-    documents = coded_docs.groupBy("block").cogroup(placed.groupBy("block")).applyInArrow(_compose, RESULT)
-    return Alignment(documents, segments.select("sid", "n", "groups", "a", "b"), pairs)
+    storage.settle(spark)
+    pairs = storage.table(pair_counts(found.where("block IS NULL")), "alignment-pairs")
+    storage.settle(spark)
+    return Alignment(blocks, found, pairs)
 
 
 def align_documents(docs: DataFrame, a: str, b: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.  Edge cases: :func:`alignment`."""
-    return alignment(docs, a, b).documents
+    return alignment(docs, a, b).documents(last=True)

@@ -83,8 +83,8 @@ def test_a_held_segment_counts_over_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
     try:
         x = token_alignment.alignment(docs, A, B)
-        got = [tuple(r[c] for c in COLUMNS) for r in x.documents.collect()]
-        assert x.segments.count() == 3
+        got = [tuple(r[c] for c in COLUMNS) for r in x.documents().collect()]
+        assert x.segments().count() == 3
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert sorted(got) == sorted(plain(rows))
