@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm import hard_negatives, html_wrapper, iso_media, licenses, line_dedup, ngram_join, packing, pii, prefix_table, quality, token_alignment, wavelet
+from junctura.llm import hard_negatives, html_wrapper, iso_media, licenses, line_dedup, ngram_join, packing, pii, prefix_table, quality, quality_classifier, token_alignment, wavelet
 from junctura.llm.license_texts import TEMPLATES
 
 
@@ -76,12 +76,17 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
+def op13_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents.  Edge cases: :func:`junctura.llm.quality_classifier.classify`."""
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of the corpus pipeline over all documents.  Edge cases: the stages in ``corpus_pipeline``."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op3_html_wrapper, op4_bounded_packing, op5_license_scan, op6_quality_rules, op7_iso_media, op8_pii_spans, op9_ngram_join, op10_line_dedup, op11_segment_alignment, op12_hard_negatives, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_wavelet, op2_prefix_pieces, op3_html_wrapper, op4_bounded_packing, op5_license_scan, op6_quality_rules, op7_iso_media, op8_pii_spans, op9_ngram_join, op10_line_dedup, op11_segment_alignment, op12_hard_negatives, op13_factorisation_machine, pipeline)}
 
 def _quality_sql(alpha: float = 0.05, delta: float = 0.05) -> str:
     """The counts, the tuning order, the exact tails and the verdicts of :mod:`quality` in SQL."""
