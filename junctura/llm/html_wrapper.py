@@ -1,17 +1,21 @@
 """Main text of web pages by union-free wrappers.
 
-1. Every page is a stream of tags and texts.  How many different pages of a host have
-   the same text at the same place (the tags above it) is counted exactly; what most
-   of them have is the template's, all other text is a slot.
-2. The streams of a host are aligned one after another with the host's wrapper, a
-   union-free regular expression over tags, fixed texts and slots.  An element that
-   only one side has becomes optional, equal neighbours become a repeated group.
-3. The wrapper's element that holds the slots with the most text is the main region.
-   Its text, without the template's, is the page's main text.
-
-Elements whose tag, role or ``hidden`` says so are never main text; a ``header`` within
-the main region is, with its title.  Elements that a word of their id or class names
-as something else go, unless they hold the main region or its title.
+1. Every page is a stream of tags and texts.  The streams of a host are aligned one after
+   another with the host's wrapper, a union-free regular expression.  Where both sides
+   have an element or text it is matched; an element that only one side has becomes
+   optional, equal neighbours become a repeated group.  A text is fixed while all pages
+   that have it agree on it and at least two of them differ otherwise; the first page that
+   has another text makes it a slot.
+2. The wrapper's element that holds the slots with the most text is the main region; a
+   repeated element is none.  What the wrapper has as fixed, in an element apart from the
+   slots at an edge of the region, is the template's and goes.  Headings, preformatted and
+   inline elements, paragraphs and whatever stands between slots stay, equal on all pages or not.
+
+Elements whose tag, role or ``hidden`` says so are no main text, nor are those that id or
+class name as something else, unless they hold the main region, most of the slot text or
+the title; of names that are only compounded with such a word, the wrapper decides: they
+go where it has them as fixed.  A page's own wrapper takes the place of its host's where
+the host's region is not in it.
 
 Nothing here recurses: pages may be as deep and as wide as they like.  A wrapper has at
 most ``MAX_NODES`` elements of ``MAX_DEPTH`` levels; beyond, elements that one page
@@ -24,11 +28,11 @@ import hashlib
 import html as entities
 import json
 import re
-import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,10 +48,12 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ENDS_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr legend summary".split())
 SELF_ENDING = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "option": "select", "tr": "table", "td": "tr table", "th": "tr table"}
 BOUNDARY = frozenset("article aside body div footer form header main nav section table td th ul ol dl blockquote".split())
-# Elements, class words and roles that are no main text.
-DROPPED = RAW | frozenset("head nav footer aside form button select option menu dialog template svg math object canvas audio video datalist".split())
+# Elements without text to read, then elements, class words and roles that are no main text.
+DROPPED = RAW | frozenset("head button select option template svg math object canvas audio video datalist".split())
+ASIDE = frozenset("nav footer aside form menu dialog".split())
 DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising promo promotion sponsor sponsored sponsors sidebar nav navbar navigation breadcrumb breadcrumbs footer notice notices cookie cookies consent gdpr popup modal overlay subscribe subscription newsletter signup comment comments discussion disqus respond reply replies share sharing social related recommended widget widgets pagination pager".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+FRAME_WORDS = frozenset("area bar block body bottom box button buttons column container count feed group head header holder icon icons inner item items left link links list module outer panel post posts right row section slot thread title top unit wrap wrapper zone".split())
 MAIN_WORDS = frozenset("article content main post entry story text body".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>?", re.S)
@@ -55,13 +61,14 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 WORD = re.compile(r"[a-z0-9#]+")
 CONTAINER = frozenset("article main section div td table center".split())
+APART = frozenset("address aside center details div dl fieldset footer form header menu nav ol section table ul".split())  # may be cut at the region's edges
+STAYS = frozenset("h1 h2 h3 h4 h5 h6 pre".split())  # not if one of these is in it
 NEED, NEED_MARKED = 0.8, 0.5  # share of the slot text that a region has; with a tag or a word for main text
-LONG = 200  # characters of a text that is not likely a template's
 MAX_NODES, MAX_DEPTH, WIDE = 4000, 64, 64
 AT_ONCE = 8  # pages that are aligned with a wrapper in one go
 PLAN_BYTES = 8 << 20  # plans that may be broadcast
 SALTS = 256
-ROOT = 0
+BESIDE = "~"  # a name for elements whose role or attribute says that they are no main text
 
 
 class Element:
@@ -77,11 +84,12 @@ def _open(tag: str, raw: str, parent: Element) -> Element:
     if raw and "=" in raw or "hidden" in raw:
         found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
         key = " ".join(f"{found.get('id', '')} {found.get('class', '')}".lower().split())
-        dropped = dropped or found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found
+        if found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found:
+            key = f"{BESIDE} {key}".strip()
         if found.get("role", "").lower() == "main":
             key = f"main {key}".strip()
         key = re.sub(r"\d+", "#", key)
-    return Element(tag, key, dropped and tag not in ("html", "body"), parent)
+    return Element(tag, key, dropped, parent)
 
 
 def parse(page: str) -> Element:
@@ -155,84 +163,107 @@ def parse(page: str) -> Element:
                 scopes.append(defaultdict(int))
 
 
-@lru_cache(1 << 16)
-def named(key: str) -> int:
-    """Whether id and class say that this is no main text: 0 no, 1 as a part of a compound name, 2 with a whole name."""
-    return 2 if DROPPED_WORDS.intersection(key.split()) else int(not DROPPED_WORDS.isdisjoint(WORD.findall(key)))
+CLEAR, VAGUE, COMPOUND, NAMED, TAGGED = range(5)
 
 
 @lru_cache(1 << 16)
-def step(path: int, tag: str, key: str) -> int:
-    return zlib.crc32(f"{tag} {key}".encode(), path)
-
-
-def place(path: int, text: str) -> int:
-    """A number for a text at a path; never 0, which stands for the page."""
-    return (path << 31 | zlib.crc32(text.encode()) >> 1) or 1
+def doubt(tag: str, key: str) -> int:
+    """How surely tag, id and class say that this is no main text.
+
+    A name that is compounded with such a word says so if the word is its last one, or if
+    its other words only say what kind of box it is; else it is vague."""
+    if tag in ("", "html", "body"):
+        return CLEAR
+    if tag in ASIDE or BESIDE in key.split():
+        return TAGGED
+    level = CLEAR
+    for name in key.split():
+        words = WORD.findall(name)
+        if name in DROPPED_WORDS:
+            return NAMED
+        if not DROPPED_WORDS.isdisjoint(words):
+            said = words[-1] in DROPPED_WORDS or all(w in DROPPED_WORDS or w in FRAME_WORDS or "#" in w for w in words)
+            level = max(level, COMPOUND if said else VAGUE)
+    return level
 
 
 def one_line(text: str) -> str:
     return " ".join(text.split())
 
 
-def texts(root: Element) -> Iterator[tuple[int, str, bool]]:
-    """(place, text, whether inside of a tag for main text) of every text that is not dropped for sure."""
-    stack = [(root, step(ROOT, root.tag, root.key), False)]
-    while stack:
-        x, path, inside = stack.pop()
-        for k in x.kids:
-            if isinstance(k, str):
-                if text := one_line(k):
-                    yield place(path, text), text, inside
-            elif not k.dropped and k.tag not in VOID:
-                stack.append((k, step(path, k.tag, k.key), inside or marked(k.tag, k.key)))
-
+def digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
-def page_rows(root: Element) -> tuple[int, dict[int, tuple[bool, bool]]]:
-    """A page's mark, and for each place whether its text is long and whether it is in an element for main text.
 
-    The mark is the hash of the longest text, so that copies of a page count as one."""
-    longest, spots = "", {}
-    for spot, text, inside in texts(root):
-        spots[spot] = (len(text) >= LONG, inside)
-        if (len(text), text) > (len(longest), longest):
-            longest = text
-    return int.from_bytes(hashlib.blake2b(longest.encode(), digest_size=8).digest(), "big", signed=True), spots
+def in_turn(contents: list[str]) -> str:
+    """The content of several after one another; empty if one of them varies."""
+    if len(contents) == 1:
+        return contents[0]
+    return digest(" ".join(contents)) if all(contents) else ""
 
 
-# --- wrappers: [tag, key, least, most, chars, marks, kids] -------------------------
-# A text has the tag "#"; its key is empty for a slot and the text's place where it is the template's.
-TAG, KEY, LEAST, MOST, CHARS, MARKS, KIDS = range(7)
+# --- wrappers: [tag, key, least, most, chars, marks, content, kids] ------------------
+# A text has the tag "#".  The content is a digest of all that a page has in the node, empty once pages differ in it.
+TAG, KEY, LEAST, MOST, CHARS, MARKS, CONTENT, KIDS = range(8)
 TEXT_TAG = "#"
 Kind = tuple[str, str]
 
 
-def wrapper_of(root: Element, mark: int = 0, fixed: frozenset[int] = frozenset()) -> list:
-    """A page's own wrapper: its elements, runs of equal ones folded into repeated groups."""
-    return merged([stream_of(root, mark, fixed)])
+def _fixed(w: list) -> bool:
+    """Whether different pages agree on the node's content."""
+    return bool(w[CONTENT]) and len(w[MARKS]) > 1
+
 
+def wrapper_of(root: Element) -> list:
+    """A page's own wrapper: its elements, runs of equal ones folded into repeated groups; all its texts are slots."""
+    return merged([stream_of(root)])
 
-def stream_of(root: Element, mark: int = 0, fixed: frozenset[int] = frozenset()) -> list:
-    """A page's elements and texts as the wrapper of this page alone, nothing folded yet."""
-    top = [root.tag, root.key, 1, 1, 0, [mark], []]
-    stack = [(root, top, step(ROOT, root.tag, root.key), 0)]
+
+def stream_of(root: Element) -> list:
+    """A page's elements and texts as the wrapper of this page alone, nothing folded yet.
+
+    All nodes share the page's mark, so that copies of a page count as one: the digest of
+    its longer texts, those of half the longest one's length, outside of elements that are
+    no main text for sure, and in elements for main text if there are any."""
+    marks, said = [""], []
+    top = [root.tag, root.key, 1, 1, 0, marks, "", []]
+    nodes = [top]
+    stack = [(root, top, 0, False, False)]
     while stack:
-        x, node, path, depth = stack.pop()
+        x, node, depth, beside, main = stack.pop()
         for k in x.kids:
             if isinstance(k, str):
                 if text := one_line(k):
-                    spot = place(path, text)
-                    node[KIDS].append([TEXT_TAG, str(spot) if spot in fixed else "", 1, 1, len(text), [mark], []])
+                    node[KIDS].append([TEXT_TAG, "", 1, 1, len(text), marks, digest(text), []])
+                    if not beside:
+                        said.append((main, text))
             elif not k.dropped and k.tag not in VOID:
                 if depth < MAX_DEPTH:
-                    own = [k.tag, k.key, 1, 1, 0, [mark], []]
+                    own = [k.tag, k.key, 1, 1, 0, marks, "", []]
                     node[KIDS].append(own)
-                    stack.append((k, own, step(path, k.tag, k.key), depth + 1))
-                elif n := sum(len(text) for _, text, _ in texts(k)):
-                    node[KIDS].append([TEXT_TAG, "", 1, 1, n, [mark], []])
+                    nodes.append(own)
+                    stack.append((k, own, depth + 1, beside or doubt(k.tag, k.key) >= NAMED, main or marked(k.tag, k.key)))
+                elif below := list(texts(k)):
+                    node[KIDS].append([TEXT_TAG, "", 1, 1, sum(map(len, below)), marks, in_turn([digest(t) for t in below]), []])
+    said = [t for main, t in said if main] or [t for _, t in said]
+    least = max(map(len, said), default=0) / 2
+    marks[0] = digest("\n".join(t for t in said if len(t) >= least))
+    for node in reversed(nodes):
+        node[CONTENT] = in_turn([k[CONTENT] for k in node[KIDS]])
     return top
 
 
+def texts(x: Element) -> Iterator[str]:
+    """All texts in an element that are not dropped for sure."""
+    stack: list[Element | str] = [x]
+    while stack:
+        k = stack.pop()
+        if not isinstance(k, str):
+            stack.extend(c for c in reversed(k.kids) if isinstance(c, str) or not c.dropped and c.tag not in VOID)
+        elif text := one_line(k):
+            yield text
+
+
 def kind(w: list) -> Kind:
     return w[TAG], w[KEY]
 
@@ -320,14 +351,14 @@ def merged(same: list[list]) -> list:
     Their children are aligned one list after another: what some lack is optional,
     equal neighbours are one repeated group.  Lists that stay longer than WIDE have one
     group for each kind."""
-    top = _joined(same)
-    stack = [(top, same)]
+    top = _joined(list(enumerate(same)))
+    stack = [(top, list(enumerate(same)))]  # with the number of the given wrapper that each comes from
     while stack:
         node, sources = stack.pop()
         if node[TAG] == TEXT_TAG:
             continue
         groups: list[tuple[Kind, dict[int, list[list]]]] = []
-        for n, source in enumerate(sources):
+        for n, (_, source) in enumerate(sources):
             own = _runs(source[KIDS], n)
             if not n:
                 groups = own
@@ -345,7 +376,7 @@ def merged(same: list[list]) -> list:
         if len(groups) > WIDE:
             groups = _by_kind(groups)
         for _, held in groups:
-            flat = [w for ws in held.values() for w in ws]
+            flat = [(sources[n][0], w) for n in sorted(held) for w in held[n]]
             child = _joined(flat)
             child[LEAST] = 0 if len(held) < len(sources) else min(2, *(sum(w[LEAST] for w in ws) for ws in held.values()))
             child[MOST] = min(2, max(sum(w[MOST] for w in ws) for ws in held.values()))
@@ -354,10 +385,18 @@ def merged(same: list[list]) -> list:
     return bounded(top)
 
 
-def _joined(same: list[list]) -> list:
-    a = same[0]
-    marks = a[MARKS] if len(same) == 1 else sorted({m for w in same for m in w[MARKS]})[:2]
-    return [a[TAG], a[KEY], min(w[LEAST] for w in same), max(w[MOST] for w in same), sum(w[CHARS] for w in same), marks, []]
+def _joined(same: list[tuple[int, list]]) -> list:
+    """One node for all the given ones; its content is what every wrapper that has some agrees on."""
+    first = same[0][1]
+    if len(same) == 1:
+        return [*first[:KIDS], []]
+    marks: set[str] = set()
+    contents: dict[int, list[str]] = defaultdict(list)
+    for n, w in same:
+        marks.update(w[MARKS])
+        contents[n].append(w[CONTENT])
+    each = {in_turn(c) for c in contents.values()}
+    return [first[TAG], first[KEY], min(w[LEAST] for _, w in same), max(w[MOST] for _, w in same), sum(w[CHARS] for _, w in same), sorted(marks)[:2], each.pop() if len(each) == 1 else "", []]
 
 
 def _runs(kids: list[list], n: int) -> list[tuple[Kind, dict[int, list[list]]]]:
@@ -403,13 +442,13 @@ def bounded(w: list) -> list:
         rare, limit = True, limit if not rare else limit // 2
         total: dict[int, int] = {}
         for node, _ in reversed(nodes):
-            total[id(node)] = node[CHARS] + sum(total[id(k)] for k in node[KIDS])
+            total[id(node)] = (0 if node[TAG] == TEXT_TAG and _fixed(node) else node[CHARS]) + sum(total[id(k)] for k in node[KIDS])
         for node, depth in nodes:
             gone = [k for k in node[KIDS] if k[TAG] != TEXT_TAG and (len(k[MARKS]) < 2 or depth + 1 > limit)]
             if gone:
                 stay = [k for k in node[KIDS] if not any(k is g for g in gone)] if len(gone) < 8 else [k for k in node[KIDS] if k[TAG] == TEXT_TAG or not (len(k[MARKS]) < 2 or depth + 1 > limit)]
                 chars = sum(total[id(k)] for k in gone)
-                node[KIDS] = stay + ([[TEXT_TAG, "", 0, 2, chars, gone[0][MARKS], []]] if chars else [])
+                node[KIDS] = stay + ([[TEXT_TAG, "", 0, 2, chars, gone[0][MARKS], "", []]] if chars else [])
         nodes = list(walk(w))
     return w
 
@@ -431,7 +470,7 @@ def unpacked(text: str) -> list:
 
 
 def expression(w: list) -> str:
-    """The wrapper as a regular expression over tags; _ is a slot, # a text of the template."""
+    """The wrapper as a regular expression over tags; _ is a slot, # a fixed text."""
     out: list[str] = []
     todo: list[list | str] = [w]
     while todo:
@@ -440,35 +479,42 @@ def expression(w: list) -> str:
             out.append(x)
             continue
         mark = {(0, 1): "?", (0, 2): "*", (1, 2): "+", (2, 2): "+"}.get((x[LEAST], x[MOST]), "")
-        inner = ["#" if x[KEY] else "_"] if x[TAG] == TEXT_TAG else [f"<{x[TAG]}>" if x[TAG] else "", *x[KIDS], f"</{x[TAG]}>" if x[TAG] else ""]
+        inner = ["#" if _fixed(x) else "_"] if x[TAG] == TEXT_TAG else [f"<{x[TAG]}>" if x[TAG] else "", *x[KIDS], f"</{x[TAG]}>" if x[TAG] else ""]
         todo.extend(reversed(["(" if mark else "", *inner, f"){mark}" if mark else ""]))
     return "".join(out)
 
 
 def marked(tag: str, key: str) -> bool:
-    return (tag in ("article", "main") or "main" in key.split()) and named(key) < 2
+    return (tag in ("article", "main") or "main" in key.split()) and doubt(tag, key) < NAMED
 
 
 def cued(tag: str, key: str) -> bool:
-    return marked(tag, key) or tag in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(WORD.findall(key)) and named(key) < 2
+    return marked(tag, key) or tag in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(WORD.findall(key)) and doubt(tag, key) < NAMED
 
 
-Plan = tuple[Kind | None, frozenset[Kind], frozenset[int]]
+class Plan(NamedTuple):
+    """What a wrapper says about its pages: the main region; kinds that stay although tag or name are against them;
+    kinds of vague names that go; (tag, key, content) of fixed elements at the edges of the region."""
 
+    region: Kind | None
+    kept: frozenset[Kind]
+    gone: frozenset[Kind]
+    edges: frozenset[tuple[str, str, str]]
 
-def plan(w: list) -> tuple[Kind | None, frozenset[Kind]]:
-    """The main region (tag, key) and the kinds that stay although id or class name them otherwise.
 
-    Slot text decides.  A region stands at most once in a page; it is the innermost
+def plan(w: list) -> Plan:
+    """Slot text decides.  A region stands at most once in a page; it is the innermost
     element with ``NEED`` of the slot text, before that the one with most of it whose tag
     or name is one of main text, if it has ``NEED_MARKED``."""
     flat: list[list] = []  # kind, number after the last one inside, depth, at most once, slot text of its own
     above: list[int] = []
+    same = _copies(w)
+    fixed = lambda node: id(node) not in same and _fixed(node)
     for node, depth in walk(w):
         while len(above) > depth:
             flat[above.pop()][1] = len(flat)
         if node[TAG] == TEXT_TAG:
-            if not node[KEY]:
+            if not fixed(node):
                 flat[above[-1]][4] += node[CHARS]
             continue
         once = node[MOST] <= 1 and (not above or flat[above[-1]][3])
@@ -512,16 +558,18 @@ def plan(w: list) -> tuple[Kind | None, frozenset[Kind]]:
                 i += 1
         return n
 
-    suspects = {c for c, *_ in flat if named(c[1]) and c[0] not in ("", "html", "body")}
+    suspects = {c for c, *_ in flat if doubt(*c) > VAGUE}
     holds = {c for c in suspects if main and by[main] and 2 * part(c, main, each) > by[main]}
-    kept = holds | {c for c in suspects if 2 * by[c] > each[0] and (main is None or named(c[1]) == 1)}
-    lost = suspects - kept
+    kept = holds | {c for c in suspects if 2 * by[c] > each[0] and (main is None or doubt(*c) < NAMED)}
+    vague = {c for c, *_ in flat if doubt(*c) == VAGUE}
+    gone = vague - {kind(x) for x, _ in walk(w) if kind(x) in vague and not fixed(x)}
+    lost = suspects - kept | gone
     each, by = sums(lost)
     barred, stop = set(often), 0
     for c, end, *_ in flat:  # what stays for its share of the text alone, against its whole name, is no region
-        if c in lost or c in suspects - holds and named(c[1]) == 2:
+        if c in lost or c in suspects - holds and doubt(*c) == NAMED:
             stop = max(stop, end)
-        if stop and end <= stop:
+        if stop and end <= stop or c in suspects - holds and doubt(*c) == TAGGED:
             barred.add(c)
     depth = {c: d for c, _, d, *_ in flat}
     free = [c for c in by if c not in barred and by[c] and (c[0] in CONTAINER or "-" in c[0])]
@@ -530,60 +578,78 @@ def plan(w: list) -> tuple[Kind | None, frozenset[Kind]]:
     found = min(inner, key=lambda c: (not marked(*c), by[c], -depth[c], c), default=found)
     if found is None and any(c[0] == "body" and 2 * each[i] > each[0] for i, (c, *_) in enumerate(flat)):
         found = ("body", "")
-    return found, frozenset(kept)
+    return Plan(found, frozenset(kept), frozenset(gone), frozenset(_edges(w, found, lost, fixed)))
+
+
+def _copies(w: list) -> set[int]:
+    """The nodes in elements for main text, where the pages agree on all of them: the pages have one story."""
+    inside: list[list] = []
+    deep = -1
+    for node, depth in walk(w):
+        if deep >= 0 and depth <= deep:
+            deep = -1
+        if deep < 0 and marked(*kind(node)):
+            deep = depth
+        if deep >= 0:
+            if node[TAG] == TEXT_TAG and not _fixed(node):
+                return set()
+            inside.append(node)
+    return set(map(id, inside))
+
+
+def _edges(w: list, region: Kind | None, lost: set[Kind], fixed) -> Iterator[tuple[str, str, str]]:
+    """Fixed elements apart, before the first and after the last of the region's other children, or of its only other child's."""
+    for node, _ in walk(w):
+        if kind(node) != region and not (region and region[0] == node[TAG] == "body"):
+            continue
+        while node is not None:
+            rest = [k for k in node[KIDS] if kind(k) not in lost]
+            for at in (0, -1):
+                while rest and rest[at][TAG] in APART and fixed(rest[at]) and not any(x[TAG] in STAYS for x, _ in walk(rest[at])):
+                    k = rest.pop(at)
+                    yield *kind(k), k[CONTENT]
+            node = rest[0] if len(rest) == 1 and rest[0][TAG] in CONTAINER | APART and rest[0][MOST] <= 1 else None
 
 
 def region(w: list) -> Kind | None:
     """(tag, key) of the main region: the element that holds the slots with the most text."""
-    return plan(w)[0]
+    return plan(w).region
 
 
-def blocks(root: Element, wanted: Kind | None, kept: frozenset[Kind] = frozenset(), fixed: frozenset[int] = frozenset()) -> list[str]:
-    """The text blocks of the page's main region, in page order, without the host's fixed text.
+def blocks(root: Element, of_host: Plan | None = None) -> list[str]:
+    """The text blocks of the page's main region, in page order.
 
-    The region is the page's elements of the host's kind.  A page without one, or
-    without text in it, has the region of a wrapper of its own.  A page that has less
-    text of its own than of the host's is a copy of others and keeps all of it."""
-    for region_of in ((wanted, kept), None):
-        if region_of is None:
-            region_of = plan(wrapper_of(root, 0, fixed))
-        elif wanted is None:
-            continue
-        found, own, lost = _blocks(root, *region_of, fixed)
-        if lost > own:
-            found, own, _ = _blocks(root, *region_of, frozenset())
-        if found:
-            return found
-    return []
+    The region is the page's elements of the host's kind.  A page without one, or without
+    text in it, has the region of a wrapper of its own."""
+    if of_host is not None and of_host.region is not None and (found := _blocks(root, of_host)):
+        return found
+    return _blocks(root, plan(wrapper_of(root)))
 
 
-def _blocks(root: Element, wanted: Kind | None, kept: frozenset[Kind], fixed: frozenset[int]) -> tuple[list[str], int, int]:
-    """Blocks, and how many characters were the page's own and the template's."""
+def _blocks(root: Element, p: Plan) -> list[str]:
     titled = _with_title(root)
-    whole = wanted is None or wanted[0] == "body"
+    whole = p.region is None or p.region[0] == "body"
     dead: set[int] = set()
-    live: list[tuple[Element, int]] = []  # in page order, with their paths
-    stack = [(root, step(ROOT, root.tag, root.key), False)]
+    live: list[Element] = []  # in page order
+    stack = [(root, False)]
     while stack:
-        x, path, inside = stack.pop()
+        x, inside = stack.pop()
         if x is not root:
-            live.append((x, path))
+            live.append(x)
         inside = inside or marked(x.tag, x.key)
         for k in reversed(x.kids):
             if not isinstance(k, str):
-                drop = k.tag == "header" and whole and not inside
-                if drop or k.dropped or named(k.key) > 0 and k.tag not in ("html", "body") and (k.tag, k.key) not in kept and id(k) not in titled:
+                level, own = doubt(k.tag, k.key), (k.tag, k.key)
+                against = level > VAGUE and own not in p.kept and (level == TAGGED or id(k) not in titled) or own in p.gone
+                if k.dropped or against or k.tag == "header" and whole and not inside:
                     dead.add(id(k))
                 else:
-                    stack.append((k, step(path, k.tag, k.key), inside))
-    if wanted is not None:
-        chosen = [x for x in live if (x[0].tag, x[0].key) == wanted or wanted[0] == x[0].tag == "body"]
-    else:
-        tests = [lambda x: x.tag == "article", lambda x: x.tag == "main" or "main" in x.key.split(), lambda x: x.tag == "body"]
-        chosen = next((c for t in tests if (c := [x for x in live if t(x[0])])), [(root, step(ROOT, root.tag, root.key))])
+                    stack.append((k, inside))
+    chosen = [root] if p.region is None else [x for x in live if (x.tag, x.key) == p.region or p.region[0] == x.tag == "body"]
+    for x in chosen:
+        _cut_edges(x, p.edges, dead)
     out: list[str] = []
     run: list[str] = []
-    own = lost = 0
 
     def close() -> None:
         text = one_line(entities.unescape("".join(run)))
@@ -591,23 +657,18 @@ def _blocks(root: Element, wanted: Kind | None, kept: frozenset[Kind], fixed: fr
         if text:
             out.append(text)
 
-    inner = {id(x) for x, _ in chosen}
+    inner = {id(x) for x in chosen}
     covered: set[int] = set()
-    for x, path in chosen:
+    for x in chosen:
         if id(x) in covered:
             continue
-        todo: list[tuple[Element | str | None, int]] = [(x, path)]
+        todo: list[Element | str | None] = [x]
         while todo:
-            k, here = todo.pop()
+            k = todo.pop()
             if k is None:
                 close()
             elif isinstance(k, str):
-                if text := one_line(k):
-                    fix = bool(fixed) and place(here, text) in fixed
-                    own, lost = (own, lost + len(text)) if fix else (own + len(text), lost)
-                    run.append(" " if fix else k)
-                else:
-                    run.append(k)
+                run.append(k)
             elif id(k) in dead:
                 if k.tag in BLOCK:
                     close()
@@ -618,13 +679,35 @@ def _blocks(root: Element, wanted: Kind | None, kept: frozenset[Kind], fixed: fr
             else:
                 if id(k) in inner:
                     covered.add(id(k))
-                if block := k.tag in BLOCK:
+                if k.tag in BLOCK:
                     close()
-                if block:
-                    todo.append((None, 0))
-                todo.extend((c, here if isinstance(c, str) else step(here, c.tag, c.key)) for c in reversed(k.kids))
+                    todo.append(None)
+                todo.extend(reversed(k.kids))
         close()
-    return out, own, lost
+    return out
+
+
+def _cut_edges(x: Element, edges: frozenset[tuple[str, str, str]], dead: set[int]) -> None:
+    """Mark what the wrapper has as fixed before the first and after the last of the region's other children."""
+    if not edges:
+        return
+    while x is not None:
+        runs: list[list[Element]] = []  # neighbours of one kind, as in the wrapper; a text is an empty run
+        for k in x.kids:
+            if isinstance(k, str):
+                if one_line(k):
+                    runs.append([])
+            elif not k.dropped and k.tag not in VOID:
+                if runs and runs[-1] and (runs[-1][0].tag, runs[-1][0].key) == (k.tag, k.key):
+                    runs[-1].append(k)
+                else:
+                    runs.append([k])
+        runs = [own for own in runs if not own or any(id(k) not in dead for k in own)]
+        for at in (0, -1):
+            while runs and (own := runs[at]) and (own[0].tag, own[0].key, in_turn([stream_of(k)[CONTENT] for k in own])) in edges:
+                dead.update(map(id, own))
+                runs.pop(at)
+        x = runs[0][0] if len(runs) == 1 and len(runs[0]) == 1 and runs[0][0].tag in CONTAINER | APART else None
 
 
 def _with_title(root: Element) -> set[int]:
@@ -634,7 +717,7 @@ def _with_title(root: Element) -> set[int]:
     while stack:
         x = stack.pop()
         for k in x.kids:
-            if not isinstance(k, str) and not k.dropped:
+            if not isinstance(k, str) and not k.dropped and doubt(k.tag, k.key) < TAGGED:
                 stack.append(k)
                 if k.tag == "h1":
                     up = k.parent
@@ -652,36 +735,6 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\[\]]+)", 1)), F.lit(""))
 
 
-def fixed_texts(pages: DataFrame) -> DataFrame:
-    """host and the places of its template's texts, for each host in ``pages`` (host, html) that has some.
-
-    A text is the template's if at least two different pages have it at its place, three
-    if it is long or in an element for main text, and half of the host's different pages
-    do, of long texts four fifths.  There are thus at most twice as many as texts in a page."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, rows in slices(batch.column("html"), 8 << 20):
-                at, spots, marks, long, inside = [], [], [], [], []
-                for i, page in enumerate(rows.to_pylist()):
-                    mark, found = page_rows(parse(page or ""))
-                    found[0] = (False, False)
-                    at += [i] * len(found)
-                    spots += found
-                    marks += [mark] * len(found)
-                    long += [x for x, _ in found.values()]
-                    inside += [x for _, x in found.values()]
-                hosts = batch.column("host").slice(first, len(rows)).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([hosts, pa.array(spots, pa.int64()), pa.array(marks, pa.int64()), pa.array(long, pa.bool_()), pa.array(inside, pa.bool_())], ["host", "place", "mark", "long", "inside"])
-
-    rows = pages.select("host", "html").mapInArrow(run, "host string, place long, mark long, long boolean, inside boolean")
-    each = rows.groupBy("host", "place", "mark").agg(F.max("long").alias("long"), F.max("inside").alias("inside"))
-    count = storage.table(each.groupBy("host", "place").agg(F.count("*").alias("n"), F.max("long").alias("long"), F.max("inside").alias("inside")).where("n > 1"), "page-texts")
-    whole = count.where("place = 0").select("host", F.col("n").alias("pages"))
-    fixed = count.where("place <> 0").join(whole, "host").where((F.col("n") >= F.when(F.col("long") | F.col("inside"), 3).otherwise(2)) & (F.col("n") >= F.when(F.col("long"), 0.8).otherwise(0.5) * F.col("pages")))
-    return fixed.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("fixed"))
-
-
 def with_plans(pages: DataFrame, plans: DataFrame, names: list[str]) -> DataFrame:
     """``pages`` with the columns of their hosts: by broadcast up to PLAN_BYTES, else with each host's pages in SALTS parts."""
     size = plans.agg(F.sum(sum(F.octet_length(F.to_json(F.struct(n))) for n in names) + F.octet_length("host") + 64)).first()[0] or 0
@@ -692,7 +745,7 @@ def with_plans(pages: DataFrame, plans: DataFrame, names: list[str]) -> DataFram
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """host and wrapper of each host in ``pages`` (host, html, fixed).
+    """host and wrapper of each host in ``pages`` (host, html).
 
     Every page is aligned within its partition; the partitions' wrappers of a host
     are aligned in two turns, first in ``SALTS`` parts, so a host with many pages is
@@ -718,9 +771,9 @@ def infer(pages: DataFrame) -> DataFrame:
         for given in batches:
             for first, rows in slices(given.column("html"), 8 << 20):
                 own_rows = given.slice(first, len(rows))
-                for host, page, fixed in zip(own_rows.column("host").to_pylist(), rows.to_pylist(), own_rows.column("fixed").to_pylist()):
+                for host, page in zip(own_rows.column("host").to_pylist(), rows.to_pylist()):
                     ws = held.setdefault(host, [])
-                    ws.append(stream_of(parse(page or ""), zlib.crc32((page or "").encode()), frozenset(fixed or ())))
+                    ws.append(stream_of(parse(page or "")))
                     waiting += len(page or "")
                     if len(ws) > AT_ONCE:
                         ws[:] = [merged(ws)]
@@ -738,26 +791,28 @@ def infer(pages: DataFrame) -> DataFrame:
             out = w if out is None else merged([out, w])
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([packed(out)], pa.string())})
 
-    parts = pages.select("host", "html", "fixed").mapInArrow(part, "host string, salt long, wrapper string")
+    parts = pages.select("host", "html").mapInArrow(part, "host string, salt long, wrapper string")
     some = parts.groupBy("host", "salt").applyInArrow(merge, "host string, wrapper string")
     return some.groupBy("host").applyInArrow(merge, "host string, wrapper string")
 
 
 def plans(wrappers: DataFrame) -> DataFrame:
-    """host and its plan (JSON): main region and kept kinds."""
+    """host and its plan as JSON."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [plan(unpacked(w)) for w in batch.column("wrapper").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([json.dumps([r, sorted(kept)], ensure_ascii=False) for r, kept in found], pa.string())], ["host", "plan"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([json.dumps([p.region, *map(sorted, p[1:])], ensure_ascii=False) for p in found], pa.string())], ["host", "plan"])
 
     return wrappers.mapInArrow(run, "host string, plan string")
 
 
 @lru_cache(1024)
-def plan_of(text: str | None) -> tuple[Kind | None, frozenset[Kind]]:
-    r, kept = json.loads(text or "[null, []]")
-    return r and tuple(r), frozenset(map(tuple, kept))
+def plan_of(text: str | None) -> Plan | None:
+    if text is None:
+        return None
+    r, *sets = json.loads(text)
+    return Plan(r and tuple(r), *(frozenset(map(tuple, x)) for x in sets))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -765,21 +820,17 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty page has the empty text; a null or odd url counts as the empty
     host.  White space within a block is one space, blocks are joined by \\n.  Repeated
-    rows give repeated rows, and copies of a page do not make its text the template's.
+    rows give repeated rows, and copies of a page do not make its text fixed.
     Long, deep and wide pages are read whole.  An empty table gives no rows; other
     columns of ``pages`` are not read, whatever their names."""
     rows = pages.select("page_id", "url", "html", host_of("url").alias("host"))
-    fixed = storage.table(fixed_texts(rows), "fixed-texts")
-    known = with_plans(rows, fixed, ["fixed"])
-    found = storage.table(plans(infer(known)).join(fixed, "host", "left"), "plans")
+    found = storage.table(plans(infer(rows)), "plans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows in slices(batch.column("html"), 8 << 20):
                 part = batch.slice(first, len(rows))
-                texts = []
-                for page, text, fixed in zip(rows.to_pylist(), part.column("plan").to_pylist(), part.column("fixed").to_pylist()):
-                    texts.append("\n".join(blocks(parse(page or ""), *plan_of(text), frozenset(fixed or ()))))
+                texts = ["\n".join(blocks(parse(page or ""), plan_of(text))) for page, text in zip(rows.to_pylist(), part.column("plan").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return with_plans(rows, found, ["plan", "fixed"]).select("page_id", "url", "html", "plan", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return with_plans(rows, found, ["plan"]).select("page_id", "url", "html", "plan").mapInArrow(run, "page_id long, url string, text string, n_chars long")

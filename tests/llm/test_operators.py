@@ -317,16 +317,14 @@ def test_wrapper():
     page = lambda body, extra="": f"<html><body><ul class=menu><li>Home<li>About</ul><div id=main>{body}</div>{extra}<p class=footer>(c)</p></body></html>"
     pages = [page("<h1>One</h1><p>a<p>b"), page("<h1>Two</h1><p>c", "<div class=x>opt</div>"), page("<h1>Three</h1><p>d<p>e<p>f")]
     roots = [html_wrapper.parse(p) for p in pages]
-    spots = [{spot: text for spot, text, _ in html_wrapper.texts(r)} for r in roots]
-    fixed = frozenset(spots[0]).intersection(*spots)
-    assert {spots[0][f] for f in fixed} == {"Home", "About", "(c)"}
-    own = [html_wrapper.wrapper_of(r, i, fixed) for i, r in enumerate(roots)]
+    own = [html_wrapper.wrapper_of(r) for r in roots]
     w = html_wrapper.merged(own)
-    assert html_wrapper.expression(w) == "<html><body><ul>(<li>#</li>)+</ul><div><h1>_</h1>(<p>_</p>)+</div>(<div>_</div>)?<p>#</p></body></html>".replace("(<li>#</li>)+", "(<li>(#)?(#)?</li>)+")
+    assert html_wrapper.expression(w) == "<html><body><ul>(<li>(#)+</li>)+</ul><div><h1>_</h1>(<p>_</p>)+</div>(<div>_</div>)?<p>#</p></body></html>".replace("(#)+", "#")
     assert html_wrapper.expression(html_wrapper.merged([html_wrapper.merged(own[:2]), own[2]])) == html_wrapper.expression(w)
+    assert html_wrapper.expression(html_wrapper.merged([html_wrapper.stream_of(r) for r in roots])) == html_wrapper.expression(w)
     assert html_wrapper.expression(html_wrapper.unpacked(html_wrapper.packed(w))) == html_wrapper.expression(w)
     assert html_wrapper.region(w) == ("div", "main")
-    assert html_wrapper.blocks(roots[2], ("div", "main"), fixed=fixed) == ["Three", "d", "e", "f"]
+    assert html_wrapper.blocks(roots[2], html_wrapper.plan(w)) == ["Three", "d", "e", "f"]
 
 
 def test_pages_text(spark):
