@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from junctura.llm import storage
 from junctura.llm.word_encoding import slices
@@ -327,10 +328,10 @@ class LineIndex:
                             texts.append(text)
                     cols = {n: part.column(n) for n in names} | {"text": pa.array(texts, part.schema.field("text").type)}
                     if "n_chars" in names:
-                        cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                        cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], part.schema.field("n_chars").type)
                     yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*names, "__lines", "__dropped"])
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", `__lines` long, `__dropped` long"
+        schema = T.StructType(docs.schema.fields + [T.StructField("__lines", T.LongType()), T.StructField("__dropped", T.LongType())])
         return joined.mapInArrow(run, schema)
 
 
@@ -353,5 +354,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def deduped(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines dropped, as :func:`line_dedup` counts them; other columns as they are (but for __drops, __lines, __dropped)."""
-    return _index(docs).dedup(docs).select(*docs.columns)
+    """``docs`` with the lines dropped, as :func:`line_dedup` counts them, and ``n_chars`` (if there) counted anew; other columns pass as they are, whatever their names and types."""
+    own = ("doc_id", "text", "n_chars")
+    held = storage.narrowed(docs, *own)
+    return storage.widened(_index(held).dedup(held), docs.columns, *own)

@@ -408,8 +408,10 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Rows are told apart by id and text, so unrelated texts with one id all stay.  Rows
     without an id come last in their class.  Of rows that are equal in both, the first by
-    all their columns stays.  Rows without words are in no class and all stay.  All
-    columns stay as they are, whatever their names (but for __id and __h)."""
+    all their columns stays.  Rows without words are in no class and all stay.  Other
+    columns pass as they are, whatever their names and types."""
+    given, docs = docs, storage.narrowed(docs, "doc_id", "text")
+    back = lambda df: storage.widened(df, given.columns, "doc_id", "text")
     rows, nodes = links(docs, threshold)
     wordy = storage.join_heavy(rows.where("node IS NOT NULL"), nodes.select("node", "label", "n_copies"), ["node"], F.col("n_copies") >= MANY)
     known = storage.table(wordy.select("label", "doc_id", "h"), "classes")
@@ -423,8 +425,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     few = storage.checked_broadcast(gone, MAX_IDS)  # else texts are shuffled to meet them
     out = docs.join(few, same(few), "left_anti")
     if twice.isEmpty():
-        return out
+        return back(out)
     names = docs.columns
     repeated = docs.join(twice, same(twice), "left_semi")
     each = repeated.groupBy(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__h")).agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("row"))
-    return out.unionByName(each.select(*[F.col("row")[n].alias(n) for n in names]))
+    return back(out.unionByName(each.select(*[F.col("row")[n].alias(n) for n in names])))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from junctura.llm import storage
 from junctura.llm.word_encoding import slices
 
 BASE = ("email", "ip", "card", "phone")
@@ -191,9 +192,11 @@ def detect(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans of ``text`` replaced, and ``n_chars`` (if there) counted anew.
 
-    All other columns, ids among them, are passed on as they came.  A null text stays
-    null, an empty table stays empty; repeated rows are changed alike."""
-    names = docs.columns
+    All other columns, ids among them, are passed on as they came, whatever their names
+    and types.  A null text stays null, an empty table stays empty; repeated rows are
+    changed alike."""
+    held = storage.narrowed(docs, "text", "n_chars")
+    names = held.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,4 +209,4 @@ def redacted(docs: DataFrame) -> DataFrame:
                     new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], part.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays(list(new.values()), list(new))
 
-    return docs.mapInArrow(run, docs.schema)
+    return storage.widened(held.mapInArrow(run, held.schema), docs.columns, "text", "n_chars")

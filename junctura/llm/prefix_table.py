@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -268,7 +267,9 @@ def cut_at_space(text: str, limit: int = SLICE_BYTES) -> list[str]:
 def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs`` (doc_id, text).
 
-    Null texts are empty (the end id alone); null and repeated ids give a row each."""
+    Null texts are empty (the end id alone); null and repeated ids give a row each; very
+    long texts are encoded whole, cut where no piece reaches across; an empty table gives
+    no rows; other columns are not read, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model(model_file)
@@ -279,13 +280,3 @@ def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-
-def token_ids(docs: DataFrame, model_file: str) -> DataFrame:
-    """doc_id and the ids of each text with the end id."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = model(model_file)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [[*table.encode(t or ""), table.end_id] for t in batch["text"]]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")

@@ -184,6 +184,8 @@ def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns, as :func:`quality` judges them.
 
-    Columns of the names that this module makes begin with two underscores; ``docs`` may have any others."""
-    names = docs.columns
-    return judge(storage.table(with_features(docs), "quality"), labels, alpha, delta).where("kept").select(*names)
+    Other columns pass as they are, whatever their names and types."""
+    own = ("doc_id", "text", "lang")
+    held = storage.narrowed(docs, *own)
+    good = judge(storage.table(with_features(held), "quality"), labels, alpha, delta).where("kept")
+    return storage.widened(good, docs.columns, *own)

@@ -84,9 +84,29 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+REST = "__rest"
+
+
+def narrowed(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own`` that ``docs`` has, and all others as one struct, so that their names play no part."""
+    others = [n for n in docs.columns if n not in own]
+    quoted = ["`" + n.replace("`", "``") + "`" for n in others]
+    rest = [F.struct(*[F.col(q).alias(f"c{i}") for i, q in enumerate(quoted)]).alias(REST)] if others else []
+    return docs.select(*[n for n in own if n in docs.columns], *rest)
+
+
+def widened(df: DataFrame, names: list[str], *own: str) -> DataFrame:
+    """The columns ``names`` again, in their order."""
+    place = {n: i for i, n in enumerate(n for n in names if n not in own)}
+    return df.select(*[F.col(REST)[f"c{place[n]}"].alias(n) if n in place else F.col(n) for n in names])
+
+
 def settle(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files that no DataFrame refers to any more: it follows the collector, which comes late on a large heap."""
+    """Let Spark's cleaner delete the shuffle files that no DataFrame refers to any more: it follows the collector, which comes late on a large heap.
+
+    The scheduler holds its last job until there is another, so a job of one row goes first."""
     gc.collect()
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -1,6 +1,8 @@
 """Each stage on its own input, and the whole."""
 
 import corpus_pipeline
+from pyspark.sql import types as T
+
 from junctura.llm import ngram_join, pii, quality, queries, storage
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +56,23 @@ def test_edge_rows_through_all_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
+
+
+def test_odd_names_through_all_stages(spark, tmp_path):
+    """Dots, backticks, structs with spaces, and names that the stages use themselves."""
+    prose = " ".join(f"word{i} and{i % 7} other{i % 11} thing{i % 13}" for i in range(80))
+    kind = T.StructType([
+        T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("x.y", T.StringType()), T.StructField("a`b", T.LongType()),
+        T.StructField("s t", T.StructType([T.StructField("a b", T.LongType()), T.StructField("c.d", T.ArrayType(T.StringType()))])), T.StructField("__rest", T.StringType()), T.StructField("__drops", T.LongType()), T.StructField("__quality", T.LongType()), T.StructField("c0", T.StringType()),
+    ])
+    more = ("dot", 7, (8, ["p", "q"]), "r", 9, 10, "c")
+    texts = [(1, prose), (2, prose + " end"), (3, prose[::-1]), (3, prose[::-1]), (4, "mail a@b.co " + prose.replace("word", "term")), (None, prose.replace("and", "or")), (5, None)]
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t, "en", 1, *more) for i, t in texts], kind)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = storage.table(stage(spark, docs, str(tmp_path)), "t")
+        assert docs.columns == kind.names and [f.dataType for f in docs.schema] == [f.dataType for f in kind], name
+    got = docs.collect()
+    assert {r[0] for r in got} == {1, 3, 4, None} and len(got) == 4
+    assert all((r[4], r[5], (r[6][0], r[6][1]), *r[7:]) == more for r in got)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 4
