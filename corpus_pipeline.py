@@ -6,8 +6,8 @@ piece of a training sequence.
 
 An empty table stays empty.  Rows without an id, repeated rows and repeated ids are
 handled row by row.  Columns beside ``doc_id``, ``text``, ``lang`` and ``n_chars`` are
-passed on as they are; names that begin with two underscores are the stages' own.
-Texts of any length are worked on whole.
+passed on as they are, whatever their names and types.  Texts of any length are worked
+on whole.
 """
 
 from __future__ import annotations
