@@ -53,10 +53,12 @@ def interval_join(a: DataFrame, b: DataFrame, keys: list[str], a_range: tuple[st
     return a.join(b, [*keys, "__bin"]).where(on & first).drop("__bin")
 
 
-def segment_coverage(segs: DataFrame, runs: DataFrame, keys: list[str], per: list[str]) -> DataFrame:
-    """Mean depth and covered bases of each segment, for each value of ``per`` that covers some of it."""
+def segment_coverage(segs: DataFrame, runs: DataFrame, keys: list[str], per: list[str], width: int = 1 << 13) -> DataFrame:
+    """Mean depth and covered bases of each segment, for each value of ``per`` that covers some of it.
+
+    Both meet within bins of ``width`` bases, so a long gene costs its length, not the product of both sides."""
     part = F.least("seg_end", "run_end") - F.greatest("seg_start", "run_start")
-    pairs = interval_join(segs, runs, keys, ("seg_start", "seg_end"), ("run_start", "run_end"))
+    pairs = interval_join(segs, runs, keys, ("seg_start", "seg_end"), ("run_start", "run_end"), width)
     grouped = pairs.groupBy(*keys, *per, "seg_start", "seg_end").agg(F.sum(part * F.col("depth")).alias("area"), F.sum(part).cast("long").alias("covered"))
     return grouped.select(*keys, *per, "seg_start", "seg_end", (F.col("area") / (F.col("seg_end") - F.col("seg_start"))).alias("mean_cov"), "covered")
 

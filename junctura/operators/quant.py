@@ -22,17 +22,23 @@ def gene_expression(seg_cov: DataFrame, read_length: int = 50) -> DataFrame:
 
 
 def dense(counts: DataFrame, row: str, col: str, value: str) -> DataFrame:
-    """Every row for every column, 0 where nothing was counted; columns are few (samples)."""
-    cols = counts.select(col).distinct()
-    grid = counts.select(row).distinct().crossJoin(F.broadcast(cols))
-    return grid.join(counts, [row, col], "left").withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
+    """Every row for every column, 0 where nothing was counted; columns are few (samples).
+
+    A row's counts become a map once, from which it takes one for each column."""
+    cols = counts.agg(F.sort_array(F.collect_set(col)).alias("c")).scalar()
+    held = counts.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(col, value))).alias("__m"))
+    each = held.select(row, "__m", F.explode(cols).alias(col))
+    return each.select(row, col, F.coalesce(F.col("__m")[F.col(col)], F.lit(0.0)).alias(value))
 
 
 def size_factors(counts: DataFrame, row: str = "gene_id", col: str = "sample_id", value: str = "raw_count") -> DataFrame:
-    """Median over rows with a count of count / geometric mean, for each column."""
-    full = dense(counts, row, col, value)
-    means = full.groupBy(row).agg(F.exp(F.avg(F.log1p(value))).alias("g"))
-    return full.where(F.col(value) > 0).join(means, row).groupBy(col).agg(F.percentile(F.col(value) / F.col("g"), F.lit(0.5)).alias("sf"))
+    """Median over rows with a count of count / geometric mean, for each column.
+
+    A row's mean of log(1 + x) is its sum over what was counted, divided by the number of
+    columns; zeros add nothing, so they are never made."""
+    n = counts.agg(F.count_distinct(col)).scalar()
+    means = counts.groupBy(row).agg(F.sum(F.log1p(value)).alias("g")).select(row, F.exp(F.col("g") / n).alias("g"))
+    return counts.where(F.col(value) > 0).join(means, row).groupBy(col).agg(F.percentile(F.col(value) / F.col("g"), F.lit(0.5)).alias("sf"))
 
 
 def total_count_factors(counts: DataFrame, col: str = "sample_id", value: str = "raw_count") -> DataFrame:
@@ -40,7 +46,12 @@ def total_count_factors(counts: DataFrame, col: str = "sample_id", value: str =
 
 
 def upper_quartile_factors(counts: DataFrame, row: str = "gene_id", col: str = "sample_id", value: str = "raw_count") -> DataFrame:
-    return dense(counts, row, col, value).groupBy(col).agg((F.percentile(value, F.lit(0.75)) + 1).alias("sf"))
+    """One more than the upper quartile over all rows, for each column; what was not counted is one zero with its frequency."""
+    n = counts.agg(F.count_distinct(row)).scalar()
+    seen = counts.groupBy(col).agg(F.count("*").alias("seen"))
+    zeros = seen.select(col, F.lit(0.0).alias(value), (n - F.col("seen")).alias("times")).where("times > 0")
+    both = counts.select(col, F.col(value).cast("double").alias(value), F.lit(1).cast("long").alias("times")).unionByName(zeros)
+    return both.groupBy(col).agg((F.percentile(value, F.lit(0.75), "times") + 1).alias("sf"))
 
 
 def with_junctions(events: DataFrame, counts: DataFrame, introns: dict[str, tuple[str, str]]) -> DataFrame:

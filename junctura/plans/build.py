@@ -242,17 +242,25 @@ class Build:
             out["mult_exon_skip"] = self.stage("events/mult_exon_skip", paths)
         return out
 
-    def analyze(self, found: dict[str, DataFrame], counts: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:
-        """For each pattern (features, criteria and PSI by sample; confirmed samples by event)."""
-        cfg, out = self.cfg, {}
-        samples = counts["runs"].select("sample").distinct()
+    def _judging(self) -> dict:
+        """What evidence is judged by."""
+        cfg = self.cfg
         known = graph.introns(self.spark.read.parquet(f"{cfg.root}/exons")) if cfg.use_annotated_support else None
+        return {"ev": cfg.evidence, "ir": cfg.retention, "min_reads": cfg.psi_min_reads, "known": known}
+
+    def analyze(self, found: dict[str, DataFrame], counts: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:
+        """For each pattern (features, criteria and PSI by sample with depth or reads; confirmed samples by event)."""
+        out, how = {}, self._judging()
+        n_samples = counts["runs"].select("sample").distinct().count()
         for kind, df in found.items():
-            rows = self.stage(f"psi/{kind}", lambda df=df, kind=kind: verify.evidence(kind, df, samples, counts["runs"], counts["junctions"], cfg.evidence, cfg.retention, cfg.psi_min_reads, known))
-            criteria = [c for c in rows.columns if c[0] == "v" and c[1:].isdigit()]
-            out[kind] = rows, self.stage(f"confirmed/{kind}", lambda rows=rows, criteria=criteria: quant.confirmed(rows, ["event_id", "gene_id"], criteria))
+            rows = self.stage(f"psi/{kind}", lambda df=df, kind=kind: verify.sparse(kind, df, counts["runs"], counts["junctions"], **how))
+            out[kind] = rows, self.stage(f"confirmed/{kind}", lambda df=df, rows=rows, kind=kind: verify.confirmed(df, rows, verify.without_reads(kind, df, **how), n_samples))
         return out
 
+    def all_samples(self, kind: str, events: DataFrame, samples: list[str]) -> DataFrame:
+        """The evidence of some events of a finished build in each of the samples, zeros where it has no row."""
+        return verify.completed(events, self.spark.read.parquet(f"{self.cfg.root}/psi/{kind}"), verify.without_reads(kind, events, **self._judging()), samples)
+
     def run(self) -> dict[str, tuple[DataFrame, DataFrame]]:
         genes, exons = self.annotation()
         prep = self.prepare()
@@ -276,7 +284,8 @@ class Build:
 
         def confirmed(pattern: str) -> DataFrame:
             sure = read(f"confirmed/{pattern}").where("confirmed >= 1").select("event_id", "gene_id")
-            own = read(f"psi/{pattern}").where(event_type(pattern) == kind).join(sure, ["event_id", "gene_id"], "left_semi").join(F.broadcast(groups), "sample")
+            sure = read(f"events/{pattern}").where(event_type(pattern) == kind).join(sure, ["event_id", "gene_id"], "left_semi")
+            own = self.all_samples(pattern, sure, sorted([*a, *b])).join(F.broadcast(groups), "sample")
             return own.select("event_id", "gene_id", "sample", "in_a", "psi", verify.test_forms(pattern).alias("forms"))
 
         patterns = ("alt_right", "alt_left") if kind.startswith("alt_") else (kind,)

@@ -540,10 +540,9 @@ def _evidence(spark, sf_dir, kind: str, found: DataFrame) -> DataFrame:
     named = lambda df: df.withColumn("sample", F.col("sample_id").cast("string")).drop("sample_id")
     runs = named(intervals.coverage_runs(e, ["gene_id", "sample_id"], "ex_start", "ex_end"))
     counts = named(quant.junction_counts(e))
-    samples = runs.select("sample").distinct()
     own = counts.select("gene_id", "sample").distinct()
-    ev = verify.evidence(kind, found, samples, runs, counts, Evidence(junction=1, mutex_junction=1), Retention(1, 0.5, 0.1, 2), 1)
-    return ev.join(own, ["gene_id", "sample"], "left_semi").withColumn("sample_id", F.col("sample").cast("long"))
+    ev = verify.evidence(kind, found, own, runs, counts, Evidence(junction=1, mutex_junction=1), Retention(1, 0.5, 0.1, 2), 1)
+    return ev.withColumn("sample_id", F.col("sample").cast("long"))
 
 
 OWN = "(SELECT {t}.*, s.sample_id FROM {t} JOIN (SELECT DISTINCT gene_id, sample_id FROM junction) s USING (gene_id)) o"

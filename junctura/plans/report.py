@@ -65,13 +65,15 @@ def as_events(kind: str, df: DataFrame) -> DataFrame:
 
 def write(spark: SparkSession, cfg: Config) -> None:
     """Reports of every pattern below ``cfg.root/reports``: all events, confirmed ones, tables by sample."""
+    from junctura.plans.build import Build
+
     base = cfg.root
     samples = sorted(r["sample"] for r in spark.read.parquet(f"{base}/size_factors").select("sample").collect())
     for kind in cfg.patterns:
-        rows = spark.read.parquet(f"{base}/psi/{kind}")
-        every = as_events(kind, spark.read.parquet(f"{base}/events/{kind}"))
-        good = spark.read.parquet(f"{base}/confirmed/{kind}").where("confirmed >= 1").select(F.col("event_id").cast("int").alias("event_id"), "gene_id")
-        sure = every.join(good, ["event_id", "gene_id"], "left_semi")
+        found = spark.read.parquet(f"{base}/events/{kind}")
+        good = spark.read.parquet(f"{base}/confirmed/{kind}").where("confirmed >= 1").select("event_id", "gene_id")
+        every, sure = as_events(kind, found), as_events(kind, found.join(good, ["event_id", "gene_id"], "left_semi"))
+        rows = Build(spark, cfg).all_samples(kind, found.join(good, ["event_id", "gene_id"], "left_semi"), samples)
         for name, events in (("all", every), ("confirmed", sure)):
             sinks.write_lines(sinks.gff3(events), f"{base}/reports/{kind}.{name}.gff3")
             sinks.write_lines(sinks.bed(events), f"{base}/reports/{kind}.{name}.bed")

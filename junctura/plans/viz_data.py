@@ -56,19 +56,21 @@ def some_samples(samples: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def event_rows(spark: SparkSession, root: str, event: str) -> tuple[DataFrame, tuple[int, int]]:
-    """The evidence of one event ("exon_skip.3") in each sample, and the range to plot."""
+    """The evidence of one event ("exon_skip.3") in each sample with depth or reads for it, and the range to plot."""
     from junctura.plans.report import event_type
 
     kind, number = event.rsplit(".", 1)
     patterns = ("alt_right", "alt_left") if kind.startswith("alt_") else (kind,)
     found = None
     for pattern in patterns:
-        rows = spark.read.parquet(f"{root}/psi/{pattern}").where((event_type(pattern) == kind) & (F.col("event_id") == int(number)))
-        found = rows if found is None or found.isEmpty() else found
-    if found.isEmpty():
+        here = (event_type(pattern) == kind) & (F.col("event_id") == int(number))
+        own = spark.read.parquet(f"{root}/events/{pattern}").where(here)
+        if found is None and not own.isEmpty():
+            found, placed = spark.read.parquet(f"{root}/psi/{pattern}").where(here), own
+    if found is None:
         raise ValueError(f"there is no event {event}")
     low, high = ("us", "ve") if kind == "mult_exon_skip" else ("e1s", f"e{4 if kind == 'mutex_exons' else 2 if kind == 'intron_retention' else 3}e")
-    return found, plot_range(found, low, high)
+    return found, plot_range(placed, low, high)
 
 
 def top_tracks(spark: SparkSession, root: str, results: DataFrame, kind: str, k: int) -> list[tuple[str, tuple[int, int]]]:
