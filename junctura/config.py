@@ -9,7 +9,21 @@ from dataclasses import asdict, dataclass, field
 EVENT_TYPES = ("exon_skip", "intron_retention", "alt_3prime", "alt_5prime", "mult_exon_skip", "mutex_exons")
 
 MERGES = ("merge_graphs", "merge_bams", "merge_all", "single")
-TEST_ONLY = ("outdir", "max_zero", "min_dpsi", "min_count", "correction", "cap_expression", "cap_counts", "label_a", "label_b")
+# For each group of a build's stages, by the beginning of their names: the groups it is made from, and the settings it depends on besides.
+STAGE_SETTINGS: dict[str, tuple[list[str], list[str]]] = {
+    "genes": ([], ["annotation", "drop_overlapping_genes", "drop_shared_exons", "drop_overlapping_exons"]),
+    "exons": (["genes"], []),
+    "prep/introns": (["prep", "genes"], ["filter_consensus", "filter_ambiguous", "reference"]),
+    "prep": ([], ["samples", "confidence", "read_length", "primary_only", "var_aware", "ignore_mismatches", "merge"]),
+    "graphs": (["prep/introns"], ["iterations", "insert_cassettes", "insert_retentions", "insert_edges", "remove_short", "retention", "cassette", "edges"]),
+    "merged": (["graphs"], []),
+    "counts": (["merged"], ["validate", "validate_min"]),
+    "expression": (["counts"], []),
+    "size_factors": (["counts"], []),
+    "events": (["merged"], ["validate", "validate_min", "edge_limit", "event_types"]),
+    "psi": (["events", "counts"], ["psi_min_reads", "evidence", "use_annotated_support"]),
+    "confirmed": (["psi"], []),
+}
 
 
 @dataclass(frozen=True)
@@ -114,11 +128,18 @@ class Config:
         """The folder of a build, named by confidence, merge mode and validation."""
         return f"{self.outdir.rstrip('/')}/conf{self.confidence}.{self.merge}{'.validated' if self.validate else ''}"
 
-    @property
-    def digest(self) -> str:
-        """A hash of all settings that the stages of a build depend on."""
-        given = {k: v for k, v in asdict(self).items() if k not in TEST_ONLY}
-        return hashlib.sha256(json.dumps(given, sort_keys=True).encode()).hexdigest()
+    def digest(self, stage: str, stamps: dict[str, str]) -> str:
+        """A hash of the settings and input files that a stage of a build depends on."""
+        group = next(g for g in STAGE_SETTINGS if stage.startswith(g))
+        names, todo = set(), [group]
+        while todo:
+            before, own = STAGE_SETTINGS[todo.pop()]
+            names |= set(own)
+            todo += before
+        given = asdict(self)
+        files = [p for n in ("annotation", "reference", "samples") if n in names for p in ([given[n]] if isinstance(given[n], str) else given[n])]
+        told = {n: given[n] for n in sorted(names)}, [(p, stamps.get(p, "")) for p in files]
+        return hashlib.sha256(json.dumps(told, sort_keys=True).encode()).hexdigest()
 
     @property
     def patterns(self) -> tuple[str, ...]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -271,22 +273,41 @@ def augment(g: Graph, introns: list[tuple[int, int]], depth: Depth, cfg: Config,
 ROW = "sample string, gene_id string, us int, ue int, vs int, ve int"
 
 
-def augmented(samples: DataFrame, vertices: DataFrame, edges: DataFrame, introns: DataFrame, runs: DataFrame, neighbours: DataFrame, cfg: Config) -> DataFrame:
-    """sample, gene_id, us, ue, vs, ve of each gene's graph in each sample; a vertex is a row without vs, ve.
+def augmented(vertices: DataFrame, edges: DataFrame, introns: DataFrame, runs: DataFrame, neighbours: DataFrame, cfg: Config) -> DataFrame:
+    """sample, gene_id, us, ue, vs, ve of each gene's graph in each sample with introns or depth for it; a vertex is a row without vs, ve.
 
-    One task call holds one gene of one sample: its exons, introns, depth runs and
-    the neighbouring genes' exon ends (as they are before any change)."""
+    What the other samples have is :func:`untouched`.  One task call holds one gene of one
+    sample: its exons, introns, depth runs and the neighbouring genes' exon ends (as they
+    are before any change)."""
+    active = introns.select("sample", "gene_id").unionByName(runs.select("sample", "gene_id")).distinct()
     kinds = [
-        vertices.select("gene_id", F.lit("v").alias("kind"), *_ints("v_start", "v_end", None, None)).crossJoin(F.broadcast(samples)),
-        edges.select("gene_id", F.lit("e").alias("kind"), *_ints("us", "ue", "vs", "ve")).crossJoin(F.broadcast(samples)),
-        neighbours.select("gene_id", "kind", *_ints("at", None, None, None)).crossJoin(F.broadcast(samples)),
+        vertices.select("gene_id", F.lit("v").alias("kind"), *_ints("v_start", "v_end", None, None)).join(active, "gene_id"),
+        edges.select("gene_id", F.lit("e").alias("kind"), *_ints("us", "ue", "vs", "ve")).join(active, "gene_id"),
+        neighbours.select("gene_id", "kind", *_ints("at", None, None, None)).join(active, "gene_id"),
         introns.select("gene_id", F.lit("i").alias("kind"), *_ints("i_start", "i_end", None, None), "sample"),
         runs.select("gene_id", F.lit("d").alias("kind"), *_ints("run_start", "run_end", "depth", None), "sample"),
     ]
-    rows = kinds[0]
-    for k in kinds[1:]:
-        rows = rows.unionByName(k)
+    return _applied(reduce(DataFrame.unionByName, kinds), cfg)
+
+
+def untouched(vertices: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame:
+    """gene_id, us, ue, vs, ve of each gene's graph where a sample has neither introns nor depth for it: the same in all of them."""
+    if not cfg.remove_short:
+        return vertices.select("gene_id", *_ints("v_start", "v_end", None, None)).unionByName(edges.select("gene_id", *_ints("us", "ue", "vs", "ve"))).toDF("gene_id", "us", "ue", "vs", "ve").distinct()
+    one = F.lit("").alias("sample")
+    rows = vertices.select("gene_id", F.lit("v").alias("kind"), *_ints("v_start", "v_end", None, None), one).unionByName(edges.select("gene_id", F.lit("e").alias("kind"), *_ints("us", "ue", "vs", "ve"), one))
+    return _applied(rows, cfg).drop("sample")
+
+
+def merged(each: DataFrame, plain: DataFrame, n_samples: int) -> DataFrame:
+    """gene_id, us, ue, vs, ve, n_samples over all samples' graphs: those of ``each``, and ``plain`` in the samples that a gene has no rows of."""
+    key = ["gene_id", "us", "ue", "vs", "ve"]
+    active = each.groupBy("gene_id").agg(F.count_distinct("sample").alias("active"))
+    rest = plain.join(active, "gene_id", "left").select(*key, (n_samples - F.coalesce("active", F.lit(0))).alias("n")).where("n > 0")
+    return each.select(*key, F.lit(1).cast("long").alias("n")).unionByName(rest).groupBy(*key).agg(F.sum("n").alias("n_samples"))
+
 
+def _applied(rows: DataFrame, cfg: Config) -> DataFrame:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         part = {k: v for k, v in pdf.groupby("kind")}
         take = lambda k, n: part[k].iloc[:, 2 : 2 + n].astype(int).itertuples(index=False, name=None) if k in part else ()

@@ -23,6 +23,18 @@ def coverage_runs(df: DataFrame, keys: list[str], start: str, end: str, weight:
     return runs.where((F.col("depth") > 0) & F.col("run_end").isNotNull())
 
 
+def track_runs(df: DataFrame, keys: list[str], start: str, end: str, tracks: list[str]) -> DataFrame:
+    """Runs of equal depth in all of several tracks at once: keys, run_start, run_end, and the depth in each track.
+
+    ``tracks`` are columns with the weight of an interval in each; a run has depth in one of them at least."""
+    up, down = ([F.col(t).cast("long").alias(t) for t in tracks], [(-F.col(t)).cast("long").alias(t) for t in tracks])
+    ends = F.explode(F.array(F.struct(F.col(start).alias("pos"), *up), F.struct(F.col(end).alias("pos"), *down)))
+    steps = df.where(F.col(end) > F.col(start)).select(*keys, ends.alias("x")).groupBy(*keys, F.col("x.pos").alias("pos")).agg(*[F.sum(f"x.{t}").alias(t) for t in tracks])
+    by = Window.partitionBy(*keys).orderBy("pos")
+    runs = steps.select(*keys, F.col("pos").alias("run_start"), F.lead("pos").over(by).alias("run_end"), *[F.sum(t).over(by).alias(t) for t in tracks])
+    return runs.where((F.greatest(*tracks) if len(tracks) > 1 else F.col(tracks[0])) > 0).where("run_end IS NOT NULL")
+
+
 def segments(vertices: DataFrame, keys: list[str], start: str = "v_start", end: str = "v_end") -> DataFrame:
     """Pieces between neighbouring ends that some interval covers: keys, seg_start, seg_end.
 

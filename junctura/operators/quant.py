@@ -51,7 +51,7 @@ def upper_quartile_factors(counts: DataFrame, row: str = "gene_id", col: str = "
     seen = counts.groupBy(col).agg(F.count("*").alias("seen"))
     zeros = seen.select(col, F.lit(0.0).alias(value), (n - F.col("seen")).alias("times")).where("times > 0")
     both = counts.select(col, F.col(value).cast("double").alias(value), F.lit(1).cast("long").alias("times")).unionByName(zeros)
-    return both.groupBy(col).agg((F.percentile(value, F.lit(0.75), "times") + 1).alias("sf"))
+    return both.groupBy(col).agg((F.percentile(value, F.lit(0.75), F.col("times")) + 1).alias("sf"))
 
 
 def with_junctions(events: DataFrame, counts: DataFrame, introns: dict[str, tuple[str, str]]) -> DataFrame:

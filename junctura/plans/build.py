@@ -7,7 +7,7 @@ settings, is read, not made again.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +26,28 @@ class Build:
         self.spark, self.cfg = spark, cfg
 
     def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """The table ``name`` below ``cfg.root``; made anew unless it is complete and of the same settings."""
+        """The table ``name`` below ``cfg.root``; made anew unless it is complete and of the same settings and input files."""
         path = f"{self.cfg.root}/{name}"
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        done, told = (jvm.org.apache.hadoop.fs.Path(f"{path}/{f}") for f in ("_SUCCESS", f"_settings-{self.cfg.digest}"))
+        done, told = (jvm.org.apache.hadoop.fs.Path(f"{path}/{f}") for f in ("_SUCCESS", f"_settings-{self.cfg.digest(name, self.stamps)}"))
         files = done.getFileSystem(conf)
         if not (files.exists(done) and files.exists(told)):
             make().write.mode("overwrite").parquet(path)
             files.create(told, True).close()
         return self.spark.read.parquet(path)
 
+    @cached_property
+    def stamps(self) -> dict[str, str]:
+        """Size and time of each input file (of a folder, of all files in it)."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        out = {}
+        for name in filter(None, (self.cfg.annotation, self.cfg.reference, *self.cfg.samples)):
+            p = jvm.org.apache.hadoop.fs.Path(name)
+            files = p.getFileSystem(conf)
+            status = files.listStatus(p) if files.exists(p) else []
+            out[name] = " ".join(sorted(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in status))
+        return out
+
     # --- inputs ------------------------------------------------------------------
 
     def annotation(self) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +73,7 @@ class Build:
         return out
 
     def graph_rows(self, rows: DataFrame) -> DataFrame:
-        """The alignments that graphs are built from: where samples are merged as reads, MERGED is all of them as one."""
+        """Reads by sample that graphs are built from: where samples are merged as reads, MERGED is all of them as one."""
         merge = self.cfg.merge
         if merge in ("merge_graphs", "single"):
             return rows
@@ -76,36 +88,52 @@ class Build:
         return self.spark.createDataFrame([(s,) for s in names], "sample string")
 
     def prepare(self) -> dict[str, DataFrame]:
-        """The sparse summaries: junctions and coverage, filtered for graphs and full for counts."""
+        """The sparse summaries: junctions and coverage, filtered for graphs and full for counts.
+
+        The alignments are read for two tables only, the cube of junctions and the depth in two tracks."""
         cfg = self.cfg
-        rows = self.alignments()
-        given = reads.ReadFilter.preset(cfg.confidence, cfg.read_length)
-        strict = self.graph_rows(rows.where(reads.passes(given, cfg.primary_only, cfg.var_aware, not cfg.ignore_mismatches)))
-        full = rows.where(reads.passes(None, cfg.primary_only))
+        full = self.alignments().where(reads.passes(None, cfg.primary_only))
+        strict = reads.passes(self.filter, cfg.primary_only, cfg.var_aware, not cfg.ignore_mismatches)
+        cube = self.stage("prep/junction_cube", lambda: reads.junction_cube(full, self.filter, reads.mismatches(cfg.var_aware)))
+        depth = self.stage("prep/tracks", lambda: reads.tracks(full, strict=strict, depth=F.lit(True)))
+        place = ["sample", "contig", "run_start", "run_end"]
+
+        def graph_depth() -> DataFrame:
+            own = depth.where("strict > 0").select(*place, F.col("strict").alias("depth"))
+            if cfg.merge in ("merge_graphs", "single"):
+                return own
+            return intervals.coverage_runs(self.graph_rows(own), ["sample", "contig"], "run_start", "run_end", "depth")
+
         return {
-            "junctions": self.stage("prep/junctions", lambda: reads.junctions(strict)),
-            "coverage": self.stage("prep/coverage", lambda: reads.coverage(strict)),
-            "all_junctions": self.stage("prep/all_junctions", lambda: _unstranded(full)),
-            "all_coverage": self.stage("prep/all_coverage", lambda: reads.coverage(full)),
+            "cube": cube,
+            "junctions": self.stage("prep/junctions", lambda: self.filtered(cube, self.filter)),
+            "coverage": self.stage("prep/coverage", graph_depth),
+            "all_junctions": self.stage("prep/all_junctions", lambda: reads.all_junctions(cube)),
+            "all_coverage": depth.select(*place, "depth"),
         }
 
+    @property
+    def filter(self) -> reads.ReadFilter:
+        return reads.ReadFilter.preset(self.cfg.confidence, self.cfg.read_length)
+
+    def filtered(self, cube: DataFrame, given: reads.ReadFilter) -> DataFrame:
+        return reads.cube_junctions(self.graph_rows(cube), given, not self.cfg.ignore_mismatches)
+
     # --- graph --------------------------------------------------------------------
 
     def introns(self, genes: DataFrame, prep: dict[str, DataFrame]) -> DataFrame:
         """The introns of each gene in each sample.
 
-        Genes with more than MAX_INTRONS in a sample are read again with a tighter
-        filter, round by round; the others keep theirs."""
-        cfg = self.cfg
-        given = reads.ReadFilter.preset(cfg.confidence, cfg.read_length)
+        Genes with more than MAX_INTRONS in a sample get a tighter filter, round by round;
+        the others keep theirs.  Every round is a sum over the cube of junctions."""
+        given = self.filter
         found = self.stage("prep/introns-0", lambda: self._introns(genes, prep["junctions"], given))
         for k in range(1, MAX_ROUNDS):
             many = found.groupBy("sample", "gene_id").agg(F.count("*").alias("n")).where(F.col("n") > MAX_INTRONS).select("gene_id").distinct()
             if many.isEmpty():
                 break
             given = given.tightened()
-            tight = self.graph_rows(self.alignments().where(reads.passes(given, cfg.primary_only, cfg.var_aware, not cfg.ignore_mismatches)))
-            again = self._introns(genes.join(many, "gene_id", "left_semi"), reads.junctions(tight), given)
+            again = self._introns(genes.join(many, "gene_id", "left_semi"), self.filtered(prep["cube"], given), given)
             last = found.join(many, "gene_id", "left_anti").unionByName(again)
             found = self.stage(f"prep/introns-{k}", lambda last=last: last)
         return found
@@ -113,9 +141,12 @@ class Build:
     def _introns(self, genes: DataFrame, junctions: DataFrame, given: reads.ReadFilter) -> DataFrame:
         cfg = self.cfg
         if cfg.filter_consensus:
-            seq = fasta.read_fasta(self.spark, cfg.reference)
-            sites = junctions.join(seq, "contig")
-            junctions = sites.where(sequence.consensus(F.col("seq"), F.col("strand"), F.col("i_start"), F.col("i_end"), cfg.filter_consensus)).drop("seq")
+            first, last = F.col("i_start").alias("pos"), (F.col("i_end") - 2).alias("pos")
+            spots = junctions.select("contig", first).unionByName(junctions.select("contig", last))
+            pairs = fasta.pairs_at(fasta.read_fasta(self.spark, cfg.reference), spots)
+            left, right = (pairs.select("contig", F.col("pos").alias(f"__{n}"), F.col("pair").alias(f"__{n}_pair")) for n in ("l", "r"))
+            placed = junctions.withColumns({"__l": F.col("i_start"), "__r": F.col("i_end") - 2}).join(left, ["contig", "__l"]).join(right, ["contig", "__r"])
+            junctions = placed.where(sequence.consensus_pairs(F.col("__l_pair"), F.col("__r_pair"), F.col("strand"), cfg.filter_consensus)).drop("__l", "__r", "__l_pair", "__r_pair")
         if cfg.filter_ambiguous:
             placed = genes.select(F.concat_ws(" ", "contig", "strand").alias("contig"), "g_start", "g_end")
             marked = junctions.withColumn("__c", F.concat_ws(" ", "contig", "strand"))
@@ -133,10 +164,10 @@ class Build:
             wanted = F.broadcast(samples)  # a row a sample
             introns = self.introns(genes, prep).select("sample", "gene_id", "i_start", "i_end").join(wanted, "sample", "left_semi")
             runs = gene_runs(prep["coverage"].join(wanted, "sample", "left_semi"), genes, 5000)
-            return augment.augmented(samples, v, e, introns, runs, augment.neighbour_ends(genes, v), cfg)
+            return augment.augmented(v, e, introns, runs, augment.neighbour_ends(genes, v), cfg)
 
         each = self.stage("graphs", make)
-        merged = self.stage("merged", lambda: each.groupBy("gene_id", "us", "ue", "vs", "ve").agg(F.countDistinct("sample").alias("n_samples")))
+        merged = self.stage("merged", lambda: augment.merged(each, augment.untouched(v, e, cfg), samples.count()))
         vertices = merged.where("vs IS NULL").select("gene_id", F.col("us").alias("v_start"), F.col("ue").alias("v_end"))
         edges = merged.where("vs IS NOT NULL")
         if cfg.validate:
@@ -313,13 +344,6 @@ class Build:
         return adjusted.join(testing.means(packed), ["event_id", "gene_id", "form"])
 
 
-def _unstranded(rows: DataFrame) -> DataFrame:
-    from junctura.functions import cigar
-
-    each = rows.where(cigar.is_spliced(F.col("cigar"))).select("sample", "contig", F.coalesce("xs", F.lit(".")).alias("xs"), F.explode(cigar.junctions(F.col("pos"), F.col("cigar"))).alias("j"))
-    return each.groupBy("sample", "contig", "xs", F.col("j.start").alias("i_start"), F.col("j.stop").alias("i_end")).agg(F.count("*").alias("n"))
-
-
 def gene_runs(coverage: DataFrame, genes: DataFrame, pad: int) -> DataFrame:
     """gene_id, sample, run_start, run_end, depth: the contig's runs, cut to each gene."""
     wide = genes.select("gene_id", "contig", (F.col("g_start") - pad).alias("__s"), (F.col("g_end") + pad).alias("__e"))

@@ -90,5 +90,15 @@ def test_distributed(spark):
     i = frame([("a", "g", 100, 400)], "sample string, gene_id string, i_start int, i_end int")
     r = frame([], "sample string, gene_id string, run_start int, run_end int, depth int")
     n = frame([], "gene_id string, kind string, at int")
-    out = augment.augmented(frame([("a",), ("b",)], "sample string"), v, e, i, r, n, cfg).collect()
-    assert sum(x.sample == "a" for x in out) == 6 and sum(x.sample == "b" for x in out) == 5
+    each, plain = augment.augmented(v, e, i, r, n, cfg), augment.untouched(v, e, cfg)
+    assert [x.sample for x in each.collect()] == ["a"] * 6 and plain.count() == 5
+    got = {(x.us, x.ue, x.vs, x.ve): x.n_samples for x in augment.merged(each, plain, 3).collect()}
+    assert len(got) == 6 and got[(0, 100, 400, 500)] == 1 and got[(0, 100, 200, 300)] == got[(200, 300, None, None)] == 3
+
+
+def test_untouched_genes_lose_short_exons(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    v = frame([("g", 0, 5), ("g", 100, 130), ("g", 200, 205), ("g", 300, 400)], "gene_id string, v_start int, v_end int")
+    e = frame([("g", 0, 5, 100, 130), ("g", 100, 130, 200, 205), ("g", 200, 205, 300, 400)], "gene_id string, us int, ue int, vs int, ve int")
+    got = {(x.us, x.ue, x.vs, x.ve) for x in augment.untouched(v, e, Config(outdir="x", remove_short=True)).collect()}
+    assert {(100, 130, None, None), (300, 400, None, None), (100, 130, 300, 400)} <= got and all(x[:2] != (200, 205) for x in got)

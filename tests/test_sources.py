@@ -224,3 +224,58 @@ def test_structured(spark):
     assert 'flanks "41^,1^"; structure "1-,2-"; splice_chain "15-,10-"' in out["alt_3prime", 2]
     assert 'structure "1^,2^"; splice_chain "10^,15^"' in out["alt_5prime", 1]
     assert 'structure "0,1^2-"; splice_chain ",10^41-"' in out["intron_retention", 1]
+
+
+def test_cube_gives_every_filter(spark):
+    """Sums over the cube are the junctions of the reads that pass, for the given filter and all tighter ones."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        a, b = rng.randint(1, 49), rng.choice([100, 200, 300])
+        cigar = rng.choice([f"{a}M{b}N{50 - a}M", f"{a}M{b}N5M1D{45 - a if a < 45 else 1}M60N9M", "50M"])
+        rows.append((rng.choice("ab"), "c1", rng.choice([10, 20]), rng.choice([0, 0, 0, 256]), cigar, rng.choice([0, 0, 1, 2, 9]), rng.choice(["+", "-", None]), 0, 0))
+    df = spark.createDataFrame(rows, alignments.SCHEMA)
+    key = lambda d: sorted((r["sample"], r.strand, r.i_start, r.i_end, r.n) for r in d.collect())
+    given = reads.ReadFilter.preset(1, 50)
+    cube = reads.junction_cube(df.where(reads.passes(None)), given, reads.mismatches())
+    for _ in range(8):
+        want = reads.junctions(df.where(reads.passes(given)))
+        assert key(reads.cube_junctions(cube, given)) == key(want)
+        assert key(reads.cube_junctions(cube, given, False)) == key(reads.junctions(df.where(reads.passes(given, use_mismatches=False))))
+        given = given.tightened()
+    every = reads.all_junctions(cube)
+    assert every.agg(F.sum("n")).first()[0] == reads.junctions(df.where(reads.passes(None))).agg(F.sum("n")).first()[0]
+
+
+def test_tracks_in_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a", "c1", 0, 0, "10M", 0, None, 0, 0), ("a", "c1", 5, 0, "10M5N10M", 0, "+", 0, 0), ("b", "c1", 5, 0, "4M", 3, None, 0, 0)]
+    df = spark.createDataFrame(rows, alignments.SCHEMA)
+    got = reads.tracks(df, spliced=F.col("cigar").contains("N"), depth=F.lit(True))
+    bases = {(r["sample"], p): (r.spliced, r.depth) for r in got.collect() for p in range(r.run_start, r.run_end)}
+    want = {("a", p): (int(5 <= p < 15 or 20 <= p < 30), int(p < 10) + int(5 <= p < 15 or 20 <= p < 30)) for p in [*range(15), *range(20, 30)]} | {("b", p): (0, 1) for p in range(5, 9)}
+    assert bases == want
+
+
+def test_pieces_of_sequences(spark):
+    seq = spark.createDataFrame([("c1", "ACGTACGTAC"), ("c2", "gt"), ("c3", "")], "contig string, seq string")
+    spots = spark.createDataFrame([("c1", i) for i in range(-1, 11)] + [("c2", 0), ("c3", 0), ("cx", 0)], "contig string, pos int")
+    got = {(r.contig, r.pos): r.pair for r in fasta.pairs_at(seq, spots, 4).collect()}
+    assert {k: v for k, v in got.items() if len(v) == 2} == {("c1", i): "ACGTACGTAC"[i : i + 2] for i in range(9)} | {("c2", 0): "GT"}
+
+
+def test_stage_settings():
+    from dataclasses import replace
+
+    from junctura.config import Config
+
+    a = Config(outdir="o", annotation="g.gtf", samples=("a.bam",))
+    same = lambda stage, **kw: a.digest(stage, {}) == replace(a, **kw).digest(stage, {})
+    assert same("prep/tracks", psi_min_reads=3) and same("prep/tracks", edge_limit=9) and same("genes", samples=("b.bam",)) and same("events/exon_skip", psi_min_reads=3)
+    assert not same("psi/exon_skip", psi_min_reads=3) and not same("merged", iterations=2) and not same("prep/introns-0", filter_ambiguous=True) and not same("counts/runs", annotation="h.gtf")
+    assert a.digest("prep/tracks", {"a.bam": "1"}) != a.digest("prep/tracks", {"a.bam": "2"}) and a.digest("genes", {"a.bam": "1"}) == a.digest("genes", {"a.bam": "2"})
