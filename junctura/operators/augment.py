@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from junctura.config import Cassette, Config, IntronEdges, Retention
+from junctura.operators import graph
 
 
 def retention_closure(retained: DataFrame) -> DataFrame:
@@ -299,12 +300,21 @@ def untouched(vertices: DataFrame, edges: DataFrame, cfg: Config) -> DataFrame:
     return _applied(rows, cfg).drop("sample")
 
 
-def merged(each: DataFrame, plain: DataFrame, n_samples: int) -> DataFrame:
-    """gene_id, us, ue, vs, ve, n_samples over all samples' graphs: those of ``each``, and ``plain`` in the samples that a gene has no rows of."""
+MAX_VERTICES = 10_000  # of a gene, beyond which it takes no more of other samples
+
+
+def merged(each: DataFrame, plain: DataFrame, samples: list[str], limit: int = MAX_VERTICES) -> DataFrame:
+    """gene_id, us, ue, vs, ve, n_samples over all samples' graphs in the order of ``samples``: those of ``each``, and ``plain`` in the samples that a gene has no rows of.
+
+    Genes beyond ``limit`` vertices stop as in :func:`junctura.operators.graph.bounded_merge`."""
     key = ["gene_id", "us", "ue", "vs", "ve"]
-    active = each.groupBy("gene_id").agg(F.count_distinct("sample").alias("active"))
-    rest = plain.join(active, "gene_id", "left").select(*key, (n_samples - F.coalesce("active", F.lit(0))).alias("n")).where("n > 0")
-    return each.select(*key, F.lit(1).cast("long").alias("n")).unionByName(rest).groupBy(*key).agg(F.sum("n").alias("n_samples"))
+    place = F.array_position(F.lit(samples), F.col("sample"))
+    placed = each.select(*key, place.cast("int").alias("place"))
+    active = placed.groupBy("gene_id").agg(F.collect_set("place").alias("active"))
+    rest = F.array_except(F.sequence(F.lit(1), F.lit(len(samples))), F.coalesce("active", F.array().cast("array<int>")))
+    others = plain.join(active, "gene_id", "left").withColumn("rest", rest).where(F.size("rest") > 0)
+    rows = placed.select(*key, "place", F.lit(1).cast("long").alias("n")).unionByName(others.select(*key, F.array_min("rest").alias("place"), F.size("rest").cast("long").alias("n")))
+    return graph.bounded_merge(rows, limit)
 
 
 def _applied(rows: DataFrame, cfg: Config) -> DataFrame:

@@ -142,3 +142,18 @@ def single_cover(segs: DataFrame, seg_edges: DataFrame) -> DataFrame:
     e = seg_edges.select("gene_id", F.col("d_end").alias("__d"), F.col("a_start").alias("__a")).distinct()
     spanned = (F.col("seg_start") >= F.col("__d")) & (F.col("seg_start") <= F.col("__a"))
     return segs.join(e, (segs["gene_id"] == e["gene_id"]) & spanned, "left_anti")
+
+
+def bounded_merge(rows: DataFrame, limit: int) -> DataFrame:
+    """gene_id, us, ue, vs, ve, n_samples of all samples' graphs, merged one sample after another.
+
+    rows: gene_id, us, ue, vs, ve (a vertex has no vs), place (the sample's place in the
+    order) and n (how many samples the row stands for).  Once a gene has more than ``limit``
+    vertices it takes no more vertices and edges; those it has are still counted in all
+    samples.  Where a gene stops follows from the running number of vertices by the place
+    they are first seen at."""
+    each = rows.groupBy("gene_id", "us", "ue", "vs", "ve").agg(F.min("place").alias("first"), F.sum("n").alias("n_samples"))
+    new = each.where("vs IS NULL").groupBy("gene_id", "first").agg(F.count("*").alias("new"))
+    total = F.sum("new").over(Window.partitionBy("gene_id").orderBy("first"))
+    stop = new.withColumn("total", total).where(F.col("total") > limit).groupBy("gene_id").agg(F.min("first").alias("stop"))
+    return each.join(stop, "gene_id", "left").where("stop IS NULL OR first <= stop").drop("first", "stop")

@@ -7,6 +7,7 @@ all other samples it is the same, so counts of samples are completed by their nu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,7 +62,7 @@ def feature_names(kind: str) -> list[str]:
     return [*names, "e2_cov", "sum_e2"] if kind == "mult_exon_skip" else names
 
 
-def features(kind: str, events: DataFrame, runs: DataFrame, junctions: DataFrame) -> DataFrame:
+def features(kind: str, events: DataFrame, runs: DataFrame | Callable[[DataFrame], DataFrame], junctions: DataFrame) -> DataFrame:
     """Ids, sample and the features that are not zero, of the events in the samples with any depth or reads for them.
 
     The distinct regions of all events meet the runs once, the introns meet the counts by
@@ -73,7 +74,7 @@ def features(kind: str, events: DataFrame, runs: DataFrame, junctions: DataFrame
     steps = F.zip_with(F.slice("inner", 1, F.greatest(F.size("inner") - 1, F.lit(0))), following, lambda x, y: F.struct(F.lit("m").alias("name"), x["stop"].cast("int").alias("s"), y["start"].cast("int").alias("e"))) if many else None
     spans = events.select(*key, _spans(regions_of(kind), inner)).select(*key, "x.name", F.col("x.s").alias("seg_start"), F.col("x.e").alias("seg_end")).where("seg_end > seg_start")
     wanted = spans.select("gene_id", "seg_start", "seg_end").distinct()
-    found = intervals.segment_coverage(wanted, runs, ["gene_id"], ["sample"]).select("gene_id", "sample", "seg_start", "seg_end", "mean_cov", "covered")
+    found = (runs(wanted) if callable(runs) else intervals.segment_coverage(wanted, runs, ["gene_id"], ["sample"])).select("gene_id", "sample", "seg_start", "seg_end", "mean_cov", "covered")
     size = F.col("seg_end") - F.col("seg_start")
     none = F.lit(None)
     depth = spans.join(found, ["gene_id", "seg_start", "seg_end"]).select(*key, "sample", "name", F.col("mean_cov").alias("cov"), (F.col("covered") / size).alias("region"), (F.col("mean_cov") * size).alias("area"), none.cast("long").alias("n"))
@@ -136,11 +137,12 @@ def judged(kind: str, rows: DataFrame, ev: Evidence, ir: Retention, min_reads: i
     return rows.drop("__known", "__a", "__b").withColumns({"psi": quant.psi(a, b, min_reads), "iso2": a.cast("int"), "iso1": b.cast("int")})
 
 
-def sparse(kind: str, events: DataFrame, runs: DataFrame, junctions: DataFrame, ev: Evidence = Evidence(), ir: Retention = Retention.preset(3), min_reads: int = 10, known: DataFrame | None = None) -> DataFrame:
+def sparse(kind: str, events: DataFrame, runs: DataFrame | Callable[[DataFrame], DataFrame], junctions: DataFrame, ev: Evidence = Evidence(), ir: Retention = Retention.preset(3), min_reads: int = 10, known: DataFrame | None = None) -> DataFrame:
     """Each event in each sample that has depth or reads for it: features, criteria, psi, iso1 and iso2.
 
     What the other samples have is :func:`without_reads`.  runs: gene_id, sample,
-    run_start, run_end, depth.  junctions: gene_id, sample, i_start, i_end, n.  With
+    run_start, run_end, depth, or what gives the depth of regions (see
+    :func:`junctura.operators.quantify.from_segments`).  junctions: gene_id, sample, i_start, i_end, n.  With
     ``known`` introns (gene_id, i_start, i_end), an annotated junction needs no reads."""
     rows = _with_known(kind, events, known).join(features(kind, events, runs, junctions), ids(events))
     return judged(kind, rows, ev, ir, min_reads)
@@ -165,7 +167,7 @@ def completed(events: DataFrame, rows: DataFrame, zeros: DataFrame, samples: Dat
     return wanted.join(found, [*key, "sample"], "left").select(*events.columns, "sample", F.coalesce("r", "z").alias("r")).select(*events.columns, "sample", "r.*")
 
 
-def evidence(kind: str, events: DataFrame, samples: DataFrame, runs: DataFrame, junctions: DataFrame, ev: Evidence = Evidence(), ir: Retention = Retention.preset(3), min_reads: int = 10, known: DataFrame | None = None) -> DataFrame:
+def evidence(kind: str, events: DataFrame, samples: DataFrame, runs: DataFrame | Callable[[DataFrame], DataFrame], junctions: DataFrame, ev: Evidence = Evidence(), ir: Retention = Retention.preset(3), min_reads: int = 10, known: DataFrame | None = None) -> DataFrame:
     """:func:`sparse` with a row for each event in each sample (a column, or with gene_id)."""
     given = samples if "gene_id" in samples.columns else sorted(r["sample"] for r in samples.select("sample").distinct().collect())
     return completed(events, sparse(kind, events, runs, junctions, ev, ir, min_reads, known), without_reads(kind, events, ev, ir, min_reads, known), given)

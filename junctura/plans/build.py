@@ -167,7 +167,7 @@ class Build:
             return augment.augmented(v, e, introns, runs, augment.neighbour_ends(genes, v), cfg)
 
         each = self.stage("graphs", make)
-        merged = self.stage("merged", lambda: augment.merged(each, augment.untouched(v, e, cfg), samples.count()))
+        merged = self.stage("merged", lambda: augment.merged(each, augment.untouched(v, e, cfg), [r["sample"] for r in samples.collect()]))
         vertices = merged.where("vs IS NULL").select("gene_id", F.col("us").alias("v_start"), F.col("ue").alias("v_end"))
         edges = merged.where("vs IS NOT NULL")
         if cfg.validate:

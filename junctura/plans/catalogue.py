@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from junctura.config import Evidence, Retention
 from junctura.functions import multiple_testing, sequence
-from junctura.operators import events, graph, intervals, quant, testing, verify
+from junctura.operators import events, graph, intervals, quant, quantify, testing, verify
 from junctura.plans import viz_data
 from junctura.plans.projection import EDGE, EXON, PAIR, VERTEX, exons
 from junctura.sources import sinks
@@ -534,13 +534,16 @@ DEPTH = """(SELECT coalesce(sum((least({e}, r.run_end) - greatest({s}, r.run_sta
     FROM runs r WHERE r.gene_id = o.gene_id AND r.sample_id = o.sample_id AND r.run_start < {e} AND {s} < r.run_end)"""
 
 
-def _evidence(spark, sf_dir, kind: str, found: DataFrame) -> DataFrame:
-    """Events in the samples of their own gene, as :func:`junctura.operators.verify.evidence` gives them."""
+def _evidence(spark, sf_dir, kind: str, found: DataFrame, counted: bool = False) -> DataFrame:
+    """Events in the samples of their own gene, as :func:`junctura.operators.verify.evidence` gives them; ``counted``: from the depth of the graph's segments."""
     e = exons(spark, sf_dir)
     named = lambda df: df.withColumn("sample", F.col("sample_id").cast("string")).drop("sample_id")
     runs = named(intervals.coverage_runs(e, ["gene_id", "sample_id"], "ex_start", "ex_end"))
     counts = named(quant.junction_counts(e))
     own = counts.select("gene_id", "sample").distinct()
+    if counted:
+        segs = graph.segments(graph.vertices(e))
+        runs = quantify.from_segments(segs, intervals.segment_coverage(segs, runs, ["gene_id"], ["sample"]))
     ev = verify.evidence(kind, found, own, runs, counts, Evidence(junction=1, mutex_junction=1), Retention(1, 0.5, 0.1, 2), 1)
     return ev.withColumn("sample_id", F.col("sample").cast("long"))
 
@@ -551,8 +554,8 @@ OWN = "(SELECT {t}.*, s.sample_id FROM {t} JOIN (SELECT DISTINCT gene_id, sample
 @query(f"""{DEDUP}, {JUNCTION}, {RUNS}, feat AS (SELECT o.*, {DEPTH.format(s='e1s', e='e1e')} AS d1, {DEPTH.format(s='e2s', e='e2e')} AS d2, {DEPTH.format(s='e3s', e='e3e')} AS d3,
   {_count('e1e2', 'e1e', 'e2s')}, {_count('e2e3', 'e2e', 'e3s')}, {_count('e1e3', 'e1e', 'e3s')} FROM {OWN.format(t='one')})
 SELECT gene_id, sample_id, e1s, e1e, e2s, e2e, e3s, e3e, round(d2, 6) AS e2_cov, d2 >= 0.05 * ((d1 + d3) / 2) AS v1, e1e2 >= 1 AS v2, e2e3 >= 1 AS v3, e1e3 >= 1 AS v4 FROM feat""")
-def evidence_exon_skip(spark, sf_dir):
-    out = _evidence(spark, sf_dir, "exon_skip", _skip_events(spark, sf_dir))
+def evidence_exon_skip(spark, sf_dir, counted=False):
+    out = _evidence(spark, sf_dir, "exon_skip", _skip_events(spark, sf_dir), counted)
     return out.select("gene_id", "sample_id", *events.TRIPLE[1:], rounded("e2_cov").alias("e2_cov"), "v1", "v2", "v3", "v4")
 
 
@@ -564,9 +567,9 @@ COVERED = """(SELECT coalesce(sum(least({e}, r.run_end) - greatest({s}, r.run_st
   {DEPTH.format(s='e1s', e='e1e')} AS d1, {DEPTH.format(s='e1e', e='e2s')} AS d2, {DEPTH.format(s='e2s', e='e2e')} AS d3, {COVERED.format(s='e1e', e='e2s')} AS share, {_count('n', 'e1e', 'e2s')} FROM {OWN.format(t='ev')})
 SELECT gene_id, sample_id, e1s, e1e, e2s, e2e, round(d2, 6) AS cov, round(share, 6) AS share, d2 > 1 AND share > 0.5 AND d2 >= 0.1 * ((d1 + d3) / 2) AS v1, n >= 1 AS v2,
   CASE WHEN d2 + n >= 1 THEN round(d2 / (d2 + n), 6) END AS psi FROM feat""")
-def evidence_intron_retention(spark, sf_dir):
+def evidence_intron_retention(spark, sf_dir, counted=False):
     e = exons(spark, sf_dir)
-    out = _evidence(spark, sf_dir, "intron_retention", events.intron_retention(graph.edges(e), graph.vertices(e)))
+    out = _evidence(spark, sf_dir, "intron_retention", events.intron_retention(graph.edges(e), graph.vertices(e)), counted)
     return out.select("gene_id", "sample_id", "e1s", "e1e", "e2s", "e2e", rounded("e2_cov").alias("cov"), rounded("e2_region").alias("share"), "v1", "v2", rounded("psi").alias("psi"))
 
 
@@ -582,30 +585,30 @@ SELECT gene_id, sample_id, e1s, e1e, e2s, e2e, e3s, e3e, round(d2, 6) AS e2_cov,
   CASE WHEN e2 + e1e3 >= 1 THEN round(CAST(e2 AS DOUBLE) / (e2 + e1e3), 6) END AS psi FROM (SELECT * REPLACE (CAST(e2 AS BIGINT) AS e2, CAST(e1e3 AS BIGINT) AS e1e3) FROM feat)"""
 
 
-def _alt_evidence(spark, sf_dir, kind: str, found: DataFrame) -> DataFrame:
-    out = _evidence(spark, sf_dir, kind, found)
+def _alt_evidence(spark, sf_dir, kind: str, found: DataFrame, counted: bool) -> DataFrame:
+    out = _evidence(spark, sf_dir, kind, found, counted)
     return out.select("gene_id", "sample_id", *events.TRIPLE[1:], rounded("e2_cov").alias("e2_cov"), "e2", "e1e3", "v1", "v2", rounded("psi").alias("psi"))
 
 
 @query(_alt_evidence_sql(RIGHT, [("e1s", "e1e"), ("e2s", "e3s"), ("e3s", "least(e2e, e3e)")], ("e1e", "e2s"), ("e1e", "e3s")))
-def evidence_alt_right(spark, sf_dir):
+def evidence_alt_right(spark, sf_dir, counted=False):
     """Depth, counts, criteria and PSI of alternative right ends."""
-    return _alt_evidence(spark, sf_dir, "alt_right", events.alt_right(graph.edges(exons(spark, sf_dir))))
+    return _alt_evidence(spark, sf_dir, "alt_right", events.alt_right(graph.edges(exons(spark, sf_dir))), counted)
 
 
 @query(_alt_evidence_sql(LEFT, [("greatest(e1s, e2s)", "e1e"), ("e1e", "e2e"), ("e3s", "e3e")], ("e2e", "e3s"), ("e1e", "e3s")))
-def evidence_alt_left(spark, sf_dir):
+def evidence_alt_left(spark, sf_dir, counted=False):
     """Depth, counts, criteria and PSI of alternative left ends."""
-    return _alt_evidence(spark, sf_dir, "alt_left", events.alt_left(graph.edges(exons(spark, sf_dir))))
+    return _alt_evidence(spark, sf_dir, "alt_left", events.alt_left(graph.edges(exons(spark, sf_dir))), counted)
 
 
 @query(f"""{WITH}, {MUTEX}, {JUNCTION}, {RUNS}, feat AS (SELECT o.*, {', '.join(f"{DEPTH.format(s=f'e{k}s', e=f'e{k}e')} AS d{k}" for k in (1, 2, 3, 4))},
   {', '.join(_count(f'e{a}e{b}', f'e{a}e', f'e{b}s') for a, b in ((1, 2), (1, 3), (2, 4), (3, 4)))} FROM {OWN.format(t='mutex')})
 SELECT gene_id, sample_id, e1s, e1e, e2s, e2e, e3s, e3e, e4s, e4e, d2 >= 0.05 * ((d1 + d4) / 2) AS v1, d3 >= 0.05 * ((d1 + d4) / 2) AS v2, e1e2 >= 1 AND e2e4 >= 1 AS v3, e1e3 >= 1 AND e3e4 >= 1 AS v4,
   CASE WHEN e1e2 + e2e4 + e1e3 + e3e4 >= 1 THEN round(CAST(e1e3 + e3e4 AS DOUBLE) / (e1e2 + e2e4 + e1e3 + e3e4), 6) END AS psi FROM feat""")
-def evidence_mutex_exons(spark, sf_dir):
+def evidence_mutex_exons(spark, sf_dir, counted=False):
     """Criteria and PSI of mutually exclusive exons."""
-    out = _evidence(spark, sf_dir, "mutex_exons", events.mutex_exons(graph.edges(exons(spark, sf_dir))))
+    out = _evidence(spark, sf_dir, "mutex_exons", events.mutex_exons(graph.edges(exons(spark, sf_dir))), counted)
     return out.select("gene_id", "sample_id", *[f"e{k}{x}" for k in (1, 2, 3, 4) for x in "se"], "v1", "v2", "v3", "v4", rounded("psi").alias("psi"))
 
 
@@ -620,13 +623,125 @@ feat AS (SELECT o.*, d2, num_e2, sum_e2, {DEPTH.format(s='o.us', e='o.ue')} AS d
   {_count('e1e2', 'o.ue', 'o.inner_exons[1].s')}, {_count('e2e3', 'o.inner_exons[-1].e', 'o.vs')}, {_count('e1e3', 'o.ue', 'o.vs')} FROM own o JOIN sums USING (gene_id, sample_id, us, ue, vs, ve))
 SELECT gene_id, sample_id, us, ue, vs, ve, round(d2, 6) AS e2_cov, CAST(sum_e2 AS BIGINT) AS sum_e2, num_e2, d2 >= 0.05 * ((d1 + d3) / 2) AS v1, e1e2 >= 1 AS v2, e2e3 >= 1 AS v3, sum_e2 / num_e2 >= 1 AS v4, e1e3 >= 1 AS v5,
   CASE WHEN e1e2 + e2e3 + sum_e2 + (num_e2 + 1) * e1e3 >= 1 THEN round(CAST(e1e2 + e2e3 + sum_e2 AS DOUBLE) / (e1e2 + e2e3 + sum_e2 + (num_e2 + 1) * e1e3), 6) END AS psi FROM feat""")
-def evidence_mult_exon_skip(spark, sf_dir):
+def evidence_mult_exon_skip(spark, sf_dir, counted=False):
     """Depth, counts, criteria and PSI of several skipped exons."""
     found = events.mult_exon_skip(graph.edges(exons(spark, sf_dir))).withColumn("event_id", F.struct("us", "ue", "vs", "ve"))
-    out = _evidence(spark, sf_dir, "mult_exon_skip", found)
+    out = _evidence(spark, sf_dir, "mult_exon_skip", found, counted)
     return longs(out.select("gene_id", "sample_id", "us", "ue", "vs", "ve", rounded("e2_cov").alias("e2_cov"), "sum_e2", "num_e2", "v1", "v2", "v3", "v4", "v5", rounded("psi").alias("psi")))
 
 
+# --- the same from the counted graph: equal rows, by segment numbers ---------------------
+
+
+@query(ORACLES["evidence_exon_skip"])
+def quantify_exon_skip(spark, sf_dir):
+    """Evidence of skipped exons from the depth of segments."""
+    return evidence_exon_skip(spark, sf_dir, True)
+
+
+@query(ORACLES["evidence_intron_retention"])
+def quantify_intron_retention(spark, sf_dir):
+    """Evidence of retained introns from the depth of segments."""
+    return evidence_intron_retention(spark, sf_dir, True)
+
+
+@query(ORACLES["evidence_alt_right"])
+def quantify_alt_right(spark, sf_dir):
+    """Evidence of alternative right ends from the depth of segments."""
+    return evidence_alt_right(spark, sf_dir, True)
+
+
+@query(ORACLES["evidence_alt_left"])
+def quantify_alt_left(spark, sf_dir):
+    """Evidence of alternative left ends from the depth of segments."""
+    return evidence_alt_left(spark, sf_dir, True)
+
+
+@query(ORACLES["evidence_mutex_exons"])
+def quantify_mutex_exons(spark, sf_dir):
+    """Evidence of mutually exclusive exons from the depth of segments."""
+    return evidence_mutex_exons(spark, sf_dir, True)
+
+
+@query(ORACLES["evidence_mult_exon_skip"])
+def quantify_mult_exon_skip(spark, sf_dir):
+    """Evidence of several skipped exons from the depth of segments."""
+    return evidence_mult_exon_skip(spark, sf_dir, True)
+
+
+# --- counts for testing of the other types ------------------------------------------------
+
+
+def _counts_sql(evidence_of: str, columns: str, skip: str, keep: str) -> str:
+    """Both forms' counts over the features of an evidence query."""
+    head = ORACLES[evidence_of]
+    return f"{head[: head.rindex(chr(10) + 'SELECT gene_id, sample_id')]} SELECT gene_id, sample_id, {columns}, form, CAST(floor(CASE WHEN form = 0 THEN {skip} ELSE {keep} END) AS DOUBLE) AS n FROM feat, (VALUES (0), (1)) t(form)"
+
+
+def _counts(spark, sf_dir, kind: str, found: DataFrame, columns: list[str]) -> DataFrame:
+    rows = _evidence(spark, sf_dir, kind, found).withColumn("event_id", F.struct(*columns))
+    out = verify.test_counts(kind, rows.drop("sample").withColumnRenamed("sample_id", "sample"))
+    return out.select("gene_id", F.col("sample").alias("sample_id"), *[F.col(f"event_id.{c}").alias(c) for c in columns], "form", "n")
+
+
+@query(_counts_sql("evidence_intron_retention", "e1s, e1e, e2s, e2e", "n", "d2"))
+def counts_for_test_intron_retention(spark, sf_dir):
+    """Counts of both forms of retained introns."""
+    e = exons(spark, sf_dir)
+    return _counts(spark, sf_dir, "intron_retention", events.intron_retention(graph.edges(e), graph.vertices(e)), ["e1s", "e1e", "e2s", "e2e"])
+
+
+@query(_counts_sql("evidence_alt_right", "e1s, e1e, e2s, e2e, e3s, e3e", "e1e3", "e2"))
+def counts_for_test_alt_right(spark, sf_dir):
+    """Counts of both forms of alternative right ends."""
+    return _counts(spark, sf_dir, "alt_right", events.alt_right(graph.edges(exons(spark, sf_dir))), events.TRIPLE[1:])
+
+
+@query(_counts_sql("evidence_alt_left", "e1s, e1e, e2s, e2e, e3s, e3e", "e1e3", "e2"))
+def counts_for_test_alt_left(spark, sf_dir):
+    """Counts of both forms of alternative left ends."""
+    return _counts(spark, sf_dir, "alt_left", events.alt_left(graph.edges(exons(spark, sf_dir))), events.TRIPLE[1:])
+
+
+@query(_counts_sql("evidence_mutex_exons", "e1s, e1e, e2s, e2e, e3s, e3e, e4s, e4e", "least(e1e2, e2e4)", "least(e1e3, e3e4)"))
+def counts_for_test_mutex_exons(spark, sf_dir):
+    """Counts of both forms of mutually exclusive exons."""
+    return _counts(spark, sf_dir, "mutex_exons", events.mutex_exons(graph.edges(exons(spark, sf_dir))), [f"e{k}{x}" for k in (1, 2, 3, 4) for x in "se"])
+
+
+@query(_counts_sql("evidence_mult_exon_skip", "us, ue, vs, ve", "e1e3", "least(e1e2, e2e3, sum_e2)"))
+def counts_for_test_mult_exon_skip(spark, sf_dir):
+    """Counts of both forms of several skipped exons."""
+    found = events.mult_exon_skip(graph.edges(exons(spark, sf_dir))).withColumn("event_id", F.struct("us", "ue", "vs", "ve"))
+    return longs(_counts(spark, sf_dir, "mult_exon_skip", found, ["us", "ue", "vs", "ve"])).withColumn("form", F.col("form").cast("int"))
+
+
+@query(f"""WITH {EXON}, kind AS (SELECT *, count(*) OVER (PARTITION BY transcript_id) > 1 AS spliced FROM exon),
+step AS (SELECT gene_id, sample_id, pos, sum(d) FILTER (spliced) AS s, sum(d) FILTER (NOT spliced) AS u FROM (
+  SELECT gene_id, sample_id, spliced, ex_start AS pos, 1 AS d FROM kind UNION ALL SELECT gene_id, sample_id, spliced, ex_end, -1 FROM kind) t GROUP BY ALL)
+SELECT * FROM (SELECT gene_id, sample_id, pos AS run_start, lead(pos) OVER w AS run_end, CAST(coalesce(sum(s) OVER w, 0) AS BIGINT) AS spliced, CAST(coalesce(sum(u) OVER w, 0) AS BIGINT) AS unspliced
+  FROM step WINDOW w AS (PARTITION BY gene_id, sample_id ORDER BY pos)) t WHERE run_end IS NOT NULL AND spliced + unspliced > 0""")
+def coverage_tracks(spark, sf_dir):
+    """Depth in two tracks in one pass: exons of spliced transcripts, and of transcripts of one exon."""
+    e = exons(spark, sf_dir)
+    many = F.count("*").over(Window.partitionBy("transcript_id")) > 1
+    kinds = e.withColumn("spliced", many.cast("int")).withColumn("unspliced", 1 - F.col("spliced"))
+    return intervals.track_runs(kinds, ["gene_id", "sample_id"], "ex_start", "ex_end", ["spliced", "unspliced"])
+
+
+@query(f"""WITH {EXON}, {PAIR}, item AS (SELECT gene_id, sample_id, ex_start AS us, ex_end AS ue, NULL AS vs, NULL AS ve FROM exon UNION SELECT gene_id, sample_id, us, ue, vs, ve FROM pair),
+part AS (SELECT gene_id, us, ue, vs, ve, min(sample_id) AS first, count(DISTINCT sample_id) AS n_samples FROM item GROUP BY ALL),
+stop AS (SELECT gene_id, min(first) AS stop FROM part a WHERE vs IS NULL AND (SELECT count(*) FROM part b WHERE b.vs IS NULL AND b.gene_id = a.gene_id AND b.first <= a.first) > 12 GROUP BY gene_id)
+SELECT gene_id, us, ue, coalesce(vs, -1) AS vs, coalesce(ve, -1) AS ve, n_samples FROM part LEFT JOIN stop USING (gene_id) WHERE stop IS NULL OR first <= stop""")
+def merged_bounded(spark, sf_dir):
+    """Graphs merged one sample after another; a gene with more than 12 vertices takes no more, but counts what it has.  A vertex has -1 for vs and ve."""
+    e = exons(spark, sf_dir)
+    none = F.lit(None).cast("long")
+    v = e.select("gene_id", "sample_id", F.col("ex_start").alias("us"), F.col("ex_end").alias("ue"), none.alias("vs"), none.alias("ve"))
+    rows = v.unionByName(graph.consecutive(e, ["sample_id"]).select("gene_id", "sample_id", "us", "ue", "vs", "ve")).distinct()
+    return graph.bounded_merge(rows.select("*", F.col("sample_id").alias("place"), F.lit(1).cast("long").alias("n")), 12).select("gene_id", "us", "ue", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("vs", "ve")], "n_samples")
+
+
 def _as_events(df: DataFrame) -> DataFrame:
     pair = lambda *names: F.array(*[F.struct(F.col(f"{n}s").cast("int").alias("start"), F.col(f"{n}e").cast("int").alias("stop")) for n in names])
     return df.select(F.lit("exon_skip").alias("event_type"), "event_id", F.lit("c1").alias("contig"), F.lit("+").alias("strand"), F.col("gene_id").cast("string").alias("gene_id"), F.lit(3).alias("annotated"), pair("e1", "e3").alias("exons1"), pair("e1", "e2", "e3").alias("exons2"))

@@ -92,7 +92,7 @@ def test_distributed(spark):
     n = frame([], "gene_id string, kind string, at int")
     each, plain = augment.augmented(v, e, i, r, n, cfg), augment.untouched(v, e, cfg)
     assert [x.sample for x in each.collect()] == ["a"] * 6 and plain.count() == 5
-    got = {(x.us, x.ue, x.vs, x.ve): x.n_samples for x in augment.merged(each, plain, 3).collect()}
+    got = {(x.us, x.ue, x.vs, x.ve): x.n_samples for x in augment.merged(each, plain, ["a", "b", "c"]).collect()}
     assert len(got) == 6 and got[(0, 100, 400, 500)] == 1 and got[(0, 100, 200, 300)] == got[(200, 300, None, None)] == 3
 
 
@@ -102,3 +102,29 @@ def test_untouched_genes_lose_short_exons(spark):
     e = frame([("g", 0, 5, 100, 130), ("g", 100, 130, 200, 205), ("g", 200, 205, 300, 400)], "gene_id string, us int, ue int, vs int, ve int")
     got = {(x.us, x.ue, x.vs, x.ve) for x in augment.untouched(v, e, Config(outdir="x", remove_short=True)).collect()}
     assert {(100, 130, None, None), (300, 400, None, None), (100, 130, 300, 400)} <= got and all(x[:2] != (200, 205) for x in got)
+
+
+def test_huge_genes_stop(spark):
+    """Against merging one sample after another."""
+    import random
+
+    from junctura.operators import graph
+
+    rng, rows = random.Random(2), []
+    for gene in range(6):
+        for place in range(8):
+            vs = sorted(rng.sample(range(30), 6))
+            rows += [(gene, v, v + 1, None, None, place, 1) for v in vs] + [(gene, a, a + 1, b, b + 1, place, 1) for a, b in zip(vs, vs[1:])]
+    want = {}
+    for gene in range(6):
+        have, counts = set(), {}
+        for place in range(8):
+            own = [r[1:5] for r in rows if r[0] == gene and r[5] == place]
+            if sum(x[2] is None for x in have) <= 15:
+                have |= set(own)
+            for x in own:
+                counts[x] = counts.get(x, 0) + 1
+        want |= {(gene, *x): counts[x] for x in have}
+    df = spark.createDataFrame(rows, "gene_id int, us int, ue int, vs int, ve int, place int, n long")
+    got = {tuple(r)[:5]: r.n_samples for r in graph.bounded_merge(df, 15).select("gene_id", "us", "ue", "vs", "ve", "n_samples").collect()}
+    assert got == want
