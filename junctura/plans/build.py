@@ -92,7 +92,7 @@ class Build:
 
         The alignments are read for two tables only, the cube of junctions and the depth in two tracks."""
         cfg = self.cfg
-        full = self.alignments().where(reads.passes(None, cfg.primary_only))
+        full = self.alignments().where((F.col("contig") != alignments.LEFT_OUT) & reads.passes(None, cfg.primary_only))
         strict = reads.passes(self.filter, cfg.primary_only, cfg.var_aware, not cfg.ignore_mismatches)
         cube = self.stage("prep/junction_cube", lambda: reads.junction_cube(full, self.filter, reads.mismatches(cfg.var_aware)))
         depth = self.stage("prep/tracks", lambda: reads.tracks(full, strict=strict, depth=F.lit(True)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -163,7 +165,7 @@ def _tags(raw: bytes, at: int) -> dict[str, object]:
 def bam_records(stream: Bgzf, sample: str, contigs: list[tuple[str, int]]) -> Iterator[tuple]:
     """The records that start in the stream's own blocks."""
     while stream.held or stream.more():
-        if stream.taken >= stream.within:
+        if stream.stop is not None and stream.taken >= stream.within:
             return
         head = stream.read(4)
         if len(head) < 4:
@@ -193,20 +195,48 @@ class _Split(InputPartition):
 
 
 class BamReader(DataSourceReader):
+    """Reads whole files by byte splits, or, with an index, the chunks of a region.
+
+    The region is the option ``region`` (contig, or contig:start-stop, 0-based, half-open).
+    It is no pushed-down filter: Spark keeps what a Python source was pushed for all later
+    queries on the same DataFrame, which would then lose rows."""
+
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("path", "").split(",") if p]
         self.size = int(options.get("splitBytes", 128 << 20))
+        self.contig: str | None = None
+        self.start, self.stop = 0, 1 << 40
+        if region := options.get("region"):
+            name, _, place = region.rpartition(":") if re.search(r":\d+-\d+$", region) else (region, "", "")
+            self.contig = name
+            if place:
+                self.start, self.stop = map(int, place.split("-"))
 
     def partitions(self) -> list[InputPartition]:
-        out = []
+        out: list[InputPartition] = []
         for path in self.paths:
+            index = read_index(path) if self.contig is not None else None
+            if index is not None:
+                with _open(path) as f:
+                    number = contig_number(bam_header(Bgzf(f)), self.contig)
+                run: list[tuple[int, int]] = []
+                for chunk in index.find(number, max(self.start, 0), self.stop) if number is not None else []:
+                    if run and (chunk[1] >> 16) - (run[0][0] >> 16) > self.size:
+                        out.append(_Region(path, run))
+                        run = []
+                    run.append(chunk)
+                out.append(_Region(path, run))
+                continue
             with _open(path) as f:
                 f.seek(0, 2)
                 end = f.tell()
             out += [_Split(path, a, min(a + self.size, end)) for a in range(0, end, self.size)]
         return out
 
-    def read(self, split: _Split) -> Iterator[tuple]:
+    def read(self, split: InputPartition) -> Iterator[tuple]:
+        if isinstance(split, _Region):
+            yield from self._chunks(split)
+            return
         with _open(split.path) as f:
             head = Bgzf(f, 0, split.stop)
             contigs = bam_header(head)
@@ -219,14 +249,34 @@ class BamReader(DataSourceReader):
                 stream = Bgzf(f, block, split.stop)
                 if not first_record(stream, contigs):
                     return
-            yield from bam_records(stream, sample_of(split.path), contigs)
+            yield from self._wanted(bam_records(stream, sample_of(split.path), contigs), contigs)
+
+    def _chunks(self, split: "_Region") -> Iterator[tuple]:
+        if not split.chunks:
+            return
+        with _open(split.path) as f:
+            contigs = bam_header(Bgzf(f))
+            for first, last in split.chunks:
+                yield from self._wanted(bam_records(BgzfChunk(f, first, last), sample_of(split.path), contigs), contigs)
+
+    def _wanted(self, rows: Iterator[tuple], contigs: list[tuple[str, int]]) -> Iterator[tuple]:
+        """The rows of the region."""
+        if self.contig is None:
+            yield from rows
+            return
+        if contig_number(contigs, self.contig) is None:
+            return
+        for r in rows:
+            if r[1] == self.contig and r[2] < self.stop and r[2] + max(1, reference_length(r[4])) > self.start:
+                yield r
 
 
 class BamSource(DataSource):
     """``spark.read.format("bam").option("splitBytes", n).load("a.bam,b.bam")``.
 
     Files are split by bytes without an index: a split starts at the first block in
-    it, and there at the first place from which several records follow."""
+    it, and there at the first place from which several records follow.  The reads
+    of a region come through the file's BAI or CSI index if it has one."""
 
     @classmethod
     def name(cls) -> str:
@@ -239,6 +289,132 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
 
-def read_bam(spark: SparkSession, paths: list[str], split_bytes: int = 128 << 20) -> DataFrame:
+def read_bam(spark: SparkSession, paths: list[str], split_bytes: int = 128 << 20, region: str | None = None) -> DataFrame:
+    """The alignments of BAM files; of a region (contig, or contig:start-stop) those that overlap it, through the files' indexes where there are any."""
     spark.dataSource.register(BamSource)
-    return spark.read.format("bam").option("splitBytes", split_bytes).load(",".join(paths))
+    reader = spark.read.format("bam").option("splitBytes", split_bytes)
+    return (reader.option("region", region) if region else reader).load(",".join(paths))
+
+
+# --- reads of a region by the file's index ---------------------------------------------
+
+
+def region_bins(start: int, stop: int, shift: int = 14, depth: int = 5) -> list[tuple[int, int]]:
+    """(first, last) number of the bins of each level that overlap [start, stop)."""
+    out, first = [], 0
+    for level in range(depth + 1):
+        at = shift + 3 * (depth - level)
+        out.append((first + (start >> at), first + ((stop - 1) >> at)))
+        first += 8**level
+    return out
+
+
+class BamIndex:
+    """The bins of a BAI or CSI file: for each contig its bins' chunks (virtual offsets), and below what offset no read of a place lies."""
+
+    def __init__(self, raw: bytes):
+        self.shift, self.depth, at = 14, 5, 8
+        plain = raw[:4] == b"BAI\1"
+        if not plain:
+            if raw[:4] != b"CSI\1":
+                raise ValueError("neither a BAI nor a CSI index")
+            self.shift, self.depth, extra = struct.unpack_from("<iii", raw, 4)
+            at = 16 + extra + 4
+        n_contigs = struct.unpack_from("<i", raw, at - 4)[0]
+        self.chunks: list[dict[int, list[tuple[int, int]]]] = []
+        self.lowest: list[list[int] | dict[int, int]] = []
+        for _ in range(n_contigs):
+            bins: dict[int, list[tuple[int, int]]] = {}
+            low: dict[int, int] = {}
+            n_bins = struct.unpack_from("<i", raw, at)[0]
+            at += 4
+            for _ in range(n_bins):
+                number = struct.unpack_from("<I", raw, at)[0]
+                at += 4
+                if not plain:
+                    low[number] = struct.unpack_from("<Q", raw, at)[0]
+                    at += 8
+                n = struct.unpack_from("<i", raw, at)[0]
+                pairs = struct.unpack_from(f"<{2 * n}Q", raw, at + 4)
+                at += 4 + 16 * n
+                bins[number] = list(zip(pairs[::2], pairs[1::2]))
+            if plain:
+                n = struct.unpack_from("<i", raw, at)[0]
+                self.lowest.append(list(struct.unpack_from(f"<{n}Q", raw, at + 4)))
+                at += 4 + 8 * n
+            else:
+                self.lowest.append(low)
+            self.chunks.append(bins)
+
+    def find(self, contig: int, start: int, stop: int) -> list[tuple[int, int]]:
+        """Chunks of the file, in order and not overlapping, that hold all reads of a contig that overlap [start, stop)."""
+        stop = min(stop, 1 << (self.shift + 3 * self.depth))
+        if contig >= len(self.chunks) or start >= stop:
+            return []
+        levels = region_bins(start, stop, self.shift, self.depth)
+        low, lowest = 0, self.lowest[contig]
+        if isinstance(lowest, list):
+            if lowest:
+                low = lowest[min(start >> 14, len(lowest) - 1)]
+        else:  # of the smallest bin with an offset that begins at or before the start and holds it
+            low = next((lowest[first] for first, _ in reversed(levels) if first in lowest), 0)
+        found = sorted(c for number, cs in self.chunks[contig].items() if any(a <= number <= b for a, b in levels) for c in cs if c[1] > low)
+        out: list[tuple[int, int]] = []
+        for a, b in found:
+            a = max(a, low)
+            if out and a >> 16 <= out[-1][1] >> 16:  # in a block that is read anyway
+                out[-1] = out[-1][0], max(b, out[-1][1])
+            else:
+                out.append((a, b))
+        return out
+
+
+def read_index(path: str) -> BamIndex | None:
+    """The index beside a file: name.bam.bai, name.bai, name.bam.csi or name.csi."""
+    base = path.removesuffix(".bam")
+    for name in (f"{path}.bai", f"{base}.bai", f"{path}.csi", f"{base}.csi"):
+        try:
+            with _open(name) as f:
+                raw = f.read()
+        except (FileNotFoundError, OSError):
+            continue
+        return BamIndex(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+    return None
+
+
+class BgzfChunk(Bgzf):
+    """The bytes between two virtual offsets (block << 16 | place within); no block after the last is read."""
+
+    def __init__(self, file, first: int, last: int):
+        super().__init__(file, first >> 16)
+        self.end, self.left_out = last, first & 0xFFFF
+
+    def more(self) -> bool:
+        here, before = self.at, len(self.held)
+        if here > self.end >> 16 or here == self.end >> 16 and not self.end & 0xFFFF or not super().more():
+            return False
+        block = self.held[before:]
+        if here == self.end >> 16:
+            block = block[: self.end & 0xFFFF]
+        self.held = self.held[:before] + block[self.left_out :]
+        self.left_out = 0
+        return True
+
+
+def reference_length(cigar: str) -> int:
+    return sum(int(n) for n, op in re.findall(r"(\d+)([MDN=X])", cigar))
+
+
+class _Region(InputPartition):
+    def __init__(self, path: str, chunks: list[tuple[int, int]]):
+        self.path, self.chunks = path, chunks
+
+
+# Fixed value: a contig whose reads are left out.
+LEFT_OUT = "MT"
+
+
+def contig_number(contigs: list[tuple[str, int]], name: str) -> int | None:
+    """The place of a contig in the header; none for one that is not there or is left out."""
+    names = [c for c, _ in contigs]
+    return names.index(name) if name in names and name != LEFT_OUT else None

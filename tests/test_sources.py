@@ -279,3 +279,123 @@ def test_stage_settings():
     assert same("prep/tracks", psi_min_reads=3) and same("prep/tracks", edge_limit=9) and same("genes", samples=("b.bam",)) and same("events/exon_skip", psi_min_reads=3)
     assert not same("psi/exon_skip", psi_min_reads=3) and not same("merged", iterations=2) and not same("prep/introns-0", filter_ambiguous=True) and not same("counts/runs", annotation="h.gtf")
     assert a.digest("prep/tracks", {"a.bam": "1"}) != a.digest("prep/tracks", {"a.bam": "2"}) and a.digest("genes", {"a.bam": "1"}) == a.digest("genes", {"a.bam": "2"})
+
+
+def bin_of(start, stop):
+    """The smallest bin that holds [start, stop)."""
+    stop -= 1
+    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        if start >> shift == stop >> shift:
+            return first + (start >> shift)
+    return 0
+
+
+def indexed_bam(path, reads_of, contigs, block=3000):
+    """A BAM file of (contig, pos, cigar) in order, and the bytes of its BAI and CSI indexes."""
+    import re
+
+    body = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(contigs))
+    for name, length in contigs:
+        body += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
+    spans = []
+    for k, (c, pos, cigar) in enumerate(reads_of):
+        ops = [(int(n) << 4) | alignments.OPS.index(op) for n, op in re.findall(r"(\d+)(.)", cigar)]
+        name = f"r{k}".encode() + b"\0"
+        rec = struct.pack("<iiBBHHHiiii", c, pos, len(name), 60, 0, len(ops), 0, 0, -1, -1, 0) + name + struct.pack(f"<{len(ops)}I", *ops) + b"NMC\0"
+        spans.append((c, pos, pos + alignments.reference_length(cigar), len(body), len(body) + 4 + len(rec)))
+        body += struct.pack("<i", len(rec)) + rec
+    parts = [body[i : i + block] for i in range(0, len(body), block)] + [b""]
+    starts = np.cumsum([0, *(len(bgzf([x])) for x in parts)]).tolist()
+    path.write_bytes(bgzf(parts))
+    at = lambda x: starts[x // block] << 16 | x % block
+    bai, csi = b"BAI\1" + struct.pack("<i", len(contigs)), b"CSI\1" + struct.pack("<iiii", 14, 5, 0, len(contigs))
+    for c in range(len(contigs)):
+        own = [s for s in spans if s[0] == c]
+        bins, linear = {}, {}
+        for _, a, b, first, last in own:
+            bins.setdefault(bin_of(a, b), []).append((at(first), at(last)))
+            for w in range(a >> 14, ((b - 1) >> 14) + 1):
+                linear.setdefault(w, at(first))
+        bai += struct.pack("<i", len(bins) + 1)
+        csi += struct.pack("<i", len(bins))
+        for number, chunks in bins.items():
+            raw = struct.pack("<i", len(chunks)) + b"".join(struct.pack("<QQ", *x) for x in chunks)
+            bai += struct.pack("<I", number) + raw
+            shift, first_bin = next((x, f) for x, f in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1), (29, 0)) if number >= f)
+            low, high = (number - first_bin) << shift, (number - first_bin + 1) << shift
+            csi += struct.pack("<IQ", number, min(at(first) for _, a, b, first, _ in own if a < high and b > low)) + raw
+        bai += struct.pack("<Ii", 37450, 2) + struct.pack("<QQQQ", 0, 0, len(own), 0)
+        n = max(linear, default=-1) + 1
+        bai += struct.pack("<i", n) + struct.pack(f"<{n}Q", *(linear.get(w, min([v for x, v in linear.items() if x > w], default=0)) for w in range(n)))
+    return bai, csi
+
+
+def counted(monkeypatch):
+    """Count the bytes that the reader takes from files."""
+    read, plain = [0], alignments._open
+
+    class Counting:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, n=-1):
+            out = self.f.read(n)
+            read[0] += len(out)
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+    monkeypatch.setattr(alignments, "_open", lambda path: Counting(plain(path)))
+    return read
+
+
+def test_regions_read_their_blocks(tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    contigs = [("c1", 3_000_000), ("c2", 500_000), ("MT", 16_000), ("c3", 10)]
+    rows = sorted((int(c), int(p), cigar) for c, p, cigar in zip(rng.choice([0, 1, 2], 6000, p=[0.7, 0.25, 0.05]), rng.integers(0, 15_000, 6000), rng.choice(["50M", "10M900N40M", "5S40M5D5M", "20M120000N30M"], 6000, p=[0.5, 0.25, 0.245, 0.005])))
+    rows = sorted((c, p * (190 if c == 0 else 30 if c == 1 else 1), cigar) for c, p, cigar in rows)
+    path = tmp_path / "s.bam"
+    bai, csi = indexed_bam(path, rows, contigs)
+    size, read = path.stat().st_size, counted(monkeypatch)
+
+    def got(**options):
+        reader = alignments.BamReader({"path": str(path), **options})
+        return sorted((r[1], r[2], r[4]) for p in reader.partitions() for r in reader.read(p))
+
+    def want(c, a, b):
+        return sorted((contigs[c][0], p, cigar) for k, p, cigar in rows if k == c and p < b and p + alignments.reference_length(cigar) > a)
+
+    regions = [(0, 0, 3_000_000), (0, 1_000_000, 1_010_000), (0, 2_500_000, 2_500_001), (1, 0, 100), (1, 449_000, 600_000), (1, 163_840, 163_841), (3, 0, 10)]
+    plain = {r: got(region=f"{contigs[r[0]][0]}:{r[1]}-{r[2]}") for r in regions}  # without an index
+    for name, raw in (("s.bam.bai", bai), ("s.bam.csi", csi), ("s.csi", gzip.compress(csi))):
+        (tmp_path / name).write_bytes(raw)
+        for c, a, b in regions:
+            read[0] = 0
+            assert got(region=f"{contigs[c][0]}:{a}-{b}") == want(c, a, b) == plain[c, a, b], (name, c, a, b)
+            if b - a <= 10_000 and c == 0:
+                assert read[0] - len(raw) < size / 4
+        assert got(region="c2") == want(1, 0, 1 << 40) and got(region="c2", splitBytes="2000") == want(1, 0, 1 << 40)
+        assert got(region="nowhere") == got(region="MT") == []
+        (tmp_path / name).unlink()
+    (tmp_path / "s.bam.bai").write_bytes(bai)
+    assert len(got()) == 6000
+
+
+def test_region_as_a_table(spark, tmp_path):
+    rows = sorted((i % 2, 100 * i, "50M") for i in range(4000))
+    path = tmp_path / "s.bam"
+    bai, _ = indexed_bam(path, rows, [("c1", 500_000), ("c2", 500_000)])
+    (tmp_path / "s.bam.bai").write_bytes(bai)
+    reader = alignments.BamReader({"path": str(path), "region": "c2:100000-103000"})
+    parts = reader.partitions()
+    assert len(parts) == 1 and 0 < sum((b >> 16) - (a >> 16) for a, b in parts[0].chunks) < path.stat().st_size / 10
+    region = alignments.read_bam(spark, [str(path)], region="c2:100000-103000")
+    assert sorted(r.pos for r in region.collect()) == [p for c, p, _ in rows if c == 1 and p < 103_000 and p + 50 > 100_000]
+    assert region.where("pos < 101000").count() == 5 and region.count() == 15 and alignments.read_bam(spark, [str(path)]).count() == 4000
