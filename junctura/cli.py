@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--remove-se", action="store_true")
             p.add_argument("--filter-ambiguous", action="store_true")
             p.add_argument("--use-anno-support", action="store_true")
+            p.add_argument("--qmode", default="all", choices=["all", "single", "collect"], help="all: count all samples; single: count the given ones over a finished graph, each in a partition of its own; collect: go on with the counts of those")
         if mode == "test":
             p.add_argument("--condition-a", required=True)
             p.add_argument("--condition-b", required=True)
@@ -52,7 +53,11 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--cap-exp-outliers", action=argparse.BooleanOptionalAction, default=True)
             p.add_argument("--cap-outliers", action="store_true")
         if mode == "viz-data":
-            p.add_argument("--gene", required=True)
+            what = p.add_mutually_exclusive_group(required=True)
+            what.add_argument("--gene")
+            what.add_argument("--event", help="type and number, as exon_skip.3")
+            what.add_argument("--range", help="contig:start-stop")
+            what.add_argument("--top", help="the best events of a test: type:number of events, as exon_skip:5")
     return top
 
 
@@ -80,7 +85,7 @@ def config(args: argparse.Namespace) -> Config:
 def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
-    from junctura.plans.build import Build
+    from junctura.plans.build import Build, SampleCounts
 
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("junctura").getOrCreate()
@@ -91,7 +96,10 @@ def main(argv: list[str] | None = None) -> None:
     elif args.mode == "build":
         from junctura.plans import report
 
-        job.run()
+        if args.qmode == "single":
+            SampleCounts(spark, job.cfg).add(list(job.cfg.samples))
+            return
+        job.run(collected=args.qmode == "collect")
         report.write(spark, job.cfg)
     elif args.mode == "test":
         from junctura.plans import report
@@ -102,7 +110,16 @@ def main(argv: list[str] | None = None) -> None:
     else:
         from junctura.plans import viz_data
 
-        viz_data.gene_tables(spark, job.cfg.root, args.gene)
+        root = job.cfg.root
+        if args.gene:
+            viz_data.gene_tables(spark, root, args.gene)
+        elif args.event:
+            viz_data.event_tables(spark, root, args.event)
+        elif args.range:
+            viz_data.range_tables(spark, root, args.range)
+        else:
+            kind, _, k = args.top.partition(":")
+            viz_data.top_tables(spark, root, job.cfg.confidence, kind, int(k or 1))
 
 
 if __name__ == "__main__":

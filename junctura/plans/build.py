@@ -6,7 +6,9 @@ settings, is read, not made again.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +74,10 @@ class Build:
             out = out.unionByName(p)
         return out
 
+    def reads(self) -> DataFrame:
+        """All alignments that count, before any filter."""
+        return self.alignments().where((F.col("contig") != alignments.LEFT_OUT) & reads.passes(None, self.cfg.primary_only))
+
     def graph_rows(self, rows: DataFrame) -> DataFrame:
         """Reads by sample that graphs are built from: where samples are merged as reads, MERGED is all of them as one."""
         merge = self.cfg.merge
@@ -92,7 +98,7 @@ class Build:
 
         The alignments are read for two tables only, the cube of junctions and the depth in two tracks."""
         cfg = self.cfg
-        full = self.alignments().where((F.col("contig") != alignments.LEFT_OUT) & reads.passes(None, cfg.primary_only))
+        full = self.reads()
         strict = reads.passes(self.filter, cfg.primary_only, cfg.var_aware, not cfg.ignore_mismatches)
         cube = self.stage("prep/junction_cube", lambda: reads.junction_cube(full, self.filter, reads.mismatches(cfg.var_aware)))
         depth = self.stage("prep/tracks", lambda: reads.tracks(full, strict=strict, depth=F.lit(True)))
@@ -168,30 +174,16 @@ class Build:
 
         each = self.stage("graphs", make)
         merged = self.stage("merged", lambda: augment.merged(each, augment.untouched(v, e, cfg), [r["sample"] for r in samples.collect()]))
-        vertices = merged.where("vs IS NULL").select("gene_id", F.col("us").alias("v_start"), F.col("ue").alias("v_end"))
-        edges = merged.where("vs IS NOT NULL")
-        if cfg.validate:
-            kept = graph.validated(edges, cfg.support)
-            vertices, edges = graph.validated_vertices(vertices, edges, kept), kept
-        return vertices, edges
+        return merged_parts(merged, cfg)
 
     # --- counts --------------------------------------------------------------------
 
     def counts(self, genes: DataFrame, vertices: DataFrame, edges: DataFrame, prep: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        bounds = vertices.groupBy("gene_id").agg(F.min("v_start").alias("g_start"), F.max("v_end").alias("g_end")).join(genes.select("gene_id", "contig", "strand"), "gene_id")
-        runs = self.stage("counts/runs", lambda: gene_runs(prep["all_coverage"], bounds, 0))
-        near = intervals.interval_join(prep["all_junctions"], bounds, ["contig"], ("i_start", "i_end"), ("g_start", "g_end"), 1 << 16)
-        own = near.where("xs = '.' OR xs = strand").groupBy("gene_id", "sample", "i_start", "i_end").agg(F.sum("n").alias("n"))
-        junctions = self.stage("counts/junctions", lambda: own)
+        kept = {"runs": "counts/runs", "junctions": "counts/junctions", "depth": "counts/segment_depth", "expression": "expression"}
         segs = self.stage("counts/segments", lambda: graph.segments(vertices))
-        cov = self.stage("counts/segment_depth", lambda: intervals.segment_coverage(segs, runs, ["gene_id"], ["sample"]))
-        area = F.sum(F.col("mean_cov") * (F.col("seg_end") - F.col("seg_start"))) / self.cfg.read_length
-        alone = graph.single_cover(segs, graph.segment_edges(edges, segs))
-        raw = cov.groupBy("gene_id", "sample").agg(area.alias("raw_count"))
-        flat = cov.join(alone, ["gene_id", "seg_start", "seg_end"], "left_semi").groupBy("gene_id", "sample").agg(area.alias("raw_count_non_alt"))
-        expression = self.stage("expression", lambda: raw.join(flat, ["gene_id", "sample"], "left"))
-        factors = self.stage("size_factors", lambda: quant.size_factors(expression, "gene_id", "sample", "raw_count"))
-        return {"runs": runs, "junctions": junctions, "segments": segs, "depth": cov, "expression": expression, "size_factors": factors}
+        out = count_tables(genes, vertices, edges, segs, prep["all_coverage"], prep["all_junctions"], self.cfg.read_length, lambda name, df: self.stage(kept[name], lambda: df))
+        factors = self.stage("size_factors", lambda: quant.size_factors(out["expression"], "gene_id", "sample", "raw_count"))
+        return {**out, "segments": segs, "size_factors": factors}
 
     # --- events ---------------------------------------------------------------------
 
@@ -292,11 +284,18 @@ class Build:
         """The evidence of some events of a finished build in each of the samples, zeros where it has no row."""
         return verify.completed(events, self.spark.read.parquet(f"{self.cfg.root}/psi/{kind}"), verify.without_reads(kind, events, **self._judging()), samples)
 
-    def run(self) -> dict[str, tuple[DataFrame, DataFrame]]:
+    def run(self, collected: bool = False) -> dict[str, tuple[DataFrame, DataFrame]]:
+        """The whole build; ``collected``: with the counts that :class:`SampleCounts` has of the samples, none is made anew."""
         genes, exons = self.annotation()
-        prep = self.prepare()
-        vertices, edges = self.graph(genes, exons, prep)
-        return self.analyze(self.detect(genes, exons, vertices, edges), self.counts(genes, vertices, edges, prep))
+        if collected:
+            store = SampleCounts(self.spark, self.cfg)
+            vertices, edges = store.graph()
+            counts = store.collect()
+        else:
+            prep = self.prepare()
+            vertices, edges = self.graph(genes, exons, prep)
+            counts = self.counts(genes, vertices, edges, prep)
+        return self.analyze(self.detect(genes, exons, vertices, edges), counts)
 
     def test(self, kind: str, a: list[str], b: list[str]) -> DataFrame:
         """Differential test of one event type between two groups of samples, on the results of :meth:`run`.
@@ -344,6 +343,103 @@ class Build:
         return adjusted.join(testing.means(packed), ["event_id", "gene_id", "form"])
 
 
+def merged_parts(merged: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges with n_samples) of the merged graph, validated if that is wanted."""
+    vertices = merged.where("vs IS NULL").select("gene_id", F.col("us").alias("v_start"), F.col("ue").alias("v_end"))
+    edges = merged.where("vs IS NOT NULL")
+    if cfg.validate:
+        kept = graph.validated(edges, cfg.support)
+        vertices, edges = graph.validated_vertices(vertices, edges, kept), kept
+    return vertices, edges
+
+
+def count_tables(genes: DataFrame, vertices: DataFrame, edges: DataFrame, segs: DataFrame, coverage: DataFrame, junctions: DataFrame, read_length: int, keep: Callable[[str, DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """Depth runs, junctions, segment depth and expression of the merged graph in the given samples; ``keep`` writes a table and reads it again."""
+    bounds = vertices.groupBy("gene_id").agg(F.min("v_start").alias("g_start"), F.max("v_end").alias("g_end")).join(genes.select("gene_id", "contig", "strand"), "gene_id")
+    runs = keep("runs", gene_runs(coverage, bounds, 0))
+    near = intervals.interval_join(junctions, bounds, ["contig"], ("i_start", "i_end"), ("g_start", "g_end"), 1 << 16)
+    own = keep("junctions", near.where("xs = '.' OR xs = strand").groupBy("gene_id", "sample", "i_start", "i_end").agg(F.sum("n").alias("n")))
+    cov = keep("depth", intervals.segment_coverage(segs, runs, ["gene_id"], ["sample"]))
+    area = F.sum(F.col("mean_cov") * (F.col("seg_end") - F.col("seg_start"))) / read_length
+    alone = graph.single_cover(segs, graph.segment_edges(edges, segs))
+    raw = cov.groupBy("gene_id", "sample").agg(area.alias("raw_count"))
+    flat = cov.join(alone, ["gene_id", "seg_start", "seg_end"], "left_semi").groupBy("gene_id", "sample").agg(area.alias("raw_count_non_alt"))
+    return {"runs": runs, "junctions": own, "depth": cov, "expression": keep("expression", raw.join(flat, ["gene_id", "sample"], "left"))}
+
+
+class SampleCounts:
+    """Counts over the merged graph of a finished build, one partition a sample below ``by_sample``.
+
+    Samples are added one or some at a time, later ones too; only their own partitions are
+    written.  A mark for each sample names the graph that it was counted over and comes
+    after its tables, so a sample whose job was lost is simply not there."""
+
+    def __init__(self, spark: SparkSession, cfg: Config):
+        self.spark, self.cfg, self.base = spark, cfg, f"{cfg.root}/by_sample"
+
+    def _files(self, path: str):
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(conf)
+
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        return merged_parts(self.spark.read.parquet(f"{self.cfg.root}/merged"), self.cfg)
+
+    def version(self) -> str:
+        """What tells graphs apart: the settings that the merged one was made with."""
+        p, files = self._files(f"{self.cfg.root}/merged")
+        names = sorted(x.getPath().getName() for x in files.listStatus(p) if x.getPath().getName().startswith("_settings-")) if files.exists(p) else []
+        if not names:
+            raise ValueError("there is no merged graph to count over")
+        return f"{hashlib.sha256(' '.join(names).encode()).hexdigest()[:16]}{'-validated' if self.cfg.validate else ''}"
+
+    def _mark(self, sample: str) -> str:
+        return f"{self.base}/_counted/{sample}-{self.version()}"
+
+    def add(self, paths: list[str]) -> None:
+        """Count the samples of some alignment files; a sample that is there is counted anew."""
+        job = Build(self.spark, replace(self.cfg, samples=tuple(paths)))
+        vertices, edges = self.graph()
+        genes, full = self.spark.read.parquet(f"{self.cfg.root}/genes"), job.reads()
+        names = sorted({alignments.sample_of(p) for p in paths})
+        for name in names:
+            p, files = self._files(self._mark(name))
+            files.delete(p, False)
+
+        def keep(table: str, df: DataFrame) -> DataFrame:
+            path = f"{self.base}/{table}"
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample").parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path).where(F.col("sample").isin(names))
+
+        segs = graph.segments(vertices)
+        count_tables(genes, vertices, edges, segs, reads.tracks(full, depth=F.lit(True)), reads.all_junctions(reads.junction_cube(full, job.filter, F.lit(0))), self.cfg.read_length, keep)
+        for name in names:
+            p, files = self._files(self._mark(name))
+            files.create(p, True).close()
+
+    def collect(self) -> dict[str, DataFrame]:
+        """The tables of all samples of the settings, nothing counted anew; samples that were not counted over this graph are an error."""
+        names = sorted({alignments.sample_of(p) for p in self.cfg.samples})
+        missing = []
+        for name in names:
+            p, files = self._files(self._mark(name))
+            if not files.exists(p):
+                missing.append(name)
+        if missing:
+            raise ValueError(f"not counted over this graph: {', '.join(missing)}")
+        out = {t: self.spark.read.option("mergeSchema", "false").schema(COUNTS[t]).parquet(f"{self.base}/{t}").where(F.col("sample").isin(names)) for t in COUNTS}
+        return {**out, "segments": graph.segments(self.graph()[0]), "size_factors": quant.size_factors(out["expression"], "gene_id", "sample", "raw_count")}
+
+
+# The tables of :class:`SampleCounts`; a sample's name stays a text, whatever it looks like.
+COUNTS = {
+    "runs": "gene_id string, run_start int, run_end int, depth int, sample string",
+    "junctions": "gene_id string, i_start int, i_end int, n long, sample string",
+    "depth": "gene_id string, seg_start int, seg_end int, mean_cov double, covered long, sample string",
+    "expression": "gene_id string, raw_count double, raw_count_non_alt double, sample string",
+}
+
+
 def gene_runs(coverage: DataFrame, genes: DataFrame, pad: int) -> DataFrame:
     """gene_id, sample, run_start, run_end, depth: the contig's runs, cut to each gene."""
     wide = genes.select("gene_id", "contig", (F.col("g_start") - pad).alias("__s"), (F.col("g_end") + pad).alias("__e"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,11 +129,65 @@ def levels(intervals_df: DataFrame, keys: list[str], start: str, end: str) -> Da
     return intervals_df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def gene_tables(spark: SparkSession, outdir: str, gene: str) -> dict[str, DataFrame]:
-    """The stages' rows of one gene (its name up to the first point), written below viz/."""
-    out = {}
-    for name in ("exons", "merged", "counts/segments", "counts/segment_depth", "counts/junctions", "expression"):
-        df = spark.read.parquet(f"{outdir.rstrip('/')}/{name}").where(F.substring_index("gene_id", ".", 1) == gene.split(".")[0])
-        df.write.mode("overwrite").parquet(f"{outdir.rstrip('/')}/viz/{gene}/{name.replace('/', '_')}")
-        out[name] = df
+STAGES = ("exons", "merged", "counts/segments", "counts/segment_depth", "counts/junctions", "expression")
+
+
+def _write(spark: SparkSession, outdir: str, name: str, genes: DataFrame) -> dict[str, DataFrame]:
+    """The stages' rows of some genes (gene_id), and their confirmed events, written below viz/<name>."""
+    base, out = outdir.rstrip("/"), {}
+    for stage in STAGES:
+        out[stage] = spark.read.parquet(f"{base}/{stage}").join(F.broadcast(genes), "gene_id", "left_semi")
+    for pattern in ("exon_skip", "intron_retention", "alt_right", "alt_left", "mutex_exons", "mult_exon_skip"):
+        try:
+            sure = spark.read.parquet(f"{base}/confirmed/{pattern}").where("confirmed >= 1")
+        except AnalysisException:  # a pattern that was not looked for
+            continue
+        out[f"events/{pattern}"] = spark.read.parquet(f"{base}/events/{pattern}").join(F.broadcast(genes), "gene_id", "left_semi").join(sure.select("event_id", "gene_id"), ["event_id", "gene_id"], "left_semi")
+    for stage, df in out.items():
+        df.write.mode("overwrite").parquet(f"{base}/viz/{name}/{stage.replace('/', '_')}")
     return out
+
+
+def gene_tables(spark: SparkSession, outdir: str, gene: str) -> dict[str, DataFrame]:
+    """The stages' rows of one gene (its name up to the first point) and its confirmed events, written below viz/."""
+    genes = spark.read.parquet(f"{outdir.rstrip('/')}/genes").where(F.substring_index("gene_id", ".", 1) == gene.split(".")[0]).select("gene_id")
+    return _write(spark, outdir, gene, genes)
+
+
+def range_tables(spark: SparkSession, outdir: str, place: str) -> dict[str, DataFrame]:
+    """The same for the genes that overlap a range (contig:start-stop)."""
+    contig, _, ends = place.rpartition(":")
+    start, stop = map(int, ends.split("-"))
+    if stop - start > MAX_RANGE:
+        raise ValueError("the range is too long to plot")
+    genes = spark.read.parquet(f"{outdir.rstrip('/')}/genes").where((F.col("contig") == contig) & (F.col("g_start") < stop) & (F.col("g_end") > start)).select("gene_id")
+    return _write(spark, outdir, place.replace(":", "_"), genes)
+
+
+def event_tables(spark: SparkSession, outdir: str, event: str) -> dict[str, DataFrame]:
+    """The same for the gene of one event, with the event's evidence by sample."""
+    rows, (low, high) = event_rows(spark, outdir, event)
+    kind, number = event.rsplit(".", 1)
+    out = {"evidence": rows, "range": spark.createDataFrame([(event, low, high)], "event string, low int, high int")}
+    for name, df in out.items():
+        df.write.mode("overwrite").parquet(f"{outdir.rstrip('/')}/viz/{event}/{name}")
+    return {**_write(spark, outdir, event, event_genes(spark, outdir, event)), **out}
+
+
+def event_genes(spark: SparkSession, outdir: str, event: str) -> DataFrame:
+    from junctura.plans.report import event_type
+
+    kind, number = event.rsplit(".", 1)
+    patterns = ("alt_right", "alt_left") if kind.startswith("alt_") else (kind,)
+    own = [spark.read.parquet(f"{outdir.rstrip('/')}/events/{p}").where((event_type(p) == kind) & (F.col("event_id") == int(number))).select("gene_id") for p in patterns]
+    return reduce(DataFrame.unionByName, own)
+
+
+def top_tables(spark: SparkSession, outdir: str, confidence: int, kind: str, k: int) -> list[str]:
+    """Tables of the ``k`` events with the smallest p in the written results of a test; their names."""
+    results = spark.read.option("header", True).option("sep", "\t").csv(f"{outdir.rstrip('/')}/testing/test_results_C{confidence}_{kind}.tsv")
+    p, number = F.col("p_val").cast("double"), F.substring_index("event_id", ".", -1).cast("long")
+    names = [r.event_id for r in results.orderBy(p, number).limit(k).select("event_id").collect()]  # k rows
+    for name in names:
+        event_tables(spark, outdir, name)
+    return names

@@ -1,12 +1,13 @@
 """Simulated reads through the whole build and a test of two groups."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from junctura import cli
 from junctura.config import Config
 from junctura.plans import report, viz_data
-from junctura.plans.build import Build
+from junctura.plans.build import Build, SampleCounts
 
 EXONS = [(1000, 1200), (1500, 1600), (2000, 2300)]
 LEN = 50
@@ -76,7 +77,29 @@ def test_build(spark, tmp_path):
     groups = spark.createDataFrame([(f"s{i}", "a" if i < 4 else "b") for i in range(8)], "sample string, `group` string")
     assert viz_data.segment_means(spark.read.parquet(cfg.root + "/counts/segment_depth"), groups).where("sem IS NOT NULL").count() > 0
     tables = viz_data.gene_tables(spark, cfg.root, "g1.5")
-    assert tables["exons"].count() == 3
+    assert tables["exons"].count() == 3 and tables["events/exon_skip"].count() == 1
+    near = viz_data.range_tables(spark, cfg.root, "c1:9000-14000")
+    assert {r.gene_id for r in near["exons"].collect()} == {"x0", "x1"} and near["events/exon_skip"].count() == 0
+    assert viz_data.top_tables(spark, cfg.root, 3, "exon_skip", 2) == ["exon_skip.1"]
+    one = viz_data.event_tables(spark, cfg.root, "exon_skip.1")
+    assert one["evidence"].count() == 8 and one["exons"].count() == 3
+    # samples one by one: the same tables, and a later sample touches its own partition only
+    store = SampleCounts(spark, cfg)
+    with pytest.raises(ValueError, match="s0"):
+        store.collect()
+    store.add(samples[:7])
+    stamps = lambda: {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("by_sample/*/sample=*/*.parquet")}
+    before = stamps()
+    with pytest.raises(ValueError, match="s7"):
+        store.collect()
+    store.add(samples[7:])
+    after = stamps()
+    assert all(after[k] == v for k, v in before.items()) and all("sample=s7" in k for k in set(after) - set(before)) and len(after) > len(before)
+    got, names = store.collect(), {"runs": "counts/runs", "junctions": "counts/junctions", "depth": "counts/segment_depth", "expression": "expression"}
+    for table, stage in names.items():
+        want = spark.read.parquet(f"{cfg.root}/{stage}")
+        assert sorted(map(repr, got[table].select(want.columns).collect())) == sorted(map(repr, want.collect())), table
+    assert Build(spark, cfg).run(collected=True)["exon_skip"][0].count() == 8
 
 
 def test_plot_tables(spark):
