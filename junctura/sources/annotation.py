@@ -10,9 +10,9 @@ COLUMNS = ["contig", "source", "feature", "start", "end", "score", "strand", "fr
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a nine-column file; comments are left out, start is shifted to 0."""
+    """The rows of a nine-column file; comments and the sequences after ##FASTA are left out, start is shifted to 0."""
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(parts) >= 9))
+    rows = spark.read.text(path).where(~F.col("value").startswith("#") & ~F.col("value").startswith(">") & (F.size(parts) >= 9))
     out = rows.select(*[parts[i].alias(c) for i, c in enumerate(COLUMNS)])
     return out.withColumn("start", F.col("start").cast("int") - 1).withColumn("end", F.col("end").cast("int"))
 

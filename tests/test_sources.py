@@ -399,3 +399,10 @@ def test_region_as_a_table(spark, tmp_path):
     region = alignments.read_bam(spark, [str(path)], region="c2:100000-103000")
     assert sorted(r.pos for r in region.collect()) == [p for c, p, _ in rows if c == 1 and p < 103_000 and p + 50 > 100_000]
     assert region.where("pos < 101000").count() == 5 and region.count() == 15 and alignments.read_bam(spark, [str(path)]).count() == 4000
+
+
+def test_gff3_sequences_are_no_rows(spark, tmp_path):
+    (tmp_path / "a.gff3").write_text("##gff-version 3\nc1\ts\tgene\t1\t90\t.\t+\t.\tID=g1\nc1\ts\tmRNA\t1\t90\t.\t+\t.\tID=t1;Parent=g1\nc1\ts\texon\t1\t90\t.\t+\t.\tParent=t1\n##FASTA\n>c1" + "\tx" * 9 + "\nACGT\n")
+    assert annotation.lines(spark, str(tmp_path / "a.gff3")).count() == 3
+    genes, exons = annotation.read_gff3(spark, str(tmp_path / "a.gff3"))
+    assert [r.gene_id for r in genes.collect()] == ["g1"] and exons.count() == 1
