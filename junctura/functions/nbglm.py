@@ -64,46 +64,48 @@ def profile(d: float, y: np.ndarray, mu: np.ndarray, x: np.ndarray) -> float:
     return float(like - 0.5 * logdet) if sign > 0 else -np.inf
 
 
+SMALLER = (3 - math.sqrt(5)) / 2  # the smaller part of a golden section
+Point = tuple[float, float]  # place, value
+
+
+def to_vertex(best: Point, second: Point, third: Point) -> float | None:
+    """The way from the best point to the vertex of the parabola through three; none if they lie on a line."""
+    (x, fx), (w, fw), (v, fv) = best, second, third
+    near, far = (x - w) * (fx - fv), (x - v) * (fx - fw)
+    return None if near == far else ((x - w) * near - (x - v) * far) / (2 * (far - near))
+
+
 def bounded_max(f, low: float = LOW, high: float = HIGH, xatol: float = 1e-5, rounds: int = 500) -> tuple[float, bool]:
-    """Brent's search for a maximum inside (low, high): golden sections and parabolas; (place, converged)."""
-    golden = 0.5 * (3 - math.sqrt(5))
-    eps = math.sqrt(2.2e-16)
-    a, b = low, high
-    x = w = v = a + golden * (b - a)
-    fx = fw = fv = -f(x)
-    step = last = 0.0
+    """Brent's search for a maximum of ``f`` inside (low, high); (place, converged).
+
+    The three best points are kept.  A step goes to the vertex of their parabola if that
+    lies between the bounds and is less than half of the step before the last; otherwise
+    it is a golden section of the wider side."""
+    start = low + SMALLER * (high - low)
+    held: list[Point] = [(start, f(start))]  # the best first; a later one of equals before
+    step = earlier = 0.0
     for _ in range(rounds):
-        mid, tol = (a + b) / 2, eps * abs(x) + xatol / 3
-        if abs(x - mid) <= 2 * tol - (b - a) / 2:
+        x, middle = held[0][0], (low + high) / 2
+        tol = math.sqrt(2.2e-16) * abs(x) + xatol / 3
+        if abs(x - middle) + (high - low) / 2 <= 2 * tol:
             return x, True
-        use_golden = True
-        if abs(last) > tol:
-            r, q = (x - w) * (fx - fv), (x - v) * (fx - fw)
-            p = (x - v) * q - (x - w) * r
-            q = 2 * (q - r)
-            p, q = (-p, q) if q > 0 else (p, -q)
-            before, last = last, step
-            if abs(p) < abs(0.5 * q * before) and q * (a - x) < p < q * (b - x):
-                step = p / q
-                u = x + step
-                if u - a < 2 * tol or b - u < 2 * tol:
-                    step = tol if mid >= x else -tol
-                use_golden = False
-        if use_golden:
-            last = (a if x >= mid else b) - x
-            step = golden * last
-        u = x + (step if abs(step) >= tol else math.copysign(tol, step))
-        fu = -f(u)
-        if fu <= fx:
-            a, b = (x, b) if u >= x else (a, x)
-            v, fv, w, fw, x, fx = w, fw, x, fx, u, fu
+        way = to_vertex(*held) if len(held) == 3 and abs(earlier) > tol else None
+        if way is not None and low - x < way < high - x and abs(way) < abs(earlier) / 2:
+            step, earlier = way, step
+            if min(x + step - low, high - x - step) < 2 * tol:
+                step = math.copysign(tol, middle - x)
         else:
-            a, b = (u, b) if u < x else (a, u)
-            if fu <= fw or w == x:
-                v, fv, w, fw = w, fw, u, fu
-            elif fu <= fv or v in (x, w):
-                v, fv = u, fu
-    return x, False
+            earlier = (low if x >= middle else high) - x
+            step = SMALLER * earlier
+        at = x + math.copysign(max(abs(step), tol), step)
+        new = (at, f(at))
+        better = new[1] >= held[0][1]
+        # the worse of the two points is a bound from now on
+        bound = x if better else at
+        low, high = (bound, high) if (at >= x) == better else (low, bound)
+        held.insert(next((i for i, p in enumerate(held) if new[1] >= p[1]), len(held)), new)
+        del held[3:]
+    return held[0][0], False
 
 
 def design(in_a: np.ndarray, null: bool = False) -> np.ndarray:

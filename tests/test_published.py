@@ -35,7 +35,7 @@ GENE_FACTORS = [
 PUBLISHED = {
     "exon_skip.1": (4.811778753222029e-10, 0.04665373135073122, 0.060873052056879845, 35.08586895323417, 9.376311915134902, 1.9037976245357355, 334.17227652090423, 292.7045199476639, 0.1911470259838186),
     "exon_skip.9": (0.40524286369930895, 0.05061138708334276, 0.06377010841270582, 69.93112545739696, 53.413988503256235, 0.3887171073454452, 495.4718317969663, 443.33183211071554, 0.16041608609064717),
-    "exon_skip.8": (0.6202054655705606, 0.03530883914728378, None, 31.080863978941757, 38.225154632724674, -0.2984957297324611, 310.9561822575305, 358.73149396980085, -0.2061931084887263),
+    "exon_skip.8": (0.6202054655705606, 0.03530883914728378, 0.06024818709435116, 31.080863978941757, 38.225154632724674, -0.2984957297324611, 310.9561822575305, 358.73149396980085, -0.2061931084887263),
 }
 IN_A = np.array([1.0] * 10 + [0.0] * 10)
 
@@ -46,8 +46,24 @@ def test_dispersion_and_test(event):
     p, raw, adjusted = PUBLISHED[event][:3]
     found, ok = nbglm.raw_dispersion(y, sf, nbglm.design(IN_A), 10)
     assert ok and found == pytest.approx(raw, abs=1e-6)
-    if adjusted is not None:
-        assert nbglm.ratio_test(y, sf, IN_A, adjusted, 0.5) == pytest.approx(p, abs=1e-6, rel=1e-6)
+    assert nbglm.ratio_test(y, sf, IN_A, adjusted, 0.5) == pytest.approx(p, abs=1e-6, rel=1e-6)
+    # the run's trend, known to four digits, and its prior
+    near, ok = nbglm.adjusted_dispersion(y, sf, nbglm.design(IN_A), found, -1.4439 / (y / sf).mean() + 0.0711, 0.1)
+    assert ok and near == pytest.approx(adjusted, rel=1e-3)
+
+
+def test_bounded_search():
+    import math
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        top, k = rng.uniform(1e-4, 9.99), rng.choice([1, 2, 3])
+        f = {1: lambda x: -abs(x - top), 2: lambda x: -((math.log(x) - math.log(top)) ** 2), 3: lambda x: -math.cosh(x - top)}[k]
+        calls = []
+        x, ok = nbglm.bounded_max(lambda v: calls.append(v) or f(v))
+        assert ok and abs(x - top) <= 1e-5 and 0 < min(calls) and max(calls) < 10 and len(calls) < 80
+    assert nbglm.bounded_max(lambda x: x)[0] > 9.9999 and nbglm.bounded_max(lambda x: -x)[0] < 1e-4
 
 
 def test_response_and_means(spark):
