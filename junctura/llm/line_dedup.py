@@ -145,16 +145,18 @@ class LineIndex:
     """The tables and filters of one corpus, below a shared folder.
 
     A row without an id counts as no document: it is never the one that keeps a
-    line.  Rows that share an id are one document.  Insertions and deletions touch the
-    references of the documents they name and add their differences to the counts; only
-    where a key loses its last document is the next one looked up.  There is a filter for
-    each PER_SHARD hot keys, more as they grow, so none outgrows a task."""
+    line.  Rows that share an id are one document.  Insertions and deletions append the
+    references of the documents they name and the new states of those documents' keys, and
+    rewrite the filters of keys that become hot or cease to be; only where a key loses its
+    last document is the next one looked up.  Readers take the last state of each key, and
+    :meth:`compact` makes one table of the log.  There is a filter for each PER_SHARD hot
+    keys, more as they grow, so none outgrows a task."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None, shards: int | None = None, min_docs: int = MIN_DOCS):
         self.spark, self.folder = spark, folder or storage.new_folder(spark, "line-index")
         self.shards, self.min_docs, self.version = shards, min_docs, 0
         self.refs: DataFrame | None = None
-        self.counts: DataFrame | None = None
+        self.n_hot = 0
         self.filter_version: dict[int, int] = {}
 
     def insert(self, docs: DataFrame) -> None:
@@ -181,56 +183,68 @@ class LineIndex:
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def _apply(self, delta: DataFrame) -> None:
+        """Append the references of a change and the new state of the keys that it names; nothing else is written."""
+        first = self.refs is None
         self.version += 1
         delta = self._table(delta.select("h1", "h2", "doc_id", F.col("sign").cast("int").alias("sign")), f"refs/version={self.version}")
-        self.refs = self.spark.read.schema("h1 long, h2 long, doc_id long, sign int").parquet(f"{self.folder}/refs").drop("version")
-        before = self.counts
+        self._refs_of_folder()
         last = F.max(F.when(F.col("sign") > 0, F.col("doc_id")))
         change = delta.groupBy("h1", "h2").agg(F.sum("sign").alias("more"), last.alias("new_last"), F.max(F.when(F.col("sign") < 0, F.col("doc_id"))).alias("lost"))
-        if before is None:
-            many = change.select("h1", "h2", F.col("more").alias("n_docs"), F.col("new_last").alias("last_doc"))
+        if first:
+            many = change.select("h1", "h2", F.col("more").alias("n_docs"), F.col("new_last").alias("last_doc"), F.lit(0).cast("long").alias("old_docs"))
         else:
-            both = before.join(change, ["h1", "h2"], "full")
-            both = both.select("h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "new_last").alias("last_doc"), F.coalesce(F.col("lost") >= F.col("last_doc"), F.lit(False)).alias("open")).where("n_docs > 0")
+            both = change.join(self.counts, ["h1", "h2"], "left")
+            old = F.coalesce("n_docs", F.lit(0).cast("long"))
+            both = both.select("h1", "h2", (old + F.col("more")).alias("n_docs"), F.greatest("last_doc", "new_last").alias("last_doc"), old.alias("old_docs"), F.coalesce(F.col("lost") >= F.col("last_doc"), F.lit(False)).alias("open"))
             if delta.where("sign < 0").isEmpty():
                 many = both.drop("open")
             else:
-                both = self._table(both, f"counts-open-{self.version}")
-                lost = both.where("open").select("h1", "h2")
+                both = self._table(both, f"open-{self.version}")
+                lost = both.where("open AND n_docs > 0").select("h1", "h2")
                 found = self.refs.join(lost, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0")
                 found = found.groupBy("h1", "h2").agg(F.max("doc_id").alias("found"))
-                many = both.join(found, ["h1", "h2"], "left").select("h1", "h2", "n_docs", F.when(F.col("open"), F.col("found")).otherwise(F.col("last_doc")).alias("last_doc"))
-        self.counts = self._table(many, f"counts-{self.version}")
-        self._filters(before)
+                many = both.join(found, ["h1", "h2"], "left").select("h1", "h2", "n_docs", F.when(F.col("open"), F.col("found")).otherwise(F.col("last_doc")).alias("last_doc"), "old_docs")
+        self._filters(self._table(many, f"counts/version={self.version}"))
+
+    def _refs_of_folder(self) -> None:
+        self.refs = self.spark.read.schema("h1 long, h2 long, doc_id long, sign int").parquet(f"{self.folder}/refs").drop("version")
+
+    @property
+    def counts(self) -> DataFrame:
+        """h1, h2, n_docs, last_doc of all keys in any document: of each the state that was written last."""
+        log = self.spark.read.schema("h1 long, h2 long, n_docs long, last_doc long, version int").parquet(f"{self.folder}/counts")
+        if self.version > 1:
+            log = log.groupBy("h1", "h2").agg(F.max(F.struct("version", "n_docs", "last_doc")).alias("s")).select("h1", "h2", "s.n_docs", "s.last_doc")
+        return log.where("n_docs > 0").select("h1", "h2", "n_docs", "last_doc")
 
     def compact(self) -> None:
-        """Write the references that hold as one version, so that the log of changes starts anew."""
-        live = self._live().withColumn("sign", F.lit(1))
-        self.folder, old = storage.new_folder(self.spark, "line-index"), self.folder
+        """Write the references and states that hold as one version, so that the log of changes starts anew; worth it now and then."""
+        live, states = self._live().withColumn("sign", F.lit(1)), self.counts.withColumn("old_docs", F.lit(0).cast("long"))
+        old, self.folder = self.folder, storage.new_folder(self.spark, "line-index")
         self._table(live, "refs/version=1")
-        self.refs = self.spark.read.schema("h1 long, h2 long, doc_id long, sign int").parquet(f"{self.folder}/refs").drop("version")
-        self.counts, self.version, self.filter_version = self._table(self.counts, "counts-1"), 1, {}
+        changed = self._table(states, "counts/version=1")
+        self._refs_of_folder()
+        self.version, self.filter_version, self.n_hot = 1, {}, 0
         storage.remove(self.spark, old)
-        self._filters(None)
+        self._filters(changed)
 
     def hot(self) -> DataFrame:
         """The keys found in enough documents: h1, h2, n_docs, last_doc."""
         return self.counts.where(F.col("n_docs") >= self.min_docs)
 
-    def _filters(self, before: DataFrame | None) -> None:
-        """Bring each shard's filter to the keys that are now hot, by insertions and deletions.
+    def _filters(self, changed: DataFrame) -> None:
+        """Bring each shard's filter to the keys that are now hot, by insertions and deletions of those that ``changed`` (h1, h2, n_docs, old_docs).
 
         A filter that is full is made anew from the exact table, and all of them, in
         twice as many shards as are needed, where there are too few."""
+        hot, was = F.col("n_docs") >= self.min_docs, F.col("old_docs") >= self.min_docs
+        delta = changed.where(hot != was).select("h1", "h2", hot.alias("add"))
+        self.n_hot += delta.agg(F.coalesce(F.sum(F.when(F.col("add"), 1).otherwise(-1)), F.lit(0))).first()[0]
         now = self.hot().select("h1", "h2")
-        n = now.count()
-        if self.shards is None or n > 2 * PER_SHARD * self.shards:
-            self.shards, self.filter_version = max(1, 2 * n // PER_SHARD), {}
-        if before is None or not self.filter_version:
+        if self.shards is None or self.n_hot > 2 * PER_SHARD * self.shards:
+            self.shards, self.filter_version = max(1, 2 * self.n_hot // PER_SHARD), {}
+        if not self.filter_version:
             delta = now.withColumn("add", F.lit(True))
-        else:
-            was = before.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
-            delta = now.join(was, ["h1", "h2"], "left_anti").withColumn("add", F.lit(True)).unionByName(was.join(now, ["h1", "h2"], "left_anti").withColumn("add", F.lit(False)))
         folder, version, known = self.folder, self.version, dict(self.filter_version)
 
         def numbers(rows: pa.Table) -> np.ndarray:

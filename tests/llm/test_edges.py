@@ -205,3 +205,31 @@ def test_other_tokenizers_are_refused(tmp_path):
     with pytest.raises(ValueError):
         word_encoding.WordEncoder(str(other))
     word_encoding.check_kind(WORD)
+
+
+def test_a_change_writes_no_more_in_a_larger_corpus(spark):
+    """Bytes that one deletion and one insertion write do not grow with the corpus, and the index stays right."""
+    import os
+
+    def size(folder):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder.removeprefix("file://")) for f in names)
+
+    written = []
+    for n in (300, 3000):
+        text = lambda i: "\n".join(f"line number {(i * 7 + k) % (n // 6)} of a text that is long enough to be a key" for k in range(6))  # noqa: B023, E731
+        docs = spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id long, text string")
+        index = line_dedup.LineIndex(spark)
+        index.insert(docs)
+        before = size(index.folder)
+        index.delete(spark.createDataFrame([(n - 1,)], "doc_id long"))
+        index.insert(spark.createDataFrame([(n + 5, text(3))], "doc_id long, text string"))
+        written.append(size(index.folder) - before)
+        left = docs.where(f"doc_id <> {n - 1}").unionByName(spark.createDataFrame([(n + 5, text(3))], "doc_id long, text string"))
+        fresh = line_dedup.LineIndex(spark)
+        fresh.insert(left)
+        key = lambda x: sorted(map(tuple, x.collect()))
+        assert key(index.counts) == key(fresh.counts) and key(index.hot()) == key(fresh.hot())
+        index.compact()
+        assert key(index.counts) == key(fresh.counts) and index.n_hot == fresh.n_hot == fresh.hot().count()
+        assert key(index.dedup(left)) == key(fresh.dedup(left))
+    assert written[1] < 1.5 * written[0]
