@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, field
 
 EVENT_TYPES = ("exon_skip", "intron_retention", "alt_3prime", "alt_5prime", "mult_exon_skip", "mutex_exons")
 
+LAYOUT = 2  # of the stages' tables; stages of another one are made anew
 MERGES = ("merge_graphs", "merge_bams", "merge_all", "single")
 # For each group of a build's stages, by the beginning of their names: the groups it is made from, and the settings it depends on besides.
 STAGE_SETTINGS: dict[str, tuple[list[str], list[str]]] = {
@@ -138,7 +139,7 @@ class Config:
             todo += before
         given = asdict(self)
         files = [p for n in ("annotation", "reference", "samples") if n in names for p in ([given[n]] if isinstance(given[n], str) else given[n])]
-        told = {n: given[n] for n in sorted(names)}, [(p, stamps.get(p, "")) for p in files]
+        told = {n: given[n] for n in sorted(names)}, [(p, stamps.get(p, "")) for p in files], LAYOUT
         return hashlib.sha256(json.dumps(told, sort_keys=True).encode()).hexdigest()
 
     @property

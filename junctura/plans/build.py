@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from junctura.config import Config
 from junctura.functions import sequence
 from junctura.operators import augment, events, graph, intervals, quant, reads, verify
-from junctura.sources import alignments, annotation, fasta
+from junctura.sources import alignments, annotation, fasta, placed
 
 MAX_INTRONS, MAX_ROUNDS = 200, 12
 MERGED = "merged"
@@ -27,14 +27,14 @@ class Build:
     def __init__(self, spark: SparkSession, cfg: Config):
         self.spark, self.cfg = spark, cfg
 
-    def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    def stage(self, name: str, make: Callable[[], DataFrame], **options: str) -> DataFrame:
         """The table ``name`` below ``cfg.root``; made anew unless it is complete and of the same settings and input files."""
         path = f"{self.cfg.root}/{name}"
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         done, told = (jvm.org.apache.hadoop.fs.Path(f"{path}/{f}") for f in ("_SUCCESS", f"_settings-{self.cfg.digest(name, self.stamps)}"))
         files = done.getFileSystem(conf)
         if not (files.exists(done) and files.exists(told)):
-            make().write.mode("overwrite").parquet(path)
+            make().write.mode("overwrite").options(**options).parquet(path)
             files.create(told, True).close()
         return self.spark.read.parquet(path)
 
@@ -96,12 +96,16 @@ class Build:
     def prepare(self) -> dict[str, DataFrame]:
         """The sparse summaries: junctions and coverage, filtered for graphs and full for counts.
 
-        The alignments are read for two tables only, the cube of junctions and the depth in two tracks."""
+        The alignments are read for two tables only, the cube of junctions and the depth in two tracks.
+        Depth and junctions of all reads lie by contig and position, so windows of them are read alone."""
         cfg = self.cfg
         full = self.reads()
         strict = reads.passes(self.filter, cfg.primary_only, cfg.var_aware, not cfg.ignore_mismatches)
         cube = self.stage("prep/junction_cube", lambda: reads.junction_cube(full, self.filter, reads.mismatches(cfg.var_aware)))
-        depth = self.stage("prep/tracks", lambda: reads.tracks(full, strict=strict, depth=F.lit(True)))
+        contigs = self.stage("prep/contigs", lambda: placed.contigs(self.spark, list(cfg.samples)))
+        by_place = lambda df, start, *rest: placed.clustered(df, contigs, start, *rest)
+        depth = self.stage("prep/tracks", lambda: by_place(reads.tracks(full, strict=strict, depth=F.lit(True)), "run_start", "run_end", "sample"), **placed.WRITE)
+        introns = self.stage("prep/all_junctions", lambda: by_place(reads.all_junctions(cube), "i_start", "i_end", "sample"), **placed.WRITE).drop("contig_id")
         place = ["sample", "contig", "run_start", "run_end"]
 
         def graph_depth() -> DataFrame:
@@ -114,7 +118,8 @@ class Build:
             "cube": cube,
             "junctions": self.stage("prep/junctions", lambda: self.filtered(cube, self.filter)),
             "coverage": self.stage("prep/coverage", graph_depth),
-            "all_junctions": self.stage("prep/all_junctions", lambda: reads.all_junctions(cube)),
+            "all_junctions": introns,
+            "regions": self.stage("prep/regions", lambda: placed.region_summary(introns, contigs)),
             "all_coverage": depth.select(*place, "depth"),
         }
 

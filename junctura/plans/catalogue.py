@@ -12,7 +12,7 @@ from junctura.functions import multiple_testing, sequence
 from junctura.operators import events, graph, intervals, quant, quantify, testing, verify
 from junctura.plans import viz_data
 from junctura.plans.projection import EDGE, EXON, PAIR, VERTEX, exons
-from junctura.sources import sinks
+from junctura.sources import placed, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -806,3 +806,21 @@ def differential_test(spark, sf_dir):
     expression = quant.dense(quant.gene_expression(_cov(spark, sf_dir)), "gene_id", "sample_id", "raw_count")
     rows = testing.response(counts, expression, sf, sf, groups)
     return multiple_testing.adjust(testing.cut(testing.differential(rows, 10, 0.95)), "p", "bh").select("event_id", "gene_id", "form", rounded("p").alias("p"), rounded("p_adj").alias("p_adj"), rounded("disp_raw").alias("disp_raw"), rounded("disp_adj").alias("disp_adj"))
+
+
+# contigs: nations in the order of their region and key; a gene lies on that of its number, on minus if it is odd
+CONTIGS = "contig AS (SELECT CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS INT) AS contig_id, n_name AS contig, CAST(n_nationkey * 1000 AS BIGINT) AS length, n_nationkey FROM nation)"
+
+
+@query(f"""WITH {EXON}, {PAIR}, {CONTIGS}, strand AS (SELECT * FROM (VALUES ('+', 0), ('-', 1)) t(strand, s)),
+seen AS (SELECT gene_id % 25 AS n_nationkey, CASE WHEN gene_id % 2 = 1 THEN 1 ELSE 0 END AS s, ue, vs, count(*) AS n FROM pair GROUP BY ALL),
+total AS (SELECT n_nationkey, s, count(*) AS n_introns, sum(n) AS n_reads FROM seen GROUP BY ALL)
+SELECT 2 * contig_id + s AS region_id, contig_id, contig, strand, length, coalesce(n_introns, 0) AS n_introns, CAST(coalesce(n_reads, 0) AS BIGINT) AS n_reads
+FROM contig CROSS JOIN strand LEFT JOIN total USING (n_nationkey, s)""")
+def region_summary(spark, sf_dir):
+    """Introns and their reads by contig and strand, contigs numbered as a header lists them."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    number = F.row_number().over(Window.orderBy("n_regionkey", "n_nationkey")) - 1  # a row a contig
+    listed = nations.select(number.alias("contig_id"), F.col("n_name").alias("contig"), (F.col("n_nationkey") * 1000).cast("long").alias("length"), "n_nationkey")
+    found = quant.junction_counts(exons(spark, sf_dir)).withColumn("n_nationkey", F.col("gene_id") % 25).withColumn("xs", F.when(F.col("gene_id") % 2 == 1, "-").otherwise("+"))
+    return placed.region_summary(found.join(listed.select("contig", "n_nationkey"), "n_nationkey"), listed.drop("n_nationkey"))

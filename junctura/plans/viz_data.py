@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.functions import multiple_testing
+from junctura.sources import placed
 
 MAX_RANGE = 1_000_000
 
@@ -155,13 +156,23 @@ def gene_tables(spark: SparkSession, outdir: str, gene: str) -> dict[str, DataFr
 
 
 def range_tables(spark: SparkSession, outdir: str, place: str) -> dict[str, DataFrame]:
-    """The same for the genes that overlap a range (contig:start-stop)."""
+    """The same for the genes that overlap a range (contig:start-stop), with depth and introns of every sample in it.
+
+    Depth and introns are read from the row groups of that range only."""
     contig, _, ends = place.rpartition(":")
     start, stop = map(int, ends.split("-"))
     if stop - start > MAX_RANGE:
         raise ValueError("the range is too long to plot")
     genes = spark.read.parquet(f"{outdir.rstrip('/')}/genes").where((F.col("contig") == contig) & (F.col("g_start") < stop) & (F.col("g_end") > start)).select("gene_id")
-    return _write(spark, outdir, place.replace(":", "_"), genes)
+    read = lambda table: spark.read.parquet(f"{outdir.rstrip('/')}/prep/{table}").drop("contig_id")
+    out = {
+        "coverage": placed.window(read("tracks"), contig, start, stop, "run_start", "run_end").select("sample", "contig", F.greatest("run_start", F.lit(start)).alias("run_start"), F.least("run_end", F.lit(stop)).alias("run_end"), "depth"),
+        "introns": placed.window(read("all_junctions"), contig, start, stop, "i_start", "i_end"),
+    }
+    name = place.replace(":", "_")
+    for table, df in out.items():
+        df.write.mode("overwrite").parquet(f"{outdir.rstrip('/')}/viz/{name}/{table}")
+    return {**_write(spark, outdir, name, genes), **out}
 
 
 def event_tables(spark: SparkSession, outdir: str, event: str) -> dict[str, DataFrame]:

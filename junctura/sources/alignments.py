@@ -39,6 +39,22 @@ def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
     return head.select(F.regexp_extract("value", r"\tSN:([^\t]*)", 1).alias("contig"), F.regexp_extract("value", r"\tLN:([0-9]+)", 1).cast("int").alias("length"))
 
 
+def header(path: str) -> list[tuple[str, int]]:
+    """(contig, length) in the order of a file's header; none for a text without one."""
+    if path.endswith(".bam"):
+        with _open(path) as f:
+            return bam_header(Bgzf(f))
+    out = []
+    with _open(path) as raw, gzip.open(raw) if path.endswith(".gz") else raw as f:
+        for line in f:
+            if not line.startswith(b"@"):
+                break
+            if line.startswith(b"@SQ"):
+                fields = dict(x.split(":", 1) for x in line.decode().rstrip("\r\n").split("\t")[1:])
+                out.append((fields["SN"], int(fields["LN"])))
+    return out
+
+
 class Bgzf:
     """The bytes of a BGZF file from one of its blocks on, a block at a time.
 

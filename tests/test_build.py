@@ -80,6 +80,8 @@ def test_build(spark, tmp_path):
     assert tables["exons"].count() == 3 and tables["events/exon_skip"].count() == 1
     near = viz_data.range_tables(spark, cfg.root, "c1:9000-14000")
     assert {r.gene_id for r in near["exons"].collect()} == {"x0", "x1"} and near["events/exon_skip"].count() == 0
+    assert near["coverage"].where("run_start >= 9000 AND run_end <= 14000").select("sample").distinct().count() == 8 and near["introns"].count() == 0
+    assert spark.read.parquet(cfg.root + "/prep/regions").count() == 0  # these texts have no headers
     assert viz_data.top_tables(spark, cfg.root, 3, "exon_skip", 2) == ["exon_skip.1"]
     one = viz_data.event_tables(spark, cfg.root, "exon_skip.1")
     assert one["evidence"].count() == 8 and one["exons"].count() == 3
