@@ -1,9 +1,13 @@
 """License statements and their labels.
 
-Short statements, the notices that licenses ask to put into files, and the full
-texts of the short licenses, without copyright lines.
+Statements of four words or more (fewer are words of ordinary prose: "the apache license
+plate"), the notices that licenses ask to put into files, and full texts: those of the
+short licenses here, without copyright lines, those of the long ones as they are
+published, in ``license_files``.
 """
 
+from importlib.resources import files
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
 rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
@@ -84,16 +88,28 @@ warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {na
 You should have received a copy of the GNU {name} along with this program. If not, see http://www.gnu.org/licenses/."""
 
 
+def _full(name: str) -> str:
+    """A long license as it is published."""
+    return (files("junctura.llm") / "license_files" / f"{name}.txt").read_text()
+
+
 TEMPLATES = [
     ("agpl", "GNU Affero General Public License"),
+    ("agpl", "SPDX-License-Identifier: AGPL-3.0"),
     ("agpl", _gnu("Affero General Public License", "3")),
-    ("apache", "Apache License"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("apache", "under the Apache License"),
+    ("apache", "Apache Software License Version"),
+    ("apache-2.0", "Apache License, Version 2.0"),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("apache-2.0", _APACHE),
+    ("apache-2.0", _full("Apache-2.0")),
+    ("boost", "SPDX-License-Identifier: BSL-1.0"),
     ("boost", _BOOST),
-    ("bsd", "BSD License"),
+    ("bsd", "under the BSD License"),
     ("bsd", _BSD_HEAD),
+    ("bsd-2-clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("bsd-2-clause", f"{_BSD_HEAD} {_BSD_TWO} {_BSD_TAIL}"),
+    ("bsd-3-clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("bsd-3-clause", f"{_BSD_HEAD} {_BSD_TWO} {_BSD_THIRD} {_BSD_TAIL}"),
     ("cc-by", "Licensed under CC BY"),
     ("cc-by", "Creative Commons Attribution License"),
@@ -102,21 +118,36 @@ TEMPLATES = [
     ("cc-by-sa", "Licensed under CC BY-SA"),
     ("cc-by-sa", "Creative Commons Attribution-ShareAlike License"),
     ("cc0", "Creative Commons Zero public domain dedication"),
+    ("cc0", "SPDX-License-Identifier: CC0-1.0"),
+    ("cc0", _full("CC0-1.0")),
     ("gpl", "This work is licensed under the GNU General Public License"),
+    ("gpl", "SPDX-License-Identifier: GPL-2.0"),
+    ("gpl", "SPDX-License-Identifier: GPL-3.0"),
     ("gpl", _gnu("General Public License", "2")),
     ("gpl", _gnu("General Public License", "3")),
+    ("gpl", _full("GPL-2")),
+    ("gpl", _full("GPL-3")),
+    ("isc", "SPDX-License-Identifier: ISC"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", _ISC),
     ("lgpl", "GNU Lesser General Public License"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-3.0"),
     ("lgpl", _gnu("Lesser General Public License", "3")),
-    ("mit", "MIT License"),
-    ("mit", "Released under the MIT License"),
+    ("lgpl", _full("LGPL-2.1")),
+    ("lgpl", _full("LGPL-3")),
+    ("mit", "The MIT License (MIT)"),
+    ("mit", "under the MIT License"),
+    ("mit", "SPDX-License-Identifier: MIT"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mit", _MIT),
+    ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("mpl-2.0", _MPL),
-    ("reserved", "All rights reserved"),
+    ("mpl-2.0", _full("MPL-2.0")),
+    ("unlicense", "SPDX-License-Identifier: Unlicense"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("unlicense", _UNLICENSE),
+    ("zlib", "SPDX-License-Identifier: Zlib"),
     ("zlib", _ZLIB),
 ]

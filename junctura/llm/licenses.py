@@ -42,7 +42,9 @@ def pairs_of(words: list[bytes]) -> list[Pair]:
 
 
 class Template:
-    """A label, the distinct tokens of a statement of two words or more, and its number of words."""
+    """A label, the distinct tokens of a statement of two words or more, and its number of words.
+
+    Of a statement of up to eleven words a block must hold all tokens at the usual threshold."""
 
     def __init__(self, label: str, text: str):
         words = WORD.findall(text.encode().lower())
@@ -104,8 +106,6 @@ class Join:
         for k, order in enumerate(self.order):
             for r in order[: len(order) - self.need[k] + 1]:
                 self.index.setdefault(r, []).append(k)
-        words: dict[int, Pair] = {i: t for t, i in rank.items()}
-        self.first_words = frozenset(words[r][0] for r in self.index)
         self.pruned = Counter()  # stretches by what became of them
 
     def stretches(self, found: list[tuple[int, int]], n_places: int) -> Iterator[tuple[int, int, int]]:
@@ -155,9 +155,9 @@ class Join:
 
     def matches(self, words: list[bytes]) -> Iterator[tuple[int, float, int, int]]:
         """(template, containment, first and last word) of every block of the text that meets a template."""
-        if self.first_words.isdisjoint(words):
-            return
         found = self.places.find(words)
+        if not any(r in self.index for _, r in found):
+            return
         at = [p for p, _ in found]
         for k, low, high in self.stretches(found, len(words) - 1):
             inside = found[bisect_left(at, low) : bisect_right(at, high)]
