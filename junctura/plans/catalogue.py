@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from junctura.config import Evidence, Retention
 from junctura.functions import multiple_testing, sequence
-from junctura.operators import events, graph, intervals, quant, quantify, testing, verify
+from junctura.operators import events, graph, intervals, quant, quantify, reads, testing, verify
 from junctura.plans import viz_data
-from junctura.plans.projection import EDGE, EXON, PAIR, VERTEX, exons
+from junctura.plans.projection import EDGE, EXON, PAIR, READ, VERTEX, aligned, exons
 from junctura.sources import placed, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -824,3 +824,143 @@ def region_summary(spark, sf_dir):
     listed = nations.select(number.alias("contig_id"), F.col("n_name").alias("contig"), (F.col("n_nationkey") * 1000).cast("long").alias("length"), "n_nationkey")
     found = quant.junction_counts(exons(spark, sf_dir)).withColumn("n_nationkey", F.col("gene_id") % 25).withColumn("xs", F.when(F.col("gene_id") % 2 == 1, "-").otherwise("+"))
     return placed.region_summary(found.join(listed.select("contig", "n_nationkey"), "n_nationkey"), listed.drop("n_nationkey"))
+
+
+# --- reads ---------------------------------------------------------------------------------
+
+STRICT = reads.ReadFilter.preset(1, 300)
+LOOSE = reads.ReadFilter.preset(0, 100)
+PLACE = "sample_id AS sample, contig"
+READS = f"WITH {EXON}, {READ}, counted AS (SELECT * FROM read WHERE flag = 0)"
+
+
+def _counted(spark, sf_dir) -> DataFrame:
+    return aligned(spark, sf_dir).where(reads.passes(None))
+
+
+def _meets(given: reads.ReadFilter) -> str:
+    return f"flag = 0 AND (n_blocks = 1 OR anchor > {given.exon_len}) AND nm <= {given.mismatch}"
+
+
+def _introns_sql(given: reads.ReadFilter) -> str:
+    return f"""{READS} SELECT b.sample_id AS sample, b.contig, CASE WHEN xs = '-' THEN '-' ELSE '+' END AS strand, e AS i_start, next AS i_end, count(*) AS n
+FROM block b JOIN (SELECT read_id, xs FROM read WHERE {_meets(given)}) r USING (read_id) WHERE next IS NOT NULL GROUP BY ALL"""
+
+
+@query(f"{READS} SELECT read_id, pos, {_meets(STRICT)} AS ok FROM read")
+def read_filter(spark, sf_dir):
+    """Which reads a preset lets pass: mapped, primary, anchors, mismatches."""
+    return longs(aligned(spark, sf_dir).select("read_id", "pos", reads.passes(STRICT).alias("ok")))
+
+
+@query(_introns_sql(STRICT))
+def read_junctions(spark, sf_dir):
+    """Introns of the CIGAR strings of the reads that pass."""
+    return longs(reads.junctions(aligned(spark, sf_dir).where(reads.passes(STRICT))))
+
+
+@query(f"""{READS} SELECT b.sample_id AS sample, b.contig, coalesce(xs, '.') AS xs, e AS i_start, next AS i_end, greatest(least(anchor, 37), {LOOSE.exon_len}) AS anchor,
+  least(nm, {LOOSE.mismatch + 1}) AS wrong, count(*) AS n FROM block b JOIN (SELECT read_id, xs, anchor, nm FROM counted) r USING (read_id) WHERE next IS NOT NULL GROUP BY ALL""")
+def junction_cube(spark, sf_dir):
+    """Introns by shortest anchor and mismatches, of all mapped primary reads."""
+    return longs(reads.junction_cube(_counted(spark, sf_dir), LOOSE, reads.mismatches()))
+
+
+@query(_introns_sql(LOOSE.tightened().tightened()))
+def tightened_junctions(spark, sf_dir):
+    """A filter made tighter twice is a sum over the cube: the same introns as of the reads that pass it."""
+    cube = reads.junction_cube(_counted(spark, sf_dir), LOOSE, reads.mismatches())
+    return longs(reads.cube_junctions(cube, LOOSE.tightened().tightened()))
+
+
+@query(f"""{READS}, mark AS (SELECT b.*, {_meets(STRICT)} AS ok FROM block b JOIN (SELECT read_id, flag, n_blocks, anchor, nm FROM counted) r USING (read_id)),
+step AS (SELECT sample_id, contig, pos, sum(d) FILTER (ok) AS a, sum(d) AS b FROM (SELECT sample_id, contig, ok, s AS pos, 1 AS d FROM mark UNION ALL SELECT sample_id, contig, ok, e, -1 FROM mark) t GROUP BY ALL)
+SELECT * FROM (SELECT {PLACE}, pos AS run_start, lead(pos) OVER w AS run_end, CAST(coalesce(sum(a) OVER w, 0) AS BIGINT) AS strict, CAST(sum(b) OVER w AS BIGINT) AS depth
+  FROM step WINDOW w AS (PARTITION BY sample_id, contig ORDER BY pos)) t WHERE run_end IS NOT NULL AND depth > 0""")
+def read_depth(spark, sf_dir):
+    """Depth of the reads that pass a preset, and of all, in one pass over the CIGAR strings."""
+    return longs(reads.tracks(_counted(spark, sf_dir), strict=reads.passes(STRICT), depth=F.lit(True)))
+
+
+# --- the statistics before and after the fit -----------------------------------------------
+
+QUERIES["hommel"], QUERIES["tsbh"] = _adjusted("hommel"), _adjusted("tsbh")
+ORACLES["hommel"] = f"""{RANKED}, top AS (SELECT CAST(unnest(range(1, max(m) + 1)) AS BIGINT) AS k FROM ranked),
+simes AS (SELECT k, min(k * p / (r - (m - k))) AS s FROM ranked JOIN top ON r > m - k GROUP BY k),
+beyond AS (SELECT k - 1 AS h, max(s) OVER (ORDER BY k DESC) AS b FROM simes UNION ALL SELECT max(k), 0 FROM top),
+each AS (SELECT event_id, p, min(greatest(h * p, b)) AS v FROM ranked CROSS JOIN beyond GROUP BY ALL)
+SELECT event_id, round(p, 9) AS p, round(least(1, greatest(v, p)), 9) AS p_adj FROM each"""
+ORACLES["tsbh"] = f"""{RANKED}, bh AS (SELECT *, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM ranked),
+passed AS (SELECT count(*) FILTER (v <= 0.1 / 1.1) AS n FROM bh)
+SELECT event_id, round(p, 9) AS p, round(least(1, v * CASE WHEN m > n THEN m - n ELSE m END / m::DOUBLE * 1.1), 9) AS p_adj FROM bh, passed"""
+
+
+@query(f"""SELECT gene_id, greatest(e1s, e2s) AS e1s, e1e, greatest(e1s, e2s) AS e2s, e2e, e3s, e3e FROM ({ORACLES['alt_left']}) t
+WHERE e3s > e1e AND e3s > e2e AND e1e > greatest(e1s, e2s) AND e2e > greatest(e1s, e2s)""")
+def curated_alt_left(spark, sf_dir):
+    """Alternative left ends with both exons from the later start on."""
+    return events.curate_alt_left(events.alt_left(graph.edges(exons(spark, sf_dir))))
+
+
+FORMS = """form AS (SELECT gene_id, sample_id, 1 AS form, count(*) AS n FROM exon GROUP BY ALL UNION ALL SELECT gene_id, sample_id, 0, count(*) FROM pair GROUP BY ALL),
+cell AS (SELECT gene_id, sample_id, form, coalesce(n, 0)::DOUBLE AS n FROM (SELECT DISTINCT gene_id, form FROM form) g JOIN (SELECT DISTINCT sample_id, form FROM form) s USING (form) LEFT JOIN form USING (gene_id, sample_id, form)),
+joined AS (SELECT c.*, round(coalesce(x, 0), 6) AS x, sf FROM cell c LEFT JOIN grid USING (gene_id, sample_id) JOIN sf USING (sample_id))"""
+
+
+def _forms(spark, sf_dir) -> DataFrame:
+    """Genes as events: introns are form 0, exons form 1; every sample has a count."""
+    e = exons(spark, sf_dir)
+    found = [df.groupBy("gene_id", "sample_id").agg(F.count("*").cast("double").alias("n")) for df in (graph.consecutive(e, ["sample_id"]), e)]
+    parts = [quant.dense(df, "gene_id", "sample_id", "n").withColumn("form", F.lit(k)) for k, df in enumerate(found)]
+    return parts[0].unionByName(parts[1]).withColumn("event_id", F.col("gene_id"))
+
+
+def _response(spark, sf_dir) -> DataFrame:
+    expr = quant.gene_expression(_cov(spark, sf_dir))
+    gene_sf = quant.size_factors(expr)
+    groups = gene_sf.select("sample_id", (F.col("sample_id") < 6).alias("in_a"))
+    event_sf = gene_sf.select("sample_id", (1 + F.col("sample_id") / 10).alias("sf"))
+    return testing.response(_forms(spark, sf_dir), expr.withColumn("raw_count", rounded("raw_count")), event_sf, gene_sf, groups)
+
+
+@query(f"""{QUANT}, {FULL}, {GEO}, {FORMS}, placed AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY gene_id, form) AS half FROM joined WINDOW w AS (PARTITION BY gene_id, form ORDER BY sample_id >= 6, sample_id))
+SELECT gene_id AS event_id, CAST(form AS BIGINT) AS form, k AS place, n AS y, round(1 + sample_id / 10.0, 6) AS sf, sample_id < 6 AS in_a FROM placed
+UNION ALL SELECT gene_id, form, k + half, round_even(x + 0.5, 0), round(sf, 6), sample_id < 6 FROM placed""")
+def response_matrix(spark, sf_dir):
+    """Counts of event and gene in the order of groups and samples, as the tests get them; a row for each place."""
+    packed = _response(spark, sf_dir)
+    flat = packed.select("event_id", "form", "in_a", F.posexplode(F.arrays_zip("y", "sf")).alias("place", "v"))
+    in_a = F.get("in_a", F.col("place") % F.size("in_a")) == 1
+    return longs(flat.select("event_id", "form", "place", F.col("v.y").alias("y"), rounded("v.sf").alias("sf"), in_a.alias("in_a")))
+
+
+def _mean_sql(value: str, name: str) -> str:
+    a, b = (f"avg({value}) FILTER (sample_id {op} 6)" for op in ("<", ">="))
+    return f"round({a}, 6) AS mean_{name}_a, round({b}, 6) AS mean_{name}_b, CASE WHEN {a} > 0 AND {b} > 0 THEN round(log2({a}) - log2({b}), 6) END AS log2fc_{name}"
+
+
+@query(f"""{QUANT}, {FULL}, {GEO}, {FORMS} SELECT gene_id AS event_id, CAST(form AS BIGINT) AS form, {_mean_sql('n / (1 + sample_id / 10.0)', 'event_count')}, {_mean_sql('round_even(x + 0.5, 0) / sf', 'gene_exp')}
+FROM joined GROUP BY gene_id, form""")
+def report_means(spark, sf_dir):
+    """Means and log fold changes of a report's rows, of events and genes."""
+    out = testing.means(_response(spark, sf_dir))
+    named = {f"mean_{x}_{g}": f"mean_{x}_{g.lower()}" for x in ("event_count", "gene_exp") for g in "AB"} | {f"log2FC_{x}": f"log2fc_{x}" for x in ("event_count", "gene_exp")}
+    return longs(out.select("event_id", "form", *[rounded(c).alias(n) for c, n in named.items()]))
+
+
+@query(f"""{WITH}, sf AS (SELECT DISTINCT sample_id, 1.0 AS sf FROM exon), grid AS (SELECT gene_id, sample_id, 0.0 AS x FROM exon WHERE false), {FORMS}, lg AS (SELECT *, log2(n + 1) AS l FROM joined),
+q AS (SELECT gene_id, form, quantile_cont(l, 0.25) AS p25, quantile_cont(l, 0.75) AS p75 FROM lg GROUP BY gene_id, form)
+SELECT gene_id, CAST(form AS BIGINT) AS form, sample_id, round(CASE WHEN p75 > p25 AND l > p75 + 3 * (p75 - p25) THEN pow(2, p75 + 3 * (p75 - p25)) - 1 ELSE n END, 6) AS capped FROM lg JOIN q USING (gene_id, form)""")
+def cap_event_counts(spark, sf_dir):
+    """Counts of events far above their form's quartiles come down."""
+    rows = _forms(spark, sf_dir).withColumn("row", F.struct("event_id", "form"))
+    return longs(testing.cap_outliers(rows, "row", "n", None, 3.0).select("gene_id", "form", "sample_id", rounded("capped").alias("capped")))
+
+
+@query(f"""{WITH}, {RUNS}, {SEGS}, {COV} SELECT gene_id, seg_start, seg_end, sample_id % 2 AS half, round(avg(mean_cov), 6) AS mean, round(stddev_samp(mean_cov) / sqrt(count(*)), 6) AS sem FROM cov GROUP BY ALL""")
+def segment_means(spark, sf_dir):
+    """Mean depth of segments by group of samples, with its standard error."""
+    depth = _cov(spark, sf_dir).withColumnRenamed("sample_id", "sample")
+    groups = exons(spark, sf_dir).select(F.col("sample_id").alias("sample"), (F.col("sample_id") % 2).alias("group")).distinct()
+    out = viz_data.segment_means(depth, groups)
+    return out.select("gene_id", "seg_start", "seg_end", F.col("group").alias("half"), rounded("mean").alias("mean"), rounded("sem").alias("sem"))

@@ -29,6 +29,12 @@ SELECT * FROM (
   FROM exon) t
 WHERE vs IS NOT NULL AND vs > ue)"""
 EDGE = "edge AS (SELECT DISTINCT gene_id, us, ue, vs, ve FROM pair)"
+# reads: an order is one, its blocks are the exons cut where the next hundred begins
+READ = """
+block AS (SELECT transcript_id AS read_id, sample_id, gene_id % 4 AS contig, ex_start AS s, least(ex_end, ex_start // 100 * 100 + 90) AS e,
+  lead(ex_start) OVER (PARTITION BY transcript_id ORDER BY ex_start) AS next FROM exon),
+read AS (SELECT read_id, sample_id, contig, min(s) AS pos, min(e - s) AS anchor, count(*) AS n_blocks, read_id % 9 AS nm,
+  CASE WHEN read_id % 11 = 0 THEN 4 WHEN read_id % 7 = 0 THEN 256 ELSE 0 END AS flag, CASE read_id % 3 WHEN 0 THEN '-' WHEN 1 THEN '+' END AS xs FROM block GROUP BY ALL)"""
 VERTEX = "vertex AS (SELECT DISTINCT gene_id, ex_start AS v_start, ex_end AS v_end FROM exon)"
 
 
@@ -48,3 +54,18 @@ def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     by = Window.partitionBy("transcript_id", "bucket").orderBy("l_suppkey", "l_quantity", "l_partkey", "l_linenumber")
     return rows.withColumn("rn", F.row_number().over(by)).where("rn = 1").select("gene_id", "transcript_id", "sample_id", "ex_start", "ex_end")
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id, sample, contig, pos, flag, cigar, nm, xs: a read for each order, with a CIGAR string."""
+    block = F.struct(F.col("ex_start").alias("s"), F.least("ex_end", F.floor(F.col("ex_start") / 100) * 100 + 90).alias("e"))
+    rows = exons(spark, sf_dir).groupBy("transcript_id", "sample_id", "gene_id").agg(F.array_sort(F.collect_list(block)).alias("b"))  # an order has few items
+    gap = lambda x, i: F.coalesce(F.concat((x["s"] - F.get("b", i - 1)["e"]).cast("string"), F.lit("N")), F.lit(""))
+    steps = F.transform("b", lambda x, i: F.concat(gap(x, i), (x["e"] - x["s"]).cast("string"), F.lit("M")))
+    k = F.col("transcript_id")
+    return rows.select(
+        k.alias("read_id"), F.col("sample_id").alias("sample"), (F.col("gene_id") % 4).alias("contig"), F.get("b", F.lit(0))["s"].cast("int").alias("pos"),
+        F.when(k % 11 == 0, 4).when(k % 7 == 0, 256).otherwise(0).alias("flag"),
+        F.concat(F.when(k % 5 == 0, "3S").otherwise(""), F.array_join(steps, "")).alias("cigar"),
+        (k % 9).cast("int").alias("nm"), F.when(k % 3 == 0, "-").when(k % 3 == 1, "+").alias("xs"),
+    )
