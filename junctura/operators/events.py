@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,39 +75,54 @@ def mult_exon_skip(edges: DataFrame, limit: int = 500) -> DataFrame:
     ``limit`` vertices give none."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        pairs = sorted({((a, b), (c, d)) for a, b, c, d in rows[["us", "ue", "vs", "ve"]].itertuples(index=False)})
-        nodes = sorted({v for p in pairs for v in p})
-        if len(nodes) <= limit:
-            before: dict = {v: [] for v in nodes}
-            for a, b in pairs:
-                before[b].append(a)
-            for a, b in pairs:
-                if len(before[b]) > 1 and (inner := _detour(nodes, before, a, b)):
-                    found.append((key[0], *a, *b, [{"start": int(s), "stop": int(e)} for s, e in inner]))
+        pairs = np.unique(rows[["us", "ue", "vs", "ve"]].to_numpy(dtype=np.int64), axis=0)
+        nodes, at = np.unique(pairs.reshape(-1, 2), axis=0, return_inverse=True)
+        found = [] if len(nodes) > limit else [
+            (key[0], *nodes[a].tolist(), *nodes[b].tolist(), [{"start": s, "stop": e} for s, e in nodes[inner].tolist()])
+            for a, b, inner in _detours(len(nodes), at.reshape(-1, 2))
+        ]
         return pd.DataFrame(found, columns=["gene_id", "us", "ue", "vs", "ve", "inner"])
 
     return edges.groupBy("gene_id").applyInPandas(run, f"gene_id {dict(edges.dtypes)['gene_id']}, us long, ue long, vs long, ve long, inner array<struct<start:long,stop:long>>")
 
 
-def _detour(nodes: list, before: dict, a: tuple, b: tuple) -> list:
-    """Inner vertices of the path from a to b besides their edge: the shortest if it
-    has more than two edges, else the longest if that has; vertices are in order."""
-    for choose in (min, max):
-        best = {a: (0, None)}
-        for w in nodes:
-            if a < w <= b:
-                ways = [(best[v][0] + 1, v) for v in before[w] if v in best and not (w == b and v == a)]
-                if ways:
-                    length = choose(n for n, _ in ways)
-                    best[w] = (length, next(v for n, v in ways if n == length))
-        if b in best and best[b][0] > 2:
-            inner, v = [], best[b][1]
-            while v != a:
-                inner.append(v)
-                v = best[v][1]
-            return inner[::-1]
-    return []
+def _detours(n: int, pairs: np.ndarray) -> list[tuple[int, int, list[int]]]:
+    """For each edge a-b the inner vertices of the path from a to b besides it: the shortest
+    if it has more than two edges, else the longest if that has; edges without one are left out.
+
+    Vertices are numbers in order, ``pairs`` are sorted.  The best lengths from all vertices
+    are found in one pass over the vertices; of equal ways the one over the first vertex is taken."""
+    before = [pairs[pairs[:, 1] == w, 0] for w in range(n)]
+    best, length = [], []
+    for sign in (1, -1):  # the longest has the least negative length
+        cost = np.full((n, n), np.inf)  # of the best path from a column's vertex to a row's
+        np.fill_diagonal(cost, 0)
+        last = np.full((n, n), -1)
+        around, over = {}, {}
+        for w, ways in enumerate(before):
+            if len(ways):
+                each = cost[ways] + sign
+                first = each.argmin(axis=0)
+                cost[w] = np.where(np.arange(n) == w, 0, each[first, np.arange(n)])
+                last[w] = ways[first]
+                direct = each[:, ways]  # from the vertices with an edge to w, without that edge
+                np.fill_diagonal(direct, np.inf)
+                first = direct.argmin(axis=0)
+                around[w], over[w] = direct[first, np.arange(len(ways))] * sign, ways[first]
+        best.append((around, over))
+        length.append(last)
+    found = []
+    for b, ways in enumerate(before):
+        for i, a in enumerate(ways.tolist()):
+            for (around, over), last in zip(best, length):
+                if np.isfinite(around[b][i]) and around[b][i] > 2:
+                    inner, v = [], int(over[b][i])
+                    while v != a:
+                        inner.append(v)
+                        v = int(last[v, a])
+                    found.append((a, b, inner[::-1]))
+                    break
+    return found
 
 
 def deduplicated(events: DataFrame, keys: list[str], inner: list[str], span: tuple[str, str], order: list[str]) -> DataFrame:
