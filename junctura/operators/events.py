@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from junctura.operators import neighbours
+
 MIN_OVERLAP = 11
 TRIPLE = ["gene_id", "e1s", "e1e", "e2s", "e2e", "e3s", "e3e"]
 
@@ -32,13 +34,8 @@ def exon_skip(edges: DataFrame) -> DataFrame:
 
 def mutex_exons(edges: DataFrame) -> DataFrame:
     """a-b-d and a-c-d with c right of b and no edge b-c."""
-    ab, bd = _edge(edges, "a", "b"), _edge(edges, "b", "d")
-    path = ab.join(bd, ["gene_id", "bs", "be"])
-    other = path.select("gene_id", "as", "ae", F.col("bs").alias("cs"), F.col("be").alias("ce"), "ds", "de")
-    pairs = path.join(other, ["gene_id", "as", "ae", "ds", "de"]).where("cs >= be")
-    bc = edges.select("gene_id", F.col("us").alias("bs"), F.col("ue").alias("be"), F.col("vs").alias("cs"), F.col("ve").alias("ce"))
-    out = pairs.join(bc, ["gene_id", "bs", "be", "cs", "ce"], "left_anti")
-    return out.select("gene_id", *[F.col(f"{x}{y}").alias(f"e{i}{y}") for i, x in enumerate("abcd", 1) for y in "se"])
+    rows = neighbours.mutex_pairs(neighbours.linked(edges, ["gene_id"], F.lit(1), F.lit(1)), ["gene_id"])
+    return rows.select("gene_id", *neighbours.coordinates({f"e{i}": x for i, x in enumerate("abcd", 1)}))
 
 
 def intron_retention(edges: DataFrame, vertices: DataFrame) -> DataFrame:

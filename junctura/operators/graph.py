@@ -18,11 +18,15 @@ def vertices(exons: DataFrame) -> DataFrame:
     return exons.select("gene_id", F.col("ex_start").alias("v_start"), F.col("ex_end").alias("v_end")).distinct()
 
 
+def followed(exons: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Each exon (us, ue) with the next one of its transcript (vs, ve; null after the last)."""
+    by = Window.partitionBy("gene_id", "transcript_id").orderBy("ex_start", "ex_end")
+    return exons.select("gene_id", "transcript_id", *keep, F.col("ex_start").alias("us"), F.col("ex_end").alias("ue"), F.lead("ex_start").over(by).alias("vs"), F.lead("ex_end").over(by).alias("ve"))
+
+
 def consecutive(exons: DataFrame, keep: list[str] = ()) -> DataFrame:
     """A row for each pair of consecutive exons of a transcript with an intron between."""
-    by = Window.partitionBy("gene_id", "transcript_id").orderBy("ex_start", "ex_end")
-    pairs = exons.select("gene_id", "transcript_id", *keep, F.col("ex_start").alias("us"), F.col("ex_end").alias("ue"), F.lead("ex_start").over(by).alias("vs"), F.lead("ex_end").over(by).alias("ve"))
-    return pairs.where("vs IS NOT NULL AND vs > ue")
+    return followed(exons, keep).where("vs IS NOT NULL AND vs > ue")
 
 
 def edges(exons: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from junctura.config import Evidence, Retention
 from junctura.functions import multiple_testing, sequence
-from junctura.operators import events, graph, intervals, quant, quantify, reads, testing, verify
+from junctura.operators import events, graph, intervals, neighbours, quant, quantify, reads, testing, verify
 from junctura.plans import viz_data
 from junctura.plans.projection import EDGE, EXON, PAIR, READ, VERTEX, aligned, exons
 from junctura.sources import placed, sinks
@@ -548,6 +548,27 @@ def _evidence(spark, sf_dir, kind: str, found: DataFrame, counted: bool = False)
     return ev.withColumn("sample_id", F.col("sample").cast("long"))
 
 
+def _local(spark, sf_dir, kind: str, counted: bool = False) -> DataFrame:
+    """The same for the kinds of :mod:`junctura.operators.neighbours`, which makes the events itself.
+
+    Vertices, edges, runs and counts are all sums over one table of distinct exons and what
+    follows them, which is kept while the query is, so the line items are joined and sorted once."""
+    hops = graph.followed(exons(spark, sf_dir), ["sample_id"]).groupBy("sample_id", *graph.EDGE).agg(F.count("*").alias("n")).localCheckpoint()
+    span = hops.groupBy("gene_id", "sample_id", F.col("us").alias("ex_start"), F.col("ue").alias("ex_end")).agg(F.sum("n").alias("n"))
+    link = hops.where("vs IS NOT NULL AND vs > ue")
+    counts = link.groupBy("gene_id", F.col("sample_id").alias("sample"), F.col("ue").alias("i_start"), F.col("vs").alias("i_end")).agg(F.sum("n").alias("n"))
+    v, edge = graph.vertices(span), link.select(*graph.EDGE).distinct()
+    runs = intervals.coverage_runs(span, ["gene_id", "sample_id"], "ex_start", "ex_end", "n").withColumnRenamed("sample_id", "sample")
+    places = neighbours.places(v, counts.select("gene_id", "sample").distinct())
+    area = neighbours.area_of_segments(intervals.segment_coverage(graph.segments(v), runs, ["gene_id"], ["sample"]), places) if counted else neighbours.area_at(runs, places)
+    ev, ir = Evidence(junction=1, mutex_junction=1), Retention(1, 0.5, 0.1, 2)
+    if kind == "mult_exon_skip":
+        out = neighbours.path_evidence(events.mult_exon_skip(edge), area, counts, ev, ir, 1)
+    else:
+        out = neighbours.evidence(kind, v, edge, area, counts, ev, ir, 1)
+    return out.withColumnRenamed("sample", "sample_id")
+
+
 OWN = "(SELECT {t}.*, s.sample_id FROM {t} JOIN (SELECT DISTINCT gene_id, sample_id FROM junction) s USING (gene_id)) o"
 
 
@@ -585,21 +606,21 @@ SELECT gene_id, sample_id, e1s, e1e, e2s, e2e, e3s, e3e, round(d2, 6) AS e2_cov,
   CASE WHEN e2 + e1e3 >= 1 THEN round(CAST(e2 AS DOUBLE) / (e2 + e1e3), 6) END AS psi FROM (SELECT * REPLACE (CAST(e2 AS BIGINT) AS e2, CAST(e1e3 AS BIGINT) AS e1e3) FROM feat)"""
 
 
-def _alt_evidence(spark, sf_dir, kind: str, found: DataFrame, counted: bool) -> DataFrame:
-    out = _evidence(spark, sf_dir, kind, found, counted)
+def _alt_evidence(spark, sf_dir, kind: str, counted: bool) -> DataFrame:
+    out = _local(spark, sf_dir, kind, counted)
     return out.select("gene_id", "sample_id", *events.TRIPLE[1:], rounded("e2_cov").alias("e2_cov"), "e2", "e1e3", "v1", "v2", rounded("psi").alias("psi"))
 
 
 @query(_alt_evidence_sql(RIGHT, [("e1s", "e1e"), ("e2s", "e3s"), ("e3s", "least(e2e, e3e)")], ("e1e", "e2s"), ("e1e", "e3s")))
 def evidence_alt_right(spark, sf_dir, counted=False):
     """Depth, counts, criteria and PSI of alternative right ends."""
-    return _alt_evidence(spark, sf_dir, "alt_right", events.alt_right(graph.edges(exons(spark, sf_dir))), counted)
+    return _alt_evidence(spark, sf_dir, "alt_right", counted)
 
 
 @query(_alt_evidence_sql(LEFT, [("greatest(e1s, e2s)", "e1e"), ("e1e", "e2e"), ("e3s", "e3e")], ("e2e", "e3s"), ("e1e", "e3s")))
 def evidence_alt_left(spark, sf_dir, counted=False):
     """Depth, counts, criteria and PSI of alternative left ends."""
-    return _alt_evidence(spark, sf_dir, "alt_left", events.alt_left(graph.edges(exons(spark, sf_dir))), counted)
+    return _alt_evidence(spark, sf_dir, "alt_left", counted)
 
 
 @query(f"""{WITH}, {MUTEX}, {JUNCTION}, {RUNS}, feat AS (SELECT o.*, {', '.join(f"{DEPTH.format(s=f'e{k}s', e=f'e{k}e')} AS d{k}" for k in (1, 2, 3, 4))},
@@ -608,7 +629,7 @@ SELECT gene_id, sample_id, e1s, e1e, e2s, e2e, e3s, e3e, e4s, e4e, d2 >= 0.05 *
   CASE WHEN e1e2 + e2e4 + e1e3 + e3e4 >= 1 THEN round(CAST(e1e3 + e3e4 AS DOUBLE) / (e1e2 + e2e4 + e1e3 + e3e4), 6) END AS psi FROM feat""")
 def evidence_mutex_exons(spark, sf_dir, counted=False):
     """Criteria and PSI of mutually exclusive exons."""
-    out = _evidence(spark, sf_dir, "mutex_exons", events.mutex_exons(graph.edges(exons(spark, sf_dir))), counted)
+    out = _local(spark, sf_dir, "mutex_exons", counted)
     return out.select("gene_id", "sample_id", *[f"e{k}{x}" for k in (1, 2, 3, 4) for x in "se"], "v1", "v2", "v3", "v4", rounded("psi").alias("psi"))
 
 
@@ -625,8 +646,7 @@ SELECT gene_id, sample_id, us, ue, vs, ve, round(d2, 6) AS e2_cov, CAST(sum_e2 A
   CASE WHEN e1e2 + e2e3 + sum_e2 + (num_e2 + 1) * e1e3 >= 1 THEN round(CAST(e1e2 + e2e3 + sum_e2 AS DOUBLE) / (e1e2 + e2e3 + sum_e2 + (num_e2 + 1) * e1e3), 6) END AS psi FROM feat""")
 def evidence_mult_exon_skip(spark, sf_dir, counted=False):
     """Depth, counts, criteria and PSI of several skipped exons."""
-    found = events.mult_exon_skip(graph.edges(exons(spark, sf_dir))).withColumn("event_id", F.struct("us", "ue", "vs", "ve"))
-    out = _evidence(spark, sf_dir, "mult_exon_skip", found, counted)
+    out = _local(spark, sf_dir, "mult_exon_skip", counted)
     return longs(out.select("gene_id", "sample_id", "us", "ue", "vs", "ve", rounded("e2_cov").alias("e2_cov"), "sum_e2", "num_e2", "v1", "v2", "v3", "v4", "v5", rounded("psi").alias("psi")))
 
 
@@ -678,9 +698,8 @@ def _counts_sql(evidence_of: str, columns: str, skip: str, keep: str) -> str:
     return f"{head[: head.rindex(chr(10) + 'SELECT gene_id, sample_id')]} SELECT gene_id, sample_id, {columns}, form, CAST(floor(CASE WHEN form = 0 THEN {skip} ELSE {keep} END) AS DOUBLE) AS n FROM feat, (VALUES (0), (1)) t(form)"
 
 
-def _counts(spark, sf_dir, kind: str, found: DataFrame, columns: list[str]) -> DataFrame:
-    rows = _evidence(spark, sf_dir, kind, found).withColumn("event_id", F.struct(*columns))
-    out = verify.test_counts(kind, rows.drop("sample").withColumnRenamed("sample_id", "sample"))
+def _counts(rows: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+    out = verify.test_counts(kind, rows.withColumn("event_id", F.struct(*columns)).drop("sample").withColumnRenamed("sample_id", "sample"))
     return out.select("gene_id", F.col("sample").alias("sample_id"), *[F.col(f"event_id.{c}").alias(c) for c in columns], "form", "n")
 
 
@@ -688,32 +707,31 @@ def _counts(spark, sf_dir, kind: str, found: DataFrame, columns: list[str]) -> D
 def counts_for_test_intron_retention(spark, sf_dir):
     """Counts of both forms of retained introns."""
     e = exons(spark, sf_dir)
-    return _counts(spark, sf_dir, "intron_retention", events.intron_retention(graph.edges(e), graph.vertices(e)), ["e1s", "e1e", "e2s", "e2e"])
+    return _counts(_evidence(spark, sf_dir, "intron_retention", events.intron_retention(graph.edges(e), graph.vertices(e))), "intron_retention", ["e1s", "e1e", "e2s", "e2e"])
 
 
 @query(_counts_sql("evidence_alt_right", "e1s, e1e, e2s, e2e, e3s, e3e", "e1e3", "e2"))
 def counts_for_test_alt_right(spark, sf_dir):
     """Counts of both forms of alternative right ends."""
-    return _counts(spark, sf_dir, "alt_right", events.alt_right(graph.edges(exons(spark, sf_dir))), events.TRIPLE[1:])
+    return _counts(_local(spark, sf_dir, "alt_right"), "alt_right", events.TRIPLE[1:])
 
 
 @query(_counts_sql("evidence_alt_left", "e1s, e1e, e2s, e2e, e3s, e3e", "e1e3", "e2"))
 def counts_for_test_alt_left(spark, sf_dir):
     """Counts of both forms of alternative left ends."""
-    return _counts(spark, sf_dir, "alt_left", events.alt_left(graph.edges(exons(spark, sf_dir))), events.TRIPLE[1:])
+    return _counts(_local(spark, sf_dir, "alt_left"), "alt_left", events.TRIPLE[1:])
 
 
 @query(_counts_sql("evidence_mutex_exons", "e1s, e1e, e2s, e2e, e3s, e3e, e4s, e4e", "least(e1e2, e2e4)", "least(e1e3, e3e4)"))
 def counts_for_test_mutex_exons(spark, sf_dir):
     """Counts of both forms of mutually exclusive exons."""
-    return _counts(spark, sf_dir, "mutex_exons", events.mutex_exons(graph.edges(exons(spark, sf_dir))), [f"e{k}{x}" for k in (1, 2, 3, 4) for x in "se"])
+    return _counts(_local(spark, sf_dir, "mutex_exons"), "mutex_exons", [f"e{k}{x}" for k in (1, 2, 3, 4) for x in "se"])
 
 
 @query(_counts_sql("evidence_mult_exon_skip", "us, ue, vs, ve", "e1e3", "least(e1e2, e2e3, sum_e2)"))
 def counts_for_test_mult_exon_skip(spark, sf_dir):
     """Counts of both forms of several skipped exons."""
-    found = events.mult_exon_skip(graph.edges(exons(spark, sf_dir))).withColumn("event_id", F.struct("us", "ue", "vs", "ve"))
-    return longs(_counts(spark, sf_dir, "mult_exon_skip", found, ["us", "ue", "vs", "ve"])).withColumn("form", F.col("form").cast("int"))
+    return longs(_counts(_local(spark, sf_dir, "mult_exon_skip"), "mult_exon_skip", ["us", "ue", "vs", "ve"])).withColumn("form", F.col("form").cast("int"))
 
 
 @query(f"""WITH {EXON}, kind AS (SELECT *, count(*) OVER (PARTITION BY transcript_id) > 1 AS spliced FROM exon),

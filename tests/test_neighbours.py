@@ -1,7 +1,32 @@
 import itertools
 import random
 
+import pytest
+
 from junctura.operators import events
+from junctura.plans import catalogue
+
+LOCAL = [f"{q}_{k}" for q in ("evidence", "quantify", "counts_for_test") for k in ("mutex_exons", "alt_right", "alt_left", "mult_exon_skip")]
+
+
+@pytest.mark.parametrize("name", LOCAL)
+def test_rows_of_events_are_not_shuffled(spark, sf, name):
+    """From the top of the plan the join that makes an event's rows in its samples comes before any shuffle."""
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and plan.index("Join") < plan.index("Exchange")
+
+
+def test_mutex_exons_of_a_dense_gene(spark):
+    rng = random.Random(5)
+    v = [(100 * k + 10 * i, 100 * k + 60 + 10 * i) for k in range(5) for i in range(3)]
+    edges = {("g", *a, *b) for a, b in itertools.product(v, v) if b[0] > a[1] and rng.random() < 0.6}
+    after = {(e[1:3], e[3:5]) for e in edges}
+    want = {("g", *a, *b, *c, *d) for a, b, c, d in itertools.product(v, repeat=4) if c[0] >= b[1] and {(a, b), (a, c), (b, d), (c, d)} <= after and (b, c) not in after}
+    df = events.mutex_exons(spark.createDataFrame(sorted(edges), "gene_id string, us long, ue long, vs long, ve long"))
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")
 
 
 def _plain(nodes, pairs):
