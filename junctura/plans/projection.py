@@ -38,10 +38,23 @@ read AS (SELECT read_id, sample_id, contig, min(s) AS pos, min(e - s) AS anchor,
 VERTEX = "vertex AS (SELECT DISTINCT gene_id, ex_start AS v_start, ex_end AS v_end FROM exon)"
 
 
+ROWS = 500_000  # line items a task
+
+
+def _dealt(spark: SparkSession, line: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both by order, in as many partitions as the line items need, whatever the session's number: a task sorts no more of a larger table."""
+    n = -(-line.count() // ROWS)  # from the files' footers
+    if n <= 1:
+        return line, order
+    n = max(n, spark.sparkContext.defaultParallelism)
+    return line.repartition(n, "l_orderkey"), order.repartition(n, "o_orderkey")
+
+
 def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gene_id, transcript_id, sample_id, ex_start, ex_end."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     order = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    line, order = _dealt(spark, line, order)
     q = F.col("l_quantity").cast("int")
     rows = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(
         (F.col("o_custkey") % 1000).alias("gene_id"),

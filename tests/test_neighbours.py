@@ -4,7 +4,7 @@ import random
 import pytest
 
 from junctura.operators import events
-from junctura.plans import catalogue
+from junctura.plans import catalogue, projection
 
 LOCAL = [f"{q}_{k}" for q in ("evidence", "quantify", "counts_for_test") for k in ("mutex_exons", "alt_right", "alt_left", "mult_exon_skip")]
 
@@ -60,3 +60,12 @@ def test_paths_from_all_exons_in_one_pass(spark):
     got = events.mult_exon_skip(spark.createDataFrame(rows, "gene_id long, us long, ue long, vs long, ve long")).collect()
     assert sorted((r.gene_id, r.us, r.ue, r.vs, r.ve, [tuple(x) for x in r.inner]) for r in got) == sorted(want) and want
     assert events.mult_exon_skip(spark.createDataFrame(rows, "gene_id long, us long, ue long, vs long, ve long"), 3).count() == 0
+
+
+def test_a_task_sorts_no_more_of_a_larger_table(spark, sf, monkeypatch):
+    whole = sorted(map(tuple, projection.exons(spark, sf).collect()))
+    monkeypatch.setattr(projection, "ROWS", 500)
+    dealt = projection.exons(spark, sf)
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert dealt.rdd.getNumPartitions() >= n // 500 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, dealt.collect())) == whole
