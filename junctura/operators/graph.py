@@ -33,6 +33,14 @@ def edges(exons: DataFrame) -> DataFrame:
     return consecutive(exons).select(*EDGE).distinct()
 
 
+def vertices_and_edges(exons: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """gene_id, keep, us, ue, vs, ve without doubles (a vertex has no vs and ve), from one pass over the exons."""
+    none = F.lit(None).cast("long")
+    alone, edge = F.struct(none.alias("vs"), none.alias("ve")), F.struct(F.col("vs").cast("long").alias("vs"), F.col("ve").cast("long").alias("ve"))
+    each = F.when(F.col("vs") > F.col("ue"), F.array(alone, edge)).otherwise(F.array(alone))
+    return followed(exons, keep).withColumn("each", each).select("gene_id", *keep, "us", "ue", F.inline("each")).distinct()
+
+
 def introns(exons: DataFrame) -> DataFrame:
     """Distinct introns: gene_id, i_start, i_end."""
     return consecutive(exons).select("gene_id", F.col("ue").alias("i_start"), F.col("vs").alias("i_end")).distinct()
@@ -155,9 +163,8 @@ def bounded_merge(rows: DataFrame, limit: int) -> DataFrame:
     order) and n (how many samples the row stands for).  Once a gene has more than ``limit``
     vertices it takes no more vertices and edges; those it has are still counted in all
     samples.  Where a gene stops follows from the running number of vertices by the place
-    they are first seen at."""
+    they are first seen at; ``place`` is a whole number.  Rows are used once, so what makes them runs once."""
     each = rows.groupBy("gene_id", "us", "ue", "vs", "ve").agg(F.min("place").alias("first"), F.sum("n").alias("n_samples"))
-    new = each.where("vs IS NULL").groupBy("gene_id", "first").agg(F.count("*").alias("new"))
-    total = F.sum("new").over(Window.partitionBy("gene_id").orderBy("first"))
-    stop = new.withColumn("total", total).where(F.col("total") > limit).groupBy("gene_id").agg(F.min("first").alias("stop"))
-    return each.join(stop, "gene_id", "left").where("stop IS NULL OR first <= stop").drop("first", "stop")
+    earlier = Window.partitionBy("gene_id").orderBy("first").rangeBetween(Window.unboundedPreceding, -1)
+    had = F.coalesce(F.sum(F.col("vs").isNull().cast("long")).over(earlier), F.lit(0))
+    return each.withColumn("had", had).where(F.col("gene_id").isNull() | (F.col("had") <= limit)).drop("first", "had")

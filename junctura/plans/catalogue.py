@@ -753,10 +753,7 @@ stop AS (SELECT gene_id, min(first) AS stop FROM part a WHERE vs IS NULL AND (SE
 SELECT gene_id, us, ue, coalesce(vs, -1) AS vs, coalesce(ve, -1) AS ve, n_samples FROM part LEFT JOIN stop USING (gene_id) WHERE stop IS NULL OR first <= stop""")
 def merged_bounded(spark, sf_dir):
     """Graphs merged one sample after another; a gene with more than 12 vertices takes no more, but counts what it has.  A vertex has -1 for vs and ve."""
-    e = exons(spark, sf_dir)
-    none = F.lit(None).cast("long")
-    v = e.select("gene_id", "sample_id", F.col("ex_start").alias("us"), F.col("ex_end").alias("ue"), none.alias("vs"), none.alias("ve"))
-    rows = v.unionByName(graph.consecutive(e, ["sample_id"]).select("gene_id", "sample_id", "us", "ue", "vs", "ve")).distinct()
+    rows = graph.vertices_and_edges(exons(spark, sf_dir), ["sample_id"])
     return graph.bounded_merge(rows.select("*", F.col("sample_id").alias("place"), F.lit(1).cast("long").alias("n")), 12).select("gene_id", "us", "ue", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("vs", "ve")], "n_samples")
 
 

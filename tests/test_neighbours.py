@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from junctura.operators import events
+from junctura.operators import events, graph
 from junctura.plans import catalogue, projection
 
 LOCAL = [f"{q}_{k}" for q in ("evidence", "quantify", "counts_for_test") for k in ("mutex_exons", "alt_right", "alt_left", "mult_exon_skip")]
@@ -69,3 +69,32 @@ def test_a_task_sorts_no_more_of_a_larger_table(spark, sf, monkeypatch):
     n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert dealt.rdd.getNumPartitions() >= n // 500 > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted(map(tuple, dealt.collect())) == whole
+
+
+@pytest.mark.parametrize("name", ["merged_bounded"])
+def test_the_exons_are_made_once(spark, sf, name):
+    df = catalogue.QUERIES[name](spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Window [row_number(") == 1
+
+
+@pytest.mark.parametrize("name", ["merged_bounded"])
+def test_line_items_are_sorted_in_as_many_tasks_as_they_need(spark, sf, monkeypatch, name):
+    want = sorted(map(str, catalogue.QUERIES[name](spark, sf).collect()))
+    monkeypatch.setattr(projection, "ROWS", 500)
+    df = catalogue.QUERIES[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    below = plan[plan.rindex("row_number(") :]
+    assert "hashpartitioning(l_orderkey" in below and f", {n}), REPARTITION_BY_NUM" in below and "ENSURE_REQUIREMENTS" not in below
+    assert sorted(map(str, df.collect())) == want
+
+
+def test_vertices_and_edges_of_one_pass(spark):
+    """Exons that touch or overlap the next one have no edge, a lone exon is a vertex; doubles count once."""
+    rows = [(1, t, 10, 20) for t in (1, 2)] + [(1, t, 30, 40) for t in (1, 2)] + [(1, 3, 10, 20), (1, 3, 20, 25), (1, 3, 22, 50), (2, 4, 5, 9)]
+    e = spark.createDataFrame(rows, "gene_id long, transcript_id long, ex_start long, ex_end long")
+    got = graph.vertices_and_edges(e)
+    assert sorted(map(tuple, got.where("vs IS NULL").select("gene_id", "us", "ue").collect())) == sorted(map(tuple, graph.vertices(e).collect()))
+    assert sorted(map(tuple, got.where("vs IS NOT NULL").collect())) == sorted(map(tuple, graph.edges(e).collect())) == [(1, 10, 20, 30, 40)]
