@@ -54,6 +54,13 @@ def terminals(verts: DataFrame, edge: DataFrame) -> DataFrame:
     return marks.groupBy("gene_id", "v_start", "v_end").agg((F.max("r") == 0).alias("is_start"), (F.max("l") == 0).alias("is_end"))
 
 
+def exon_terminals(exons: DataFrame) -> DataFrame:
+    """:func:`terminals` of the graph of ``exons``, from one pass over them."""
+    mark = lambda s, e, r, l: F.struct(F.col(s).alias("v_start"), F.col(e).alias("v_end"), F.lit(r).alias("r"), F.lit(l).alias("l"))
+    marks = F.when(F.col("vs") > F.col("ue"), F.array(mark("us", "ue", 0, 1), mark("vs", "ve", 1, 0))).otherwise(F.array(mark("us", "ue", 0, 0)))
+    return followed(exons).select("gene_id", F.inline(marks)).groupBy("gene_id", "v_start", "v_end").agg((F.max("r") == 0).alias("is_start"), (F.max("l") == 0).alias("is_end"))
+
+
 def edge_support(exons: DataFrame) -> DataFrame:
     """How many samples have each edge: the merge of the samples' graphs in one aggregation."""
     return consecutive(exons, ["sample_id"]).groupBy(*EDGE).agg(F.countDistinct("sample_id").alias("n_samples"))

@@ -66,8 +66,7 @@ def annotated_introns(spark, sf_dir):
   NOT EXISTS (SELECT 1 FROM edge e WHERE e.gene_id = v.gene_id AND e.us = v_start AND e.ue = v_end) AS is_end
 FROM vertex v""")
 def terminals(spark, sf_dir):
-    e = exons(spark, sf_dir)
-    return graph.terminals(graph.vertices(e), graph.edges(e))
+    return graph.exon_terminals(exons(spark, sf_dir))
 
 
 SKIP = """skip AS (

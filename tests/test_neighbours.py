@@ -71,7 +71,7 @@ def test_a_task_sorts_no_more_of_a_larger_table(spark, sf, monkeypatch):
     assert sorted(map(tuple, dealt.collect())) == whole
 
 
-@pytest.mark.parametrize("name", ["merged_bounded"])
+@pytest.mark.parametrize("name", ["merged_bounded", "terminals"])
 def test_the_exons_are_made_once(spark, sf, name):
     df = catalogue.QUERIES[name](spark, sf)
     df.collect()
@@ -79,7 +79,7 @@ def test_the_exons_are_made_once(spark, sf, name):
     assert plan.count("Window [row_number(") == 1
 
 
-@pytest.mark.parametrize("name", ["merged_bounded"])
+@pytest.mark.parametrize("name", ["merged_bounded", "terminals"])
 def test_line_items_are_sorted_in_as_many_tasks_as_they_need(spark, sf, monkeypatch, name):
     want = sorted(map(str, catalogue.QUERIES[name](spark, sf).collect()))
     monkeypatch.setattr(projection, "ROWS", 500)
@@ -98,3 +98,4 @@ def test_vertices_and_edges_of_one_pass(spark):
     got = graph.vertices_and_edges(e)
     assert sorted(map(tuple, got.where("vs IS NULL").select("gene_id", "us", "ue").collect())) == sorted(map(tuple, graph.vertices(e).collect()))
     assert sorted(map(tuple, got.where("vs IS NOT NULL").collect())) == sorted(map(tuple, graph.edges(e).collect())) == [(1, 10, 20, 30, 40)]
+    assert sorted(map(tuple, graph.exon_terminals(e).collect())) == sorted(map(tuple, graph.terminals(graph.vertices(e), graph.edges(e)).collect()))
