@@ -79,7 +79,7 @@ def test_the_exons_are_made_once(spark, sf, name):
     assert plan.count("Window [row_number(") == 1
 
 
-@pytest.mark.parametrize("name", ["merged_bounded", "terminals"])
+@pytest.mark.parametrize("name", ["merged_bounded", "curated_alt_left", "curated_alt_right", "intron_retention", "mult_exon_skip", "terminals"])
 def test_line_items_are_sorted_in_as_many_tasks_as_they_need(spark, sf, monkeypatch, name):
     want = sorted(map(str, catalogue.QUERIES[name](spark, sf).collect()))
     monkeypatch.setattr(projection, "ROWS", 500)
